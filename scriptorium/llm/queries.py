@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import BytePairCodec, read_ranks
 from scriptorium.llm.chat import digests, reconstruct, render
+from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
 
@@ -84,3 +85,9 @@ select conv_id, count(*) as n_turns,
        sum(length('<|im_start|>') + length(replace({_ESCAPED.format("role")}, chr(10), '&#10;')) + 1 + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1)::bigint as formatted_chars
 from rows group by conv_id
 """
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every document into sequences of at most 4096 tokens."""
+    return pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
