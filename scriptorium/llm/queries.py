@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import BytePairCodec, read_ranks
 from scriptorium.llm.chat import digests, reconstruct, render
+from scriptorium.llm.bitsliced import bit_sliced_top_k
+from scriptorium.llm.hashing_index import nearest_neighbours
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
@@ -91,3 +93,27 @@ from rows group by conv_id
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every document into sequences of at most 4096 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours found for every vector whose id 20 divides."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("_id") % 20 == 0, 20)
+
+
+@query
+def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows by integer inner product for every vector whose id 50 divides."""
+    return bit_sliced_top_k(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("_id") % 50 == 0, 5)
+
+
+ORACLE_SQL["op7_bit_sliced_top_k"] = """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
