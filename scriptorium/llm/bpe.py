@@ -1,9 +1,10 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-The ranks are a literal in the plan: a perfect hash table of three flat arrays. A word is split into an array of
-one-byte binaries; a fold merges the leftmost pair of the lowest rank until no pair has one. Words that the corpus
-repeats are encoded once: the `cache_words` most frequent distinct words form a bounded literal dictionary, every
-other word is folded where it stands. Either way each id comes from the same fold.
+`fold` and `encode_folded` are higher-order functions only: the ranks are a literal in the plan, a perfect hash table
+of flat arrays; a word is an array of one-byte pieces, and a fold merges the leftmost pair of the lowest rank until no
+pair has one. They are right but took more than 6500 CPU seconds a GB (README), so `encode` folds the same ranked
+merges over the distinct words of Arrow batches in Python; each worker keeps what it has folded in a bounded cache.
+Decoding concatenates pieces from a literal table, in the JVM.
 
 Null text counts as empty and gives no ids. Texts are processed whole. Repeated rows give repeated results.
 """
@@ -11,11 +12,17 @@ Null text counts as empty and gives no ids. Texts are processed whole. Repeated
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
+import hashlib
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The Unicode White_Space class, for Java's \s knows ASCII only.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -88,6 +95,80 @@ class HashedLiteral:
         return F.transform(slotted, lambda x: F.when(_get(self.keys, x["s"]) == x["k"], _get(self.values, x["s"])).otherwise(default))
 
 
+class RankedMerges:
+    """The ids of texts as little-endian 32-bit integers, by folding ranked merges over distinct words."""
+
+    def __init__(self, tokens: Sequence[bytes], pattern: str, cache_words: int = 400_000, long_word: int = 400):
+        import regex
+
+        self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.words = regex.compile(pattern).findall
+        self.cache, self.cache_words, self.long_word = {}, cache_words, long_word
+
+    def merge(self, word: bytes) -> list[int]:
+        """A whole token, or the leftmost pair of the lowest rank merged again and again."""
+        ranks = self.ranks
+        if word in ranks:
+            return [ranks[word]]
+        if len(word) > self.long_word:
+            return self.merge_long(word)
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (least := min(pairs)) < NO_RANK:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+        return [ranks[p] for p in parts]
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The same merges from a heap, for words so long that scanning the pairs would take quadratic time."""
+        ranks, n = self.ranks, len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each byte; 0: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            if not end[i] or end[i] >= n or end[end[i]] != stop:
+                continue
+            end[end[i]], end[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(word[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if before[i] >= 0 and (r := ranks.get(word[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[word[i : end[i]]])
+            i = end[i]
+        return out
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        cache = self.cache
+        for text in texts:
+            words = self.words(text) if text else []
+            if len(cache) > self.cache_words:
+                cache.clear()
+            for w in set(words).difference(cache):
+                cache[w] = np.array(self.merge(w.encode()), dtype="<i4").tobytes()
+            yield b"".join(map(cache.__getitem__, words))
+
+
+_SHARED: dict[str, RankedMerges] = {}
+
+
+def shared_merges(key: str, sent: Broadcast, pattern: str) -> RankedMerges:
+    """A Python worker keeps one encoder, and its cache, from task to task. key: a digest of tokens and pattern."""
+    if key not in _SHARED:
+        _SHARED.clear()
+        _SHARED[key] = RankedMerges(sent.value, pattern)
+    return _SHARED[key]
+
+
 class BytePairCodec:
     """Encodes and decodes columns by a rank file.
 
@@ -95,11 +176,31 @@ class BytePairCodec:
     """
 
     def __init__(self, spark: SparkSession, tokens: Sequence[bytes], pattern: str):
-        self.pattern = java_pattern(pattern)
+        self.spark, self.pattern = spark, java_pattern(pattern)
         self.tokens = list(tokens)
-        self.ranks = HashedLiteral(spark, [t.hex() for t in self.tokens], range(len(self.tokens)), "int")
         self.pieces = _literal([t.hex() for t in self.tokens], "string")
 
+    @cached_property
+    def ranks(self) -> HashedLiteral:
+        return HashedLiteral(self.spark, [t.hex() for t in self.tokens], range(len(self.tokens)), "int")
+
+    def encode(self, docs: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
+        """docs with a column out of type array<int>: the ids of the whole text, as encode_ordinary gives them."""
+        sent, pattern = self.spark.sparkContext.broadcast(self.tokens), self.pattern
+        key = hashlib.sha256(b"|".join([*(t.hex().encode() for t in self.tokens), pattern.encode()])).hexdigest()
+        rest = docs.drop(out)
+        schema = T.StructType([*rest.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+
+        def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            merges = shared_merges(key, sent, pattern)
+            for batch in batches:
+                ids = list(merges(batch.column(text).to_pylist()))
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
+
+        return rest.mapInArrow(encoded, schema)
+
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
@@ -147,7 +248,7 @@ class BytePairCodec:
         rows = top.select(F.hex(F.encode("word", "UTF-8")).alias("k"), F.array_join(self.fold(F.col("word")), " ").alias("v")).collect()
         return HashedLiteral(spark, [r["k"] for r in rows], [r["v"] for r in rows], "string")
 
-    def encode(self, docs: DataFrame, text: str = "text", out: str = "ids", cache_words: int = 65_536) -> DataFrame:
+    def encode_folded(self, docs: DataFrame, text: str = "text", out: str = "ids", cache_words: int = 65_536) -> DataFrame:
         """docs with a column out of type array<int>: the ids of the whole text, as encode_ordinary gives them."""
         known = self.frequent_words(docs, text, cache_words)
         words = self.words(F.col(text))

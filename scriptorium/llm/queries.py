@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import BytePairCodec, read_ranks
@@ -13,6 +13,7 @@ from scriptorium.llm.chat import digests, reconstruct, render
 from scriptorium.llm.bitsliced import bit_sliced_top_k
 from scriptorium.llm.hashing_index import nearest_neighbours
 from scriptorium.llm.packing import pack_documents
+from scriptorium.llm.quality import learn_quality, score_quality
 from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
 
@@ -117,3 +118,16 @@ with whole as (
 ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
+
+
+def fold(id_column: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text for quality; the fold of remainder 0 is held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = learn_quality(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return score_quality(docs, trees).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
