@@ -12,6 +12,7 @@ from scriptorium.llm.bpe import BytePairCodec, read_ranks
 from scriptorium.llm.chat import digests, reconstruct, render
 from scriptorium.llm.bitsliced import bit_sliced_top_k
 from scriptorium.llm.hashing_index import nearest_neighbours
+from scriptorium.llm.language import identify, learn_languages
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.quality import learn_quality, score_quality
 from scriptorium.llm.urls import filter_urls
@@ -131,3 +132,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = learn_quality(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return score_quality(docs, trees).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every text; the fold of remainder 2 is held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = learn_languages(docs, fold("doc_id", 4) != 2)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
