@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(cores: int | str = "*", app: str = "scriptorium") -> SparkSession:
@@ -28,6 +31,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, so that they need no install."""
+    context = spark.sparkContext
+    if getattr(context, "_scriptorium_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="scriptorium-"), "scriptorium_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("scriptorium", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._scriptorium_shipped = True
+
+
+def map_batches(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """mapInArrow by a function of this package, which the workers get with it."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_frames(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """mapInPandas by a function of this package, which the workers get with it."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
