@@ -14,6 +14,7 @@ from scriptorium.llm.bitsliced import bit_sliced_top_k
 from scriptorium.llm.hashing_index import nearest_neighbours
 from scriptorium.llm.language import identify, learn_languages
 from scriptorium.llm.packing import pack_documents
+from scriptorium.llm.pii import find_personal_data, learn_selector
 from scriptorium.llm.quality import learn_quality, score_quality
 from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
@@ -140,3 +141,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = learn_languages(docs, fold("doc_id", 4) != 2)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and digest of the base spans, and all spans."""
+    return find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"), learn_selector()).drop("text")
