@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.session import materialise
+from scriptorium.session import map_frames, materialise
 
 #: A block's answerer: from (ids, vectors) of the block and (ids, vectors) of the queries to (query, candidate, score).
 Answer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -70,7 +70,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, answer: Answer, score_t
             if held:
                 yield block()
 
-        part = vectors.mapInPandas(scan, f"query_id long, vec_id long, score {score_type}")
+        part = map_frames(vectors, scan, f"query_id long, vec_id long, score {score_type}")
         found.append(part if chunks == 1 else materialise(best(part, k), "search"))
     if not found:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")

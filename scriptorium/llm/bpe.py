@@ -24,6 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.llm.caches import forget_newest
+from scriptorium.session import map_batches
+
 #: The Unicode White_Space class, for Java's \s knows ASCII only.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 NO_RANK = 2147483647
@@ -98,7 +101,7 @@ class HashedLiteral:
 class RankedMerges:
     """The ids of texts as little-endian 32-bit integers, by folding ranked merges over distinct words."""
 
-    def __init__(self, tokens: Sequence[bytes], pattern: str, cache_words: int = 400_000, long_word: int = 400):
+    def __init__(self, tokens: Sequence[bytes], pattern: str, cache_words: int = 250_000, long_word: int = 400):
         import regex
 
         self.ranks = {t: i for i, t in enumerate(tokens)}
@@ -151,8 +154,7 @@ class RankedMerges:
         cache = self.cache
         for text in texts:
             words = self.words(text) if text else []
-            if len(cache) > self.cache_words:
-                cache.clear()
+            forget_newest(cache, self.cache_words)
             for w in set(words).difference(cache):
                 cache[w] = np.array(self.merge(w.encode()), dtype="<i4").tobytes()
             yield b"".join(map(cache.__getitem__, words))
@@ -193,13 +195,15 @@ class BytePairCodec:
 
         def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             merges = shared_merges(key, sent, pattern)
-            for batch in batches:
-                ids = list(merges(batch.column(text).to_pylist()))
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
-
-        return rest.mapInArrow(encoded, schema)
+            for whole in batches:
+                for at in range(0, len(whole), 256):
+                    batch = whole.slice(at, 256)
+                    ids = list(merges(batch.column(text).to_pylist()))
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names)
+
+        return map_batches(rest, encoded, schema)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))

@@ -12,52 +12,85 @@ packed as often as they come. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from scriptorium.session import materialise
+from scriptorium.llm.caches import forget_newest
+from scriptorium.session import map_batches, materialise
 
 #: What the tokenizer's own normalizer takes as white space; str.split() also takes U+001C to U+001F.
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ("doc_id", "piece", "start", "length", "ids_crc32")
+KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian 32-bit integers, for tokenizers that never merge across white space.
+    """Token ids of whole texts as little-endian 32-bit integers, for a lower-casing BPE that drops white space.
 
-    Every word between white space is encoded once and kept, in a cache that is emptied at `cache_words`.
+    Nothing is merged across white space, nor across the splits of the tokenizer's own pattern. So each word between
+    white space is encoded once from its pieces, each piece is merged once by the tokenizer's model, and both are kept
+    in caches of at most about `cache_words` entries. Words with letters beyond Latin go to the whole tokenizer,
+    whose normalizer composes and lower-cases them.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
-        self.path, self.cache_words, self.tokenizer, self.cache = path, cache_words, None, {}
+    #: The pattern that the tokenizer file names.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str, cache_words: int = 250_000):
+        self.path, self.cache_words, self.tokenizer, self.cache, self.pieces = path, cache_words, None, {}, {}
 
     def __reduce__(self):
         return shared_tokenizer, (self.path, self.cache_words)
 
-    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        import numpy as np
+    def _load(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer.encode_special_tokens = True
+        self.model, self.split = self.tokenizer.model, regex.compile(self.PATTERN).findall
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() and max(word) >= "\u0250":
+            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        known, out = self.pieces, []
+        for piece in self.split(word.lower()):
+            ids = known.get(piece)
+            if ids is None:
+                ids = known[piece] = self._bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+            out.append(ids)
+        return b"".join(out)
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         if self.tokenizer is None:
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
+            self._load()
+        cache = self.cache
         for text in texts:
             words = [] if not text else [w for w in SPACES.split(text) if w] if SEPARATORS.search(text) else text.split()
-            if len(self.cache) > self.cache_words:
-                self.cache.clear()
-            new = [w for w in set(words) if w not in self.cache]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else (), strict=True):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-            yield b"".join(map(self.cache.__getitem__, words))
+            forget_newest(cache, self.cache_words)
+            forget_newest(self.pieces, self.cache_words)
+            for w in set(words).difference(cache):
+                cache[w] = self._word(w)
+            yield b"".join(map(cache.__getitem__, words))
 
 
 _SHARED: dict[tuple[str, int], WordTokenizer] = {}
@@ -73,17 +106,19 @@ def tokenized_pieces(docs: DataFrame, tokenize: Callable[[Iterable[str | None]],
     end = end_id.to_bytes(4, "little")
     step = capacity * 4
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["_id"], tokenize(batch["_text"]), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    own = ids[at : at + step]
-                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).mapInPandas(cut, PIECES)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                rows = []
+                for doc, ids in zip(part.column("_id").to_pylist(), tokenize(part.column("_text").to_pylist()), strict=True):
+                    ids += end
+                    for piece, first in enumerate(range(0, len(ids), step)):
+                        own = ids[first : first + step]
+                        rows.append((doc, piece, first // 4, len(own) // 4, zlib.crc32(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+
+    return map_batches(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")), cut, PIECES)
 
 
 class Capacities:

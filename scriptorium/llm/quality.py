@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.gbdt import Trees, constant, fit
+from scriptorium.session import map_frames
 
 CLASSES = ("other", "lower", "upper", "digit", "space", "point", "symbol", "newline")
 STATISTICS = (
@@ -72,7 +73,7 @@ def text_statistics(docs: DataFrame, text: str = "text", out: str = "statistics"
         for batch in batches:
             yield batch[rest].assign(**{out: [statistics(t) for t in batch[text]]})
 
-    return docs.select(*rest, text).mapInPandas(computed, schema)
+    return map_frames(docs.select(*rest, text), computed, schema)
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", label: str = "quality", text: str = "text", sample: int = 20_000) -> Trees:
@@ -98,4 +99,4 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3, text: s
                 score = sent.value.probabilities(np.array([statistics(t) for t in batch[text]]))
                 yield batch[rest].assign(score=score, predicted=(score >= threshold).astype(np.int32))
 
-    return docs.select(*rest, text).mapInPandas(scored, schema)
+    return map_frames(docs.select(*rest, text), scored, schema)
