@@ -13,6 +13,7 @@ from scriptorium.llm.chat import digests, reconstruct, render
 from scriptorium.llm.bitsliced import bit_sliced_top_k
 from scriptorium.llm.hashing_index import nearest_neighbours
 from scriptorium.llm.language import identify, learn_languages
+from scriptorium.llm.near_duplicates import near_duplicates
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.pii import find_personal_data, learn_selector
 from scriptorium.llm.quality import learn_quality, score_quality
@@ -147,3 +148,9 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: counts and digest of the base spans, and all spans."""
     return find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"), learn_selector()).drop("text")
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document, on shingles of five words at 0.8."""
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
