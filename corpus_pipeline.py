@@ -1,19 +1,75 @@
-"""The corpus pipeline: language, quality, near duplicates, personal data, packing."""
+"""The corpus pipeline: language, quality, near duplicates, personal data, packing.
+
+Each stage takes all documents that its predecessor kept; all but the last return the columns of documents. Documents
+without a letter are rejected by the first stage, those scored below the threshold by the second; of each group of
+near duplicates the one with the smallest id stays (rows of one id are one document); personal data is replaced by its
+kind in the text, and n_chars follows; the last stage packs token sequences. Null texts are rejected by the first
+stage. An empty table goes through and gives an empty result.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm.language import UNKNOWN, identify, learn_languages
+from scriptorium.llm.near_duplicates import near_duplicates
+from scriptorium.llm.packing import pack_documents
+from scriptorium.llm.pii import find_personal_data, learn_selector
+from scriptorium.llm.quality import learn_quality, score_quality
+from scriptorium.llm.queries import fold
+from scriptorium.session import materialise, read_table
+
+#: Names that no table of documents has.
+JUDGED = ("_judged", "_judged_score")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    model = learn_languages(docs, fold("doc_id", 4) != 2)
+    return identify(docs, model, out=JUDGED).filter(F.col(JUDGED[0]) != UNKNOWN).drop(*JUDGED)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of quality 1 by the classifier."""
+    trees = learn_quality(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return score_quality(docs, trees, out=JUDGED, keep_text=True).filter(F.col(JUDGED[1]) == 1).drop(*JUDGED).select(*docs.columns)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    redacted = find_personal_data(docs, learn_selector(), replace="<{}>")
+    return redacted.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else redacted
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", one_of_each),
+    ("personal_data", private),
+    ("packing", packed),
+]
+#: No SQL expresses the classifiers; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scriptorium.session import materialise, read_table
-
+    """All stages over documents, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

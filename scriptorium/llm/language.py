@@ -145,13 +145,13 @@ def learn_languages(docs: DataFrame, learn: Column, id_column: str = "doc_id", l
     return Discriminator(np.frombuffer(b"".join(rows["_profile"]), np.float32).reshape(-1, BUCKETS), rows["_lang"].to_numpy())
 
 
-def identify(docs: DataFrame, model: Discriminator | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    rest = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def identify(docs: DataFrame, model: Discriminator | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and the score as columns out; columns of these names are replaced."""
+    rest = [f for f in docs.schema.fields if f.name not in out]
+    schema = T.StructType([*rest, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     docs = docs.select(*(f.name for f in rest))
     if model is None:
-        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("*", F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def identified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,6 +162,6 @@ def identify(docs: DataFrame, model: Discriminator | None, text: str = "text") -
                 names, scores = sent.value.predict(x)
                 blank = ~x.any(axis=1)
                 names[blank], scores[blank] = UNKNOWN, 0.0
-                yield batch.assign(lang_pred=names, score=scores)
+                yield batch.assign(**{out[0]: names, out[1]: scores})
 
     return map_frames(docs, identified, schema)

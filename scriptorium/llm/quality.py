@@ -87,16 +87,19 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column:
     return fit(np.stack(rows["statistics"].to_numpy()), rows["_label"].to_numpy(np.float64))
 
 
-def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """docs with score (the probability of label 1) and predicted (1 from the threshold on), without the text."""
-    rest = [c for c in docs.columns if c not in (text, "score", "predicted")]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3, text: str = "text", out: tuple[str, str] = ("score", "predicted"), keep_text: bool = False) -> DataFrame:
+    """docs with the probability of label 1 and 1 from the threshold on as columns out, without the text unless kept.
+
+    Columns of these names are replaced.
+    """
+    rest = [c for c in docs.columns if c not in (*out, *(() if keep_text else (text,)))]
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 score = sent.value.probabilities(np.array([statistics(t) for t in batch[text]]))
-                yield batch[rest].assign(score=score, predicted=(score >= threshold).astype(np.int32))
+                yield batch[rest].assign(**{out[0]: score, out[1]: (score >= threshold).astype(np.int32)})
 
-    return map_frames(docs.select(*rest, text), scored, schema)
+    return map_frames(docs.select(*rest, *(() if keep_text else (text,))), scored, schema)
