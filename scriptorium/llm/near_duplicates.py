@@ -9,7 +9,9 @@ probability of their similarity. Every run starts at a root and sends each set d
 the coordinates that the node samples; sets that share a path meet in its bucket. Small buckets are compared by brute
 force on sketches; large ones recurse, sampling 1 / (similarity * coordinates) of the coordinates at each node, so that
 a similar pair is expected to stay together at one child. Runs repeat until a pair at the threshold is found with
-probability `recall`. Buckets that are still large at the last level are compared in tiles.
+probability `recall`. A large bucket that kept at least half of its parent's sets holds sets that agree with each
+other, so splitting it further gains nothing: it is compared in tiles at once, like what is still large at the last
+level.
 
 The sketches' links only make candidate groups. Within a group all pairs are compared exactly, in tiles of `TILE`
 documents, on whole shingle sets; a tile returns each document's number of links and a spanning forest, never pairs.
@@ -34,7 +36,7 @@ from scriptorium.llm.caches import forget_newest
 from scriptorium.llm.components import connected_components
 from scriptorium.session import map_batches, materialise
 
-COORDINATES, LIMIT, TILE, LEVELS = 64, 512, 512, 4
+COORDINATES, LIMIT, TILE, LEVELS, EXPECTED_LEVELS = 64, 512, 512, 8, 3
 WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -200,20 +202,21 @@ def tiled(rows: DataFrame, size: int, count: str, key: str) -> DataFrame:
 def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     """sets: id, sketch, roots. Links (a, b) between sets whose sketches agree enough, found along chosen paths."""
     sketches = sets.select("id", "sketch")
-    paths, found = sets.select("id", F.posexplode("roots").alias("i", "value")).select(F.xxhash64("i", "value").alias("bucket"), "id"), []
+    paths, found = sets.select("id", F.posexplode("roots").alias("i", "value")).select(F.xxhash64("i", "value").alias("bucket"), "id", F.lit(None).cast("long").alias("above")), []
     chance = int(1_000_000 / (threshold * COORDINATES))
     for level in range(LEVELS):
         counts = paths.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         met = materialise(paths.join(counts, "bucket"), f"paths{level}")
-        large = met.filter(F.col("n") > LIMIT)
+        splits = (F.col("n") > LIMIT) & (F.col("above").isNull() | (F.col("n") * 2 < F.col("above")))
+        large = met.filter(splits)
         last = level == LEVELS - 1 or large.isEmpty()
-        found.append(tiled(met if last else met.filter(F.col("n") <= LIMIT), LIMIT, "n", "id"))
+        found.append(tiled(met if last else met.filter(~splits), LIMIT, "n", "id"))
         if last:
             break
         # a node samples a coordinate by a hash of its path, so all its sets agree on it
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i, level=level: F.pmod(F.xxhash64(F.col("bucket"), i, F.lit(level)), F.lit(1_000_000)) < chance)
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64(F.col("bucket"), i), F.lit(1_000_000)) < chance)
         down = large.withColumn("i", F.explode(drawn)).join(sketches, "id")
-        paths = down.select(F.xxhash64("bucket", "i", F.substring("sketch", F.col("i") + 1, F.lit(1))).alias("bucket"), "id")
+        paths = down.select(F.xxhash64("bucket", "i", F.substring("sketch", F.col("i") + 1, F.lit(1))).alias("bucket"), "id", F.col("n").alias("above"))
     rows = reduce(DataFrame.union, (f.select(*TILE_KEYS, "part", "id") for f in found))
     return bucket_links(rows.join(sketches, "id").select(*TILE_KEYS, "part", "id", "sketch"), threshold).distinct()
 
@@ -270,7 +273,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFra
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id column, class_id, copy_of (the representative of equal texts) and n_links (different texts that are similar)."""
     docs = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    known = materialise(sketched(docs, runs_needed(threshold, recall, LEVELS)), "sketches")
+    known = materialise(sketched(docs, runs_needed(threshold, recall, EXPECTED_LEVELS)), "sketches")
     copies = materialise(known.filter("words is not null").groupBy("words").agg(F.min("_id").alias("id"), F.max("sketch").alias("sketch"), F.max("roots").alias("roots")), "copies")
     groups = connected_components(candidate_links(copies.filter("sketch is not null").select("id", "sketch", "roots"), threshold)).toDF("id", "component")
     links = materialise(exact_links(docs, materialise(groups, "groups"), threshold), "links")
