@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import GLOSSARY
-from scriptorium.functions.text import count_pattern, lower_simple
+from scriptorium.functions.text import count_pattern, literal_array, lower_simple
 
 LEAST_MARKERS, MARGIN = 4, 0.2
 
@@ -20,17 +20,18 @@ def term_counts(papers: DataFrame, glossary: list[tuple[str, str | None]] = GLOS
 
     A plain substring test goes before the word pattern, so that the patterns run only for terms that occur.
     """
-    terms = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(m).cast("string").alias("marker"), F.lit(folded(t)).alias("folded"), F.lit(count_pattern(folded(t))).alias("pattern")) for t, m in glossary))
+    names, folds, patterns, markers = (literal_array(x) for x in zip(*((t, folded(t), count_pattern(folded(t)), m or "") for t, m in glossary), strict=True))
     text = lower_simple(F.translate(F.coalesce("markdown", F.lit("")), "’", "'"))
     rows = papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), text.alias("_text"))
-    counted = F.transform(F.filter(terms, lambda t: F.contains(F.col("_text"), t["folded"])), lambda t: F.struct((-F.regexp_count(F.col("_text"), t["pattern"])).alias("minus"), t["term"].alias("term"), t["marker"].alias("marker")))
+    present = F.filter(F.sequence(F.lit(0), F.lit(len(glossary) - 1)), lambda i: F.contains(F.col("_text"), F.get(folds, i)))
+    counted = F.transform(present, lambda i: F.struct((-F.regexp_count(F.col("_text"), F.get(patterns, i))).alias("minus"), F.get(names, i).alias("term"), F.nullif(F.get(markers, i), F.lit("")).alias("marker")))
     fired = F.transform(F.array_sort(F.filter(counted, lambda t: t["minus"] < 0)), lambda t: F.struct((-t["minus"]).alias("hits"), t["term"].alias("term"), t["marker"].alias("marker")))
     return rows.select("paper_id", "size", fired.alias("fired"))
 
 
 def methodology_terms(papers: DataFrame) -> DataFrame:
     """One row for each paper and term that occurs; rank orders a paper's terms."""
-    rows = term_counts(papers).select("paper_id", F.posexplode("fired").alias("rank", "t"))
+    rows = term_counts(papers).select("paper_id", F.posexplode_outer("fired").alias("rank", "t")).filter("t is not null")
     return rows.select("paper_id", "rank", "t.term", "t.marker", F.col("t.hits").alias("hits"))
 
 

@@ -57,8 +57,8 @@ def breach(v: Column) -> Column:
         .when(~F.size(quotes).between(LEAST_QUOTES, MOST_QUOTES), "number of quotes")
         .when(F.exists(quotes, lambda e: blank(e["quote"])), "empty quote")
         .when(F.exists(quotes, lambda e: word_count(e["quote"]) > QUOTE_WORDS), "quote too long")
-        .when(v["counter_evidence"].isNotNull() & blank(v["counter_evidence.quote"]), "empty counter quote")
-        .when(v["counter_evidence"].isNotNull() & ~F.coalesce(v["counter_evidence.points_to"], F.lit("")).isin(*TYPES), "unknown points_to")
+        .when(v["counter_evidence"].isNotNull() & blank(v["counter_evidence"]["quote"]), "empty counter quote")
+        .when(v["counter_evidence"].isNotNull() & ~F.coalesce(v["counter_evidence"]["points_to"], F.lit("")).isin(*TYPES), "unknown points_to")
     )
 
 
@@ -82,7 +82,7 @@ def reason(v: Column) -> Column:
     """One line on what a verdict means for the paper."""
     primary = v["primary_type"]
     means = F.when(primary == "A", "empirical").when(primary == "B", "synthesis of earlier studies").when(primary == "C", "conceptual").when(primary == "D", "formal").otherwise("unclassified")
-    return F.concat_ws(": ", means, F.nullif(F.coalesce("verdict.subtype", F.lit("")), F.lit("")), F.when(primary == UNCLASSIFIED, v["unclassified_reason"]))
+    return F.concat_ws(": ", means, F.nullif(F.coalesce(v["subtype"], F.lit("")), F.lit("")), F.when(primary == UNCLASSIFIED, v["unclassified_reason"]))
 
 
 def route(verified: DataFrame) -> DataFrame:

@@ -91,13 +91,13 @@ def gate(runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: Da
     return rows.withColumn("state", F.when(F.col("run_rejected") | (F.col("rejected") > 0), "returned").when(F.col("open") > 0, "open").otherwise("passed"))
 
 
-def author_return(runs: DataFrame, nodes: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
+def author_return(runs: DataFrame, trees: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
     """Items for the author of each returned run: the run's own rejection first, then rejected tasks in their order."""
     first = first_rejections(rejections).join(runs.select("run_id"), "run_id")
     text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
     whole = first.select("run_id", F.lit(-1).alias("place"), text.alias("task_id"), F.lit("run_rejected").alias("review_reason"), text.alias("heading_raw"), none.alias("ancestors"), "comment")
     asked = tasks.join(decisions.filter("decision = 'reject'").select("task_id", "comment"), "task_id").join(
-        review_context(nodes).select("paper_id", F.col("ordinal").alias("section_ordinal"), "heading_raw", "ancestors"), ["paper_id", "section_ordinal"], "left"
+        review_context(trees).select("paper_id", F.col("ordinal").alias("section_ordinal"), "heading_raw", "ancestors"), ["paper_id", "section_ordinal"], "left"
     )
     own = asked.select("run_id", F.col("task_ordinal").alias("place"), "task_id", "review_reason", "heading_raw", F.coalesce("ancestors", none).alias("ancestors"), "comment")
     order = Window.partitionBy("run_id").orderBy("place")
@@ -109,12 +109,12 @@ def consumable(gates: DataFrame, consumptions: DataFrame) -> DataFrame:
     return consumptions.join(gates.filter("state = 'passed'").select("run_id"), "run_id").groupBy("run_id").agg(F.min("ts").alias("consumed_at"), F.min_by("consumed_by", "ts").alias("consumed_by"))
 
 
-def review_items(tasks: DataFrame, decisions: DataFrame, nodes: DataFrame, runs: DataFrame, papers: DataFrame) -> DataFrame:
+def review_items(tasks: DataFrame, decisions: DataFrame, trees: DataFrame, runs: DataFrame, papers: DataFrame) -> DataFrame:
     """Tasks with their decision and context, for runs whose markdown still has the hash that they were made from.
 
     runs need markdown_hash; papers need markdown and are hashed again.
     """
     now = papers.select("paper_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("_hash"))
     same = runs.join(now, "paper_id").filter("markdown_hash = _hash").select("run_id")
-    context = review_context(nodes).withColumnRenamed("ordinal", "section_ordinal")
+    context = review_context(trees).withColumnRenamed("ordinal", "section_ordinal")
     return tasks.join(same, "run_id", "left_semi").join(decisions.select("task_id", "decision", "assigned_role"), "task_id", "left").join(context, ["paper_id", "section_ordinal"], "left")

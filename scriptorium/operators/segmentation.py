@@ -29,8 +29,8 @@ def content_class(role: Column) -> Column:
 
 def keyword_matches(semantic: Column) -> Column:
     """Every whole occurrence of a keyword, in scan order: keyword, role, start, end (bytes), suppressed_by."""
-    keywords = F.filter(literal_array(list(KEYWORD_ROLE)), lambda k: F.contains(semantic, k))
-    roles = F.create_map(*(F.lit(x) for pair in KEYWORD_ROLE.items() for x in pair))
+    words, roles = literal_array(list(KEYWORD_ROLE)), literal_array(list(KEYWORD_ROLE.values()))
+    keywords = F.filter(words, lambda k: F.contains(semantic, k))
 
     def spans(k: Column) -> Column:
         def one(place: Column) -> Column:
@@ -43,7 +43,7 @@ def keyword_matches(semantic: Column) -> Column:
 
     def matched(m: Column) -> Column:
         around = F.filter(ordered, lambda o: (o["start"] <= m["start"]) & (o["minus_end"] <= m["minus_end"]) & (-o["minus_end"] - o["start"] > -m["minus_end"] - m["start"]))
-        return F.struct(m["keyword"].alias("keyword"), F.element_at(roles, m["keyword"]).alias("role"), m["start"].alias("start"), (-m["minus_end"]).alias("end"), F.get(around, F.lit(0))["keyword"].alias("suppressed_by"))
+        return F.struct(m["keyword"].alias("keyword"), F.get(roles, (F.array_position(words, m["keyword"]) - 1).cast("int")).alias("role"), m["start"].alias("start"), (-m["minus_end"]).alias("end"), F.get(around, F.lit(0))["keyword"].alias("suppressed_by"))
 
     return F.transform(ordered, matched)
 
@@ -89,7 +89,7 @@ def heading_counts(headings: DataFrame) -> DataFrame:
 def heading_nodes(headings: DataFrame) -> DataFrame:
     """Classified nodes of levels 1 to 4 before the tree: spans, texts, container and classification."""
     kept = headings.select("paper_id", "size", F.filter("headings", lambda h: h["level"] <= 4).alias("own"))
-    rows = kept.select("paper_id", "size", F.posexplode("own").alias("ordinal", "h"), F.transform("own", lambda h: h["byte_start"]).alias("starts"))
+    rows = kept.select("paper_id", "size", F.posexplode_outer("own").alias("ordinal", "h"), F.transform("own", lambda h: h["byte_start"]).alias("starts")).filter("h is not null")
     rows = rows.select(
         "paper_id",
         "ordinal",
@@ -195,50 +195,55 @@ def build_tree(nodes: DataFrame) -> DataFrame:
     return grouped.withColumn("nodes", F.transform("nodes", agreed))
 
 
+def paper_trees(papers: DataFrame) -> DataFrame:
+    """One row for each paper: size, h1 to h6, nodes, title_ordinal, title_method, candidate.
+
+    A paper without headings of levels 1 to 4 has one node at level 0 that spans its whole text.
+    """
+    headings = paper_headings(papers)
+    tree = build_tree(heading_nodes(headings)).drop("h1_count")
+    node = tree.schema["nodes"].dataType.elementType
+    bare = {"ordinal": F.lit(0), "heading_level": F.lit(0), "start_offset": F.lit(0), "end_offset": F.col("size"), "node_kind": F.lit("section"), "role": F.lit(UNKNOWN), "content_class": F.lit(CONTENT_CLASS[UNKNOWN]), "status": F.lit("resolved"), "method": F.lit("structural"), "candidate_roles": empty(), "matched_keywords": empty(), "parent_ordinal": F.lit(-1)}
+    headless = F.array(F.struct(*(bare.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in node.fields)))
+    rows = headings.select("paper_id", "size").join(heading_counts(headings), "paper_id").join(tree, "paper_id", "left")
+    return rows.withColumns({"nodes": F.coalesce("nodes", headless), "title_ordinal": F.coalesce("title_ordinal", F.lit(-1)), "candidate": F.coalesce("candidate", F.lit(-1))})
+
+
+def section_nodes(trees: DataFrame) -> DataFrame:
+    return trees.select("paper_id", F.explode_outer("nodes").alias("n")).select("paper_id", "n.*")
+
+
 def segment(papers: DataFrame) -> DataFrame:
     """section_nodes of every paper (columns paper_id, markdown), headless ones included."""
-    headings = paper_headings(papers)
-    tree = build_tree(heading_nodes(headings)).select("paper_id", F.explode("nodes").alias("n")).select("paper_id", "n.*")
-    return tree.unionByName(headless_nodes(headings).select(*tree.columns))
-
-
-def headless_nodes(headings: DataFrame) -> DataFrame:
-    """The one node of a paper without headings of levels 1 to 4: the whole text, at level 0."""
-    text = F.lit(None).cast("string")
-    bare = headings.filter(~F.exists("headings", lambda h: h["level"] <= 4))
-    return bare.select(
-        "paper_id", F.lit(0).alias("ordinal"), F.lit(0).alias("heading_level"), *(text.alias(c) for c in ("heading_source", "heading_raw", "heading_normalized", "semantic_heading", "structural_container", "appendix_label")),
-        F.lit(0).alias("start_offset"), F.col("size").alias("end_offset"), F.lit("section").alias("node_kind"), F.lit(UNKNOWN).alias("role"), F.lit(CONTENT_CLASS[UNKNOWN]).alias("content_class"),
-        F.lit("resolved").alias("status"), F.lit("structural").alias("method"), empty().alias("candidate_roles"), empty().alias("matched_keywords"), F.lit(-1).alias("parent_ordinal"),
-    )
+    return section_nodes(paper_trees(papers))
+
 
+def run_id() -> Column:
+    return F.concat_ws("@", F.col("paper_id").cast("string"), F.lit(RULE_VERSION))
 
-def segmentation_runs(papers: DataFrame) -> DataFrame:
+
+def segmentation_runs(trees: DataFrame) -> DataFrame:
     """One run for each paper: counts, title and rule version; run_id is the paper's id with the rule version."""
-    headings = paper_headings(papers)
-    tree = build_tree(heading_nodes(headings)).select("paper_id", "title_ordinal", "title_method", "candidate", F.size("nodes").alias("n_nodes"), F.get("nodes", F.when(F.col("title_ordinal") >= 0, F.col("title_ordinal")))["heading_raw"].alias("title_text"))
-    runs = heading_counts(headings).join(tree, "paper_id", "left")
-    titled = F.coalesce("title_ordinal", F.lit(-1)) >= 0
-    return runs.select(
-        "paper_id", F.concat_ws("@", F.col("paper_id").cast("string"), F.lit(RULE_VERSION)).alias("run_id"), F.lit(RULE_VERSION).alias("rule_version"), *(f"h{n}" for n in range(1, 7)),
-        F.coalesce("n_nodes", F.lit(1)).alias("n_nodes"), F.coalesce("title_ordinal", F.lit(-1)).alias("title_ordinal"), F.when(titled, "identified").otherwise("unresolved").alias("title_status"),
-        "title_method", "title_text", F.when(titled, 1).otherwise(0).alias("title_source_level"), F.coalesce("candidate", F.lit(-1)).alias("title_candidate_ordinal"), F.lit("Completed").alias("status"),
+    titled = F.col("title_ordinal") >= 0
+    return trees.select(
+        "paper_id", run_id().alias("run_id"), F.lit(RULE_VERSION).alias("rule_version"), *(f"h{n}" for n in range(1, 7)), F.size("nodes").alias("n_nodes"), "title_ordinal",
+        F.when(titled, "identified").otherwise("unresolved").alias("title_status"), "title_method", F.get("nodes", F.when(titled, F.col("title_ordinal")))["heading_raw"].alias("title_text"),
+        F.when(titled, 1).otherwise(0).alias("title_source_level"), F.col("candidate").alias("title_candidate_ordinal"), F.lit("Completed").alias("status"),
     )
 
 
-def review_tasks(nodes: DataFrame, runs: DataFrame) -> DataFrame:
+def review_tasks(trees: DataFrame) -> DataFrame:
     """Open tasks of every run, in order: unresolved nodes, then a document without structure, then the title."""
-    named = nodes.join(runs.select("paper_id", "title_candidate_ordinal"), "paper_id")
-    own = named.filter((F.col("status") == "unresolved") & (F.col("ordinal") != F.col("title_candidate_ordinal"))).select(
-        "paper_id", F.lit(0).alias("part"), F.col("ordinal").alias("section_ordinal"), F.when(F.size("candidate_roles") > 0, "multi_role_match").otherwise("zero_role_match").alias("review_reason"), "candidate_roles", "matched_keywords"
-    )
-    bare = nodes.filter("heading_level = 0").select("paper_id", F.lit(1).alias("part"), F.col("ordinal").alias("section_ordinal"), F.lit("no_structure").alias("review_reason"), empty().alias("candidate_roles"), empty().alias("matched_keywords"))
-    title = runs.filter("title_status = 'unresolved'").select("paper_id", F.lit(2).alias("part"), F.col("title_candidate_ordinal").alias("section_ordinal"), F.lit("title_ambiguity").alias("review_reason"), empty().alias("candidate_roles"), empty().alias("matched_keywords"))
-    tasks = F.array_sort(F.collect_list(F.struct("part", "section_ordinal", "review_reason", "candidate_roles", "matched_keywords")))
-    every = own.unionByName(bare).unionByName(title).groupBy("paper_id").agg(tasks.alias("tasks"))
-    return every.select("paper_id", F.posexplode("tasks").alias("task_ordinal", "t")).select(
-        F.concat_ws("@", F.col("paper_id").cast("string"), F.lit(RULE_VERSION)).alias("run_id"), "paper_id", "task_ordinal", F.concat_ws("/", F.col("paper_id").cast("string"), F.col("task_ordinal").cast("string")).alias("task_id"), "t.section_ordinal", "t.review_reason", "t.candidate_roles", "t.matched_keywords"
-    )
+
+    def task(ordinal: Column, reason: Column, candidates: Column, keywords: Column) -> Column:
+        return F.struct(ordinal.alias("section_ordinal"), reason.alias("review_reason"), candidates.alias("candidate_roles"), keywords.alias("matched_keywords"))
+
+    asked = F.filter("nodes", lambda n: (n["status"] == "unresolved") & (n["ordinal"] != F.col("candidate")))
+    own = F.transform(asked, lambda n: task(n["ordinal"], F.when(F.size(n["candidate_roles"]) > 0, "multi_role_match").otherwise("zero_role_match"), n["candidate_roles"], n["matched_keywords"]))
+    bare = F.transform(F.filter("nodes", lambda n: n["heading_level"] == 0), lambda n: task(n["ordinal"], F.lit("no_structure"), empty(), empty()))
+    title = F.filter(F.array(task(F.col("candidate"), F.lit("title_ambiguity"), empty(), empty())), lambda t: F.col("title_ordinal") < 0)
+    rows = trees.select("paper_id", F.posexplode_outer(F.concat(own, bare, title)).alias("task_ordinal", "t")).filter("t is not null")
+    return rows.select(run_id().alias("run_id"), "paper_id", "task_ordinal", F.concat_ws("/", F.col("paper_id").cast("string"), F.col("task_ordinal").cast("string")).alias("task_id"), "t.section_ordinal", "t.review_reason", "t.candidate_roles", "t.matched_keywords")
 
 
 def section_texts(nodes: DataFrame, papers: DataFrame, start: str = "start_offset", end: str = "end_offset") -> DataFrame:
@@ -260,17 +265,16 @@ def section_at(nodes: DataFrame, places: DataFrame, place: str = "start_offset")
     return places.join(starts, "paper_id", "left").withColumn("section", F.coalesce(F.get(before, F.size(before) - 1)["heading_raw"], F.lit("—"))).drop("_starts")
 
 
-def review_context(nodes: DataFrame) -> DataFrame:
+def review_context(trees: DataFrame) -> DataFrame:
     """For each node its ancestors' headings, outermost first, and the span to the end of its last descendant."""
-    fields = F.struct("ordinal", "parent_ordinal", "heading_level", "heading_raw", "start_offset", "end_offset")
-    tree = nodes.groupBy("paper_id").agg(F.array_sort(F.collect_list(fields)).alias("tree"))
-    rows = tree.select("paper_id", F.explode("tree").alias("n"), "tree")
+    rows = trees.select("paper_id", F.explode_outer("nodes").alias("n"), "nodes")
     for depth in range(3):
         before = F.col("n") if depth == 0 else F.col(f"a{depth - 1}")
-        rows = rows.withColumn(f"a{depth}", F.get("tree", F.when(before["parent_ordinal"] >= 0, before["parent_ordinal"])))
-    later = F.filter("tree", lambda t: (t["ordinal"] > F.col("n.ordinal")) & (t["heading_level"] <= F.col("n.heading_level")))
-    last = F.coalesce(F.get(later, F.lit(0))["ordinal"] - 1, F.size("tree") - 1)
-    return rows.select("paper_id", "n.ordinal", "n.heading_raw", F.filter(F.array(*(F.col(f"a{d}.heading_raw") for d in (2, 1, 0))), lambda h: h.isNotNull()).alias("ancestors"), "n.start_offset", F.get("tree", last)["end_offset"].alias("end_offset"))
+        rows = rows.withColumn(f"a{depth}", F.get("nodes", F.when(before["parent_ordinal"] >= 0, before["parent_ordinal"])))
+    later = F.filter("nodes", lambda t: (t["ordinal"] > F.col("n.ordinal")) & (t["heading_level"] <= F.col("n.heading_level")))
+    last = F.coalesce(F.get(later, F.lit(0))["ordinal"] - 1, F.size("nodes") - 1)
+    ancestors = F.filter(F.array(*(F.col(f"a{d}.heading_raw") for d in (2, 1, 0))), lambda h: h.isNotNull())
+    return rows.select("paper_id", "n.ordinal", "n.heading_raw", ancestors.alias("ancestors"), "n.start_offset", F.get("nodes", last)["end_offset"].alias("end_offset"))
 
 
 def violations(nodes: DataFrame, papers: DataFrame) -> DataFrame:
