@@ -14,17 +14,15 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.session import map_frames
+from scriptorium.llm.columns import with_text_columns
 
 #: Fixed: families of closely related languages, by ISO 639 code.
 FAMILIES = {
@@ -135,33 +133,26 @@ def learn_languages(docs: DataFrame, learn: Column, id_column: str = "doc_id", l
     share = F.coalesce(*(F.when(F.col("_lang") == c, F.lit(min(1.0, sample / n))) for c, n in counts.items()))
     drawn = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000).limit(2 * sample * len(counts))
 
-    def profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "_lang": batch["_lang"], "_profile": [profile(t).tobytes() for t in batch["_text"]]})
+    def profiled(texts: list[str | None]) -> tuple:
+        return ([profile(t).tobytes() for t in texts],)
 
-    rows = map_frames(drawn, profiled, T.StructType([drawn.schema["_id"], drawn.schema["_lang"], T.StructField("_profile", T.BinaryType())])).toPandas().sort_values(["_id", "_lang"])
+    rows = with_text_columns(drawn, "_text", profiled, (T.StructField("_profile", T.BinaryType()),), ("_text",)).toPandas().sort_values(["_id", "_lang"])
     if not len(rows):
         return None
     return Discriminator(np.frombuffer(b"".join(rows["_profile"]), np.float32).reshape(-1, BUCKETS), rows["_lang"].to_numpy())
 
 
-def identify(docs: DataFrame, model: Discriminator | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and the score as columns out; columns of these names are replaced."""
-    rest = [f for f in docs.schema.fields if f.name not in out]
-    schema = T.StructType([*rest, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
-    docs = docs.select(*(f.name for f in rest))
+def identify(docs: DataFrame, model: Discriminator | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the language and the score as columns out; columns of these names are replaced, those of drop left out."""
     if model is None:
-        return docs.select("*", F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
+        return docs.drop(*out, *drop).select("*", F.lit(UNKNOWN).alias(out[0]), F.lit(0.0).alias(out[1]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def identified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.iloc[at : at + 512]
-                x = np.stack([profile(t) for t in batch[text]])
-                names, scores = sent.value.predict(x)
-                blank = ~x.any(axis=1)
-                names[blank], scores[blank] = UNKNOWN, 0.0
-                yield batch.assign(**{out[0]: names, out[1]: scores})
-
-    return map_frames(docs, identified, schema)
+    def identified(texts: list[str | None]) -> tuple:
+        x = np.stack([profile(t) for t in texts])
+        names, scores = sent.value.predict(x)
+        blank = ~x.any(axis=1)
+        names[blank], scores[blank] = UNKNOWN, 0.0
+        return names.tolist(), scores
+
+    return with_text_columns(docs, text, identified, (T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())), drop)

@@ -45,7 +45,7 @@ ADDENDS = np.random.default_rng(6).integers(0, 1 << 63, COORDINATES, dtype=np.ui
 
 
 def word_hashes(text: str) -> np.ndarray:
-    forget_newest(_WORDS, 200_000)
+    forget_newest(_WORDS, 100_000)
     out, known = [], _WORDS
     for w in WORD.findall(text.lower()):
         h = known.get(w)

@@ -18,16 +18,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from scriptorium.llm.columns import with_text_columns
 from scriptorium.llm.gbdt import Trees, fit
-from scriptorium.session import map_frames
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -169,7 +167,7 @@ class Selector:
     trees: Trees
     thresholds: np.ndarray
 
-    def added(self, text: str, base: list[Span], proposed: list[Span], scores: np.ndarray) -> list[Span]:
+    def added(self, proposed: list[Span], scores: np.ndarray) -> list[Span]:
         chosen: list[Span] = []
         for i in np.argsort(-scores, kind="stable"):
             c = proposed[i]
@@ -202,7 +200,7 @@ def learn_selector(texts: int = 4000, seed: int = 11, precision: float = 0.995)
     return Selector(trees, thresholds)
 
 
-def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text", replace: str | None = None) -> DataFrame:
+def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text", replace: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with counts of base spans, base_sha256 and spans, or, with replace, with the spans replaced in the text.
 
     replace: a pattern for str.format, given the kind in capitals, such as `<{}>`.
@@ -210,29 +208,30 @@ def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(selector)
     names = [f"n_{k}" for k in KINDS]
     new = [*(T.StructField(n, T.LongType()) for n in names), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
-    rest = [f for f in docs.schema.fields if f.name not in {x.name for x in new}] if replace is None else docs.schema.fields
-    schema = T.StructType([*rest, *new]) if replace is None else docs.schema
-    docs = docs.select(*(f.name for f in rest))
-    joined = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.iloc[at : at + 512]
-                texts = [t or "" for t in batch[text]]
-                base = [base_spans(t) for t in texts]
-                proposed = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
-                rows = [features(t, c) for t, cs in zip(texts, proposed, strict=True) for c in cs]
-                scores = sent.value.trees.probabilities(np.array(rows)) if rows else np.zeros(0)
-                ends = np.cumsum([0, *map(len, proposed)])
-                spans = [sorted([*b, *sent.value.added(t, b, cs, scores[i:j])]) for t, b, cs, i, j in zip(texts, base, proposed, ends, ends[1:], strict=False)]
-                if replace is None:
-                    kinds = [[k for _, k, _ in b] for b in base]
-                    yield batch.assign(**{n: [ks.count(i) for ks in kinds] for i, n in enumerate(names)}, base_sha256=[hashlib.sha256(joined(b).encode()).hexdigest() for b in base], spans=[joined(s) for s in spans])
-                else:
-                    yield batch.assign(**{text: [t if not s else redacted(t, s, replace) for t, s in zip(batch[text], spans, strict=True)]})
-
-    return map_frames(docs, found, schema)
+
+    def all_spans(texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
+        base = [base_spans(t) for t in texts]
+        proposed = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
+        rows = [features(t, c) for t, cs in zip(texts, proposed, strict=True) for c in cs]
+        scores = sent.value.trees.probabilities(np.array(rows)) if rows else np.zeros(0)
+        ends = np.cumsum([0, *map(len, proposed)])
+        return base, [sorted([*b, *sent.value.added(cs, scores[i:j])]) for b, cs, i, j in zip(base, proposed, ends, ends[1:], strict=False)]
+
+    def described(texts: list[str | None]) -> tuple:
+        base, spans = all_spans([t or "" for t in texts])
+        kinds = [[k for _, k, _ in b] for b in base]
+        return *([ks.count(i) for ks in kinds] for i in range(len(KINDS))), [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(s) for s in spans]
+
+    def replaced(texts: list[str | None]) -> tuple:
+        return ([t if not s else redacted(t, s, replace) for t, s in zip(texts, all_spans([t or "" for t in texts])[1], strict=True)],)
+
+    if replace is None:
+        return with_text_columns(docs, text, described, new, drop)
+    return with_text_columns(docs, text, replaced, (docs.schema[text],), drop)
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
 def redacted(text: str, spans: list[Span], replace: str) -> str:

@@ -9,17 +9,15 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.llm.columns import with_text_columns
 from scriptorium.llm.gbdt import Trees, constant, fit
-from scriptorium.session import map_frames
 
 CLASSES = ("other", "lower", "upper", "digit", "space", "point", "symbol", "newline")
 STATISTICS = (
@@ -66,14 +64,7 @@ def statistics(text: str | None) -> list[float]:
 
 def text_statistics(docs: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
     """docs without the text, with an array of its statistics."""
-    rest = [c for c in docs.columns if c not in (text, out)]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[rest].assign(**{out: [statistics(t) for t in batch[text]]})
-
-    return map_frames(docs.select(*rest, text), computed, schema)
+    return with_text_columns(docs, text, lambda texts: ([statistics(t) for t in texts],), (T.StructField(out, T.ArrayType(T.DoubleType())),), (text,))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", label: str = "quality", text: str = "text", sample: int = 20_000) -> Trees:
@@ -92,14 +83,10 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3, text: s
 
     Columns of these names are replaced.
     """
-    rest = [c for c in docs.columns if c not in (*out, *(() if keep_text else (text,)))]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                score = sent.value.probabilities(np.array([statistics(t) for t in batch[text]]))
-                yield batch[rest].assign(**{out[0]: score, out[1]: (score >= threshold).astype(np.int32)})
+    def scored(texts: list[str | None]) -> tuple:
+        score = sent.value.probabilities(np.array([statistics(t) for t in texts]))
+        return score, (score >= threshold).astype(np.int32)
 
-    return map_frames(docs.select(*rest, *(() if keep_text else (text,))), scored, schema)
+    return with_text_columns(docs, text, scored, (T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())), () if keep_text else (text,))

@@ -141,13 +141,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of every text; the fold of remainder 2 is held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     model = learn_languages(docs, fold("doc_id", 4) != 2)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model, drop=("text",)).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: counts and digest of the base spans, and all spans."""
-    return find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"), learn_selector()).drop("text")
+    return find_personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text"), learn_selector(), drop=("text",))
 
 
 @query
