@@ -35,6 +35,7 @@ BLOCKS = (
     "| Table A2 | |¶| x | y |¶| discontinued | z |¶¶TABLE IV¶Fit of all models¶¶| m | 0.2 | 7 |¶",
     "![plot](b.png)¶¶Plain words.¶¶Figure 2¶![c](c-3.png?width=7)¶",
     "Continued¶| z | 9 |¶¶",
+    "Plain.¶¶Plain again.¶¶And more.¶¶| lone | row |¶¶",
 )
 AGREED = "## Zeta topics¶¶### Methods¶¶One.¶¶### Measures¶¶Two.¶¶"
 REFERENCES = "References¶¶Roe, A. (2001). One.¶¶Doe, B. (1999a). Two.¶¶Poe, C. 2005. Three.¶¶"
