@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import GLOSSARY
-from scriptorium.functions.text import count_pattern, literal_array, lower_simple
+from scriptorium.functions.text import count_pattern, let, literal_array, lower_simple
 
 LEAST_MARKERS, MARGIN = 4, 0.2
 
 
 def folded(term: str) -> str:
-    return term.replace("’", "'").lower()
+    return term.replace("\u2019", "'").lower()
 
 
 def term_counts(papers: DataFrame, glossary: list[tuple[str, str | None]] = GLOSSARY) -> DataFrame:
     """paper_id, size (bytes) and fired: array of (hits, term, marker), most hits first, then by term.
 
-    A plain substring test goes before the word pattern, so that the patterns run only for terms that occur.
+    A term's first word must be among the text's words, and the term a part of the text, before its pattern runs.
     """
-    names, folds, patterns, markers = (literal_array(x) for x in zip(*((t, folded(t), count_pattern(folded(t)), m or "") for t, m in glossary), strict=True))
-    text = lower_simple(F.translate(F.coalesce("markdown", F.lit("")), "’", "'"))
-    rows = papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), text.alias("_text"))
-    present = F.filter(F.sequence(F.lit(0), F.lit(len(glossary) - 1)), lambda i: F.contains(F.col("_text"), F.get(folds, i)))
-    counted = F.transform(present, lambda i: F.struct((-F.regexp_count(F.col("_text"), F.get(patterns, i))).alias("minus"), F.get(names, i).alias("term"), F.nullif(F.get(markers, i), F.lit("")).alias("marker")))
-    fired = F.transform(F.array_sort(F.filter(counted, lambda t: t["minus"] < 0)), lambda t: F.struct((-t["minus"]).alias("hits"), t["term"].alias("term"), t["marker"].alias("marker")))
-    return rows.select("paper_id", "size", fired.alias("fired"))
+    firsts = [re.match(r"\w+", folded(t))[0] for t, _ in glossary]
+    names, folds, patterns, markers, keys = (literal_array(x) for x in zip(*((t, folded(t), count_pattern(folded(t)), m or "", k) for (t, m), k in zip(glossary, firsts, strict=True)), strict=True))
+    wanted = literal_array(sorted({w for k in firsts for w in (k, k + "s")}))
+    text = lower_simple(F.replace(F.coalesce("markdown", F.lit("")), F.lit("\u2019"), F.lit("'")))
+
+    def fired(lowered: Column) -> Column:
+        return let(F.array_intersect(F.split(lowered, r"[^\p{L}\p{Nd}_]+"), wanted), lambda there: counts(lowered, there))
+
+    def counts(lowered: Column, there: Column) -> Column:
+        def may_occur(i: Column) -> Column:
+            key = F.get(keys, i)
+            return (F.array_contains(there, key) | F.array_contains(there, F.concat(key, F.lit("s")))) & F.contains(lowered, F.get(folds, i))
+
+        present = F.filter(F.sequence(F.lit(0), F.lit(len(glossary) - 1)), may_occur)
+        counted = F.transform(present, lambda i: F.struct((-F.regexp_count(lowered, F.get(patterns, i))).alias("minus"), F.get(names, i).alias("term"), F.nullif(F.get(markers, i), F.lit("")).alias("marker")))
+        return F.transform(F.array_sort(F.filter(counted, lambda t: t["minus"] < 0)), lambda t: F.struct((-t["minus"]).alias("hits"), t["term"].alias("term"), t["marker"].alias("marker")))
+
+    return papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), let(text, fired).alias("fired"))
 
 
 def methodology_terms(papers: DataFrame) -> DataFrame:

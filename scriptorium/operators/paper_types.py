@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.functions.text import between, normalise_quote, quote_found, trim_blank, word_count
+from scriptorium.functions.text import between, let, normalise_quote, quote_found, trim_blank, word_count
 
 # The contract of a verdict.
 TYPES = ("A", "B", "C", "D")
@@ -24,15 +24,22 @@ VERDICT = (
     "counter_evidence struct<quote:string,points_to:string>, boundary_case string, limits_from_selection string, rationale string, unclassified_reason string"
 )
 
+FIELDS = "primary_type subtype secondary_type decision_rule confidence evidence counter_evidence boundary_case limits_from_selection rationale unclassified_reason".split()
+
 
 def parse_verdicts(responses: DataFrame) -> DataFrame:
     """responses (raw_response) with verdict (a struct, null if it can't be read) and error (the first breach, or null)."""
     answer, tag = between(F.col("raw_response"), "<answer>", "</answer>"), trim_blank(between(F.col("raw_response"), "<verdict>", "</verdict>"))
     body = trim_blank(F.regexp_replace(F.regexp_replace(trim_blank(answer), r"\A(?:```json|```)", ""), r"```\z", ""))
-    rows = responses.withColumns({"_answer": answer, "_tag": tag}).withColumn("verdict", F.from_json(body, VERDICT + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
-    broken = F.col("verdict").isNull() | F.col("verdict._broken").isNotNull() | ~F.coalesce(F.startswith(body, F.lit("{")), F.lit(False))
-    error = F.when(answer.isNull(), "no <answer> block").when(tag.isNull(), "no <verdict> block").when(broken, "invalid JSON").when(tag != F.coalesce("verdict.primary_type", F.lit("")), "verdict tag differs from primary_type").otherwise(breach(F.col("verdict")))
-    return rows.withColumn("error", error).withColumn("verdict", F.when(F.col("error").isNull(), F.col("verdict").dropFields("_broken"))).drop("_answer", "_tag")
+
+    def judged(v: Column) -> Column:
+        broken = v.isNull() | v["_broken"].isNotNull() | ~F.coalesce(F.startswith(body, F.lit("{")), F.lit(False))
+        error = F.when(answer.isNull(), "no <answer> block").when(tag.isNull(), "no <verdict> block").when(broken, "invalid JSON").when(tag != F.coalesce(v["primary_type"], F.lit("")), "verdict tag differs from primary_type").otherwise(breach(v))
+        return F.struct(error.alias("error"), F.struct(*(v[c].alias(c) for c in FIELDS)).alias("verdict"))
+
+    parsed = F.from_json(body, VERDICT + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = responses.withColumn("_p", let(parsed, judged))
+    return rows.select(*responses.columns, F.when(F.col("_p.error").isNull(), F.col("_p.verdict")).alias("verdict"), F.col("_p.error").alias("error"))
 
 
 def breach(v: Column) -> Column:
@@ -65,10 +72,15 @@ def breach(v: Column) -> Column:
 def verify_verdicts(responses: DataFrame, papers: DataFrame) -> DataFrame:
     """Valid verdicts with quotes_expected, quotes_verified, counter_verified, empirical, all_verified and reason."""
     valid = parse_verdicts(responses).filter("error is null")
-    joined = valid.join(papers.select("paper_id", "markdown"), "paper_id").withColumn("_text", normalise_quote(F.coalesce("markdown", F.lit(""))))
-    verified = F.size(F.filter("verdict.evidence", lambda e: quote_found(F.col("_text"), e["quote"])))
     counter = F.col("verdict.counter_evidence")
-    rows = joined.withColumns({"quotes_expected": F.size("verdict.evidence"), "quotes_verified": verified, "counter_verified": F.when(counter.isNotNull(), quote_found(F.col("_text"), counter["quote"]))}).drop("markdown", "_text")
+
+    def held(text: Column) -> Column:
+        found = F.size(F.filter("verdict.evidence", lambda e: quote_found(text, e["quote"])))
+        return F.struct(found.alias("quotes_verified"), F.when(counter.isNotNull(), quote_found(text, counter["quote"])).alias("counter_verified"))
+
+    joined = valid.join(papers.select("paper_id", "markdown"), "paper_id")
+    rows = joined.withColumn("_held", let(normalise_quote(F.coalesce("markdown", F.lit(""))), held)).drop("markdown")
+    rows = rows.withColumns({"quotes_expected": F.size("verdict.evidence"), "quotes_verified": F.col("_held.quotes_verified"), "counter_verified": F.col("_held.counter_verified")}).drop("_held")
     return rows.withColumns(
         {
             "empirical": (F.col("verdict.primary_type") == "A") | (F.coalesce("verdict.secondary_type", F.lit("")) == "A"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import SCOPE
-from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, normalise_kind, sort_labels, trim_blank
+from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, let, normalise_kind, sort_labels, trim_blank
 
 RULE_VERSION = "1.0"
 STRONG = ("study", "experiment")
@@ -36,7 +36,7 @@ def unit_evidence(nodes: DataFrame, papers: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("markdown", F.lit("")), "\n"), lambda x: ~is_heading_line(x) & F.regexp_like(x, F.lit(LABELLED)))
     body = F.flatten(F.transform(lines, lambda x: F.transform(F.filter(scan(x), lambda e: e["kind"].isin(*STRONG)), lambda e: F.struct(F.lit(-1).alias("ordinal"), e["kind"].alias("kind"), e["label"].alias("label"), e["study_group"].alias("study_group"), trim_blank(x).alias("found_in")))))
     rows = rows.withColumn("_body", F.when(F.size("strong_groups") >= 2, F.array().cast(kind)).otherwise(body)).drop("markdown")
-    firsts = F.filter("_body", lambda e, i: ~F.exists(F.slice("_body", 1, i), lambda b: b["study_group"] == e["study_group"]))
+    firsts = let(F.col("_body"), lambda all_of: F.filter(all_of, lambda e, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda b: b["study_group"] == e["study_group"])))
     return rows.select("paper_id", "in_headings", firsts.alias("in_text"), "strong_groups", "weak_groups")
 
 

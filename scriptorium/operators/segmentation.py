@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import CONTENT_CLASS, KEYWORD_ROLE, UNKNOWN
-from scriptorium.functions.text import byte_offset, literal_array, normalize, parse_container, strip_identifiers, whole_word_places
+from scriptorium.functions.text import byte_offset, let, literal_array, normalize, parse_container, strip_identifiers, whole_word_places
 from scriptorium.session import ship_package
 from scriptorium.sources.markdown import detect_headings
 
@@ -39,13 +39,15 @@ def keyword_matches(semantic: Column) -> Column:
 
         return F.transform(whole_word_places(semantic, k), one)
 
-    ordered = F.array_sort(F.flatten(F.transform(keywords, spans)))
+    def matched(ordered: Column) -> Column:
+        def one(m: Column) -> Column:
+            around = F.filter(ordered, lambda o: (o["start"] <= m["start"]) & (o["minus_end"] <= m["minus_end"]) & (-o["minus_end"] - o["start"] > -m["minus_end"] - m["start"]))
+            role = F.get(roles, (F.array_position(words, m["keyword"]) - 1).cast("int"))
+            return F.struct(m["keyword"].alias("keyword"), role.alias("role"), m["start"].alias("start"), (-m["minus_end"]).alias("end"), F.get(around, F.lit(0))["keyword"].alias("suppressed_by"))
 
-    def matched(m: Column) -> Column:
-        around = F.filter(ordered, lambda o: (o["start"] <= m["start"]) & (o["minus_end"] <= m["minus_end"]) & (-o["minus_end"] - o["start"] > -m["minus_end"] - m["start"]))
-        return F.struct(m["keyword"].alias("keyword"), F.get(roles, (F.array_position(words, m["keyword"]) - 1).cast("int")).alias("role"), m["start"].alias("start"), (-m["minus_end"]).alias("end"), F.get(around, F.lit(0))["keyword"].alias("suppressed_by"))
+        return F.transform(ordered, one)
 
-    return F.transform(ordered, matched)
+    return let(F.array_sort(F.flatten(F.transform(keywords, spans))), matched)
 
 
 def classify(rows: DataFrame, semantic: str = "semantic_heading") -> DataFrame:
@@ -54,7 +56,7 @@ def classify(rows: DataFrame, semantic: str = "semantic_heading") -> DataFrame:
     exact = F.coalesce(*(F.when(s.isin(*(k for k, r in KEYWORD_ROLE.items() if r == role)), F.lit(role)) for role in dict.fromkeys(KEYWORD_ROLE.values())))
     nothing = F.coalesce(s, F.lit("")) == ""
     rows = rows.withColumn("_exact", exact)
-    rows = rows.withColumn("matches", F.when(nothing | F.col("_exact").isNotNull(), empty("array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>")).otherwise(keyword_matches(s)))
+    rows = rows.withColumn("matches", F.when(nothing | F.col("_exact").isNotNull(), empty("array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>")).otherwise(let(s, keyword_matches)))
     live = F.filter("matches", lambda m: m["suppressed_by"].isNull())
     roles = F.array_sort(F.array_distinct(F.transform(live, lambda m: m["role"])))
     words = F.array_sort(F.array_distinct(F.transform(live, lambda m: m["keyword"])))
