@@ -223,3 +223,8 @@ def word_count(s: Column) -> Column:
 def literal_array(values: Sequence[str]) -> Column:
     """An array that the optimizer folds from one literal, however many values it has. No value may hold a newline."""
     return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
+
+
+def looked_up(key: Column, table: dict[str, str]) -> Column:
+    """The value of key in a small literal table; null of any other key."""
+    return F.get(literal_array(list(table.values())), (F.array_position(literal_array(list(table)), key) - 1).cast("int"))

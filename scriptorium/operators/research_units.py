@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import SCOPE
-from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, let, normalise_kind, sort_labels, trim_blank
+from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, let, looked_up, normalise_kind, sort_labels, trim_blank
 
 RULE_VERSION = "1.0"
 STRONG = ("study", "experiment")
@@ -63,7 +63,7 @@ def study_evidence(nodes: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def scope_of(role: Column) -> Column:
-    return F.coalesce(*(F.when(role.isin(*(r for r, s in SCOPE.items() if s == name)), F.lit(name)) for name in dict.fromkeys(SCOPE.values())), F.lit("undetermined"))
+    return F.coalesce(looked_up(role, SCOPE), F.lit("undetermined"))
 
 
 def section_scope(nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import CONTENT_CLASS, KEYWORD_ROLE, UNKNOWN
-from scriptorium.functions.text import byte_offset, let, literal_array, normalize, parse_container, strip_identifiers, whole_word_places
+from scriptorium.functions.text import byte_offset, let, literal_array, looked_up, normalize, parse_container, strip_identifiers, whole_word_places
 from scriptorium.session import ship_package
 from scriptorium.sources.markdown import detect_headings
 
@@ -24,13 +24,12 @@ def empty(kind: str = STRINGS) -> Column:
 
 
 def content_class(role: Column) -> Column:
-    return F.coalesce(*(F.when(role.isin(*(r for r, c in CONTENT_CLASS.items() if c == name)), F.lit(name)) for name in dict.fromkeys(CONTENT_CLASS.values())))
+    return looked_up(role, CONTENT_CLASS)
 
 
 def keyword_matches(semantic: Column) -> Column:
     """Every whole occurrence of a keyword, in scan order: keyword, role, start, end (bytes), suppressed_by."""
-    words, roles = literal_array(list(KEYWORD_ROLE)), literal_array(list(KEYWORD_ROLE.values()))
-    keywords = F.filter(words, lambda k: F.contains(semantic, k))
+    keywords = F.filter(literal_array(list(KEYWORD_ROLE)), lambda k: F.contains(semantic, k))
 
     def spans(k: Column) -> Column:
         def one(place: Column) -> Column:
@@ -42,7 +41,7 @@ def keyword_matches(semantic: Column) -> Column:
     def matched(ordered: Column) -> Column:
         def one(m: Column) -> Column:
             around = F.filter(ordered, lambda o: (o["start"] <= m["start"]) & (o["minus_end"] <= m["minus_end"]) & (-o["minus_end"] - o["start"] > -m["minus_end"] - m["start"]))
-            role = F.get(roles, (F.array_position(words, m["keyword"]) - 1).cast("int"))
+            role = looked_up(m["keyword"], KEYWORD_ROLE)
             return F.struct(m["keyword"].alias("keyword"), role.alias("role"), m["start"].alias("start"), (-m["minus_end"]).alias("end"), F.get(around, F.lit(0))["keyword"].alias("suppressed_by"))
 
         return F.transform(ordered, one)
@@ -53,7 +52,7 @@ def keyword_matches(semantic: Column) -> Column:
 def classify(rows: DataFrame, semantic: str = "semantic_heading") -> DataFrame:
     """rows with role, content_class, status, method, candidate_roles, matched_keywords, matches."""
     s = F.col(semantic)
-    exact = F.coalesce(*(F.when(s.isin(*(k for k, r in KEYWORD_ROLE.items() if r == role)), F.lit(role)) for role in dict.fromkeys(KEYWORD_ROLE.values())))
+    exact = looked_up(s, KEYWORD_ROLE)
     nothing = F.coalesce(s, F.lit("")) == ""
     rows = rows.withColumn("_exact", exact)
     rows = rows.withColumn("matches", F.when(nothing | F.col("_exact").isNotNull(), empty("array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>")).otherwise(let(s, keyword_matches)))
