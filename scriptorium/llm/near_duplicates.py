@@ -8,8 +8,8 @@ Search: a set is embedded as `COORDINATES` minhash values, so that two sets agre
 probability of their similarity. Every run starts at a root and sends each set down the path (coordinate, value) for
 the coordinates that the node samples; sets that share a path meet in its bucket. Small buckets are compared by brute
 force on sketches; large ones recurse, sampling 1 / (similarity * coordinates) of the coordinates at each node, so that
-a similar pair is expected to stay together at one child. Runs repeat until a pair at the threshold is found with
-probability `recall`. A large bucket that kept at least half of its parent's sets holds sets that agree with each
+a similar pair is expected to stay together at one child. There are as many runs as find a pair at the threshold with
+probability `recall` even if all its buckets split down to the last of `LEVELS` levels. A large bucket that kept at least half of its parent's sets holds sets that agree with each
 other, so splitting it further gains nothing: it is compared in tiles at once, like what is still large at the last
 level.
 
@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from scriptorium.llm.caches import forget_newest
 from scriptorium.llm.components import connected_components
 from scriptorium.session import map_batches, materialise
 
-COORDINATES, LIMIT, TILE, LEVELS, EXPECTED_LEVELS = 64, 512, 512, 8, 3
+COORDINATES, LIMIT, TILE, LEVELS = 64, 512, 512, 4
 WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,15 +80,28 @@ def minhashes(own: np.ndarray) -> np.ndarray:
     return mixed(least)
 
 
-def runs_needed(similarity: float, recall: float, levels: int) -> int:
-    """Root coordinates after which a pair at the threshold shares a leaf with probability recall.
+def loss(similarity: float, runs: int, levels: int) -> float:
+    """At most how probably a pair of that similarity is not linked, if all its buckets split down to the last level.
 
-    p: that a pair in a node shares a leaf below; children are a Poisson number of mean 1 / similarity.
+    All nodes draw from the same coordinates, so it counts in how many of them the pair agrees: that many of the runs
+    start well, a node passes the pair on to that many children at most, and the sketches' test asks for that number.
     """
-    p = 1.0
-    for _ in range(levels - 1):
-        p = 1 - float(np.exp(-p))
-    return min(COORDINATES, int(np.ceil(np.log(1 - recall) / np.log(1 - similarity * p))))
+    out, chance = 0.0, 1 / (similarity * COORDINATES)
+    for agreed in range(COORDINATES + 1):
+        shared = 1.0 if agreed >= needed_agreement(similarity) else 0.0
+        for _ in range(levels - 1):
+            shared = 1 - (1 - chance * shared) ** agreed
+        missed = sum(comb(agreed, k) * comb(COORDINATES - agreed, runs - k) * (1 - shared) ** k for k in range(min(agreed, runs) + 1)) / comb(COORDINATES, runs)
+        out += comb(COORDINATES, agreed) * similarity**agreed * (1 - similarity) ** (COORDINATES - agreed) * missed
+    return out
+
+
+def runs_needed(similarity: float, recall: float, levels: int) -> int:
+    """Root coordinates after which a pair at the threshold is linked with probability recall, whatever splits."""
+    for runs in range(1, COORDINATES + 1):
+        if loss(similarity, runs, levels) <= 1 - recall:
+            return runs
+    raise ValueError(f"{COORDINATES} coordinates and {levels} levels do not reach recall {recall} at similarity {similarity}")
 
 
 def sketched(docs: DataFrame, roots: int) -> DataFrame:
@@ -273,7 +287,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFra
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id column, class_id, copy_of (the representative of equal texts) and n_links (different texts that are similar)."""
     docs = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("_text"))
-    known = materialise(sketched(docs, runs_needed(threshold, recall, EXPECTED_LEVELS)), "sketches")
+    known = materialise(sketched(docs, runs_needed(threshold, recall, LEVELS)), "sketches")
     copies = materialise(known.filter("words is not null").groupBy("words").agg(F.min("_id").alias("id"), F.max("sketch").alias("sketch"), F.max("roots").alias("roots")), "copies")
     groups = connected_components(candidate_links(copies.filter("sketch is not null").select("id", "sketch", "roots"), threshold)).toDF("id", "component")
     links = materialise(exact_links(docs, materialise(groups, "groups"), threshold), "links")

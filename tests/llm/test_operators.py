@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from scriptorium.llm import near_duplicates as paths
 from scriptorium.llm import queries
 from scriptorium.llm.bitsliced import bit_sliced_top_k
 from scriptorium.llm.bpe import BytePairCodec, RankedMerges, java_pattern, read_ranks
@@ -245,6 +246,31 @@ def test_op8_equals_brute_force(spark, sf):
     assert {r.doc_id: (r.class_id, r.n_links) for r in queries.op8_jaccard_join(spark, sf).collect()} == brute_classes(given)
 
 
+def test_pairs_at_the_threshold_are_found_below_all_splits(spark, monkeypatch):
+    """Simulated pairs that agree in each coordinate with probability 0.8, all of whose buckets split to the last level."""
+    asked = []
+
+    def stop(docs, roots):
+        asked.append(roots)
+        raise StopIteration
+
+    monkeypatch.setattr(paths, "sketched", stop)
+    with pytest.raises(StopIteration):
+        near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
+    rng = np.random.default_rng(12)
+    agree = rng.random((100_000, paths.COORDINATES)) < 0.8
+    agreed, together = agree.sum(axis=1), agree[:, : asked[0]].sum(axis=1)
+    for _ in range(paths.LEVELS - 1):
+        together = rng.binomial(together * agreed, 1 / (0.8 * paths.COORDINATES))
+    assert ((together == 0) | (agreed < paths.needed_agreement(0.8))).mean() < 2e-4
+
+
+def test_recall_that_the_coordinates_cannot_give_is_refused():
+    with pytest.raises(ValueError):
+        paths.runs_needed(0.8, 0.9999, 12)
+    assert paths.loss(0.8, paths.runs_needed(0.8, 0.9999, paths.LEVELS), paths.LEVELS) <= 1e-4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     found = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
