@@ -2,9 +2,10 @@
 
 Each stage takes all documents that its predecessor kept; all but the last return the columns of documents. Documents
 without a letter are rejected by the first stage, those scored below the threshold by the second; of each group of
-near duplicates the one with the smallest id stays (rows of one id are one document); personal data is replaced by its
-kind in the text, and n_chars follows; the last stage packs token sequences. Null texts are rejected by the first
-stage. An empty table goes through and gives an empty result.
+near duplicates the row with the smallest id stays, a null id only where there is no other (rows are told apart by a key
+of their own, so different texts under one id or under null ids all stay); personal data is replaced by its kind in the
+text, and n_chars follows; the last stage packs token sequences. Null texts are rejected by the first stage. An empty
+table goes through and gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from scriptorium.session import materialise, read_table
 
 #: Names that no table of documents has.
 JUDGED = ("_judged", "_judged_score")
+ROW = "_row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near duplicates."""
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows, id_column=ROW).select(ROW, "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
+    kept = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("class_id").agg(first.alias(ROW)).select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

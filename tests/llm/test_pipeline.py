@@ -51,6 +51,13 @@ def test_odd_rows_and_clashing_columns(spark, sf, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark, sf):
+    one, two, three = ("some words of a text " * 3, "quite another text of more words", "a third text that nobody else has")
+    given = [(None, one), (None, two), (None, two), (7, three), (7, "the same id but other words in it"), (9, one), (8, one), (3, "alone"), (3, "alone")]
+    found = corpus_pipeline.one_of_each(spark, spark.createDataFrame(given, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, found), key=str) == sorted({(8, one), (None, two), (7, three), (7, given[4][1]), (3, "alone")}, key=str)
+
+
 def test_empty_table(spark, sf):
     docs = read_table(spark, sf, "documents").filter("false")
     for _, stage in corpus_pipeline.STAGES:
