@@ -75,11 +75,36 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def written_root(spark: SparkSession) -> str:
+    """The folder of all that this application writes on the way."""
+    return f"{shared_dir(spark)}/scriptorium/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read of files, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read of files, not a recomputation. What nothing reads any more is
+    deleted by `discard`, the rest by `clean_up`.
     """
-    path = f"{shared_dir(df.sparkSession)}/scriptorium/{label}-{uuid.uuid4().hex}"
+    path = f"{written_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scriptorium_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `materialise` wrote for these tables; nothing may read them afterwards."""
+    for df in tables:
+        _delete(df.sparkSession, df._scriptorium_path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application wrote on the way, once its results are stored."""
+    _delete(spark, written_root(spark))
