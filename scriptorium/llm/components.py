@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialise
+from scriptorium.session import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns vertex, component for every vertex that has an edge to another one.
 
     Alternates large-star and small-star steps until nothing changes; each round is written to the shared folder. A
-    star step links a vertex's neighbours to its smallest neighbour, so paths halve from round to round and a hub's
-    edges are summed by partial aggregation, never gathered in one row.
+    star step links a vertex's neighbours to its smallest neighbour, so paths halve from round to round. A hub's edges
+    are summed by partial aggregation, and the minima are written before they are joined to the edges: both sides of
+    the join then have an exchange of their own, whose large partitions adaptive execution splits.
     """
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    ends = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialise(edges.filter("a <> b").select(*ends).distinct(), "edges")
     before = None
     while True:
         # large star: for each vertex, its larger neighbours go to the smallest of its neighbours and itself
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        small = large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        small = materialise(small.distinct(), "star")
         # small star: for each vertex, its smaller neighbours and itself go to the smallest of them
-        small = large.distinct().filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        lowest = small.groupBy("u").agg(F.min("v").alias("m"))
-        linked = small.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = materialise(linked.filter("a <> b").distinct(), "edges")
+        lowest = materialise(small.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        linked = small.join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        linked = linked.union(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        old, now = now, materialise(linked.filter("a <> b").distinct(), "edges")
+        discard(old, least, small, lowest)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
-    return now.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("component")).union(now.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct())
+    roots = now.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
+    return now.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("component")).union(roots)

@@ -246,28 +246,80 @@ def test_op8_equals_brute_force(spark, sf):
     assert {r.doc_id: (r.class_id, r.n_links) for r in queries.op8_jaccard_join(spark, sf).collect()} == brute_classes(given)
 
 
-def test_pairs_at_the_threshold_are_found_below_all_splits(spark, monkeypatch):
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Brute force on row keys: ids are attributes that may be null or name several texts."""
+    one, near = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz"
+    given = [(None, one), (None, "other words that nobody has"), (None, None), (1, near), (1, "what else is under this id"), (2, one), (2, one), (None, "")]
+    df = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(given)], "doc_id long, text string, key long, class_id int")
+    found = {r.key: (r.doc_id, r.class_id, r.copy_of, r.n_links, r.class_row) for r in near_duplicates(df, row_key="key").collect()}
+    assert found == {
+        0: (None, 1, 2, 1, 0), 1: (None, None, None, 0, 1), 2: (None, None, None, 0, 2), 3: (1, 1, 1, 1, 0), 4: (1, 1, 1, 0, 4),
+        5: (2, 1, 2, 1, 0), 6: (2, 1, 2, 1, 0), 7: (None, None, None, 0, 7),
+    }
+    assert sorted(r.n_links for r in near_duplicates(df).collect()) == [0, 0, 0, 0, 1, 1, 1, 1]
+
+
+def test_large_buckets_and_groups(spark, monkeypatch):
+    """Small limits, so that buckets split down to the last level, blocks meet in pairs, and batches repeat."""
+    monkeypatch.setattr(paths, "LIMIT", 8)
+    monkeypatch.setattr(paths, "BLOCK", 16)
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(60)]
+    given, core = {}, [word() for _ in range(100)]
+    for i in range(160):
+        own = [*shared, *(word() for _ in range(60))] if i % 2 else list(core)
+        for _ in range(i % 7):
+            own[rng.randrange(len(own))] = word()
+        given[i] = " ".join(own)
+    df = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    wanted = brute_classes(given)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(df).collect()} == wanted
+    missed = iter([0.5, 0.0])
+    monkeypatch.setattr(paths, "missing_links", lambda *a: next(missed))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(df).collect()} == wanted
+    monkeypatch.setattr(paths, "missing_links", lambda *a: 1.0)
+    monkeypatch.setattr(paths, "MOST_BATCHES", 1)
+    with pytest.raises(RuntimeError):
+        near_duplicates(df)
+
+
+def test_sampled_sets_are_compared_exactly():
+    rng = random.Random(5)
+    given = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    sample = paths.ExactSample(given[:40], 0.5)
+    sets = {paths.words_digest(t, word_hashes(t)): set(shingles(word_hashes(t)).tolist()) for t in given if t}
+    for t in given:
+        if t:
+            own = sets[paths.words_digest(t, word_hashes(t))]
+            wanted = [i for i, d in enumerate(sample.digests) if sets[d] != own and len(sets[d] & own) >= 0.5 * len(sets[d] | own)]
+            assert (sample.linked(paths.words_digest(t, word_hashes(t)), shingles(word_hashes(t))) or []) == wanted
+
+
+def test_measured_recall(spark):
+    texts = ["a b c d e f", "a b c d e f g", "other words are in here"]
+    sample = paths.ExactSample(texts[:1], 0.3)
+    digest = [bytearray(paths.words_digest(t, word_hashes(t))) for t in texts]
+    known = spark.createDataFrame([(digest[0], None), (digest[1], [0]), (digest[2], None)], "words binary, near array<int>")
+    copies = spark.createDataFrame([(d, i) for i, d in enumerate(digest)], "words binary, id long")
+    for groups, missing in (([], 1.0), ([(0, 0), (1, 0)], 0.0), ([(0, 0), (1, 1)], 1.0)):
+        assert paths.missing_links(known, copies, spark.createDataFrame(groups, "id long, component long"), sample) == missing
+
+
+def test_pairs_at_the_threshold_are_found_below_all_splits():
     """Simulated pairs that agree in each coordinate with probability 0.8, all of whose buckets split to the last level."""
-    asked = []
-
-    def stop(docs, roots):
-        asked.append(roots)
-        raise StopIteration
-
-    monkeypatch.setattr(paths, "sketched", stop)
-    with pytest.raises(StopIteration):
-        near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
+    runs, steps = paths.runs_needed(0.8, 0.9999, paths.LEVELS), paths.first_steps(0.8)
     rng = np.random.default_rng(12)
     agree = rng.random((100_000, paths.COORDINATES)) < 0.8
-    agreed, together = agree.sum(axis=1), agree[:, : asked[0]].sum(axis=1)
+    agreed, together = agree.sum(axis=1), agree[:, : runs * steps].reshape(-1, runs, steps).all(axis=2).sum(axis=1)
     for _ in range(paths.LEVELS - 1):
-        together = rng.binomial(together * agreed, 1 / (0.8 * paths.COORDINATES))
+        together = rng.binomial(together * agreed, paths.BRANCHING / (0.8 * paths.COORDINATES))
     assert ((together == 0) | (agreed < paths.needed_agreement(0.8))).mean() < 2e-4
 
 
 def test_recall_that_the_coordinates_cannot_give_is_refused():
     with pytest.raises(ValueError):
-        paths.runs_needed(0.8, 0.9999, 12)
+        paths.runs_needed(0.2, 0.9999, paths.LEVELS)
     assert paths.loss(0.8, paths.runs_needed(0.8, 0.9999, paths.LEVELS), paths.LEVELS) <= 1e-4
 
 
