@@ -44,9 +44,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates."""
     rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    classes = near_duplicates(rows, id_column=ROW).select(ROW, "class_id")
+    classes = near_duplicates(rows, row_key=ROW).select(ROW, "class_row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW]
-    kept = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("class_id").agg(first.alias(ROW)).select(ROW)
+    kept = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("class_row").agg(first.alias(ROW)).select(ROW)
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
