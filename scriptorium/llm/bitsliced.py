@@ -7,7 +7,9 @@ most significant slice downward. What the dropped low bits can add is bounded, s
 bound of the k-th may belong to the answer: those boundary rows are scored exactly. The answer is exact.
 
 Null vectors and vectors with null or non-finite components take no part. Rows of the query's own id are no candidates.
-Fewer rows than k give all of them; an empty table gives none. Ties go to the smaller id.
+Repeated ids, vectors of several lengths and empty tables: see `blocks`. Fewer rows than k give all of them. Ties go to
+the smaller id. Components and scores beyond 64 bits count as the nearest 64-bit number; where a score could pass
+them, a block is scored in whole numbers of any size. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,11 +29,20 @@ def _bitmaps(values: np.ndarray, bits: int) -> list[list[np.ndarray]]:
     return [list(np.stack([np.packbits((a >> b) & 1, bitorder="little").view(np.uint64) for b in range(bits)])) for a in padded]
 
 
+#: From this size of a component on, sums of slices could pass 64 bits.
+LARGE = 1 << 31
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
 class SliceIndex:
-    def __init__(self, vectors: np.ndarray, keep_bits: int = 6):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep_bits: int = 6):
+        self.ids, self.order, self.vectors = ids, np.argsort(ids, kind="stable"), vectors
+        self.widest = max(int(vectors.max()), -int(vectors.min()))
+        if self.widest >= LARGE:
+            return
         low, high = vectors.min(axis=0), vectors.max(axis=0)
         widest = int((high - low).max()).bit_length()
-        self.vectors, self.shift, self.bits = vectors, max(0, widest - keep_bits), max(1, min(widest, keep_bits))
+        self.shift, self.bits = max(0, widest - keep_bits), max(1, min(widest, keep_bits))
         self.rising = _bitmaps((vectors - low) >> self.shift, self.bits)
         self.falling = _bitmaps((high - vectors) >> self.shift, self.bits)
         all_rows = np.zeros(-(-len(vectors) // 64) * 64, np.uint8)
@@ -106,20 +117,26 @@ class SliceIndex:
             rows = self.at_least(total, rows, max(0, self.kth(total, rows, k) - slack))
         return np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little"))
 
-
-def bit_sliced_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    def best(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and exact scores of the k best rows of other ids."""
+        first, last = (np.searchsorted(self.ids, query_id, side, sorter=self.order) for side in ("left", "right"))
+        own = self.order[first:last]
+        heaviest = max(int(weights.max()), -int(weights.min()))
+        if self.widest >= LARGE or heaviest >= LARGE or self.widest * heaviest * len(weights) >= 1 << 62:
+            places = np.setdiff1d(np.arange(len(self.ids)), own)
+            exact = [sum(a * b for a, b in zip(row, weights.tolist(), strict=True)) for row in self.vectors[places].tolist()]
+            ranked = sorted(range(len(places)), key=lambda i: (-exact[i], self.ids[places[i]]))[:k]
+            return places[ranked], np.array([min(max(exact[i], LEAST), MOST) for i in ranked], np.int64)
+        places = self.candidates(weights, own, k)
+        scores = self.vectors[places] @ weights
+        first = top(self.ids[places], scores, k)
+        return places[first], scores[first]
+
+
+def bit_sliced_top_k(
+    vectors: DataFrame, is_query: Column, k: int, scale: int = 256, id_column: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
     """The k best rows for each query by the inner product of floor(scale * component)."""
-    whole = vectors.filter(usable(F.col(vector))).select(F.col(id_column).alias("_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("_v"))
-
-    def answer(ids, values, query_ids, queries):
-        index, order = SliceIndex(values), np.argsort(ids, kind="stable")
-        out = []
-        for q, weights in zip(query_ids, queries, strict=True):
-            own = order[np.searchsorted(ids, q, "left", sorter=order) : np.searchsorted(ids, q, "right", sorter=order)]
-            near = index.candidates(weights, own, k)
-            scores = values[near] @ weights
-            first = top(ids[near], scores, k)
-            out.append((np.full(len(first), q), ids[near][first], scores[first]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return search(whole, is_query, k, answer, "long")
+    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    usable_rows = vectors.filter(usable(F.col(vector)))
+    return search(usable_rows.select(F.col(id_column).alias("_id"), whole.alias("_v")), is_query, k, SliceIndex, "long")
