@@ -9,8 +9,9 @@ likelier one stays).
 The trees learn from a synthetic corpus that is made here from a seed: planted data in many formats and look-alikes
 (dates, sums, versions, serial numbers, measurements, hex digests), in invented words.
 
-Null and empty texts have no spans. Whole texts are searched, in linear time for long runs of digits or letters.
-Repeated rows get the same spans. Offsets are code points, ends exclusive.
+Null and empty texts have no spans, an empty table gives no rows. Whole texts are searched; the time grows with the
+text and its candidates, for overlaps are looked up in sorted spans. Repeated rows get the same spans. Columns whose
+names clash with the new ones are replaced. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,16 +71,30 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+HEX = "[0-9A-Fa-f]{1,4}"
+NAME, LABEL = r"(?<![\w.%+-])[\w.%+-]{1,64}", "[A-Za-z0-9-]{1,63}"
 #: Generators of candidates: kind, what a text must contain for them to run, pattern. A match may start anywhere a run
 #: of its own characters starts, so no run is searched twice.
 GENERATORS = (
-    (0, ("(at)", "[at]", "{at}", "(AT)", "[AT]"), re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?[(\[{](?:at|AT)[)\]}]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[(\[{](?:dot|DOT)[)\]}])\s?[A-Za-z0-9-]{1,63}){1,4}")),
-    (0, (" dot ", " DOT "), re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}){1,4}")),
-    (0, ("@",), re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?@\s?[A-Za-z0-9-]{1,63}(?:\s?\.\s?[A-Za-z0-9-]{1,63}){1,4}")),
-    (1, (":",), re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    (
+        0, ("(at)", "[at]", "{at}", "(AT)", "[AT]"),
+        re.compile(rf"{NAME}\s?[(\[{{](?:at|AT)[)\]}}]\s?{LABEL}(?:\s?(?:\.|[(\[{{](?:dot|DOT)[)\]}}])\s?{LABEL}){{1,4}}"),
+    ),
+    (0, (" dot ", " DOT "), re.compile(rf"{NAME} (?:at|AT) {LABEL}(?: (?:dot|DOT) {LABEL}){{1,4}}")),
+    (0, ("@",), re.compile(rf"{NAME}\s?@\s?{LABEL}(?:\s?\.\s?{LABEL}){{1,4}}")),
+    (1, (":",), re.compile(rf"(?<![0-9A-Fa-f:])(?:{HEX}:){{3,7}}:?{HEX}(?![0-9A-Fa-f:])")),
+    (1, ("::",), re.compile(rf"(?<![0-9A-Za-z:]){HEX}(?::{HEX}){{0,6}}::(?:{HEX}(?::{HEX}){{0,6}})?(?![0-9A-Za-z:])")),
+    (1, ("::",), re.compile(rf"(?<![0-9A-Za-z:])::{HEX}(?::{HEX}){{0,6}}(?![0-9A-Za-z:])")),
     (2, (), re.compile(r"(?<![0-9A-Za-z])[0-9]{3,6}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9A-Za-z])")),
-    (3, (), re.compile(r"(?<![0-9A-Za-z.,+])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}(?:[ .-]{1,2}[0-9]{2,5}){0,3}(?![0-9A-Za-z])")),
-)
+    (
+        3, (),
+        re.compile(
+            r"(?<![0-9A-Za-z.,+])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}"
+            r"(?:[ .-]{1,2}[0-9]{2,5}){0,3}(?![0-9A-Za-z])"
+        ),
+    ),
+    (3, (), re.compile(r"(?<![0-9A-Za-z.,+/#:-])[0-9]{9,11}(?![0-9A-Za-z])")),
+)
 
 WORDS_NEAR = (
     ("call", "phone", "tel", "fax", "mobile", "cell", "dial", "sms", "whatsapp"),
@@ -88,6 +105,30 @@ WORDS_NEAR = (
 )
 
 
+class Taken:
+    """Disjoint stretches of a text, in order; spans that overlap are one stretch."""
+
+    def __init__(self, spans: Sequence[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, span: Span) -> bool:
+        i = bisect_right(self.ends, span[0])
+        return i < len(self.starts) and self.starts[i] < span[2]
+
+    def add(self, span: Span) -> None:
+        """A span that meets none."""
+        i = bisect_left(self.starts, span[0])
+        self.starts.insert(i, span[0])
+        self.ends.insert(i, span[2])
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Spans that the generators propose and no base span overlaps; they may overlap each other."""
     found = set()
@@ -95,7 +136,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     for kind, needed, pattern in GENERATORS:
         if any(n in text for n in needed) if needed else digits:
             found.update((m.start(), kind, m.end()) for m in pattern.finditer(text))
-    return [c for c in sorted(found) if not any(c[0] < b[2] and b[0] < c[2] for b in base)] if base else sorted(found)
+    taken = Taken(base)
+    return [c for c in sorted(found) if not taken.meets(c)] if base else sorted(found)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -110,7 +152,7 @@ def features(text: str, span: Span) -> list[float]:
     return [
         kind, len(own), len(digits), len(groups), max(lengths), min(lengths), lengths[0], lengths[-1],
         float(len(digits) >= 12 and luhn(digits)) if digits else 0.0, sum(map(str.isalpha, own)), own.count("."), own.count("-"), own.count(" "), own.count("/"), own.count(":"),
-        float("(" in own), float("@" in own), float("at" in own.lower()), float(own[:1] == "0"), float(own[:2] == "00"), float(own[:1] == "("),
+        own.count("::"), len(own.split(":")), float(any(map(str.isdigit, own)) and any(map(str.isalpha, own))), float("(" in own), float("@" in own), float("at" in own.lower()), float(own[:1] == "0"), float(own[:2] == "00"), float(own[:1] == "("),
         float(len(groups) > 0 and lengths[0] == 4 and groups[0][:2] in ("19", "20")), float(len(groups) == 3 and max(map(int, (g[-4:] for g in groups[:2]))) <= 31),
         float(len(groups) > 1 and len(set(lengths)) == 1), float(first.isspace() or not first), float(last.isspace() or not last), float(first in "$€£#"), float(last in "%€$"),
         *(float(any(w in near for w in words)) for words in WORDS_NEAR), *(float(any(w in before for w in words)) for words in WORDS_NEAR), float(any(w in after for w in ("kg", "km", "cm", "mb", "eur", "usd", "am", "pm"))),
@@ -124,6 +166,7 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     sep = rng.choice(" -.")
     some = lambda *xs: rng.choice(xs)
+    groups = lambda n: [f"{rng.randrange(1, 65536):x}" for _ in range(n)]
 
     def card(between: str) -> str:
         body = some("4", "5") + d(14)
@@ -135,9 +178,9 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
         name, host, tld = f"{word()}{some('', '.', '_')}{word()}", word(), some("com", "org", "net", "example", "de", "fr")
         return kind, *(
             (some("mail ", "contact ", "write to ", ""), some(f"{name} (at) {host} (dot) {tld}", f"{name}[at]{host}.{tld}", f"{name} at {host} dot {tld}", f"{name} @ {host}.{tld}", f"{name}(at){host}.{tld}")),
-            (some("server ", "host ", "ip ", ""), ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8))),
+            (some("server ", "host ", "ip ", ""), some(":".join(groups(8)), ":".join(groups(8)), f"{':'.join(groups(rng.randint(2, 4)))}::{':'.join(groups(rng.randint(1, 3)))}", f"fe80::{':'.join(groups(rng.randint(1, 4)))}", f"2001:db8::{groups(1)[0]}", f"{':'.join(groups(4))}::")),
             (some("card ", "visa ", "pay with ", ""), card(some(".", "/", "  ", "_"))),
-            (some("call ", "tel ", "phone: ", "fax ", "mobile "), some(f"({d(3)}) {d(3)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}", f"0{d(3)}{some(' ', '/', '-')}{d(7)[:4]}{sep}{d(3)}", f"0049 {d(3)} {d(4)} {d(3)}", f"0{d(2)} {d(4)} {d(4)}")),
+            (some("call ", "tel ", "phone: ", "fax ", "mobile "), some(f"({d(3)}) {d(3)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}", f"0{d(3)}{some(' ', '/', '-')}{d(7)[:4]}{sep}{d(3)}", f"0049 {d(3)} {d(4)} {d(3)}", f"0{d(2)} {d(4)} {d(4)}", f"{some('2', '5', '7')}{d(9)}", f"0{d(rng.randint(8, 10))}")),
         )[kind]
 
     def look_alike() -> str:
@@ -145,6 +188,8 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
             f"{some('order', 'invoice', 'ref', 'serial', 'id', 'model')} {d(rng.randint(3, 6))}{some('-', '.', '/', ' ')}{d(rng.randint(3, 5))}{some('-', '.', '/')}{d(rng.randint(3, 5))}", f"{some('on', 'date', 'since')} {some('19', '20')}{d(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{d(2)}",
             f"version {d(1)}.{d(2)}.{d(3)}", f"{d(3)} {d(3)} {d(3)} {some('eur', 'usd', 'kg', 'km')}", f"{d(2)}:{d(2)}:{d(2)}", f"isbn 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{word()} at {word()} on dot {word()}", f"{d(3)}.{d(3)}.{d(3)}", f"pages {d(3)}-{d(3)}", f"{d(8)}-{d(4)}", f"{d(3)}-{d(4)}",
             f"{d(4)} {d(4)} {d(4)}", f"at (at) {word()}", f"{rng.getrandbits(48):x}:{rng.getrandbits(8):x}", f"{d(4)} {d(3)} {d(4)}", f"{d(2)} {d(3)}", f"{d(3)} {d(4)} {d(3)} {d(3)}",
+            f"{some('order', 'invoice', 'ref', 'serial', 'id', 'isbn', 'page', 'model', 'total')} {d(rng.randint(9, 11))}", f"{d(rng.randint(9, 11))} {some('eur', 'usd', 'kg', 'mb')}", d(rng.randint(9, 11)),
+            f"{some('add', 'dead', 'face', 'a', 'bad')}::{some('beef', 'cafe', 'b', 'c')}", f"{word()}::{some('add', 'b', 'f')}", f"{rng.randint(1, 23)}::{d(2)}", f"::{some('add', 'c')}",
         )
 
     parts, spans, at = [], [], 0
@@ -168,10 +213,12 @@ class Selector:
     thresholds: np.ndarray
 
     def added(self, proposed: list[Span], scores: np.ndarray) -> list[Span]:
-        chosen: list[Span] = []
+        """The likeliest spans first, none that overlaps one chosen before."""
+        chosen, taken = [], Taken()
         for i in np.argsort(-scores, kind="stable"):
             c = proposed[i]
-            if scores[i] >= self.thresholds[c[1]] and not any(c[0] < o[2] and o[0] < c[2] for o in chosen):
+            if scores[i] >= self.thresholds[c[1]] and not taken.meets(c):
+                taken.add(c)
                 chosen.append(c)
         return chosen
 
@@ -201,13 +248,13 @@ def learn_selector(texts: int = 4000, seed: int = 11, precision: float = 0.995)
 
 
 def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text", replace: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with counts of base spans, base_sha256 and spans, or, with replace, with the spans replaced in the text.
+    """docs with counts of base spans, base_sha256, spans and n_spans, or, with replace, with the spans replaced in the text.
 
     replace: a pattern for str.format, given the kind in capitals, such as `<{}>`.
     """
     sent = docs.sparkSession.sparkContext.broadcast(selector)
-    names = [f"n_{k}" for k in KINDS]
-    new = [*(T.StructField(n, T.LongType()) for n in names), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    counts = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
+    new = [*counts, *(T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")), T.StructField("n_spans", T.LongType())]
 
     def all_spans(texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
         base = [base_spans(t) for t in texts]
@@ -220,7 +267,7 @@ def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text",
     def described(texts: list[str | None]) -> tuple:
         base, spans = all_spans([t or "" for t in texts])
         kinds = [[k for _, k, _ in b] for b in base]
-        return *([ks.count(i) for ks in kinds] for i in range(len(KINDS))), [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(s) for s in spans]
+        return *([ks.count(i) for ks in kinds] for i in range(len(KINDS))), [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(s) for s in spans], list(map(len, spans))
 
     def replaced(texts: list[str | None]) -> tuple:
         return ([t if not s else redacted(t, s, replace) for t, s in zip(texts, all_spans([t or "" for t in texts])[1], strict=True)],)
