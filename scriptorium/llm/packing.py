@@ -3,11 +3,15 @@
 Best fit decides by length alone, so the packing runs on the histogram of lengths (at most `capacity` entries) with a
 segment tree over remaining capacities. Items of one length are placed in runs: the tightest bins that fit, each
 filled with as many as it holds, exactly as one item after another would go. The plan that comes back says for each
-length which ranks go to which bins; items find their place by their rank within their length. Ranks are dealt by
-(length, bucket), so a length that a third of all pieces share is no hot key.
+length which ranks go to which bins; items find their place by their rank within their length. A length that many
+pieces share is dealt to as many buckets as hold about `bucket_rows` pieces each, so it is no hot key.
+
+To the driver come the histogram (at most `capacity` rows) and the buckets' sizes (at most MOST_BUCKETS more). The plan
+has few more runs than lengths, however large the corpus; both go out as broadcasts only up to BROADCAST_ROWS rows.
 
 Only documents longer than the capacity are cut; an empty or null text is its end token alone. Repeated rows are
-packed as often as they come. An empty table gives no rows.
+packed as often as they come, whatever their id. Columns beside id and text are not looked at. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -31,9 +36,11 @@ from scriptorium.session import map_batches, materialise
 #: What the tokenizer's own normalizer takes as white space; str.split() also takes U+001C to U+001F.
 SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-NAMES = ("doc_id", "piece", "start", "length", "ids_crc32")
-KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+#: _salt numbers a task's pieces; it deals pieces of one length to buckets, even if all ids are the same.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _salt long"
+NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "_salt")
+KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+BUCKET_ROWS, MOST_BUCKETS, BROADCAST_ROWS = 20_000, 100_000, 1_000_000
 
 
 class WordTokenizer:
@@ -42,7 +49,8 @@ class WordTokenizer:
     Nothing is merged across white space, nor across the splits of the tokenizer's own pattern. So each word between
     white space is encoded once from its pieces, each piece is merged once by the tokenizer's model, and both are kept
     in caches of at most about `cache_words` entries. Words with letters beyond Latin go to the whole tokenizer,
-    whose normalizer composes and lower-cases them.
+    whose normalizer composes and lower-cases them. The file's added tokens are found in the raw text before all else,
+    as the library finds them, and stand for themselves.
     """
 
     #: The pattern that the tokenizer file names.
@@ -60,12 +68,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError(f"{self.path} has added tokens that are not found as they stand")
+        self.added = {t.content: self._bytes([i]) for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.apart = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if added else lambda text: [text]
         self.model, self.split = self.tokenizer.model, regex.compile(self.PATTERN).findall
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
+    def _words(self, text: str) -> list[str]:
+        """The words between white space, and the added tokens."""
+        out = []
+        for i, part in enumerate(self.apart(text)):
+            if i % 2:
+                out.append(part)
+            else:
+                out += [w for w in SPACES.split(part) if w] if SEPARATORS.search(part) else part.split()
+        return out
+
     def _word(self, word: str) -> bytes:
+        if word in self.added:
+            return self.added[word]
         if not word.isascii() and max(word) >= "\u0250":
             return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
         known, out = self.pieces, []
@@ -85,7 +110,7 @@ class WordTokenizer:
             self._load()
         cache = self.cache
         for text in texts:
-            words = [] if not text else [w for w in SPACES.split(text) if w] if SEPARATORS.search(text) else text.split()
+            words = self._words(text) if text else []
             forget_newest(cache, self.cache_words)
             forget_newest(self.pieces, self.cache_words)
             for w in set(words).difference(cache):
@@ -102,11 +127,12 @@ def shared_tokenizer(path: str, cache_words: int) -> WordTokenizer:
 
 
 def tokenized_pieces(docs: DataFrame, tokenize: Callable[[Iterable[str | None]], Iterator[bytes]], end_id: int, capacity: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length and the CRC-32 of their ids."""
+    """Pieces of every document: doc_id, piece, start, length, the CRC-32 of their ids, and _salt."""
     end = end_id.to_bytes(4, "little")
     step = capacity * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = count()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -115,7 +141,7 @@ def tokenized_pieces(docs: DataFrame, tokenize: Callable[[Iterable[str | None]],
                     ids += end
                     for piece, first in enumerate(range(0, len(ids), step)):
                         own = ids[first : first + step]
-                        rows.append((doc, piece, first // 4, len(own) // 4, zlib.crc32(own)))
+                        rows.append((doc, piece, first // 4, len(own) // 4, zlib.crc32(own), next(salts)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
     return map_batches(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")), cut, PIECES)
@@ -182,31 +208,48 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int, buckets: int = 64) -> DataFrame:
+def sent(rows: list, kind: T.StructType | str, spark: SparkSession) -> DataFrame:
+    """Rows of the driver as a table, broadcast if they are few."""
+    df = spark.createDataFrame(rows, kind)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
+def pack(pieces: DataFrame, capacity: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """pieces (materialised; columns as in PIECES) with sequence_id and offset."""
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    # at most capacity * buckets rows, whatever the corpus
-    counts = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    histogram, firsts = defaultdict(int), []
-    for r in sorted(counts, key=lambda r: (r["length"], r["_bucket"])):
-        firsts.append((r["length"], r["_bucket"], histogram[r["length"]]))
-        histogram[r["length"]] += r["n"]
-    plan = best_fit_plan(histogram, capacity)
-    by_length = defaultdict(list)
-    for length, rank, items, first, fill, offset in plan:
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    each = max(bucket_rows, -(-sum(histogram.values()) // MOST_BUCKETS))
+    parts = {length: -(-n // each) for length, n in histogram.items() if n > each}
+    # the number of buckets by length, as a literal array of capacity + 1 entries
+    many = F.split(F.lit(",".join(str(parts.get(n, 1)) for n in range(capacity + 1))), ",").cast("array<int>")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "_salt"), F.get(many, F.col("length").cast("int")))
+    dealt = pieces.withColumn("_bucket", bucket.cast("int"))
+    firsts = [(length, 0, 0) for length in histogram if length not in parts]
+    if parts:
+        before = defaultdict(int)
+        counts = dealt.filter(F.col("length").isin(*parts)).groupBy("length", "_bucket").count().collect()
+        for length, bucket, n in sorted(map(tuple, counts)):
+            firsts.append((length, bucket, before[length]))
+            before[length] += n
+    by_length, runs = defaultdict(list), 0
+    for length, rank, items, first, fill, offset in best_fit_plan(histogram, capacity):
         by_length[length].append((rank, items, first, fill, offset))
+        runs += 1
     kind = T.StructType.fromDDL("length long, runs array<struct<rank:long,items:long,first:long,fill:long,offset:long>>")
-    runs = spark.createDataFrame(sorted(by_length.items()), kind)
-    starts = spark.createDataFrame(firsts, "length long, _bucket int, _before long")
-    local = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("_local", local).join(F.broadcast(starts), ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-    # both small tables are bounded by the capacity: lengths, buckets and runs, never by the number of documents
+    starts = sent(firsts, "length long, _bucket int, _before long", spark)
+    planned = spark.createDataFrame(sorted(by_length.items()), kind)
+    planned = F.broadcast(planned) if runs <= BROADCAST_ROWS else planned
+    local = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "_salt")) - 1
+    ranked = dealt.withColumn("_local", local).join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_local"))
     found = F.filter("runs", lambda r: (r["rank"] <= F.col("_rank")) & (F.col("_rank") < r["rank"] + r["items"]))[0]
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("_run", found)
+    placed = ranked.join(planned, "length").withColumn("_run", found)
     within = F.col("_rank") - F.col("_run.rank")
-    own = [c for c in pieces.columns]
-    return placed.select(*own, (F.col("_run.first") + F.floor(within / F.col("_run.fill"))).cast("long").alias("sequence_id"), (F.col("_run.offset") + within % F.col("_run.fill") * F.col("length")).cast("long").alias("offset"))
+    own = [c for c in pieces.columns if c != "_salt"]
+    return placed.select(
+        *own,
+        (F.col("_run.first") + F.floor(within / F.col("_run.fill"))).cast("long").alias("sequence_id"),
+        (F.col("_run.offset") + within % F.col("_run.fill") * F.col("length")).cast("long").alias("offset"),
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096, id_column: str = "doc_id", text: str = "text") -> DataFrame:
