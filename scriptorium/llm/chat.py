@@ -3,13 +3,16 @@
 A log holds events of conversations: `message` (a whole text), `start` (opens an empty message), `delta` (appends),
 `edit` (replaces the text), `regenerate` (drops the text so far; deltas build it anew). Events name their message;
 within it they apply in the order of seq. The fold of a message is the text of its last resetting event and of the
-deltas after it, so it needs no accumulator that grows with every step.
+deltas after it, so it needs no accumulator that grows with every step. Events that name no message are messages of
+their own, each as it stands; repeated rows are repeated messages.
 
-Messages stand in the order of the first seq of their events. A conversation is folded in chunks of CHUNK sequence
-numbers, so that one hot conversation spreads over many tasks until its finished chunks are joined.
+Messages stand in the order of the first seq of their events, a null seq last; messages of the same seq stand by role,
+then text. A conversation is rendered in chunks of CHUNK sequence numbers, so that a hot one spreads over many tasks,
+or, where its whole text is wanted, at once.
 
-Null text counts as empty, a null role too; a conversation id may be null and is then one conversation. Messages of
-the same seq stand by role, then text. An empty log gives no rows.
+Null text counts as empty, a null role too; a conversation id may be null and is then one conversation. Texts of any
+length are kept whole; a rendered chunk is one string and so bounded by 2 GB. An empty log gives no rows. Other columns
+are not looked at.
 
 The template marks a turn as START role newline text END newline. Inside roles and texts `&` becomes `&amp;` and `<|`
 becomes `&lt;|`; in roles a newline becomes `&#10;`. No control string is left inside, and the way back is exact.
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 CHUNK = 64
 RESETS = ("message", "start", "edit", "regenerate")
+#: Where a null seq stands.
+LAST = (1 << 63) - 1
 
 
 def escape(text: Column) -> Column:
@@ -38,19 +43,30 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
     Returns conv_id, seq (of the message's first event), role (the last that an event names), text.
     """
-    event = F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    log = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(LAST))
+    event = F.struct(seq.alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    # events without a message meet by their seq, which spreads them as messages are spread
+    alone = F.when(F.col("message").isNull(), seq).alias("_alone")
+    log = events.groupBy("conv_id", "message", alone).agg(F.array_sort(F.collect_list(event)).alias("log"))
     last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].isin(*RESETS), i + 1).otherwise(1)))
     live = F.slice("log", last, F.size("log"))
     texts = F.transform(live, lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"]))
     roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
-    return log.select("conv_id", F.col("log")[0]["seq"].alias("seq"), F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), F.array_join(texts, "").alias("text"))
+    role = F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit(""))
+    folded = F.array(F.struct(F.col("log")[0]["seq"].alias("seq"), role.alias("role"), F.array_join(texts, "").alias("text")))
+    whole = F.transform("log", lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(e["role"], F.lit("")).alias("role"), e["text"].alias("text")))
+    return log.select("conv_id", F.inline(F.when(F.col("message").isNull(), whole).otherwise(folded)))
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """Chunks of formatted conversations: conv_id, chunk, formatted, loss (spans of assistant texts, in code points)."""
+def render(messages: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
+    """Chunks of formatted conversations: conv_id, chunk, formatted, loss (spans of assistant texts, in code points).
+
+    chunk: sequence numbers of a chunk; None makes each conversation one chunk.
+    """
     turn = F.struct("seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = messages.groupBy("conv_id", F.floor(F.col("seq") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    keys = ["conv_id"] if chunk is None else ["conv_id", F.floor(F.col("seq") / chunk).alias("chunk")]
+    chunks = messages.groupBy(*keys).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chunks = chunks.withColumn("chunk", F.lit(0).cast("long")) if chunk is None else chunks
     marked = F.transform(
         "turns",
         lambda t: F.struct(
@@ -102,23 +118,18 @@ def conversations(chunks: DataFrame) -> DataFrame:
     )
 
 
-def digests(chunks: DataFrame) -> DataFrame:
-    """What is read back from formatted chunks, a row for each conversation."""
-    part = read_back(chunks).select(
-        "conv_id",
-        "chunk",
-        F.size("turns").alias("n"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
-        "loss_text",
-        F.length("formatted").alias("chars"),
-    )
-    whole = part.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("chunk", "turns", "loss_text"))).alias("parts"))
-    loss = F.array_join(F.col("parts.loss_text"), "")
-    return whole.select(
+def digests(messages: DataFrame) -> DataFrame:
+    """What is read back from the formatted conversations, a row for each.
+
+    A digest needs a conversation's whole text in one row, so each is rendered as one chunk: no exchange follows.
+    """
+    part = read_back(render(messages, chunk=None))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return part.select(
         "conv_id",
-        F.col("n_turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.col("parts.turns"), "").cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
     )
