@@ -6,8 +6,14 @@ labels, length of path) that any rule has; the Bloom filter drops nearly all key
 the keys themselves removes its false positives. The filter is a literal of at most `max_bits` bits; a longer list
 only lets more keys through to the join.
 
-Null urls and urls without `://` have an empty host and path and fit no rule. Repeated rows are judged once and
-returned as often as they came. An empty list lets everything pass.
+Urls without a possible key go past the join. One with several possible keys comes back together by its ids and url;
+rows repeated in one partition are judged once and counted, so that no task gathers or rebuilds all repeats of a row.
+A list that is too large to be broadcast is joined by a shuffle, in which adaptive execution splits the keys that many
+urls spell (both sides have an exchange of their own).
+
+Null urls and urls without `://` have an empty host and path and fit no rule. Repeated rows are returned as often as
+they came. Ids may be null; columns beside ids and url are not looked at. An empty list lets everything pass, an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -73,19 +79,35 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_columns: Sequence[str], u
     listed = listed.groupBy(F.concat("_h", "_p").alias("_key"), "_h").agg(F.max("_v").alias("_v")).select("_key", F.length("_h").alias("_hl"), "_v", F.size(F.split("_h", r"\.")).alias("_n"), (F.length("_key") - F.length("_h")).alias("_l"))
     shapes = [(r["_n"], r["_l"]) for r in listed.select("_n", "_l").distinct().collect()]
     ids = list(id_columns)
-    # one row for each different page; repeated rows come back at the end
-    different = pages.groupBy(*ids, F.col(url).alias("_url")).agg(F.count(F.lit(1)).alias("_copies"))
+    # one row for each different page of a partition; repeated rows come back at the end
+    rows = pages.select(*ids, F.col(url).alias("_url"), F.spark_partition_id().alias("_part"))
+    different = rows.groupBy(*ids, "_url", "_part").agg(F.count(F.lit(1)).alias("_copies"))
     judged = different.withColumns(dict(zip(("host", "path"), host_and_path(F.col("_url")), strict=True)))
+    out = [*ids, "_copies", "host", "path"]
+    plain = [F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")]
     if not shapes:
-        out = judged.select(*ids, "_copies", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        found = judged.select(*out, *plain)
     else:
         bloom = BlockedBloom(listed, "_key")
         labels = F.size(F.split("host", r"\."))
-        spelled = F.array(*(F.when((labels >= n) & (F.length("path") >= l), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, l) if l else F.lit(""))) for n, l in shapes))
-        possible = F.filter(spelled, lambda k: k.isNotNull() & bloom.may_hold(k))
+        spelled = F.array(
+            *(
+                F.when(
+                    (labels >= n) & (F.length("path") >= l),
+                    F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, l) if l else F.lit("")),
+                )
+                for n, l in shapes
+            )
+        )
+        judged = judged.withColumn("_keys", F.filter(spelled, lambda k: k.isNotNull() & bloom.may_hold(k)))
         small = listed.limit(broadcast_rows + 1).count() <= broadcast_rows
-        exact = judged.withColumn("_key", F.explode_outer(possible)).join(F.broadcast(listed) if small else listed, "_key", "left")
+        exact = judged.filter(F.size("_keys") > 0).withColumn("_key", F.explode("_keys"))
+        exact = exact.join(F.broadcast(listed) if small else listed, "_key", "left")
         rank = F.when(F.col("_v").isNotNull(), F.struct(F.length("_key"), "_hl", F.col("_v") == "block"))
-        best = exact.groupBy(*ids, "_url", "_copies", "host", "path").agg(F.max_by(F.struct(F.concat(F.substring("_key", F.lit(1), F.col("_hl")), F.substring("_key", F.col("_hl") + 1, F.length("_key"))).alias("rule"), F.col("_v").alias("verdict")), rank).alias("_best"))
-        out = best.select(*ids, "_copies", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
-    return out.select(*ids, F.explode(F.array_repeat(F.struct("host", "path", "rule", "verdict"), F.col("_copies").cast("int"))).alias("_x")).select(*ids, "_x.*")
+        own = F.concat(F.substring("_key", F.lit(1), F.col("_hl")), F.substring("_key", F.col("_hl") + 1, F.length("_key")))
+        best = F.max_by(F.struct(own.alias("rule"), F.col("_v").alias("verdict")), rank).alias("_best")
+        best = exact.groupBy(*ids, "_url", "_part", "_copies", "host", "path").agg(best)
+        found = best.select(*out, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        found = found.union(judged.filter(F.size("_keys") == 0).select(*out, *plain))
+    again = F.explode(F.array_repeat(F.struct("host", "path", "rule", "verdict"), F.col("_copies").cast("int")))
+    return found.select(*ids, again.alias("_x")).select(*ids, "_x.*")
