@@ -3,7 +3,8 @@
 First the language family is told, then the language within it; each step is a set of one-versus-one linear support
 vector machines over hashed letter bigrams and trigrams of the whole text, lower-cased, everything but letters being
 one blank. Families are looked up by language code; a code without an entry is a family of its own. The machines are
-fitted on at most about `sample` rows a language, drawn by a hash of the id.
+fitted on at most about `sample` rows a language, drawn by a hash of the id, for the `most` languages that have the
+most rows: a dirty column of codes brings no more than these to the driver, and their pairs bound the machines.
 
 `und` (score 0) goes to null texts and texts without a letter. If only one language is learned every other text gets
 it. Without any row to learn from all texts are `und`. Repeated rows get the same prediction. Nothing but the text is
@@ -124,10 +125,14 @@ class Discriminator:
         return names, scores
 
 
-def learn_languages(docs: DataFrame, learn: Column, id_column: str = "doc_id", lang: str = "lang", text: str = "text", sample: int = 600) -> Discriminator | None:
+def learn_languages(
+    docs: DataFrame, learn: Column, id_column: str = "doc_id", lang: str = "lang", text: str = "text", sample: int = 600, most: int = 200
+) -> Discriminator | None:
     """A discriminator fitted on at most about sample rows for each language among the rows for which learn holds."""
-    known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    counts = {r["_lang"]: r["count"] for r in docs.filter(learn & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).count().collect()}
+    own = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    known = own.filter(F.col("_text").rlike(r"\p{L}"))
+    ranked = own.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most)
+    counts = {r["_lang"]: r["n"] for r in ranked.collect()}
     if not counts:
         return None
     share = F.coalesce(*(F.when(F.col("_lang") == c, F.lit(min(1.0, sample / n))) for c, n in counts.items()))
