@@ -49,6 +49,8 @@ from scriptorium.llm.components import connected_components
 from scriptorium.session import discard, map_batches, materialise
 
 COORDINATES, LIMIT, LEVELS, BRANCHING = 64, 2048, 4, 3
+#: Sets that a block of a large bucket holds, on average at most.
+PART = 1024
 #: Sets and shingles that a block of an exact comparison holds, on average at most.
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 SAMPLE, SAMPLE_BYTES, MOST_BATCHES = 64, 1_000_000, 4
@@ -354,6 +356,11 @@ def all_pairs(rows: DataFrame, compare: Compare) -> DataFrame:
 # -- candidates ---------------------------------------------------------------------------------------------------------
 
 
+def counted(rows: DataFrame, key: str, *sums: Column) -> DataFrame:
+    """Sums of each key, grouped with the key's hash beside it: see `components.least_by`."""
+    return rows.groupBy(key, F.xxhash64(key).alias("_hash")).agg(*sums).drop("_hash")
+
+
 def sketch_comparison(threshold: float) -> Compare:
     least = needed_agreement(threshold)
 
@@ -370,10 +377,8 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
     paths = sets.select(F.explode("paths").alias("bucket"), "id", F.lit(None).cast("long").alias("above"))
     chance, found, written = int(1_000_000 * min(1.0, BRANCHING / (threshold * COORDINATES))), [], []
     for level in range(LEVELS):
-        # written before it is joined, so that both sides have an exchange that can be split where a bucket is hot
-        counts = materialise(paths.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-        met = materialise(paths.join(counts, "bucket"), f"paths{level}")
-        written += [counts, met]
+        met = materialise(paths.join(counted(paths, "bucket", F.count(F.lit(1)).alias("n")).filter("n > 1"), "bucket"), f"paths{level}")
+        written.append(met)
         splits = (F.col("n") > LIMIT) & (F.col("above").isNull() | (F.col("n") * 2 < F.col("above")))
         large = met.filter(splits)
         last = level == LEVELS - 1 or large.isEmpty()
@@ -387,7 +392,7 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
         down = large.withColumn("i", F.explode(drawn)).join(sketches, "id")
         paths = down.select(F.xxhash64("bucket", "i", value).alias("bucket"), "id", F.col("n").alias("above"))
     rows = reduce(DataFrame.union, (f.select("bucket", "id", "n") for f in found))
-    rows = dealt(rows, F.ceil(F.col("n") / LIMIT)).join(sketches.withColumnRenamed("sketch", "payload"), "id")
+    rows = dealt(rows, F.ceil(F.col("n") / PART)).join(sketches.withColumnRenamed("sketch", "payload"), "id")
     rows = materialise(rows, "met")
     links = all_pairs(rows, sketch_comparison(threshold)).select(F.col("id").alias("a"), F.col("root").alias("b"))
     links = materialise(links.filter("a <> b").distinct(), "candidates")
@@ -435,8 +440,8 @@ def exact_comparison(threshold: float) -> Compare:
 
 def exact_links(rows: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """groups: id (a row's key), component, shingles. For each set of a group and comparison: id, links, root."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("total"))
-    members = groups.join(materialise(sizes, "sizes"), "component")
+    sizes = counted(groups, "component", F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("total"))
+    members = groups.join(sizes, "component")
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("total") / BLOCK_SHINGLES)))
     members = dealt(members.select("id", F.col("component").alias("bucket"), "n", "total"), parts)
 
@@ -506,7 +511,7 @@ def near_duplicates(
     linked = exact.groupBy("id").agg(F.sum("links").alias("n_links"))
     judged = copies.select("words", "id", "copy_of").join(classes, "id", "left").join(linked, "id", "left")
     judged = materialise(judged.withColumn("class_row", F.coalesce("class_row", "id")), "judged")
-    named = materialise(judged.groupBy("class_row").agg(F.min("copy_of").alias("class_id")), "classes")
+    named = counted(judged, "class_row", F.min("copy_of").alias("class_id"))
     # a text's words may be a third of all rows: both sides are read from tables, so that adaptive execution can split
     found = known.filter("words is not null").select("_row", "_id", "words").join(judged.join(named, "class_row").drop("id"), "words")
     alone = known.filter("words is null").select("_row", "_id", F.col("_row").alias("class_row"), F.col("_id").alias("copy_of"), F.col("_id").alias("class_id"), F.lit(0).alias("n_links"))
