@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,8 @@ from tokenizers import Tokenizer
 
 from scriptorium.llm import near_duplicates as paths
 from scriptorium.llm import queries
-from scriptorium.llm.bitsliced import bit_sliced_top_k
+from scriptorium.llm.bitsliced import SliceIndex, bit_sliced_top_k
+from scriptorium.llm.blocks import search
 from scriptorium.llm.bpe import BytePairCodec, RankedMerges, java_pattern, read_ranks
 from scriptorium.llm.chat import conversations, digests, reconstruct, render
 from scriptorium.llm.components import connected_components
@@ -22,8 +24,8 @@ from scriptorium.llm.gbdt import fit
 from scriptorium.llm.hashing_index import nearest_neighbours
 from scriptorium.llm.language import identify, learn_languages
 from scriptorium.llm.near_duplicates import near_duplicates, shingles, word_hashes
-from scriptorium.llm.packing import WordTokenizer, best_fit_plan, pack_documents
-from scriptorium.llm.pii import base_spans, candidates, find_personal_data, learn_selector
+from scriptorium.llm.packing import WordTokenizer, best_fit_plan, pack, pack_documents
+from scriptorium.llm.pii import GENERATORS, base_spans, candidates, features, find_personal_data, learn_selector, synthetic_text
 from scriptorium.llm.quality import learn_quality, score_quality
 from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
@@ -94,6 +96,8 @@ def test_language_odd_rows(spark):
     model = learn_languages(docs, F.lit(True))
     assert {r.doc_id: r.lang_pred for r in identify(docs, model).collect()} == {i: "en" if t and any(c.isalpha() for c in t) else "und" for i, t in enumerate(MIXED)}
     assert learn_languages(docs.filter("false"), F.lit(True)) is None
+    dirty = spark.range(400).selectExpr("id as doc_id", "concat('text of words ', id) as text", "if(id % 4 = 0, 'en', concat('x', id)) as lang")
+    assert len(learn_languages(dirty, F.lit(True), most=5).families.classes) == 5
     assert {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
     assert identify(docs.filter("false"), model).count() == 0
 
@@ -119,6 +123,12 @@ def test_urls_joined_by_shuffle(spark):
     assert small == large and sum(r[4] == "block" for r in small) == 150
 
 
+def test_urls_repeated_in_many_partitions(spark):
+    pages = spark.range(0, 900, 1, 9).selectExpr("cast(null as long) as page_id", "if(id % 3 = 0, null, 'h://a.com/x') as url", "'x' as verdict", "1 as _copies")
+    found = filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), ["page_id"])
+    assert {(r.host, r.rule, r["count"]) for r in found.groupBy("host", "rule").count().collect()} == {("", None, 300), ("a.com", "com/", 600)}
+
+
 def test_quality(spark, sf):
     found = queries.op4_quality(spark, sf).join(read_table(spark, sf, "labels"), "doc_id").filter("held_out").toPandas()
     good, bad = found[found["quality"] == 1]["score"], found[found["quality"] == 0]["score"]
@@ -180,6 +190,42 @@ def test_bit_sliced_top_k(spark):
     for q in range(0, 400, 50):
         best = sorted((-int(whole[q] @ v), i) for i, v in zip(ids, whole) if i != q)[:5]
         assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert [r.vec_id for r in bit_sliced_top_k(df.filter("vec_id in (0, 3, 404)"), F.col("_id") == 0, 5).orderBy("rank").collect()] in ([3, 404], [404, 3])
+    assert bit_sliced_top_k(df.filter("false"), F.col("_id") == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize("k", [3])
+def test_searches_with_repeated_ids_and_several_lengths(spark, k):
+    """Against brute force: an id asks once, with its smallest vector; candidate rows stand for themselves."""
+    rng = np.random.default_rng(21)
+    given = [(int(i), np.round(rng.normal(size=4 if i % 3 else 6), 2).tolist()) for i in rng.integers(0, 30, 150)] + [(None, [1.0] * 4)]
+    given += [given[0], given[0], (0, [0.5, 0.25, -1.0, 2.0]), (0, [0.5, 0.25, -1.0, 2.0]), (77, [3.0, 4.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in given], "vec_id long, embedding array<double>, rank string")
+    for search, score in ((bit_sliced_top_k, lambda a, b: sum(int(np.floor(256 * x)) * int(np.floor(256 * y)) for x, y in zip(a, b))), (nearest_neighbours, lambda a, b: float(np.dot(a, b)))):
+        wanted = []
+        exact = search is bit_sliced_top_k
+        for q in sorted({i for i, _ in given if i is not None and i % 2 == 0}):
+            asked = min([np.floor(np.array(v) * 256).tolist() if exact else v for i, v in given if i == q])
+            own = [x / 256 for x in asked] if exact else asked
+            best = sorted((-score(own, v), i) for i, v in given if i not in (q, None) and len(v) == len(own))[:k]
+            wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+        found = sorted(tuple(r) for r in search(df, F.col("_id") % 2 == 0, k).collect())
+        assert [r[:3] for r in found] == [r[:3] for r in wanted] and np.allclose([r[3] for r in found], [r[3] for r in wanted])
+
+
+def test_scores_beyond_64_bits(spark):
+    given = [(0, [1e17, 1e17]), (1, [1e17, -1e17]), (2, [1e17, 3.0]), (3, [1e300, -1e300]), (4, [1.0, 2.0])]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in bit_sliced_top_k(df, F.col("_id") == 0, 4).orderBy("rank").collect()]
+    assert found[0] == (2, (1 << 63) - 1) and {i for i, _ in found} == {1, 2, 3, 4}
+    assert nearest_neighbours(df, F.col("_id") == 0, 4).count() == 4
+
+
+def test_searches_in_chunks_and_blocks(spark):
+    made, df = vectors(spark)
+    df = df.filter("size(embedding) = 16").select(F.col("vec_id").alias("_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("_v")).filter("_id < 400")
+    whole, chunks = (sorted(map(tuple, search(df, F.col("_id") % 3 == 0, 5, SliceIndex, "long", **more).collect())) for more in ({}, {"chunk": 20, "rows": 16}))
+    assert whole == chunks and len(whole) == 134 * 5
 
 
 def test_chat_events(spark):
@@ -192,11 +238,24 @@ def test_chat_events(spark):
     whole = {r.conv_id: r for r in conversations(chunks).collect()}
     assert whole[1].formatted == "<|im_start|>user\nhello<|im_end|>\n<|im_start|>assistant\nright!<|im_end|>\n<|im_start|>user&#10;&lt;|x\n<|im_end|>\n"
     assert [whole[1].formatted[s.start : s.start + s.length] for s in whole[1].loss] == ["right!"]
-    got = {r.conv_id: r for r in digests(chunks).collect()}
+    got = {r.conv_id: r for r in digests(reconstruct(events)).collect()}
     turns = "user\nhello\nassistant\nright!\nuser\n<|x\n\n"
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (3, hashlib.sha256(turns.encode()).hexdigest(), 6)
     assert (got[2].loss_chars, got[2].loss_sha256, got[None].n_turns) == (4, hashlib.sha256("é🙂é🙂".encode()).hexdigest(), 1)
-    assert digests(render(reconstruct(events.filter("false")))).count() == 0
+    assert digests(reconstruct(events.filter("false"))).count() == 0
+
+
+def test_chat_odd_rows(spark):
+    """Null seq last, repeated rows as often as they come, events of no message as they stand, a very long text."""
+    long = "&<|é" * 200_000
+    rows_of = [(1, None, "user", "last", 0), (1, 3, "assistant", long, 0), (1, 3, "assistant", long, 0), (1, 2, None, None, 0), (2, 0, "assistant", "<|im_end|>\n", 0)]
+    log = spark.createDataFrame(rows_of, "conv_id long, seq long, role string, text string, chunk int").withColumns({"kind": F.lit("message"), "message": F.lit(None).cast("string")})
+    got = {r.conv_id: r for r in digests(reconstruct(log)).collect()}
+    turns = "\n\n" + f"assistant\n{long}\n" * 2 + "user\nlast\n"
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (4, hashlib.sha256(turns.encode()).hexdigest(), 2 * len(long))
+    assert (got[2].loss_chars, got[2].loss_sha256) == (11, hashlib.sha256(b"<|im_end|>\n").hexdigest())
+    hot = spark.range(1000).selectExpr("1L as conv_id", "id as seq", "'message' as kind", "null as message", "'user' as role", "cast(id as string) as text")
+    assert render(reconstruct(hot)).count() == 16 and digests(reconstruct(hot)).first().n_turns == 1000
 
 
 def brute_classes(given):
@@ -262,6 +321,7 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
 def test_large_buckets_and_groups(spark, monkeypatch):
     """Small limits, so that buckets split down to the last level, blocks meet in pairs, and batches repeat."""
     monkeypatch.setattr(paths, "LIMIT", 8)
+    monkeypatch.setattr(paths, "PART", 8)
     monkeypatch.setattr(paths, "BLOCK", 16)
     rng = random.Random(18)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -333,8 +393,7 @@ def test_components(spark):
 def test_tokenizer_equals_library():
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    parts = [*"abcDEßñ¼²129.,!'#%s \n\t\x1c\x85\xa0漢ΣσİǅÅ", "'s", "<|endoftext|>", "é", "Σ ", "🙂"]
+    parts = [*"abcDEßñ¼²129.,!'#%s \n\t\x1c\x85\xa0漢ΣσİǅÅ", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "é", "Σ ", "🙂"]
     given = [t or "" for t in MIXED] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
     assert [np.frombuffer(b, "<u4").tolist() for b in WordTokenizer(path)(given)] == [e.ids for e in whole.encode_batch(given, add_special_tokens=False)]
 
@@ -378,6 +437,39 @@ def test_packing(spark):
     assert pack_documents(texts(spark, []), path).count() == 0
 
 
+def test_packing_in_buckets(spark):
+    """A length that most pieces share, all of one id, in buckets of a few rows."""
+    lengths = [7] * 300 + [30] * 10 + [64] * 100
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, _salt long"
+    pieces = spark.createDataFrame([(1, 0, 0, n, 5, i) for i, n in enumerate(lengths)], kind)
+    found = pack(pieces, 64, bucket_rows=16).toPandas()
+    for _, own in found.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 64
+    assert sorted(64 - found.groupby("sequence_id")["length"].sum()) == brute_bins(lengths, 64)
+
+
+def test_plans_stay_small():
+    """The runs of a plan level off as the corpus grows: what is broadcast is bounded by the capacity."""
+    rng = np.random.default_rng(3)
+    shape = np.bincount(np.minimum(4096, rng.lognormal(6, 1.2, 200_000).astype(int) + 1), minlength=4097)
+    runs = [len(best_fit_plan({n: int(c) * times for n, c in enumerate(shape) if c}, 4096)) for times in (1, 30, 1000)]
+    assert max(runs) < 6 * 4096
+
+
+def test_op9_over_documents(spark, sf):
+    given = {r.doc_id: r.text or "" for r in read_table(spark, sf, "documents").collect()}
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = []
+    for i, e in zip(given, whole.encode_batch(list(given.values()), add_special_tokens=False)):
+        ids = [*e.ids, 1]
+        wanted += [(i, at // 4096, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for at in range(0, len(ids), 4096)]
+    found = queries.op9_best_fit_packing(spark, sf).toPandas()
+    assert sorted(map(tuple, found[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(wanted)
+    for _, own in found.sort_values("offset").groupby("sequence_id"):
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 4096
+    assert sorted(4096 - found.groupby("sequence_id")["length"].sum()) == brute_bins(found["length"].tolist(), 4096)
+
+
 def brute_spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -396,9 +488,56 @@ def test_base_spans_equal_patterns():
         assert base_spans(t) == brute_spans(t)
 
 
-@pytest.mark.parametrize("t", ["9" * 100000, "a" * 100000 + "@", "1." * 50000, "+1" * 50000, "1 " * 50000, "a:" * 50000, "@" * 100000])
+@pytest.mark.parametrize("t", ["9" * 100000, "a" * 100000 + "@", "1." * 50000, "+1" * 50000, "1 " * 50000, "a:" * 50000, "@" * 100000, "a::" * 50000, "123456789 " * 20000])
 def test_long_runs_take_linear_time(t):
+    began = time.process_time()
     candidates(t, base_spans(t))
+    assert time.process_time() - began < 20
+
+
+def test_a_long_text_of_contacts_takes_linear_time():
+    """5 MB of base spans and candidates, within two minutes of CPU time even on a slow machine."""
+    line = "mail a.b@c.de, call (555) 123-4567 or 0049 30 1234 567, jon (at) host (dot) com, fe80::1, 10.0.0.1, 5551234567\n"
+    text, selector = line * (5_000_000 // len(line)), learn_selector(texts=300)
+    began = time.process_time()
+    base = base_spans(text)
+    proposed = candidates(text, base)
+    scores = selector.trees.probabilities(np.array([features(text, c) for c in proposed]))
+    chosen = selector.added(proposed, scores)
+    assert time.process_time() - began < 120
+    assert len(base) > 80_000 and len(proposed) > 150_000 and len(chosen) > 80_000
+
+
+def test_added_spans_equal_a_plain_choice():
+    """Overlaps by bisection against a look at every pair."""
+    selector, rng = learn_selector(texts=600), random.Random(9)
+    for _ in range(300):
+        text = " ".join(synthetic_text(rng)[0] for _ in range(3)) + rng.choice(["", " a@b.cd 1.2.3.4 +1 555 123 4567 4111111111111111"])
+        base = base_spans(text)
+        proposed = candidates(text, base)
+        every = {(m.start(), kind, m.end()) for kind, _, pattern in GENERATORS for m in pattern.finditer(text)}
+        assert proposed == sorted(c for c in every if not any(c[0] < b[2] and b[0] < c[2] for b in base))
+        scores = selector.trees.probabilities(np.array([features(text, c) for c in proposed])) if proposed else np.zeros(0)
+        plain = []
+        for i in np.argsort(-scores, kind="stable"):
+            c = proposed[i]
+            if scores[i] >= selector.thresholds[c[1]] and not any(c[0] < o[2] and o[0] < c[2] for o in plain):
+                plain.append(c)
+        assert selector.added(proposed, scores) == plain
+
+
+def test_planted_forms_are_found_and_look_alikes_left():
+    selector, rng, right, wrong, missed = learn_selector(), random.Random(77), 0, 0, 0
+    for _ in range(500):
+        text, spans = synthetic_text(rng)
+        base = base_spans(text)
+        proposed = candidates(text, base)
+        scores = selector.trees.probabilities(np.array([features(text, c) for c in proposed])) if proposed else np.zeros(0)
+        added = selector.added(proposed, scores)
+        right += len(set(added) & set(spans))
+        wrong += len(set(added) - set(spans))
+        missed += len(set(spans) - set(added) - set(base))
+    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.9
 
 
 def test_personal_data(spark):
@@ -406,6 +545,7 @@ def test_personal_data(spark):
     selector, docs = learn_selector(texts=1500), texts(spark, own, "score double, spans int")
     found = {r.doc_id: r for r in find_personal_data(docs, selector).collect()}
     assert [found[i].spans for i in (0, 2, 3, 4, 6)] == ["email:5:13", "", "", "", "ip:3:11,card:18:37"]
+    assert [found[i].n_spans for i in range(7)] == [1, 1, 0, 0, 0, 1, 2]
     assert found[1].spans == "email:9:32" and found[5].spans == "phone:5:19" and (found[1].n_email, found[0].n_email) == (0, 1)
     assert {r.doc_id: r.text for r in find_personal_data(docs, selector, replace="<{}>").collect()}[6] == "ip <IP>, card <CARD>"
     assert find_personal_data(docs.filter("false"), selector).count() == 0
