@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scriptorium.functions.text import between, let, normalise_quote, quote_found, trim_blank, word_count
+from scriptorium.functions.text import between, let, normalise_quote, trim_blank, word_count
 
 # The contract of a verdict.
 TYPES = ("A", "B", "C", "D")
@@ -38,7 +38,8 @@ def parse_verdicts(responses: DataFrame) -> DataFrame:
         return F.struct(error.alias("error"), F.struct(*(v[c].alias(c) for c in FIELDS)).alias("verdict"))
 
     parsed = F.from_json(body, VERDICT + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
-    rows = responses.withColumn("_p", let(parsed, judged))
+    # out of a generator, so that a filter on the error does not parse again
+    rows = responses.select("*", F.explode(F.array(let(parsed, judged))).alias("_p"))
     return rows.select(*responses.columns, F.when(F.col("_p.error").isNull(), F.col("_p.verdict")).alias("verdict"), F.col("_p.error").alias("error"))
 
 
@@ -70,21 +71,34 @@ def breach(v: Column) -> Column:
 
 
 def verify_verdicts(responses: DataFrame, papers: DataFrame) -> DataFrame:
-    """Valid verdicts with quotes_expected, quotes_verified, counter_verified, empirical, all_verified and reason."""
-    valid = parse_verdicts(responses).filter("error is null")
+    """Valid verdicts with quotes_expected, quotes_verified, counter_verified, empirical, all_verified and reason.
+
+    Quotes are folded before they meet their paper. A folded quote that a text holds as it stands is held by the folded
+    text too, so a text is folded only if some quote is not found in it at once.
+    """
     counter = F.col("verdict.counter_evidence")
+    quotes = F.transform("verdict.evidence", lambda e: normalise_quote(F.coalesce(e["quote"], F.lit(""))))
+    folded = F.struct(quotes.alias("own"), normalise_quote(counter["quote"]).alias("counter"))
+    valid = parse_verdicts(responses).filter("error is null").select("*", F.explode(F.array(folded)).alias("_q"))
+    text = F.coalesce("markdown", F.lit(""))
+
+    def holds(text: Column, quote: Column) -> Column:
+        return F.coalesce((quote != "") & F.contains(text, quote), F.lit(False))
 
     def held(text: Column) -> Column:
-        found = F.size(F.filter("verdict.evidence", lambda e: quote_found(text, e["quote"])))
-        return F.struct(found.alias("quotes_verified"), F.when(counter.isNotNull(), quote_found(text, counter["quote"])).alias("counter_verified"))
+        found = F.size(F.filter("_q.own", lambda q: holds(text, q)))
+        return F.struct(found.alias("quotes_verified"), F.when(counter.isNotNull(), holds(text, F.col("_q.counter"))).alias("counter_verified"))
 
+    plainly = F.forall("_q.own", lambda q: holds(text, q)) & (counter.isNull() | holds(text, F.col("_q.counter")))
     joined = valid.join(papers.select("paper_id", "markdown"), "paper_id")
-    rows = joined.withColumn("_held", let(normalise_quote(F.coalesce("markdown", F.lit(""))), held)).drop("markdown")
-    rows = rows.withColumns({"quotes_expected": F.size("verdict.evidence"), "quotes_verified": F.col("_held.quotes_verified"), "counter_verified": F.col("_held.counter_verified")}).drop("_held")
-    return rows.withColumns(
+    checked = let(F.when(plainly, text).otherwise(normalise_quote(text)), held)
+    rows = joined.select(*valid.columns, F.explode(F.array(checked)).alias("_held")).drop("_q")
+    rows = rows.withColumns({"quotes_expected": F.size("verdict.evidence"), "quotes_verified": F.col("_held.quotes_verified"), "counter_verified": F.col("_held.counter_verified")})
+    all_found = (F.col("quotes_expected") > 0) & (F.col("quotes_verified") == F.col("quotes_expected"))
+    return rows.drop("_held").withColumns(
         {
             "empirical": (F.col("verdict.primary_type") == "A") | (F.coalesce("verdict.secondary_type", F.lit("")) == "A"),
-            "all_verified": (F.col("quotes_expected") > 0) & (F.col("quotes_verified") == F.col("quotes_expected")) & F.coalesce("counter_verified", F.lit(True)),
+            "all_verified": all_found & F.coalesce("counter_verified", F.lit(True)),
             "reason": reason(F.col("verdict")),
         }
     )

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import SCOPE
 from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, let, looked_up, normalise_kind, sort_labels, trim_blank
+from scriptorium.operators.ingest import upsert
+from scriptorium.session import ship_package
+from scriptorium.sources.markdown import detect_headings
 
 RULE_VERSION = "1.0"
 STRONG = ("study", "experiment")
@@ -20,48 +23,88 @@ def scan(text: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(normalise_kind(p["k"]).alias("kind"), F.upper(p["l"]).alias("label"), group_of(F.upper(p["l"])).alias("study_group")))
 
 
-def unit_evidence(nodes: DataFrame, papers: DataFrame) -> DataFrame:
+EVIDENCE = "ordinal:int,kind:string,label:string,study_group:string,found_in:string"
+NO_EVIDENCE = f"array<struct<{EVIDENCE}>>"
+
+
+def evidence_of(text: Column, ordinal: Column) -> Column:
+    """The evidence that a heading or line holds, as EVIDENCE."""
+    return F.transform(
+        scan(text),
+        lambda e: F.struct(
+            ordinal.alias("ordinal"), e["kind"].alias("kind"), e["label"].alias("label"), e["study_group"].alias("study_group"),
+            trim_blank(text).alias("found_in"),
+        ),
+    )
+
+
+def groups_of(evidence: str, strong: bool) -> Column:
+    own = F.filter(evidence, lambda e: e["kind"].isin(*STRONG) if strong else ~e["kind"].isin(*STRONG))
+    return F.array_distinct(F.transform(own, lambda e: e["study_group"]))
+
+
+def unit_evidence(papers: DataFrame) -> DataFrame:
     """One row for each paper: evidence of headings and of the text, and the groups that decide.
 
-    The text of a paper whose headings name several studies already is not scanned.
+    All of it is found in the paper's own row. The text of a paper whose headings name several studies is not scanned.
     """
-    named = nodes.filter("heading_raw is not null").select("paper_id", "ordinal", F.explode(scan(F.col("heading_raw"))).alias("e"), "heading_raw")
-    heading = F.array_sort(F.collect_list(F.struct("ordinal", F.col("e.kind").alias("kind"), F.col("e.label").alias("label"), F.col("e.study_group").alias("study_group"), trim_blank(F.col("heading_raw")).alias("found_in"))))
-    headed = named.groupBy("paper_id").agg(heading.alias("in_headings"))
-    kind = "array<struct<ordinal:int,kind:string,label:string,study_group:string,found_in:string>>"
-    rows = papers.select("paper_id", "markdown").join(headed, "paper_id", "left").withColumn("in_headings", F.coalesce("in_headings", F.array().cast(kind)))
-    strong = F.array_distinct(F.transform(F.filter("in_headings", lambda e: e["kind"].isin(*STRONG)), lambda e: e["study_group"]))
-    weak = F.array_distinct(F.transform(F.filter("in_headings", lambda e: ~e["kind"].isin(*STRONG)), lambda e: e["study_group"]))
-    rows = rows.withColumns({"strong_groups": strong, "weak_groups": weak})
-    lines = F.filter(F.split(F.coalesce("markdown", F.lit("")), "\n"), lambda x: ~is_heading_line(x) & F.regexp_like(x, F.lit(LABELLED)))
-    body = F.flatten(F.transform(lines, lambda x: F.transform(F.filter(scan(x), lambda e: e["kind"].isin(*STRONG)), lambda e: F.struct(F.lit(-1).alias("ordinal"), e["kind"].alias("kind"), e["label"].alias("label"), e["study_group"].alias("study_group"), trim_blank(x).alias("found_in")))))
-    rows = rows.withColumn("_body", F.when(F.size("strong_groups") >= 2, F.array().cast(kind)).otherwise(body)).drop("markdown")
-    firsts = let(F.col("_body"), lambda all_of: F.filter(all_of, lambda e, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda b: b["study_group"] == e["study_group"])))
+    ship_package(papers.sparkSession)
+    text = F.coalesce("markdown", F.lit("")).alias("markdown")
+    rows = papers.select("paper_id", text, F.filter(detect_headings(F.col("markdown")), lambda h: h["level"] <= 4).alias("headings"))
+    named = F.flatten(F.transform("headings", lambda h, i: evidence_of(h["text"], i)))
+    rows = rows.select("paper_id", "markdown", named.alias("in_headings"))
+    rows = rows.withColumns({"strong_groups": groups_of("in_headings", True), "weak_groups": groups_of("in_headings", False)})
+    lines = F.filter(F.split("markdown", "\n"), lambda x: ~is_heading_line(x) & F.regexp_like(x, F.lit(LABELLED)))
+    body = F.flatten(F.transform(lines, lambda x: F.filter(evidence_of(x, F.lit(-1)), lambda e: e["kind"].isin(*STRONG))))
+    rows = rows.withColumn("_body", F.when(F.size("strong_groups") >= 2, F.array().cast(NO_EVIDENCE)).otherwise(body)).drop("markdown")
+    firsts = let(
+        F.col("_body"),
+        lambda all_of: F.filter(all_of, lambda e, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda b: b["study_group"] == e["study_group"])),
+    )
     return rows.select("paper_id", "in_headings", firsts.alias("in_text"), "strong_groups", "weak_groups")
 
 
-def study_gate(nodes: DataFrame, papers: DataFrame) -> DataFrame:
+def study_gate(papers: DataFrame) -> DataFrame:
     """Verdict of each paper: single, multi or uncertain, with the number of studies and the labels behind it.
 
     split_groups flags papers whose headings name one study and whose text names another one.
     """
-    rows = unit_evidence(nodes, papers).withColumn("text_groups", F.transform("in_text", lambda e: e["study_group"]))
+    rows = unit_evidence(papers).withColumn("text_groups", F.transform("in_text", lambda e: e["study_group"]))
     several = F.size("strong_groups") >= 2
     text, weak = F.size("text_groups") >= 2, F.size("weak_groups") >= 2
-    deciding = F.when(several, F.col("strong_groups")).when(text, F.col("text_groups")).when(weak, F.col("weak_groups")).otherwise(F.array().cast("array<string>"))
+    deciding = F.when(several, F.col("strong_groups")).when(text, F.col("text_groups")).when(weak, F.col("weak_groups"))
+    united = F.size(F.array_union("strong_groups", "text_groups"))
     return rows.select(
-        "paper_id", F.lit(RULE_VERSION).alias("rule_version"), F.when(several, "multi").when(text | weak, "uncertain").otherwise("single").alias("verdict"), F.size("strong_groups").alias("study_count"),
-        F.array_join(sort_labels(deciding), ", ").alias("labels"), F.when(several, "headings").when(text, "text").when(weak, "numbered parts").otherwise("none").alias("decided_by"),
-        (F.size(F.array_union("strong_groups", "text_groups")) > F.greatest(F.size("strong_groups"), F.size("text_groups"))).alias("split_groups"),
-    )
+        "paper_id",
+        F.lit(RULE_VERSION).alias("rule_version"),
+        F.when(several, "multi").when(text | weak, "uncertain").otherwise("single").alias("verdict"),
+        F.size("strong_groups").alias("study_count"),
+        F.array_join(sort_labels(F.coalesce(deciding, F.array().cast("array<string>"))), ", ").alias("labels"),
+        F.when(several, "headings").when(text, "text").when(weak, "numbered parts").otherwise("none").alias("decided_by"),
+        (united > F.greatest(F.size("strong_groups"), F.size("text_groups"))).alias("split_groups"),
+    )
 
 
-def study_evidence(nodes: DataFrame, papers: DataFrame) -> DataFrame:
+def study_evidence(papers: DataFrame) -> DataFrame:
     """Evidence rows in order: headings first, then the first strong mention of each group in the text."""
-    rows = unit_evidence(nodes, papers).select("paper_id", F.posexplode(F.concat("in_headings", "in_text")).alias("position", "e"))
+    rows = unit_evidence(papers).select("paper_id", F.posexplode(F.concat("in_headings", "in_text")).alias("position", "e"))
     return rows.select("paper_id", "position", "e.kind", "e.label", "e.study_group", "e.found_in", F.col("e.ordinal").alias("heading_ordinal"))
 
 
+def current_gates(log: DataFrame) -> DataFrame:
+    """The gates in force of an append-only log of them, keyed by paper, markdown hash and rule version.
+
+    log: paper_id, markdown_hash, rule_version, verdict_id, ts, verdict, study_count, evidence (an array in the gate's
+    order). A later write replaces verdict, count and the whole evidence; the id is the first one's.
+    """
+    return upsert(log, ["paper_id", "markdown_hash", "rule_version"], "ts", ["verdict_id"], "verdict_id")
+
+
+def gate_evidence(gates: DataFrame) -> DataFrame:
+    """Evidence rows of the gates in force, in the gate's order."""
+    return gates.select("verdict_id", F.posexplode("evidence").alias("position", "e")).select("verdict_id", "position", "e.*")
+
+
 def scope_of(role: Column) -> Column:
     return F.coalesce(looked_up(role, SCOPE), F.lit("undetermined"))
 

@@ -12,33 +12,48 @@ from pyspark.sql.window import Window
 
 from scriptorium.functions.dimensions import CONTENT_CLASS, ROLE_NAMES
 from scriptorium.functions.text import trim_blank
-from scriptorium.operators.segmentation import content_class, review_context
+from scriptorium.operators.segmentation import content_class, node_id, review_context, section_texts
 
 
 def assignable_roles(spark) -> DataFrame:
     return spark.createDataFrame([(r,) for r in sorted(ROLE_NAMES)], "role string")
 
 
-def decision_errors(decisions: DataFrame, tasks: DataFrame) -> DataFrame:
+def decision_errors(decisions: DataFrame, tasks: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """decisions with error: the first rule they break, or null. A decision of no known task is an error too.
 
-    The shortlist of a task is advice: roles beyond it are valid.
+    The shortlist of a task is advice: roles beyond it are valid. nodes (node_id, run_id): a title decision that names
+    a node (assigned_title_node) must name one of its own run.
     """
-    rows = decisions.join(tasks.select("task_id", "review_reason"), "task_id", "left")
+    rows = decisions.join(tasks.select("task_id", "review_reason", F.col("run_id").alias("_run")), "task_id", "left")
+    if nodes is not None:
+        known = nodes.select(F.col("node_id").alias("assigned_title_node"), F.col("run_id").alias("_run"), F.lit(True).alias("_known"))
+        rows = rows.join(known, ["assigned_title_node", "_run"], "left")
     blank = lambda c: trim_blank(F.coalesce(F.col(c), F.lit(""))) == ""
     title, bare, reject = F.col("review_reason") == "title_ambiguity", F.col("review_reason") == "no_structure", F.col("decision") == "reject"
     role = F.coalesce("assigned_role", F.lit(""))
+    foreign = (title & ~blank("assigned_title_node") & F.col("_known").isNull()) if nodes is not None else F.lit(False)
     error = (
         F.when(F.col("review_reason").isNull(), "unknown task")
         .when(blank("reviewer_id"), "reviewer missing")
         .when(reject & blank("comment"), "comment missing")
         .when(reject, None)
         .when(title & blank("assigned_title_text"), "title missing")
+        .when(foreign, "title node of another run")
         .when(title, None)
         .when(bare & ~role.isin("", *CONTENT_CLASS), "unknown role")
         .when(~bare & ~role.isin(*ROLE_NAMES), "unknown role")
     )
-    return rows.withColumn("error", error)
+    return rows.withColumn("error", error).drop("_run", "_known")
+
+
+def frozen_out(decisions: DataFrame, tasks: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Decisions with their run and whether they come too late: made after the run was consumed.
+
+    consumed: run_id, consumed_at. Decisions of no known task have no run and are left out.
+    """
+    own = decisions.join(tasks.select("task_id", "run_id"), "task_id").join(consumed.select("run_id", "consumed_at"), "run_id", "left")
+    return own.withColumn("refused", F.coalesce(F.col("ts") > F.col("consumed_at"), F.lit(False)))
 
 
 def latest_decisions(decisions: DataFrame, consumed: DataFrame | None = None) -> DataFrame:
@@ -53,10 +68,23 @@ def latest_decisions(decisions: DataFrame, consumed: DataFrame | None = None) ->
     return decisions.groupBy("task_id").agg(F.min_by("decision_id", order).alias("decision_id"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), *(F.max_by(c, order).alias(c) for c in rest))
 
 
+def valid_rejections(rejections: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rejections of known runs with a reviewer and a comment."""
+    said = lambda c: trim_blank(F.coalesce(F.col(c), F.lit(""))) != ""
+    return rejections.filter(said("reviewer_id") & said("comment")).join(runs.select("run_id"), "run_id", "left_semi")
+
+
 def first_rejections(rejections: DataFrame) -> DataFrame:
     """The first rejection of each run; later ones don't replace it."""
-    order = Window.partitionBy("run_id").orderBy("ts", "rejection_id")
-    return rejections.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    order = F.struct("ts", "rejection_id")
+    rest = [c for c in rejections.columns if c != "run_id"]
+    return rejections.groupBy("run_id").agg(*(F.min_by(c, order).alias(c) for c in rest))
+
+
+def superseded_runs(runs: DataFrame, rejections: DataFrame) -> DataFrame:
+    """runs with superseded_at: the time of the run's first rejection, before or after its consumption alike."""
+    first = first_rejections(valid_rejections(rejections, runs)).select("run_id", F.col("ts").alias("superseded_at"))
+    return runs.join(first, "run_id", "left")
 
 
 def effective_roles(nodes: DataFrame, tasks: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -72,14 +100,37 @@ def effective_roles(nodes: DataFrame, tasks: DataFrame, decisions: DataFrame) ->
 
 
 def effective_titles(runs: DataFrame, tasks: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The title in force for each run."""
-    own = tasks.filter("review_reason = 'title_ambiguity'").join(decisions.select("task_id", "decision", "assigned_title_text"), "task_id").select("run_id", "decision", "assigned_title_text")
+    """The title in force for each run, and the node that holds it: the one that a decision names, if any."""
+    named = "assigned_title_node" if "assigned_title_node" in decisions.columns else F.lit(None).cast("string").alias("assigned_title_node")
+    answers = decisions.select("task_id", "decision", "assigned_title_text", named)
+    own = tasks.filter("review_reason = 'title_ambiguity'").join(answers, "task_id").drop("task_id").select("run_id", "decision", "assigned_title_text", "assigned_title_node")
     rejected, given = F.col("decision") == "reject", F.col("decision").isNotNull()
+    machine = F.when(F.col("title_ordinal") >= 0, node_id(F.col("title_ordinal")))
     return runs.join(own, "run_id", "left").select(
-        "run_id", F.when(given & ~rejected, F.col("assigned_title_text")).otherwise(F.col("title_text")).alias("title_text"),
+        "run_id",
+        F.when(given & ~rejected, F.col("assigned_title_text")).otherwise(F.col("title_text")).alias("title_text"),
+        F.when(rejected, None).when(given, F.nullif("assigned_title_node", F.lit(""))).otherwise(machine).alias("title_node"),
         F.when(rejected, "reviewer_rejected").when(given, "reviewer_confirmed").otherwise(F.col("title_status")).alias("title_status"),
-        F.when(given & ~rejected, "human").otherwise(F.col("title_method")).alias("title_method"), given.alias("from_review"),
-    )
+        F.when(given & ~rejected, "human").otherwise(F.col("title_method")).alias("title_method"),
+        given.alias("from_review"),
+    )
+
+
+def effective_view(nodes: DataFrame, runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
+    """What a consumer of a run reads: each node with the role in force and its source, the run's title and its gate."""
+    own = effective_roles(nodes, tasks, decisions).join(nodes.select("paper_id", "ordinal", "node_kind", "method"), ["paper_id", "ordinal"])
+    titles = effective_titles(runs, tasks, decisions).select("run_id", "title_text", F.col("title_status"))
+    states = gate(runs, tasks, decisions, rejections).select("run_id", "state")
+    run = runs.select("run_id", "paper_id").join(titles, "run_id").join(states, "run_id")
+    shown = (
+        F.when(F.col("node_kind") == "document_title", "(document title)")
+        .when(F.col("effective_status") == "reviewer_rejected", "— rejected")
+        .otherwise(F.coalesce("effective_role", F.lit("— still open")))
+    )
+    source = F.when(F.col("from_review"), "HUMAN").otherwise(F.coalesce("method", F.lit("—")))
+    return own.join(run, "paper_id").select(
+        "run_id", "ordinal", "heading_raw", shown.alias("role"), "effective_class", "effective_status", source.alias("source"), "title_text", "title_status", "state"
+    )
 
 
 def gate(runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
@@ -104,17 +155,41 @@ def author_return(runs: DataFrame, trees: DataFrame, tasks: DataFrame, decisions
     return whole.unionByName(own).withColumn("position", F.row_number().over(order) - 1).drop("place")
 
 
+def return_snapshot(items: DataFrame, asked: DataFrame, returned: DataFrame | None = None) -> DataFrame:
+    """The reports to authors, as they were when they were asked for, with their items frozen in them.
+
+    items: `author_return` of runs that the gate returns now; asked: run_id, return_id, returned_by, ts. The first
+    request of a run counts; a run that is not returned, or returned already (returned: earlier snapshots), gives
+    nothing. consumed_at freezes the run's decisions.
+    """
+    order = F.struct("ts", "return_id")
+    first = asked.groupBy("run_id").agg(
+        F.min_by("return_id", order).alias("return_id"), F.min_by("returned_by", order).alias("returned_by"), F.min("ts").alias("consumed_at")
+    )
+    if returned is not None:
+        first = first.join(returned.select("run_id"), "run_id", "left_anti")
+    return first.join(items, "run_id").select(
+        "return_id", "run_id", "returned_by", "consumed_at", "position", "task_id", "review_reason", "heading_raw", "ancestors", "comment"
+    )
+
+
 def consumable(gates: DataFrame, consumptions: DataFrame) -> DataFrame:
     """Runs that passed and were consumed, with the first time; a consumption of a run that did not pass counts for nothing."""
-    return consumptions.join(gates.filter("state = 'passed'").select("run_id"), "run_id").groupBy("run_id").agg(F.min("ts").alias("consumed_at"), F.min_by("consumed_by", "ts").alias("consumed_by"))
+    passed = gates.filter("state = 'passed'").select("run_id")
+    return consumptions.join(passed, "run_id").groupBy("run_id").agg(F.min("ts").alias("consumed_at"), F.min_by("consumed_by", F.struct("ts", "consumed_by")).alias("consumed_by"))
 
 
 def review_items(tasks: DataFrame, decisions: DataFrame, trees: DataFrame, runs: DataFrame, papers: DataFrame) -> DataFrame:
-    """Tasks with their decision and context, for runs whose markdown still has the hash that they were made from.
+    """Tasks with their decision, context and the text that it covers, for runs whose markdown still has the hash that
+    they were made from.
 
-    runs need markdown_hash; papers need markdown and are hashed again.
+    A task about the whole document (section -1) has no context. The text of a context is cut in its paper's row.
     """
-    now = papers.select("paper_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("_hash"))
+    now = papers.select("paper_id", F.sha2(F.coalesce("markdown", F.lit("")).cast("binary"), 256).alias("_hash"))
     same = runs.join(now, "paper_id").filter("markdown_hash = _hash").select("run_id")
-    context = review_context(trees).withColumnRenamed("ordinal", "section_ordinal")
-    return tasks.join(same, "run_id", "left_semi").join(decisions.select("task_id", "decision", "assigned_role"), "task_id", "left").join(context, ["paper_id", "section_ordinal"], "left")
+    context = review_context(trees).select("paper_id", F.col("ordinal").alias("section_ordinal"), "heading_raw", "ancestors")
+    texts = section_texts(papers, with_descendants=True).select("paper_id", F.col("ordinal").alias("section_ordinal"), "text")
+    asked = tasks.join(same, "run_id", "left_semi").join(decisions.select("task_id", "decision", "assigned_role"), "task_id", "left")
+    places = ["paper_id", "section_ordinal"]
+    shown = texts.join(tasks.select(*places).distinct(), places, "left_semi")
+    return asked.join(context, places, "left").join(shown, places, "left")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import CONTENT_CLASS, KEYWORD_ROLE, UNKNOWN
 from scriptorium.functions.text import byte_offset, let, literal_array, looked_up, normalize, parse_container, strip_identifiers, whole_word_places
+from scriptorium.operators.exhibits import tables_of
 from scriptorium.session import ship_package
+from scriptorium.sources.lines import detect_table_blocks
 from scriptorium.sources.markdown import detect_headings
 
 RULE_VERSION = "2.9"
@@ -74,22 +76,35 @@ def classify(rows: DataFrame, semantic: str = "semantic_heading") -> DataFrame:
 
 
 def paper_headings(papers: DataFrame) -> DataFrame:
-    """paper_id, size (bytes of markdown), headings: one row for each paper."""
+    """paper_id, size (bytes of markdown), markdown_hash, headings: one row for each paper."""
     ship_package(papers.sparkSession)
-    return papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), detect_headings(F.col("markdown")).alias("headings"))
+    size = F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size")
+    digest = F.sha2(F.coalesce("markdown", F.lit("")).cast("binary"), 256).alias("markdown_hash")
+    return papers.select("paper_id", size, digest, detect_headings(F.col("markdown")).alias("headings"))
+
+
+def structural(headings: Column) -> Column:
+    """The headings that make nodes."""
+    return F.filter(headings, lambda h: h["level"] <= 4)
+
+
+def level_counts() -> list[Column]:
+    """h1 to h6: how many headings of each level the array `headings` holds."""
+
+    def of(level: int) -> Column:
+        return F.size(F.filter("headings", lambda h: h["level"] == level))
+
+    return [of(n).alias(f"h{n}") for n in range(1, 7)]
 
 
 def heading_counts(headings: DataFrame) -> DataFrame:
     """Headings of each level 1 to 6 in each paper."""
-    levels = F.transform("headings", lambda h: h["level"])
-    return headings.select("paper_id", *(F.size(F.array_remove(F.array_append(levels, F.lit(n)), n)).alias(f"_{n}") for n in range(1, 7)), F.size(levels).alias("_all")).select(
-        "paper_id", *((F.col("_all") - F.col(f"_{n}")).alias(f"h{n}") for n in range(1, 7))
-    )
+    return headings.select("paper_id", *level_counts())
 
 
 def heading_nodes(headings: DataFrame) -> DataFrame:
     """Classified nodes of levels 1 to 4 before the tree: spans, texts, container and classification."""
-    kept = headings.select("paper_id", "size", F.filter("headings", lambda h: h["level"] <= 4).alias("own"))
+    kept = headings.select("paper_id", "size", structural(F.col("headings")).alias("own"))
     rows = kept.select("paper_id", "size", F.posexplode_outer("own").alias("ordinal", "h"), F.transform("own", lambda h: h["byte_start"]).alias("starts")).filter("h is not null")
     rows = rows.select(
         "paper_id",
@@ -197,17 +212,28 @@ def build_tree(nodes: DataFrame) -> DataFrame:
 
 
 def paper_trees(papers: DataFrame) -> DataFrame:
-    """One row for each paper: size, h1 to h6, nodes, title_ordinal, title_method, candidate.
+    """One row for each paper: size, markdown_hash, h1 to h6, nodes, title_ordinal, title_method, candidate.
 
     A paper without headings of levels 1 to 4 has one node at level 0 that spans its whole text.
     """
     headings = paper_headings(papers)
     tree = build_tree(heading_nodes(headings)).drop("h1_count")
     node = tree.schema["nodes"].dataType.elementType
-    bare = {"ordinal": F.lit(0), "heading_level": F.lit(0), "start_offset": F.lit(0), "end_offset": F.col("size"), "node_kind": F.lit("section"), "role": F.lit(UNKNOWN), "content_class": F.lit(CONTENT_CLASS[UNKNOWN]), "status": F.lit("resolved"), "method": F.lit("structural"), "candidate_roles": empty(), "matched_keywords": empty(), "parent_ordinal": F.lit(-1)}
+    bare = {
+        "ordinal": F.lit(0), "heading_level": F.lit(0), "start_offset": F.lit(0), "end_offset": F.col("size"),
+        "node_kind": F.lit("section"), "role": F.lit(UNKNOWN), "content_class": F.lit(CONTENT_CLASS[UNKNOWN]),
+        "status": F.lit("resolved"), "method": F.lit("structural"),
+        "candidate_roles": empty(), "matched_keywords": empty(), "parent_ordinal": F.lit(-1),
+    }
     headless = F.array(F.struct(*(bare.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in node.fields)))
-    rows = headings.select("paper_id", "size").join(heading_counts(headings), "paper_id").join(tree, "paper_id", "left")
-    return rows.withColumns({"nodes": F.coalesce("nodes", headless), "title_ordinal": F.coalesce("title_ordinal", F.lit(-1)), "candidate": F.coalesce("candidate", F.lit(-1))})
+    rows = headings.select("paper_id", "size", "markdown_hash", *level_counts()).join(tree, "paper_id", "left")
+    return rows.withColumns(
+        {
+            "nodes": F.coalesce("nodes", headless),
+            "title_ordinal": F.coalesce("title_ordinal", F.lit(-1)),
+            "candidate": F.coalesce("candidate", F.lit(-1)),
+        }
+    )
 
 
 def section_nodes(trees: DataFrame) -> DataFrame:
@@ -223,14 +249,36 @@ def run_id() -> Column:
     return F.concat_ws("@", F.col("paper_id").cast("string"), F.lit(RULE_VERSION))
 
 
+#: Heading levels that make sections, and those that stay inside them.
+SUPPORTED_LEVELS, EMBEDDED_LEVELS = (2, 3, 4), (5, 6)
+
+
 def segmentation_runs(trees: DataFrame) -> DataFrame:
-    """One run for each paper: counts, title and rule version; run_id is the paper's id with the rule version."""
+    """One run for each paper: markdown hash, levels, counts, title and rule version; run_id is the paper's id with the
+    rule version."""
     titled = F.col("title_ordinal") >= 0
     return trees.select(
-        "paper_id", run_id().alias("run_id"), F.lit(RULE_VERSION).alias("rule_version"), *(f"h{n}" for n in range(1, 7)), F.size("nodes").alias("n_nodes"), "title_ordinal",
-        F.when(titled, "identified").otherwise("unresolved").alias("title_status"), "title_method", F.get("nodes", F.when(titled, F.col("title_ordinal")))["heading_raw"].alias("title_text"),
-        F.when(titled, 1).otherwise(0).alias("title_source_level"), F.col("candidate").alias("title_candidate_ordinal"), F.lit("Completed").alias("status"),
-    )
+        "paper_id",
+        run_id().alias("run_id"),
+        F.lit(RULE_VERSION).alias("rule_version"),
+        "markdown_hash",
+        F.array(*map(F.lit, SUPPORTED_LEVELS)).alias("supported_levels"),
+        F.array(*map(F.lit, EMBEDDED_LEVELS)).alias("embedded_levels"),
+        *(f"h{n}" for n in range(1, 7)),
+        F.size("nodes").alias("n_nodes"),
+        "title_ordinal",
+        F.when(titled, "identified").otherwise("unresolved").alias("title_status"),
+        "title_method",
+        F.get("nodes", F.when(titled, F.col("title_ordinal")))["heading_raw"].alias("title_text"),
+        F.when(titled, 1).otherwise(0).alias("title_source_level"),
+        F.col("candidate").alias("title_candidate_ordinal"),
+        F.lit("Completed").alias("status"),
+    )
+
+
+def node_id(ordinal: Column) -> Column:
+    """The id of a node: its run and ordinal."""
+    return F.concat_ws("#", run_id(), ordinal.cast("string"))
 
 
 def review_tasks(trees: DataFrame) -> DataFrame:
@@ -247,23 +295,56 @@ def review_tasks(trees: DataFrame) -> DataFrame:
     return rows.select(run_id().alias("run_id"), "paper_id", "task_ordinal", F.concat_ws("/", F.col("paper_id").cast("string"), F.col("task_ordinal").cast("string")).alias("task_id"), "t.section_ordinal", "t.review_reason", "t.candidate_roles", "t.matched_keywords")
 
 
-def section_texts(nodes: DataFrame, papers: DataFrame, start: str = "start_offset", end: str = "end_offset") -> DataFrame:
-    """nodes with the bytes of their spans as text. The spans of a paper go to its markdown, not the other way round."""
-    own = [c for c in nodes.columns if c != "paper_id"]
-    spans = nodes.groupBy("paper_id").agg(F.collect_list(F.struct(*own)).alias("own"))
-    joined = papers.select("paper_id", F.col("markdown").cast("binary").alias("bytes")).join(spans, "paper_id")
-    cut = F.transform("own", lambda n: F.struct(*(n[c].alias(c) for c in own), F.decode(F.substring(F.col("bytes"), n[start] + 1, n[end] - n[start]), "UTF-8").alias("text")))
-    return joined.select("paper_id", F.explode(cut).alias("n")).select("paper_id", "n.*")
+def sections_in_row(with_descendants: bool = False) -> Column:
+    """From `headings`, `size` and `markdown`: array of (ordinal, heading_raw, start_offset, end_offset) of the nodes.
+
+    with_descendants: a section ends where the next one begins that isn't below it.
+    """
+
+    def sections(own: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            later = F.slice(own, i + 2, F.size(own))
+            ends = F.filter(later, lambda x: x["level"] <= h["level"]) if with_descendants else later
+            end = F.coalesce(F.get(ends, F.lit(0))["byte_start"], F.col("size"))
+            return F.struct(i.alias("ordinal"), h["text"].alias("heading_raw"), h["span_start"].alias("start_offset"), end.alias("end_offset"))
 
+        whole = F.struct(F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("heading_raw"), F.lit(0).alias("start_offset"), F.col("size").alias("end_offset"))
+        return F.when(F.size(own) > 0, F.transform(own, one)).otherwise(F.array(whole))
 
-def section_at(nodes: DataFrame, places: DataFrame, place: str = "start_offset") -> DataFrame:
-    """places (paper_id and an offset) with the heading of the last section that starts at or before the offset.
+    return let(structural(F.col("headings")), sections)
 
-    An as-of join within a paper: the paper's section starts, as many as it has headings, are looked up in one row.
+
+def section_texts(papers: DataFrame, with_descendants: bool = False) -> DataFrame:
+    """Every section with the bytes of its span as text: paper_id, ordinal, heading_raw, start_offset, end_offset, text.
+
+    The texts are cut in their paper's own row, so the markdown crosses no exchange.
     """
-    starts = nodes.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("start_offset", "ordinal", "heading_raw"))).alias("_starts"))
-    before = F.filter("_starts", lambda s: s["start_offset"] <= F.col(place))
-    return places.join(starts, "paper_id", "left").withColumn("section", F.coalesce(F.get(before, F.size(before) - 1)["heading_raw"], F.lit("—"))).drop("_starts")
+    ship_package(papers.sparkSession)
+    rows = papers.select("paper_id", F.coalesce("markdown", F.lit("")).alias("markdown"), detect_headings(F.col("markdown")).alias("headings"))
+    rows = rows.withColumn("size", F.octet_length("markdown"))
+    rows = rows.select("paper_id", F.col("markdown").cast("binary").alias("bytes"), F.explode(sections_in_row(with_descendants)).alias("n"))
+    text = F.decode(F.substring("bytes", F.col("n.start_offset") + 1, F.col("n.end_offset") - F.col("n.start_offset")), "UTF-8")
+    return rows.select("paper_id", "n.*", text.alias("text"))
+
+
+def section_of(sections: Column, place: Column) -> Column:
+    """The heading of the last of sections (see `sections_in_row`) that starts at or before place, or a dash."""
+    before = F.filter(sections, lambda s: s["start_offset"] <= place)
+    return F.coalesce(F.get(before, F.size(before) - 1)["heading_raw"], F.lit("—"))
+
+
+def tables_in_sections(papers: DataFrame) -> DataFrame:
+    """Tables with the heading of the section that they stand in: one scan, no exchange."""
+    scanned = paper_headings_with(papers, scan=detect_table_blocks(F.col("markdown")))
+    rows = tables_of(scanned.withColumn("_sections", sections_in_row()).drop("headings", "size"))
+    return rows.withColumn("section", section_of(F.col("_sections"), F.col("start_offset"))).drop("_sections")
+
+
+def paper_headings_with(papers: DataFrame, **more: Column) -> DataFrame:
+    """paper_id, size, headings and more columns from the markdown, which stays behind."""
+    ship_package(papers.sparkSession)
+    size = F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size")
+    return papers.select("paper_id", size, detect_headings(F.col("markdown")).alias("headings"), *(c.alias(k) for k, c in more.items()))
 
 
 def review_context(trees: DataFrame) -> DataFrame:
@@ -278,22 +359,49 @@ def review_context(trees: DataFrame) -> DataFrame:
     return rows.select("paper_id", "n.ordinal", "n.heading_raw", ancestors.alias("ancestors"), "n.start_offset", F.get("nodes", last)["end_offset"].alias("end_offset"))
 
 
+def paper_facts(papers: DataFrame) -> DataFrame:
+    """What the invariants need of each paper: size, n_structural (headings that make nodes), known (the offsets that
+    the scan found) and broken (those of them that lie inside a character). Computed in the row that has the text."""
+    ship_package(papers.sparkSession)
+    rows = papers.select("paper_id", F.coalesce("markdown", F.lit("")).alias("markdown"), detect_headings(F.col("markdown")).alias("headings"))
+    rows = rows.select("paper_id", F.col("markdown").cast("binary").alias("bytes"), structural(F.col("headings")).alias("own"))
+    offsets = F.concat(F.array(F.lit(0), F.octet_length("bytes")), F.transform("own", lambda h: h["span_start"]), F.transform("own", lambda h: h["byte_start"]))
+    rows = rows.select("paper_id", F.octet_length("bytes").alias("size"), F.size("own").alias("n_structural"), F.array_distinct(offsets).alias("known"), "bytes")
+    return rows.withColumn("broken", F.filter("known", lambda at: inside_character(F.col("bytes"), at))).drop("bytes")
+
+
+def inside_character(data: Column, at: Column) -> Column:
+    """Whether a byte offset lies inside a character of UTF-8."""
+    return (at > 0) & (at < F.octet_length(data)) & F.hex(F.substring(data, at + 1, F.lit(1))).rlike("^[89AB]")
+
+
 def violations(nodes: DataFrame, papers: DataFrame) -> DataFrame:
-    """Breaches of the invariants: paper_id, ordinal, violation. Empty for what `segment` returns."""
-    sized = papers.select("paper_id", F.octet_length("markdown").alias("size"), F.col("markdown").cast("binary").alias("bytes"))
-    per_paper = nodes.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "heading_level", "parent_ordinal", "start_offset", "end_offset"))).alias("own"))
-    rows = per_paper.join(sized, "paper_id").select("paper_id", "size", F.posexplode("own").alias("place", "n"), F.size("own").alias("many"), "bytes")
-
-    def inside(at: Column) -> Column:
-        return (at > 0) & (at < F.col("size")) & F.hex(F.substring(F.col("bytes"), at + 1, F.lit(1))).rlike("^[89AB]")
-
-    start, end = F.col("n.start_offset"), F.col("n.end_offset")
-    found = F.array(
-        F.when(F.col("n.ordinal") != F.col("place"), "ordinal"),
-        F.when(~(F.col("n.heading_level").between(1, 4) | (F.col("n.heading_level") == 0) & (F.col("many") == 1)), "level"),
-        F.when(start > end, "inverted_span"),
-        F.when(F.col("n.parent_ordinal") >= F.col("place"), "parent"),
-        F.when((start < 0) | (end > F.col("size")), "out_of_range"),
-        F.when(inside(start) | inside(end), "inside_character"),
-    )
-    return rows.select("paper_id", F.col("n.ordinal").alias("ordinal"), F.explode(F.filter(found, lambda v: v.isNotNull())).alias("violation"))
+    """Breaches of the invariants: paper_id, ordinal (-1 for the paper itself), violation. Empty for what `segment` returns.
+
+    Nodes meet small facts of their papers; a text itself is joined only to offsets within it that its scan never found.
+    """
+    own = F.array_sort(F.collect_list(F.struct("ordinal", "heading_level", "parent_ordinal", "start_offset", "end_offset")))
+    per_paper = nodes.groupBy("paper_id").agg(own.alias("own"))
+    rows = paper_facts(papers).join(per_paper, "paper_id", "left").withColumn("own", F.coalesce("own", F.array().cast(per_paper.schema["own"].dataType)))
+    wanted = F.greatest("n_structural", F.lit(1))
+
+    def breaches(n: Column, place: Column) -> Column:
+        start, end = n["start_offset"], n["end_offset"]
+        found = F.array(
+            F.when(n["ordinal"] != place, "ordinal"),
+            F.when(~(n["heading_level"].between(1, 4) | (n["heading_level"] == 0) & (F.size("own") == 1)), "level"),
+            F.when(start > end, "inverted_span"),
+            F.when(n["parent_ordinal"] >= place, "parent"),
+            F.when((start < 0) | (end > F.col("size")), "out_of_range"),
+            F.when(F.array_contains("broken", start) | F.array_contains("broken", end), "inside_character"),
+        )
+        return F.transform(F.filter(found, lambda v: v.isNotNull()), lambda v: F.struct(n["ordinal"].alias("ordinal"), v.alias("violation")))
+
+    lost = F.when(F.size("own") != wanted, F.array(F.struct(F.lit(-1).alias("ordinal"), F.lit("node_count").alias("violation"))))
+    found = F.concat(F.coalesce(lost, F.array().cast("array<struct<ordinal:int,violation:string>>")), F.flatten(F.transform("own", breaches)))
+    plain = rows.select("paper_id", F.inline(found))
+    spans = F.explode(F.flatten(F.transform("own", lambda n: F.array(*(F.struct(n["ordinal"].alias("ordinal"), n[c].alias("at")) for c in ("start_offset", "end_offset"))))))
+    odd = rows.select("paper_id", "size", "known", spans.alias("n")).filter("n.at > 0 and n.at < size and not array_contains(known, n.at)")
+    texts = papers.select("paper_id", F.col("markdown").cast("binary").alias("bytes"))
+    unknown = odd.select("paper_id", "n.*").join(texts, "paper_id").filter(inside_character(F.col("bytes"), F.col("at")))
+    return plain.union(unknown.select("paper_id", "ordinal", F.lit("inside_character")).distinct())

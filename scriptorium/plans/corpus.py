@@ -88,14 +88,27 @@ class Dialect:
     def decisions(self) -> str:
         """Review decisions from the event stream: each event answers a task of some paper."""
         roles = ("methodology", "results", "discussion", "introduction", "theory", "conclusion")
-        return f"""select event_id as decision_id, ts, concat(cast(event_id % (select count(*) from documents) as varchar(20)), '/', cast(user_id % 3 as varchar(20))) as task_id,
-            case when event_id % 9 = 0 then 'reject' else 'resolve' end as decision, case when event_id % 9 = 0 then null when event_id % 25 = 3 then 'nonsense' else {self.pick(roles, 'event_id')} end as assigned_role,
-            case when event_id % 9 = 0 then null else concat('Title ', cast(event_id as varchar(20))) end as assigned_title_text, case when event_id % 27 = 0 then ' ' when event_id % 9 = 0 then 'please add headings' end as comment,
+        paper = "cast(event_id % (select count(*) from documents) as varchar(20))"
+        next_paper = "cast((event_id + 1) % (select count(*) from documents) as varchar(20))"
+        return f"""select event_id as decision_id, ts, concat({paper}, '/', cast(user_id % 3 as varchar(20))) as task_id,
+            case when event_id % 9 = 0 then 'reject' else 'resolve' end as decision,
+            case when event_id % 9 = 0 then null when event_id % 25 = 3 then 'nonsense' else {self.pick(roles, 'event_id')} end as assigned_role,
+            case when event_id % 9 = 0 then null else concat('Title ', cast(event_id as varchar(20))) end as assigned_title_text,
+            case when event_id % 5 = 1 then concat({paper}, '@2.9#', cast(event_id % 4 as varchar(20)))
+                when event_id % 25 = 2 then concat({next_paper}, '@2.9#0') end as assigned_title_node,
+            case when event_id % 27 = 0 then ' ' when event_id % 9 = 0 then 'please add headings' end as comment,
             case when event_id % 33 = 5 then '' else concat('r', cast(user_id % 7 as varchar(20))) end as reviewer_id from events"""
 
     def rejections(self) -> str:
-        return """select event_id as rejection_id, ts, concat(cast(event_id % (select count(*) from documents) as varchar(20)), '@2.9') as run_id, 'not a paper' as comment, concat('r', cast(user_id % 5 as varchar(20))) as reviewer_id
-            from events where event_type = (select min(event_type) from events) and event_id % 4 = 1"""
+        """Objections to whole runs, one for each event; most of them say nothing and so don't count."""
+        return """select event_id as rejection_id, ts, concat(cast(event_id % (select count(*) from documents) as varchar(20)), '@2.9') as run_id,
+            case when event_type = (select min(event_type) from events) and event_id % 4 = 1 then 'not a paper' when event_id % 2 = 0 then ' ' end as comment,
+            concat('r', cast(user_id % 5 as varchar(20))) as reviewer_id from events"""
+
+    def requests(self) -> str:
+        """Requests to use a run's decisions, or to return the run to its author: one for each event."""
+        return """select event_id as return_id, ts, concat(cast((event_id * 3 + 1) % (select count(*) from documents) as varchar(20)), '@2.9') as run_id,
+            concat('step', cast(user_id % 3 as varchar(20))) as asked_by from events"""
 
 
 SPARK, DUCK = Dialect("spark"), Dialect("duckdb")

@@ -8,6 +8,7 @@ from scriptorium.functions.dimensions import APPENDIX_ALIASES, CONTENT_CLASS, GL
 from scriptorium.operators.ingest import LATENCY_BOUNDS
 from scriptorium.operators.methodology import LEAST_MARKERS, MARGIN, folded
 from scriptorium.plans.corpus import DUCK
+from scriptorium.plans.queries import IDENTIFIED
 from scriptorium.plans.registry import ORACLE_SQL
 
 
@@ -46,6 +47,7 @@ STEPS: dict[str, str] = {
     "responses": DUCK.responses(),
     "decisions": DUCK.decisions(),
     "rejections": DUCK.rejections(),
+    "requests": DUCK.requests(),
     # -- methodology
     "doubled": rf"select paper_id, strlen(markdown) as size, regexp_replace(lower(replace(markdown, '’', '''')), '([^\p{{L}}\p{{Nd}}_])', '\1\1', 'g') as text from papers",
     "fired": f"select * from (select paper_id, unnest([{', '.join(map(count_of, GLOSSARY))}], recursive := true) from doubled) where hits > 0",
@@ -121,17 +123,30 @@ STEPS: dict[str, str] = {
     "tasks": "select paper_id || '@2.9' as run_id, *, paper_id || '/' || task_ordinal as task_id from (select *, row_number() over (partition by paper_id order by part, section_ordinal) - 1 as task_ordinal from asked)",
     # -- review
     "checked": f"""select d.*, case when t.task_id is null then 'unknown task' when trim(coalesce(reviewer_id, '')) = '' then 'reviewer missing' when decision = 'reject' and trim(coalesce(comment, '')) = '' then 'comment missing' when decision = 'reject' then 'valid'
-        when review_reason = 'title_ambiguity' then case when trim(coalesce(assigned_title_text, '')) = '' then 'title missing' else 'valid' end when review_reason = 'no_structure' and coalesce(assigned_role, '') in ('', {", ".join(map(quoted, CONTENT_CLASS))}) then 'valid'
+        when review_reason = 'title_ambiguity' then case when trim(coalesce(assigned_title_text, '')) = '' then 'title missing'
+            when assigned_title_node is not null and not exists (select 1 from nodes n where n.paper_id = t.paper_id and n.paper_id || '@2.9#' || n.ordinal = assigned_title_node) then 'title node of another run' else 'valid' end when review_reason = 'no_structure' and coalesce(assigned_role, '') in ('', {", ".join(map(quoted, CONTENT_CLASS))}) then 'valid'
         when review_reason <> 'no_structure' and assigned_role in ({", ".join(map(quoted, ROLE_NAMES))}) then 'valid' else 'unknown role' end as outcome, t.review_reason, t.run_id, t.paper_id, t.section_ordinal, t.task_ordinal from decisions d left join tasks t using (task_id)""",
     "placed": "select *, row_number() over (partition by task_id order by ts desc, decision_id desc) as n, first_value(decision_id) over (partition by task_id order by ts, decision_id) as first_id from checked where outcome = 'valid'",
     "inforce": "select * from placed where n = 1",
-    "refused": "select * from (select *, row_number() over (partition by run_id order by ts, rejection_id) as n from rejections) where n = 1",
+    "refused": "select * from (select *, row_number() over (partition by run_id order by ts, rejection_id) as n from rejections where trim(coalesce(comment, '')) <> '' and trim(coalesce(reviewer_id, '')) <> '' and run_id in (select run_id from runs)) where n = 1",
     "states": """select r.run_id, r.paper_id, count(t.task_id) as total, count(t.task_id) filter (d.decision is null) as open, count(*) filter (d.decision = 'reject') as rejected, count(*) filter (d.decision = 'resolve') as resolved, bool_or(x.run_id is not null) as run_rejected
         from runs r left join tasks t using (run_id) left join inforce d on d.task_id = t.task_id left join refused x on x.run_id = r.run_id group by all""",
     "climb": """select paper_id, ordinal, parent_ordinal as at, []::varchar[] as above from nodes union all select c.paper_id, c.ordinal, n.parent_ordinal, list_prepend(n.heading_raw, c.above) from climb c join nodes n on n.paper_id = c.paper_id and n.ordinal = c.at""",
     "contexts": """select n.paper_id, n.ordinal, n.heading_raw, array_to_string(c.above, '|') as ancestors, n.start_offset,
         (select max(u.end_offset) from nodes u where u.paper_id = n.paper_id and u.ordinal >= n.ordinal and u.ordinal < coalesce((select min(v.ordinal) from nodes v where v.paper_id = n.paper_id and v.ordinal > n.ordinal and v.heading_level <= n.heading_level), 1000000)) as end_offset
         from nodes n join climb c on c.paper_id = n.paper_id and c.ordinal = n.ordinal and c.at = -1""",
+    "gate_states": "select run_id, paper_id, total, open, rejected, resolved, run_rejected, case when run_rejected or rejected > 0 then 'returned' when open > 0 then 'open' else 'passed' end as state from states",
+    "consumptions": "select run_id, min(ts) as consumed_at, arg_min(asked_by, (ts, asked_by)) as consumed_by from requests join gate_states using (run_id) where state = 'passed' group by run_id",
+    "noded": """select n.paper_id, n.ordinal, n.heading_raw, n.node_kind, n.method, case when d.decision = 'reject' then null when d.decision is not null then coalesce(d.assigned_role, 'Unknown') else n.role end as effective_role,
+        case when d.decision = 'reject' then null when d.decision is not null then k.content_class else n.content_class end as effective_class, case when d.decision = 'reject' then 'reviewer_rejected' when d.decision is not null then 'reviewer_confirmed' else n.status end as effective_status, d.decision is not null as from_review
+        from nodes n left join inforce d on d.paper_id = n.paper_id and d.section_ordinal = n.ordinal and d.review_reason <> 'title_ambiguity' left join classes k on k.role = coalesce(d.assigned_role, 'Unknown')""",
+    "title_views": """select r.run_id, r.paper_id, case when d.decision = 'resolve' then d.assigned_title_text else r.title_text end as title_text,
+        case when d.decision = 'resolve' then d.assigned_title_node when d.decision is null and r.title_ordinal >= 0 then r.run_id || '#' || r.title_ordinal end as title_node,
+        case when d.decision = 'reject' then 'reviewer_rejected' when d.decision is not null then 'reviewer_confirmed' else r.title_status end as title_status,
+        case when d.decision = 'resolve' then 'human' else r.title_method end as title_method, d.decision is not null as from_review from runs r left join inforce d on d.run_id = r.run_id and d.review_reason = 'title_ambiguity'""",
+    "returns": """select run_id, row_number() over (partition by run_id order by place) - 1 as position, task_id, review_reason, heading_raw, ancestors, comment from (
+        select r.run_id, -1 as place, null as task_id, 'run_rejected' as review_reason, null as heading_raw, '' as ancestors, x.comment from runs r join refused x using (run_id)
+        union all select d.run_id, d.task_ordinal, d.task_id, d.review_reason, c.heading_raw, coalesce(c.ancestors, ''), d.comment from inforce d left join contexts c on c.paper_id = d.paper_id and c.ordinal = d.section_ordinal where d.decision = 'reject')""",
     # -- research units
     "labelled": r"select *, '(?i)\b(stud(?:y|ies)|experiments?|phases?|samples?|datasets?|data sets?|waves?|rounds?)\s+([0-9]{1,2}[A-Za-z]?|[IVX]{1,4})\b' as p from (select paper_id, ordinal, heading_raw as found_in, true as in_heading from nodes where heading_raw is not null union all select paper_id, place, line, false from lines where not starts_with(ltrim(line, ' '), '#'))",
     "named": """select paper_id, ordinal, found_in, in_heading, unnest(regexp_extract_all(found_in, p, 1)) as k, upper(unnest(regexp_extract_all(found_in, p, 2))) as label, unnest(range(0, len(regexp_extract_all(found_in, p)))) as i from labelled where regexp_matches(found_in, p)""",
@@ -229,27 +244,41 @@ oracle("child_consensus", "select paper_id, ordinal, role, content_class from no
 oracle("content_class_rollup", "select content_class, role, method, count(*) as sections, sum(end_offset - start_offset)::bigint as bytes from nodes group by all")
 oracle("headless_papers", "select paper_id, heading_level, end_offset, role from nodes where heading_level = 0")
 oracle("title_identification", "select paper_id, title_ordinal, title_status, title_method, title_text, candidate as title_candidate_ordinal from runs")
-oracle("segmentation_runs", """select r.paper_id, r.run_id, '2.9' as rule_version, """ + ", ".join(f"(select count(*) from headings h where h.paper_id = r.paper_id and level = {n}) as h{n}" for n in range(1, 7)) + """, (select count(*) from nodes n where n.paper_id = r.paper_id) as n_nodes,
-    title_ordinal, title_status, title_method, title_text, case when title_ordinal >= 0 then 1 else 0 end as title_source_level, candidate as title_candidate_ordinal, 'Completed' as status from runs r""")
+oracle("segmentation_runs", """select r.paper_id, r.run_id, '2.9' as rule_version, sha256(p.markdown) as markdown_hash, '2|3|4' as supported_levels, '5|6' as embedded_levels, """ + ", ".join(f"(select count(*) from headings h where h.paper_id = r.paper_id and level = {n}) as h{n}" for n in range(1, 7)) + """, (select count(*) from nodes n where n.paper_id = r.paper_id) as n_nodes,
+    title_ordinal, title_status, title_method, title_text, case when title_ordinal >= 0 then 1 else 0 end as title_source_level, candidate as title_candidate_ordinal, 'Completed' as status from runs r join papers p using (paper_id)""")
+oracle("lost_nodes", """select paper_id, -1 as ordinal, 'node_count' as violation from cut where paper_id % 7 = 3 or paper_id % 5 in (1, 2)
+    union all select paper_id, ordinal, case when start_offset + 3 > end_offset then 'inverted_span' end from nodes where paper_id % 5 = 3 and paper_id % 7 <> 3 and ordinal = 1 and start_offset + 3 > end_offset
+    union all select n.paper_id, ordinal, 'inside_character' from nodes n join papers p using (paper_id) where n.paper_id % 5 = 3 and n.paper_id % 7 <> 3 and ordinal = 1 and start_offset + 3 < strlen(p.markdown)
+        and regexp_matches(hex(array_slice(encode(p.markdown), start_offset + 4, start_offset + 4)), '^[89AB]')""")
 oracle("invariant_violations", """select paper_id, ordinal, unnest(case when paper_id % 2 = 0 then ['inverted_span', 'parent'] else ['parent'] end) as violation from nodes where ordinal = 2""")
 oracle("review_tasks", f"select run_id, task_ordinal, task_id, section_ordinal, review_reason, {JOINED.format('candidate_roles')}, {JOINED.format('matched_keywords')} from tasks")
 oracle("decision_validation", "select decision_id, task_id, outcome from checked")
 oracle("latest_decision", "select task_id, first_id as decision_id, decision, assigned_role, reviewer_id from inforce")
-oracle("effective_roles", """select n.paper_id, n.ordinal, n.heading_raw, case when d.decision = 'reject' then null when d.decision is not null then coalesce(d.assigned_role, 'Unknown') else n.role end as effective_role,
-    case when d.decision = 'reject' then null when d.decision is not null then k.content_class else n.content_class end as effective_class, case when d.decision = 'reject' then 'reviewer_rejected' when d.decision is not null then 'reviewer_confirmed' else n.status end as effective_status, d.decision is not null as from_review
-    from nodes n left join inforce d on d.paper_id = n.paper_id and d.section_ordinal = n.ordinal and d.review_reason <> 'title_ambiguity' left join classes k on k.role = coalesce(d.assigned_role, 'Unknown')""")
-oracle("effective_titles", """select r.run_id, case when d.decision = 'resolve' then d.assigned_title_text else r.title_text end as title_text, case when d.decision = 'reject' then 'reviewer_rejected' when d.decision is not null then 'reviewer_confirmed' else r.title_status end as title_status,
-    case when d.decision = 'resolve' then 'human' else r.title_method end as title_method, d.decision is not null as from_review from runs r left join inforce d on d.run_id = r.run_id and d.review_reason = 'title_ambiguity'""")
-oracle("gate_state", "select run_id, total, open, rejected, resolved, run_rejected, case when run_rejected or rejected > 0 then 'returned' when open > 0 then 'open' else 'passed' end as state from states")
-oracle("author_return", """select run_id, row_number() over (partition by run_id order by place) - 1 as position, task_id, review_reason, heading_raw, ancestors, comment from (
-    select r.run_id, -1 as place, null as task_id, 'run_rejected' as review_reason, null as heading_raw, '' as ancestors, x.comment from runs r join refused x using (run_id)
-    union all select d.run_id, d.task_ordinal, d.task_id, d.review_reason, c.heading_raw, coalesce(c.ancestors, ''), d.comment from inforce d left join contexts c on c.paper_id = d.paper_id and c.ordinal = d.section_ordinal where d.decision = 'reject')""")
+oracle("effective_roles", "select paper_id, ordinal, heading_raw, effective_role, effective_class, effective_status, from_review from noded")
+oracle("effective_titles", "select run_id, title_text, title_node, title_status, title_method, from_review from title_views")
+oracle("effective_view", """select t.run_id, n.ordinal, n.heading_raw, case when node_kind = 'document_title' then '(document title)' when effective_status = 'reviewer_rejected' then '— rejected' else coalesce(effective_role, '— still open') end as role,
+    effective_class, effective_status, case when n.from_review then 'HUMAN' else coalesce(method, '—') end as source, t.title_text, t.title_status, g.state from noded n join title_views t using (paper_id) join gate_states g on g.run_id = t.run_id""")
+oracle("gate_state", "select run_id, total, open, rejected, resolved, run_rejected, state from gate_states")
+oracle("consumed_runs", "select * from consumptions")
+oracle("freeze_check", "select d.decision_id, d.task_id, t.run_id, coalesce(d.ts > c.consumed_at, false) as refused from decisions d join tasks t using (task_id) left join consumptions c on c.run_id = t.run_id")
+oracle("run_superseded", "select r.run_id, x.ts as superseded_at from runs r left join refused x using (run_id)")
+oracle("author_return", "select * from returns")
+oracle("return_snapshot", """select return_id, q.run_id, returned_by, consumed_at, position, review_reason, heading_raw, ancestors, comment
+    from (select run_id, arg_min(return_id, (ts, return_id)) as return_id, arg_min(asked_by, (ts, return_id)) as returned_by, min(ts) as consumed_at from requests group by run_id) q join returns i using (run_id)
+    where q.run_id not in (select run_id from runs where paper_id % 5 = 4)""")
+oracle("review_run", """select t.run_id, t.task_id, t.review_reason, d.decision, c.heading_raw, coalesce(c.ancestors, '') as ancestors, md5(decode(array_slice(encode(p.markdown), c.start_offset + 1, c.end_offset))) as text_md5
+    from tasks t join papers p using (paper_id) left join inforce d on d.task_id = t.task_id left join contexts c on c.paper_id = t.paper_id and c.ordinal = t.section_ordinal where t.paper_id % 7 <> 2""")
 oracle("run_rejection_first", "select run_id, rejection_id, reviewer_id from refused")
 oracle("review_context", "select * from contexts")
 oracle("assignable_roles", f"select role from {values([(r,) for r in ROLE_NAMES], 'role')}")
 oracle("study_gate", "select * from gates")
 oracle("study_evidence", """select kind, label, study_group, in_heading, count(*) as times from (select * from evidence where in_heading
     union all select * exclude (n) from (select e.*, row_number() over (partition by e.paper_id, study_group order by ordinal, i) as n from evidence e join several s using (paper_id) where not in_heading and kind in ('study', 'experiment') and len(s.strong) < 2) where n = 1) group by all""")
+oracle("gate_upsert", """select s.paper_id, s.paper_id * 2 as verdict_id, case when s.paper_id % 3 <> 0 then 'draft' when len(strong) >= 2 then 'multi' else 'other' end as verdict, len(strong) as study_count, e.position, e.kind, e.label from several s
+    left join (select paper_id, kind, label, row_number() over (partition by paper_id order by not in_heading, ordinal, i) - 1 as position from (
+        select paper_id, ordinal, i, kind, label, in_heading from evidence where in_heading
+        union all select paper_id, ordinal, i, kind, label, in_heading from (select e.*, row_number() over (partition by e.paper_id, study_group order by ordinal, i) as n from evidence e join several s using (paper_id)
+            where not in_heading and kind in ('study', 'experiment') and len(s.strong) < 2 and e.paper_id % 3 = 0) where n = 1)) e using (paper_id)""")
 oracle("research_unit_rows", "select paper_id, 'study' as unit_type, 1 as unit_index, 'RU1' as unit_ref, 'Study 1' as label, 'accepted_single_study' as status from gates where verdict = 'single'")
 oracle("section_scope", "select n.paper_id, n.ordinal, n.role, coalesce(s.scope, 'undetermined') as scope, case when s.scope in ('study', 'both') then 'RU1' end as unit_ref from nodes n left join scopes s using (role)")
 oracle("scope_summary", "select n.paper_id, coalesce(s.scope, 'undetermined') as scope, count(*) as sections from nodes n left join scopes s using (role) group by all")
@@ -270,6 +299,30 @@ oracle("paper_list", "select paper_id, url, status, created_at from staged")
 oracle("paper_upsert", "select user_id % 200 as paper_id, max_by(event_type, (ts, event_id)) as status, min_by(event_id, (ts, event_id)) as first_event, max_by(event_id, (ts, event_id)) as event_id from events group by 1")
 oracle("insert_if_absent", "select user_id % 200 as paper_id, min_by(event_type, (ts, event_id)) as event_type, min_by(event_id, (ts, event_id)) as event_id from events group by 1")
 oracle("latency_histogram", "select event_type, " + ", ".join(f"count(*) filter (value <= {b}) as le_{str(b).replace('.', '_')}" for b in LATENCY_BOUNDS) + ", round(sum(value), 4) as sum, count(value) as count from events group by 1")
+LABEL = """event_type="' || event_type || '\""""
+
+
+def metric_line(name: str, place: int, metric: str, more: str, value: str) -> str:
+    return f"""select '{name}' as name, '{LABEL}' as key, {place} as place, '{metric}{{{LABEL}{more}}} ' || {value} as line from events group by event_type"""
+
+
+TIMED = [("bucket", f',le="{b:g}"', f"count(*) filter (value <= {b})") for b in LATENCY_BOUNDS]
+TIMED += [("bucket", ',le="+Inf"', "count(value)"), ("sum", "", "'0'"), ("count", "", "count(value)")]
+oracle(
+    "metrics_exposition",
+    " union all ".join(
+        [
+            metric_line("events_total", 0, "events_total", "", "count(*)"),
+            metric_line("last_user", 0, "last_user", "", "max_by(user_id, (ts, event_id))"),
+            *(metric_line("event_seconds", i, f"event_seconds_{what}", more, value) for i, (what, more, value) in enumerate(TIMED)),
+        ]
+    ),
+)
+oracle("paper_lookup", "select 'id' as found_by, paper_id, hash from landed where paper_id = 7 union all select 'hash', paper_id, hash from landed where hash = md5('')")
+oracle("content_hashes", "select doc_id, md5(coalesce(text, '')) as hash from documents")
+oracle("whole_words", "select heading_raw, " + ", ".join(rf"regexp_matches(lower(heading_raw), '(^|[^\p{{L}}\p{{Nd}}_]){w}($|[^\p{{L}}\p{{Nd}}_])') as has_{w}" for w in ("study", "data", "results", "a")) + ", case when length(heading_raw) > 12 then left(heading_raw, 12) || '...' else heading_raw end as excerpt from texts")
+oracle("identifier_vectors", r"""select heading, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(heading, '^section\s+\d+[a-z]?\s*[:.\-]\s*', ''), '^\d+(\.\d+)*\s*[.:\-]?\s+', ''), '^[ivxlcdm]+\s*[.)]\s+', ''), '^[a-z]\s*[.)]\s+', ''),
+    '^[:. ]+|[:. ]+$', '', 'g')) as stripped from """ + values([(x,) for x in IDENTIFIED], "heading"))
 oracle("quote_folding", "select paper_id, md5(text) as folded_md5 from folded")
 oracle("pipe_blocks", "select paper_id, first_place, n as rows_in_block, continuation from joined")
 oracle("pipe_rows", "select paper_id, place, start, stop from piped where pipe")

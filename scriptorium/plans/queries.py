@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property, reduce
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scriptorium.functions.text import is_pipe_row, normalise_quote, normalize, parse_container, strip_identifiers
+from scriptorium.functions.text import contains_whole_word, excerpt, normalise_quote, normalize, parse_container, strip_identifiers
 from scriptorium.operators import exhibits, ingest, methodology, paper_types, research_units, review, segmentation
 from scriptorium.plans.corpus import relation
 from scriptorium.plans.registry import query
@@ -128,8 +132,7 @@ def parent_links(spark, sf_dir):
 
 @query
 def section_spans(spark, sf_dir):
-    papers = papers_of(spark, sf_dir)
-    rows = segmentation.section_texts(segmentation.segment(papers).select("paper_id", "ordinal", "start_offset", "end_offset"), papers)
+    rows = segmentation.section_texts(papers_of(spark, sf_dir))
     return rows.select("paper_id", "ordinal", "start_offset", "end_offset", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -156,7 +159,8 @@ def headless_papers(spark, sf_dir):
 
 @query
 def segmentation_runs(spark, sf_dir):
-    return segmentation.segmentation_runs(trees_of(spark, sf_dir))
+    runs = segmentation.segmentation_runs(trees_of(spark, sf_dir))
+    return runs.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("supported_levels", "embedded_levels")})
 
 
 @query
@@ -164,34 +168,86 @@ def title_identification(spark, sf_dir):
     return segmentation.segmentation_runs(trees_of(spark, sf_dir)).select("paper_id", "title_ordinal", "title_status", "title_method", "title_text", "title_candidate_ordinal")
 
 
+INVARIANT = ["paper_id", "ordinal", "heading_level", "parent_ordinal", "start_offset", "end_offset"]
+
+
 @query
 def invariant_violations(spark, sf_dir):
     """Breaches found among nodes of which every paper's third one has been damaged."""
     papers = papers_of(spark, sf_dir)
-    nodes = segmentation.segment(papers).select("paper_id", "ordinal", "heading_level", "parent_ordinal", "start_offset", "end_offset")
-    damaged = nodes.withColumns({"parent_ordinal": F.when(F.col("ordinal") == 2, 5).otherwise(F.col("parent_ordinal")), "end_offset": F.when((F.col("ordinal") == 2) & (F.col("paper_id") % 2 == 0), -1).otherwise(F.col("end_offset"))})
-    return segmentation.violations(damaged, papers)
+    nodes = segmentation.segment(papers).select(*INVARIANT)
+    third = F.col("ordinal") == 2
+    parent = F.when(third, 5).otherwise(F.col("parent_ordinal"))
+    end = F.when(third & (F.col("paper_id") % 2 == 0), -1).otherwise(F.col("end_offset"))
+    return segmentation.violations(nodes.withColumns({"parent_ordinal": parent, "end_offset": end}), papers)
+
+
+@query
+def lost_nodes(spark, sf_dir):
+    """Breaches found where the last node of a paper has been lost, or all of them, or an offset has been moved."""
+    papers = papers_of(spark, sf_dir)
+    nodes = segmentation.segment(papers).select(*INVARIANT)
+    last = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("ordinal")))
+    lost = nodes.withColumn("_place", last).filter("not (_place = 1 and paper_id % 5 in (1, 2)) and paper_id % 7 <> 3")
+    moved = F.when((F.col("paper_id") % 5 == 3) & (F.col("ordinal") == 1), F.col("start_offset") + 3).otherwise(F.col("start_offset"))
+    return segmentation.violations(lost.withColumn("start_offset", moved).drop("_place"), papers)
 
 
 # -- review -----------------------------------------------------------------------------------------------------------
 
 
 class Review:
-    """The relations of the review workflow, each derived once for a query."""
+    """The relations of the review workflow, each derived at most once for a query, and only if it is asked for."""
 
     def __init__(self, spark, sf_dir):
-        self.trees = materialise(trees_of(spark, sf_dir), "trees")
-        self.nodes = segmentation.section_nodes(self.trees)
-        self.runs = segmentation.segmentation_runs(self.trees)
-        self.tasks = materialise(segmentation.review_tasks(self.trees), "tasks")
-        self.log = review.decision_errors(relation(spark, sf_dir, "decisions"), self.tasks)
-        self.decisions = review.latest_decisions(self.log.filter("error is null").drop("error", "review_reason"))
-        self.rejections = relation(spark, sf_dir, "rejections")
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def trees(self):
+        return materialise(trees_of(self.spark, self.sf_dir), "trees")
+
+    @cached_property
+    def nodes(self):
+        return segmentation.section_nodes(self.trees)
+
+    @cached_property
+    def runs(self):
+        return segmentation.segmentation_runs(self.trees)
+
+    @cached_property
+    def tasks(self):
+        return segmentation.review_tasks(self.trees)
+
+    @cached_property
+    def log(self):
+        nodes = self.nodes.select(segmentation.node_id(F.col("ordinal")).alias("node_id"), segmentation.run_id().alias("run_id"))
+        return review.decision_errors(relation(self.spark, self.sf_dir, "decisions"), self.tasks, nodes)
+
+    @cached_property
+    def decisions(self):
+        return review.latest_decisions(self.log.filter("error is null").drop("error", "review_reason"))
+
+    @cached_property
+    def rejections(self):
+        return review.valid_rejections(relation(self.spark, self.sf_dir, "rejections"), self.runs)
+
+    @cached_property
+    def requests(self):
+        return relation(self.spark, self.sf_dir, "requests")
+
+    @cached_property
+    def gate(self):
+        return review.gate(self.runs, self.tasks, self.decisions, self.rejections)
+
+    @cached_property
+    def consumed(self):
+        return review.consumable(self.gate, self.requests.withColumnRenamed("asked_by", "consumed_by"))
 
 
 @query
 def review_tasks(spark, sf_dir):
-    return Review(spark, sf_dir).tasks.select("run_id", "task_ordinal", "task_id", "section_ordinal", "review_reason", joined("candidate_roles"), joined("matched_keywords"))
+    tasks = segmentation.review_tasks(trees_of(spark, sf_dir))
+    return tasks.select("run_id", "task_ordinal", "task_id", "section_ordinal", "review_reason", joined("candidate_roles"), joined("matched_keywords"))
 
 
 @query
@@ -216,21 +272,69 @@ def effective_titles(spark, sf_dir):
     return review.effective_titles(r.runs, r.tasks, r.decisions)
 
 
+@query
+def effective_view(spark, sf_dir):
+    r = Review(spark, sf_dir)
+    return review.effective_view(r.nodes, r.runs, r.tasks, r.decisions, r.rejections)
+
+
 @query
 def gate_state(spark, sf_dir):
+    return Review(spark, sf_dir).gate
+
+
+@query
+def consumed_runs(spark, sf_dir):
+    return Review(spark, sf_dir).consumed
+
+
+@query
+def freeze_check(spark, sf_dir):
+    """Decisions made after their run was consumed are refused."""
+    r = Review(spark, sf_dir)
+    late = review.frozen_out(relation(spark, sf_dir, "decisions"), r.tasks, materialise(r.consumed, "consumed"))
+    return late.select("decision_id", "task_id", "run_id", "refused")
+
+
+@query
+def run_superseded(spark, sf_dir):
     r = Review(spark, sf_dir)
-    return review.gate(r.runs, r.tasks, r.decisions, r.rejections)
+    return review.superseded_runs(r.runs, r.rejections).select("run_id", "superseded_at")
+
+
+def _returned(r):
+    return review.author_return(r.runs, r.trees, r.tasks, r.decisions, r.rejections)
 
 
 @query
 def author_return(spark, sf_dir):
+    return _returned(Review(spark, sf_dir)).select("run_id", "position", "task_id", "review_reason", "heading_raw", joined("ancestors"), "comment")
+
+
+@query
+def return_snapshot(spark, sf_dir):
+    """Reports of the runs whose return was asked for; every fifth run was returned before."""
     r = Review(spark, sf_dir)
-    return review.author_return(r.runs, r.trees, r.tasks, r.decisions, r.rejections).select("run_id", "position", "task_id", "review_reason", "heading_raw", joined("ancestors"), "comment")
+    before = r.runs.filter("paper_id % 5 = 4")
+    found = review.return_snapshot(_returned(r), r.requests.withColumnRenamed("asked_by", "returned_by"), before)
+    return found.select("return_id", "run_id", "returned_by", "consumed_at", "position", "review_reason", "heading_raw", joined("ancestors"), "comment")
+
+
+@query
+def review_run(spark, sf_dir):
+    """Open questions with context and text; every seventh paper's markdown has changed since its run."""
+    r = Review(spark, sf_dir)
+    changed = F.when(F.col("paper_id") % 7 == 2, F.concat("markdown", F.lit("x"))).otherwise(F.col("markdown"))
+    papers = papers_of(spark, sf_dir).withColumn("markdown", changed)
+    rows = review.review_items(r.tasks, r.decisions, r.trees, r.runs, papers)
+    text = F.md5(F.col("text").cast("binary")).alias("text_md5")
+    return rows.select("run_id", "task_id", "review_reason", "decision", "heading_raw", joined("ancestors"), text)
 
 
 @query
 def run_rejection_first(spark, sf_dir):
-    return review.first_rejections(relation(spark, sf_dir, "rejections")).select("run_id", "rejection_id", "reviewer_id")
+    r = Review(spark, sf_dir)
+    return review.first_rejections(r.rejections).select("run_id", "rejection_id", "reviewer_id")
 
 
 @query
@@ -246,25 +350,37 @@ def assignable_roles(spark, sf_dir):
 # -- research units ---------------------------------------------------------------------------------------------------
 
 
-def _gate(spark, sf_dir):
-    papers = papers_of(spark, sf_dir)
-    return research_units.study_gate(segmentation.segment(papers), papers)
-
-
 @query
 def study_gate(spark, sf_dir):
-    return _gate(spark, sf_dir)
+    return research_units.study_gate(papers_of(spark, sf_dir))
 
 
 @query
 def study_evidence(spark, sf_dir):
-    papers = papers_of(spark, sf_dir)
-    return research_units.study_evidence(segmentation.segment(papers), papers).groupBy("kind", "label", "study_group", F.col("heading_ordinal") >= 0).count().toDF("kind", "label", "study_group", "in_heading", "times")
+    rows = research_units.study_evidence(papers_of(spark, sf_dir))
+    counted = rows.groupBy("kind", "label", "study_group", F.col("heading_ordinal") >= 0).count()
+    return counted.toDF("kind", "label", "study_group", "in_heading", "times")
+
+
+@query
+def gate_upsert(spark, sf_dir):
+    """Gates written once with the headings' evidence, and again for every third paper, with all evidence."""
+    rows = research_units.unit_evidence(papers_of(spark, sf_dir))
+    whole = F.concat("in_headings", "in_text")
+    key = ["paper_id", F.lit("h").alias("markdown_hash"), F.lit(research_units.RULE_VERSION).alias("rule_version")]
+    kind = F.when(F.size("strong_groups") >= 2, "multi").otherwise("other").alias("verdict")
+    studies = F.size("strong_groups").alias("study_count")
+    first = rows.select(*key, (F.col("paper_id") * 2).alias("verdict_id"), F.lit(1).alias("ts"), F.lit("draft").alias("verdict"), studies, F.col("in_headings").alias("evidence"))
+    again = rows.filter("paper_id % 3 = 0").select(*key, (F.col("paper_id") * 2 + 1).alias("verdict_id"), F.lit(2).alias("ts"), kind, studies, whole.alias("evidence"))
+    gates = research_units.current_gates(first.union(again))
+    shown = gates.select("paper_id", "verdict_id", "verdict", "study_count")
+    evidence = research_units.gate_evidence(gates).select("verdict_id", "position", "kind", "label")
+    return shown.join(evidence, "verdict_id", "left")
 
 
 @query
 def research_unit_rows(spark, sf_dir):
-    return research_units.research_units(_gate(spark, sf_dir))
+    return research_units.research_units(research_units.study_gate(papers_of(spark, sf_dir)))
 
 
 @query
@@ -313,7 +429,7 @@ def verdict_work_queue(spark, sf_dir):
 
 @query
 def model_input(spark, sf_dir):
-    rows = papers_of(spark, sf_dir).join(_headings(spark, sf_dir).select("paper_id", "headings"), "paper_id")
+    rows = papers_of(spark, sf_dir).select("paper_id", "markdown", segmentation.detect_headings(F.col("markdown")).alias("headings"))
     form = F.when(F.col("paper_id") % 2 == 0, "FULL").otherwise("SELECTION")
     return rows.select("paper_id", F.md5(paper_types.build_input(form, F.col("headings.text"), F.col("markdown")).cast("binary")).alias("input_md5"))
 
@@ -368,6 +484,53 @@ def latency_histogram(spark, sf_dir):
     return ingest.latency_histogram(read_table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("sum", F.round("sum", 4))
 
 
+@query
+def metrics_exposition(spark, sf_dir):
+    """Lines of a counter, a gauge and a histogram over the events."""
+    events = read_table(spark, sf_dir, "events")
+    own = ["event_type"]
+    counted = ingest.metric_lines(ingest.counters(events, own), "events_total", own)
+    latest = ingest.gauges(events, own, "user_id", "ts", "event_id")
+    timed = ingest.latency_histogram(events, "value", own).withColumn("sum", F.lit(0.0))
+    lines = counted.unionByName(ingest.metric_lines(latest, "last_user", own))
+    return lines.unionByName(ingest.metric_lines(timed, "event_seconds", own, ingest.LATENCY_BOUNDS))
+
+
+@query
+def paper_lookup(spark, sf_dir):
+    """A paper by its id and another by its hash."""
+    landed = relation(spark, sf_dir, "landed")
+    empty = md5(b"").hexdigest()
+    found = [("id", ingest.paper_by_id(landed, 7)), ("hash", ingest.paper_by_hash(landed, empty))]
+    return reduce(DataFrame.union, (df.select(F.lit(how).alias("found_by"), "paper_id", "hash") for how, df in found))
+
+
+@query
+def content_hashes(spark, sf_dir):
+    """MD5 of content, here of the documents' bytes."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", ingest.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+@query
+def whole_words(spark, sf_dir):
+    """Headings that hold a word as a whole, and excerpts of them."""
+    texts = _texts(spark, sf_dir)
+    low = F.lower("heading_raw")
+    words = [contains_whole_word(low, F.lit(w)).alias(f"has_{w}") for w in ("study", "data", "results", "a")]
+    return texts.select("heading_raw", *words, excerpt(F.col("heading_raw"), 12).alias("excerpt"))
+
+
+#: Identifiers that look like numerals but are words too; the roman pattern takes them all the same.
+IDENTIFIED = ("civil. liberties", "mix) methods", "c. x", "iv) results", "2.1. design", "section 4b: data", "a) aims", "section 3: 2. b) all", "viii. 3 x", "no identifier")
+
+
+@query
+def identifier_vectors(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in IDENTIFIED], "heading string")
+    return rows.select("heading", strip_identifiers(F.col("heading")).alias("stripped"))
+
+
 @query
 def quote_folding(spark, sf_dir):
     return papers_of(spark, sf_dir).select("paper_id", F.md5(normalise_quote(F.col("markdown")).cast("binary")).alias("folded_md5"))
@@ -383,8 +546,7 @@ def pipe_blocks(spark, sf_dir):
 
 @query
 def pipe_rows(spark, sf_dir):
-    rows = exhibits.paper_lines(papers_of(spark, sf_dir)).filter(is_pipe_row(F.col("line")))
-    return rows.select("paper_id", "place", "start", "stop")
+    return exhibits.pipe_rows(papers_of(spark, sf_dir))
 
 
 @query
@@ -411,6 +573,4 @@ def dropped_blocks(spark, sf_dir):
 
 @query
 def section_asof(spark, sf_dir):
-    papers = papers_of(spark, sf_dir)
-    places = exhibits.tables(papers).select("paper_id", "label", "start_offset")
-    return segmentation.section_at(segmentation.segment(papers), places)
+    return segmentation.tables_in_sections(papers_of(spark, sf_dir)).select("paper_id", "label", "start_offset", "section")

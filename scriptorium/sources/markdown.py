@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import APPENDIX_ALIASES, APPENDIX_TRIGGERS, KEYWORD_ROLE
+from scriptorium.sources.lines import WHITE
 
 HEADINGS = "array<struct<level:int,byte_start:int,text_start:int,text_stop:int,span_start:int,inferred:boolean,text:string>>"
 Heading = tuple[int, int, int, int, int, bool, str]
@@ -117,16 +118,20 @@ IDENTIFIER_PATTERNS = tuple(re.compile(p) for p in (r"section[\t\n\f\r ]+[0-9]+[
 
 
 def semantic_form(text: str) -> str:
-    """The heading as the classifier sees it, for the test whether a references heading is there already."""
-    s = re.sub(r"[\t\n\f\r ]+", " ", text.strip().lower()).rstrip(":. ")
+    """The heading as the classifier sees it, for the test whether a references heading is there already.
+
+    It says the same as `functions.text` does in columns; a test holds the two together.
+    """
+    low = text.strip(WHITE).replace("\u0130", "i").replace("\u03a3", "\u03c3").lower()
+    s = re.sub(r"[\t\n\f\r ]+", " ", low).rstrip(":. ")
     for p in IDENTIFIER_PATTERNS:
         s = p.sub("", s, count=1) if p.match(s) else s
-    s = s.strip(":. ").strip()
+    s = s.strip(":. ").strip(WHITE)
     if s in APPENDIX_ALIASES:
         return ""
     for trigger in APPENDIX_TRIGGERS:
         if s.startswith(trigger):
-            rest = s[len(trigger) :].strip()
+            rest = s[len(trigger) :].strip(WHITE)
             m = re.match(r"([A-Za-z0-9]{1,3})(?![A-Za-z0-9_])[\t\n\f\r ]*(?:[:.\-][\t\n\f\r ]*)?(.*)\Z", rest)
             return (m[2] if m else rest).strip(" :.-")
     return s

@@ -1,12 +1,15 @@
 """Whole documents: headings, trees, exhibits, studies, verdicts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import normalize, parse_container, strip_identifiers
 from scriptorium.operators import exhibits, methodology, paper_types, research_units, segmentation
-from scriptorium.sources.markdown import document_headings
+from scriptorium.sources.lines import images, table_blocks
+from scriptorium.sources.markdown import document_headings, semantic_form
 
 
 @pytest.mark.parametrize(
@@ -61,6 +64,33 @@ def test_headless_and_empty(spark):
         assert (row.heading_level, row.role, row.status, row.end_offset) == (0, "Unknown", "resolved", len(markdown or ""))
 
 
+def test_semantic_form_is_that_of_the_columns(spark):
+    rng = random.Random(6)
+    parts = ["Appendix", "appendices", " ", "\t", "A", "B2", ".", ":", "-", "iv.", "2.1", "section 3", ")", "Results", "İ", "Σ", "ΣΑΣ", "é", "\x1c", "\u2003", "\xa0", "References", "online appendix", "1", "x", "ß", "ǅ"]
+    given = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(3000)})
+    df = spark.createDataFrame([(g,) for g in given], "h string").withColumn("c", parse_container(strip_identifiers(normalize(F.col("h")))))
+    assert [(r.h, semantic_form(r.h)) for r in df.collect()] == [(r.h, r.c.remainder) for r in df.collect()]
+
+
+def test_blocks_of_lines():
+    text = "Discontinued\n\n| a |\n\n| b |\nx\n||\n| é |\u2003\n \t| c | \n\nplain\n| d |"
+    assert [[(b["block"], b["continuation"], [x["place"] for x in b["lines"]], [x["place"] for x in b["above"]]) for b in t] for t in table_blocks(text)] == [
+        [(1, True, [2], [0]), (2, True, [4], [0, 2])], [(3, False, [7, 8], [4, 5, 6])], [(4, False, [11], [7, 8, 10])],
+    ]
+    assert [x["stop"] for t in table_blocks(text) for b in t for x in b["lines"]][-1] == len(text.encode())
+    assert table_blocks(None) == table_blocks("a | b") == [[]] and images(None) == images("![]") == []
+    assert [[n["place"] for n in i["near"]] for i in images("a\n![x](u)\nb")] == [[2, 0]]
+
+
+def test_violations_of_moved_offsets_and_lost_nodes(spark):
+    papers = spark.createDataFrame([(1, "## A\né\n## B\nx"), (2, "## A\n## B\n"), (3, "plain")], "paper_id long, markdown string")
+    nodes = segmentation.segment(papers)
+    assert segmentation.violations(nodes, papers).count() == 0
+    moved = F.when((F.col("paper_id") == 1) & (F.col("ordinal") == 0), 6).otherwise(F.col("start_offset"))
+    kept = nodes.withColumn("start_offset", moved).filter("not (paper_id = 2 and ordinal = 1) and paper_id <> 3")
+    assert sorted(map(tuple, segmentation.violations(kept, papers).collect())) == [(1, 0, "inside_character"), (2, -1, "node_count"), (3, -1, "node_count")]
+
+
 def test_no_papers(spark):
     empty = spark.createDataFrame([], "paper_id long, markdown string")
     assert segmentation.segment(empty).count() == methodology.methodology(empty).count() == exhibits.tables(empty).count() == 0
@@ -77,7 +107,7 @@ def test_table_forms(spark):
 
 def test_studies(spark):
     papers = spark.createDataFrame([(1, "## Study 1\n## Study 2A\n## Study 2B\n"), (2, "## Phase 1\n## Wave 2\n"), (3, "## A\nStudy 1 and study 2 of others\n"), (4, "## A\nIn Study 1.\n"), (5, "## Study 1\nthen Study 2\n")], "paper_id long, markdown string")
-    found = {r.paper_id: (r.verdict, r.study_count, r.labels, r.split_groups) for r in research_units.study_gate(segmentation.segment(papers), papers).collect()}
+    found = {r.paper_id: (r.verdict, r.study_count, r.labels, r.split_groups) for r in research_units.study_gate(papers).collect()}
     assert found == {1: ("multi", 2, "1, 2", False), 2: ("uncertain", 0, "1, 2", False), 3: ("uncertain", 0, "1, 2", False), 4: ("single", 0, "", False), 5: ("single", 1, "", True)}
 
 
