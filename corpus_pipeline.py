@@ -1,8 +1,9 @@
 """The corpus pipeline: language, quality, near duplicates, personal data, packing.
 
-Each stage takes all documents that its predecessor kept; all but the last return the columns of documents. Documents
-without a letter are rejected by the first stage, those scored below the threshold by the second; of each group of
-near duplicates the row with the smallest id stays, a null id only where there is no other (rows are told apart by a key
+Each stage takes all documents that its predecessor kept; all but the last return the columns of documents. The first
+stage predicts each text's language and rejects texts without a letter, predictions that are no better than chance, and
+languages that LANGUAGES leaves out; the second rejects texts scored below its threshold; of each group of near
+duplicates the row with the smallest id stays, a null id only where there is no other (rows are told apart by a key
 of their own, so different texts under one id or under null ids all stay); personal data is replaced by its kind in the
 text, and n_chars follows; the last stage packs token sequences. Null texts are rejected by the first stage. An empty
 table goes through and gives an empty result.
@@ -29,10 +30,18 @@ JUDGED = ("_judged", "_judged_score")
 ROW = "_row"
 
 
+#: Languages that stay; None keeps every language that is learned from the corpus.
+LANGUAGES: tuple[str, ...] | None = None
+#: A prediction below this score is no better than a coin for the family and another one for the language within it.
+LEAST_SCORE = 0.27
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents in one of LANGUAGES by the classifier, with a score of at least LEAST_SCORE."""
     model = learn_languages(docs, fold("doc_id", 4) != 2)
-    return identify(docs, model, out=JUDGED).filter(F.col(JUDGED[0]) != UNKNOWN).drop(*JUDGED)
+    told = (F.col(JUDGED[0]) != UNKNOWN) & (F.col(JUDGED[1]) >= LEAST_SCORE)
+    wanted = told if LANGUAGES is None else told & F.col(JUDGED[0]).isin(*LANGUAGES)
+    return identify(docs, model, out=JUDGED).filter(wanted).drop(*JUDGED)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
