@@ -40,7 +40,7 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _salt long"
 NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "_salt")
 KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-BUCKET_ROWS, MOST_BUCKETS, BROADCAST_ROWS = 20_000, 100_000, 1_000_000
+BUCKET_ROWS, MOST_BUCKETS, BROADCAST_ROWS = 1000, 100_000, 1_000_000
 
 
 class WordTokenizer:
