@@ -6,7 +6,8 @@ pair has one. They are right but took more than 6500 CPU seconds a GB (README),
 merges over the distinct words of Arrow batches in Python; each worker keeps what it has folded in a bounded cache.
 Decoding concatenates pieces from a literal table, in the JVM.
 
-Null text counts as empty and gives no ids. Texts are processed whole. Repeated rows give repeated results.
+Null text counts as empty and gives no ids. Texts are processed whole. Repeated rows give repeated results. Columns of the
+new names are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

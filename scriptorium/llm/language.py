@@ -8,7 +8,7 @@ most rows: a dirty column of codes brings no more than these to the driver, and
 
 `und` (score 0) goes to null texts and texts without a letter. If only one language is learned every other text gets
 it. Without any row to learn from all texts are `und`. Repeated rows get the same prediction. Nothing but the text is
-an input of a prediction.
+an input of a prediction. Columns of the new names are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 Null and empty texts have statistics of zero and are scored like any other. The trees are fitted on at most about
 `sample` labelled rows, drawn by a hash of the id; rows without a label or outside the training fold are not learned
 from. Without labels of both classes every score is the share of label 1, or 0.5. Repeated rows get the same score.
+Whole texts of any length are read. Columns of the new names are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

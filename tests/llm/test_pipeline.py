@@ -2,11 +2,16 @@
 
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from scriptorium.llm.language import learn_languages, profile
+from scriptorium.llm.quality import learn_quality, statistics
+from scriptorium.llm.queries import fold
 from scriptorium.session import materialise, read_table
+from tests.llm.test_operators import brute_classes
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +42,33 @@ def test_decisions(spark, sf, stages):
     assert by["packing"].groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
 
 
+def test_language_stage_follows_its_prediction(spark, sf, monkeypatch):
+    docs = read_table(spark, sf, "documents")
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de", "en"))
+    kept = corpus_pipeline.language(spark, docs, sf).groupBy("lang").count().collect()
+    given = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert {r.lang for r in kept if r["count"] > 0.05 * given[r.lang]} <= {"de", "en", None}
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    assert corpus_pipeline.language(spark, docs, sf).count() == 0
+
+
+def test_first_stages_equal_their_operators(spark, sf, stages):
+    """The kept rows of each filter are those whose prediction, made row by row on the driver, passes."""
+    by = dict(stages)
+    docs = by["documents"].collect()
+    model = learn_languages(by["documents"], fold("doc_id", 4) != 2)
+    names, scores = model.predict(np.stack([profile(r.text) for r in docs]))
+    wanted = sorted(r.doc_id for r, n, s in zip(docs, names, scores) if any(map(str.isalpha, r.text or "")) and s >= corpus_pipeline.LEAST_SCORE)
+    assert sorted(r.doc_id for r in by["language"].collect()) == wanted
+    trees = learn_quality(by["language"], read_table(spark, sf, "labels"), fold("doc_id", 5) != 0)
+    given = by["language"].collect()
+    passed = trees.probabilities(np.array([statistics(r.text) for r in given])) >= 0.3
+    assert sorted(r.doc_id for r in by["quality"].collect()) == sorted(r.doc_id for r, p in zip(given, passed) if p)
+    given, kept = by["quality"].collect(), by["near_duplicates"].collect()
+    classes = brute_classes({r.doc_id: r.text for r in given})
+    assert sorted(r.doc_id for r in kept) == sorted({classes[r.doc_id][0] for r in given})
+
+
 def test_odd_rows_and_clashing_columns(spark, sf, tmp_path):
     shutil.copy(f"{sf}/labels.parquet", tmp_path / "labels.parquet")
     rows = [(i, t, None, None, None, 0.5, "x", 1) for i, t in enumerate([None, "", "!!", "some words of a text " * 3, "some words of a text " * 3, "a@b.cd " * 4000])] + [(4, "some words of a text " * 3, None, None, None, None, "x", 1)]
