@@ -39,8 +39,8 @@ def parse_verdicts(responses: DataFrame) -> DataFrame:
 
     parsed = F.from_json(body, VERDICT + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
     # out of a generator, so that a filter on the error does not parse again
-    rows = responses.select("*", F.explode(F.array(let(parsed, judged))).alias("_p"))
-    return rows.select(*responses.columns, F.when(F.col("_p.error").isNull(), F.col("_p.verdict")).alias("verdict"), F.col("_p.error").alias("error"))
+    rows = responses.select("*", F.inline(F.array(let(parsed, judged))))
+    return rows.select(*responses.columns, F.when(F.col("error").isNull(), F.col("verdict")).alias("verdict"), "error")
 
 
 def breach(v: Column) -> Column:
@@ -78,24 +78,24 @@ def verify_verdicts(responses: DataFrame, papers: DataFrame) -> DataFrame:
     """
     counter = F.col("verdict.counter_evidence")
     quotes = F.transform("verdict.evidence", lambda e: normalise_quote(F.coalesce(e["quote"], F.lit(""))))
-    folded = F.struct(quotes.alias("own"), normalise_quote(counter["quote"]).alias("counter"))
-    valid = parse_verdicts(responses).filter("error is null").select("*", F.explode(F.array(folded)).alias("_q"))
+    folded = F.struct(quotes.alias("_own"), normalise_quote(counter["quote"]).alias("_counter"))
+    valid = parse_verdicts(responses).filter("error is null").select("*", F.inline(F.array(folded)))
     text = F.coalesce("markdown", F.lit(""))
 
     def holds(text: Column, quote: Column) -> Column:
         return F.coalesce((quote != "") & F.contains(text, quote), F.lit(False))
 
     def held(text: Column) -> Column:
-        found = F.size(F.filter("_q.own", lambda q: holds(text, q)))
-        return F.struct(found.alias("quotes_verified"), F.when(counter.isNotNull(), holds(text, F.col("_q.counter"))).alias("counter_verified"))
+        found = F.size(F.filter("_own", lambda q: holds(text, q)))
+        return F.struct(found.alias("quotes_verified"), F.when(counter.isNotNull(), holds(text, F.col("_counter"))).alias("counter_verified"))
 
-    plainly = F.forall("_q.own", lambda q: holds(text, q)) & (counter.isNull() | holds(text, F.col("_q.counter")))
+    plainly = F.forall("_own", lambda q: holds(text, q)) & (counter.isNull() | holds(text, F.col("_counter")))
     joined = valid.join(papers.select("paper_id", "markdown"), "paper_id")
     checked = let(F.when(plainly, text).otherwise(normalise_quote(text)), held)
-    rows = joined.select(*valid.columns, F.explode(F.array(checked)).alias("_held")).drop("_q")
-    rows = rows.withColumns({"quotes_expected": F.size("verdict.evidence"), "quotes_verified": F.col("_held.quotes_verified"), "counter_verified": F.col("_held.counter_verified")})
+    rows = joined.select(*valid.columns, F.inline(F.array(checked))).drop("_own", "_counter")
+    rows = rows.withColumn("quotes_expected", F.size("verdict.evidence"))
     all_found = (F.col("quotes_expected") > 0) & (F.col("quotes_verified") == F.col("quotes_expected"))
-    return rows.drop("_held").withColumns(
+    return rows.withColumns(
         {
             "empirical": (F.col("verdict.primary_type") == "A") | (F.coalesce("verdict.secondary_type", F.lit("")) == "A"),
             "all_verified": all_found & F.coalesce("counter_verified", F.lit(True)),

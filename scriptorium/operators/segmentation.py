@@ -1,7 +1,7 @@
 """Section trees: one row for each section node of each paper, with its span, role and provenance.
 
-`segment` is one pass: headings come out of the markdown as an array, rows are classified by native expressions, and
-one exchange by paper brings the small node rows together for the tree. The markdown never passes that exchange.
+`paper_trees` is one pass without an exchange: headings come out of the markdown as an array, and classification, tree,
+title and inheritance are expressions over that array, in the paper's own row. The markdown goes no further.
 """
 
 from __future__ import annotations
@@ -51,28 +51,52 @@ def keyword_matches(semantic: Column) -> Column:
     return let(F.array_sort(F.flatten(F.transform(keywords, spans))), matched)
 
 
-def classify(rows: DataFrame, semantic: str = "semantic_heading") -> DataFrame:
-    """rows with role, content_class, status, method, candidate_roles, matched_keywords, matches."""
-    s = F.col(semantic)
-    exact = looked_up(s, KEYWORD_ROLE)
+MATCHES = "array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>"
+
+
+def classification(s: Column) -> Column:
+    """struct(role, content_class, status, method, candidate_roles, matched_keywords, matches) of a semantic heading."""
     nothing = F.coalesce(s, F.lit("")) == ""
-    rows = rows.withColumn("_exact", exact)
-    rows = rows.withColumn("matches", F.when(nothing | F.col("_exact").isNotNull(), empty("array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>")).otherwise(let(s, keyword_matches)))
-    live = F.filter("matches", lambda m: m["suppressed_by"].isNull())
-    roles = F.array_sort(F.array_distinct(F.transform(live, lambda m: m["role"])))
-    words = F.array_sort(F.array_distinct(F.transform(live, lambda m: m["keyword"])))
-    rows = rows.withColumns({"_roles": roles, "_words": words})
-    role = F.when(nothing, F.lit(UNKNOWN)).when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.size("_roles") == 1, F.col("_roles")[0])
-    rows = rows.withColumn("role", role)
-    return rows.withColumns(
-        {
-            "content_class": content_class(F.col("role")),
-            "status": F.when(F.col("role").isNull(), "unresolved").otherwise("resolved"),
-            "method": F.when(nothing, "structural").when(F.col("role").isNotNull(), "rule"),
-            "candidate_roles": F.when(F.size("_roles") > 1, F.col("_roles")).otherwise(empty()),
-            "matched_keywords": F.when(F.col("_exact").isNotNull(), F.array(s)).otherwise(F.col("_words")),
-        }
-    ).drop("_exact", "_roles", "_words")
+
+    def matched(exact: Column) -> Column:
+        scanned = F.when(nothing | exact.isNotNull(), empty(MATCHES)).otherwise(let(s, keyword_matches))
+        return let(scanned, lambda matches: let(survivors(matches), lambda live: judged(exact, matches, live)))
+
+    def survivors(matches: Column) -> Column:
+        live = F.filter(matches, lambda m: m["suppressed_by"].isNull())
+        roles = F.array_sort(F.array_distinct(F.transform(live, lambda m: m["role"])))
+        words = F.array_sort(F.array_distinct(F.transform(live, lambda m: m["keyword"])))
+        return F.struct(roles.alias("roles"), words.alias("words"))
+
+    def judged(exact: Column, matches: Column, live: Column) -> Column:
+        role = F.when(nothing, F.lit(UNKNOWN)).when(exact.isNotNull(), exact).when(F.size(live["roles"]) == 1, F.get(live["roles"], F.lit(0)))
+        return let(role, lambda r: outcome(r, exact, matches, live))
+
+    def outcome(role: Column, exact: Column, matches: Column, live: Column) -> Column:
+        return F.struct(
+            role.alias("role"),
+            content_class(role).alias("content_class"),
+            F.when(role.isNull(), "unresolved").otherwise("resolved").alias("status"),
+            F.when(nothing, "structural").when(role.isNotNull(), "rule").alias("method"),
+            F.when(F.size(live["roles"]) > 1, live["roles"]).otherwise(empty()).alias("candidate_roles"),
+            F.when(exact.isNotNull(), F.array(s)).otherwise(live["words"]).alias("matched_keywords"),
+            matches.alias("matches"),
+        )
+
+    return let(looked_up(s, KEYWORD_ROLE), matched)
+
+
+#: The classification of what stands in an appendix or the like.
+def boxed_classification() -> Column:
+    return F.struct(
+        F.lit(UNKNOWN).alias("role"),
+        F.lit(CONTENT_CLASS[UNKNOWN]).alias("content_class"),
+        F.lit("resolved").alias("status"),
+        F.lit("structural").alias("method"),
+        empty().alias("candidate_roles"),
+        empty().alias("matched_keywords"),
+        empty(MATCHES).alias("matches"),
+    )
 
 
 def paper_headings(papers: DataFrame) -> DataFrame:
@@ -102,123 +126,165 @@ def heading_counts(headings: DataFrame) -> DataFrame:
     return headings.select("paper_id", *level_counts())
 
 
+CLASSIFIED = "role content_class status method candidate_roles matched_keywords".split()
+
+
+def node_array() -> Column:
+    """From `headings` and `size`: the classified nodes of levels 1 to 4 before the tree."""
+
+    def nodes(own: Column) -> Column:
+        def node(h: Column, i: Column) -> Column:
+            return let(normalize(h["text"]), lambda normal: contained(h, i, normal))
+
+        def contained(h: Column, i: Column, normal: Column) -> Column:
+            return let(parse_container(strip_identifiers(normal)), lambda c: let(judged(c), lambda k: made(h, i, normal, c, k)))
+
+        def judged(c: Column) -> Column:
+            return F.when(c["container"].isNotNull(), boxed_classification()).otherwise(let(c["remainder"], classification))
+
+        def made(h: Column, i: Column, normal: Column, c: Column, k: Column) -> Column:
+            return F.struct(
+                i.alias("ordinal"),
+                h["level"].alias("heading_level"),
+                F.when(h["inferred"], "inferred").otherwise("detected").alias("heading_source"),
+                h["text"].alias("heading_raw"),
+                normal.alias("heading_normalized"),
+                c["remainder"].alias("semantic_heading"),
+                c["container"].alias("structural_container"),
+                c["label"].alias("appendix_label"),
+                h["span_start"].alias("start_offset"),
+                F.coalesce(F.get(own, i + 1)["byte_start"], F.col("size")).alias("end_offset"),
+                *(k[x].alias(x) for x in (*CLASSIFIED, "matches")),
+            )
+
+        return F.transform(own, node)
+
+    return let(structural(F.col("headings")), nodes)
+
+
 def heading_nodes(headings: DataFrame) -> DataFrame:
-    """Classified nodes of levels 1 to 4 before the tree: spans, texts, container and classification."""
-    kept = headings.select("paper_id", "size", structural(F.col("headings")).alias("own"))
-    rows = kept.select("paper_id", "size", F.posexplode_outer("own").alias("ordinal", "h"), F.transform("own", lambda h: h["byte_start"]).alias("starts")).filter("h is not null")
-    rows = rows.select(
-        "paper_id",
-        "ordinal",
-        F.col("h.level").alias("heading_level"),
-        F.when(F.col("h.inferred"), "inferred").otherwise("detected").alias("heading_source"),
-        F.col("h.text").alias("heading_raw"),
-        F.col("h.span_start").alias("start_offset"),
-        F.coalesce(F.get("starts", F.col("ordinal") + 1), F.col("size")).alias("end_offset"),
-        normalize(F.col("h.text")).alias("heading_normalized"),
-    )
-    rows = rows.withColumn("_c", parse_container(strip_identifiers(F.col("heading_normalized"))))
-    rows = rows.withColumns({"semantic_heading": F.col("_c.remainder"), "structural_container": F.col("_c.container"), "appendix_label": F.col("_c.label")}).drop("_c")
-    rows = classify(rows)
-    boxed = F.col("structural_container").isNotNull()
-    return rows.withColumns(
-        {
-            "role": F.when(boxed, UNKNOWN).otherwise(F.col("role")),
-            "content_class": F.when(boxed, CONTENT_CLASS[UNKNOWN]).otherwise(F.col("content_class")),
-            "status": F.when(boxed, "resolved").otherwise(F.col("status")),
-            "method": F.when(boxed, "structural").otherwise(F.col("method")),
-            **{c: F.when(boxed, empty()).otherwise(F.col(c)) for c in ("candidate_roles", "matched_keywords")},
-            "matches": F.when(boxed, F.filter("matches", lambda m: F.lit(False))).otherwise(F.col("matches")),
-        }
-    )
+    """A row for each classified node before the tree: spans, texts, container and classification."""
+    return headings.select("paper_id", F.explode(node_array()).alias("n")).select("paper_id", "n.*")
 
 
 NODE = (
-    "ordinal heading_level heading_source heading_raw heading_normalized semantic_heading structural_container appendix_label start_offset end_offset "
-    "role content_class status method candidate_roles matched_keywords"
+    "ordinal heading_level heading_source heading_raw heading_normalized semantic_heading structural_container "
+    "appendix_label start_offset end_offset role content_class status method candidate_roles matched_keywords"
 ).split()
 
 
-def build_tree(nodes: DataFrame) -> DataFrame:
-    """One row for each paper: nodes with parents, title and inherited roles; title_ordinal, title_method, candidate.
+def bound(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once, however often it is used: the optimizer does not reach through a generator."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
-    A paper's nodes are one row's array: as many as a paper has headings, whatever the number of papers.
-    """
-    grouped = nodes.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*NODE))).alias("raw"))
-    first = F.filter("raw", lambda n: n["heading_level"] == 1)
-    h1 = F.get(first, F.lit(0))
-    titled = h1.isNotNull() & ~((h1["status"] == "resolved") & (F.coalesce(h1["method"], F.lit("")) == "rule"))
-    grouped = grouped.withColumns(
-        {
-            "h1_count": F.size(first),
-            "title_ordinal": F.when(titled, h1["ordinal"]).otherwise(-1),
-            "title_method": F.when(titled & (F.size(first) == 1), "singleton_h1").when(titled, "structural_rule"),
-        }
-    )
-    head = F.col("raw")[0]
-    suppressed = (F.col("h1_count") == 0) & (head["heading_level"] == F.array_min(F.transform("raw", lambda n: n["heading_level"]))) & head["structural_container"].isNull() & ~head["semantic_heading"].isin(*KEYWORD_ROLE)
-    grouped = grouped.withColumn("candidate", F.when(suppressed, 0).otherwise(-1))
 
-    def titles(n: Column) -> Column:
-        is_title, is_candidate = n["ordinal"] == F.col("title_ordinal"), n["ordinal"] == F.col("candidate")
-        text = F.lit(None).cast("string")
+def title_of(raw: Column) -> Column:
+    """struct(title_ordinal, title_method, candidate) of a paper's nodes; -1 for none."""
+    first = F.filter(raw, lambda n: n["heading_level"] == 1)
+
+    def found(first: Column) -> Column:
+        h1, head = F.get(first, F.lit(0)), F.get(raw, F.lit(0))
+        ruled = (h1["status"] == "resolved") & (F.coalesce(h1["method"], F.lit("")) == "rule")
+        titled = h1.isNotNull() & ~ruled
+        shallowest = F.array_min(F.transform(raw, lambda n: n["heading_level"]))
+        open_head = head["structural_container"].isNull() & ~head["semantic_heading"].isin(*KEYWORD_ROLE)
+        suppressed = (F.size(first) == 0) & (head["heading_level"] == shallowest) & open_head
         return F.struct(
-            *(n[c].alias(c) for c in NODE if c not in ("role", "content_class", "status", "method", "candidate_roles", "matched_keywords", "semantic_heading")),
-            F.when(~is_title, n["semantic_heading"]).alias("semantic_heading"),
-            F.when(is_title, TITLE).otherwise("section").alias("node_kind"),
-            F.when(is_title | is_candidate, text).otherwise(n["role"]).alias("role"),
-            F.when(is_title, "administrative").when(is_candidate, text).otherwise(n["content_class"]).alias("content_class"),
-            F.when(is_title, "resolved").when(is_candidate, "unresolved").otherwise(n["status"]).alias("status"),
-            F.when(is_title, "structural").when(is_candidate, text).otherwise(n["method"]).alias("method"),
-            *(F.when(is_title | is_candidate, empty()).otherwise(n[c]).alias(c) for c in ("candidate_roles", "matched_keywords")),
-            F.lit(-1).alias("parent_ordinal"),
+            F.when(titled, h1["ordinal"]).otherwise(-1).alias("title_ordinal"),
+            F.when(titled & (F.size(first) == 1), "singleton_h1").when(titled, "structural_rule").alias("title_method"),
+            F.when(suppressed, 0).otherwise(-1).alias("candidate"),
         )
 
-    grouped = grouped.withColumn("nodes", F.transform("raw", titles)).drop("raw")
-    fields = grouped.schema["nodes"].dataType.elementType.fieldNames()
+    return let(first, found)
 
-    def changed(n: Column, **new: Column) -> Column:
-        return F.struct(*(new.get(c, n[c]).alias(c) for c in fields))
 
-    def step(done: Column, n: Column) -> Column:
-        above = F.filter(done, lambda d: d["heading_level"] < n["heading_level"])
-        parent = F.get(above, F.size(above) - 1)
-        gives = (n["status"] == "unresolved") & (F.size(n["candidate_roles"]) == 0) & (parent["node_kind"] != TITLE) & (parent["status"] == "resolved") & parent["role"].isNotNull()
-        gives = F.coalesce(gives, F.lit(False))
-        child = changed(
+FIELDS = [*(c for c in NODE if c not in (*CLASSIFIED, "semantic_heading")), "semantic_heading", "node_kind", *CLASSIFIED, "parent_ordinal"]
+
+
+def changed(n: Column, **new: Column) -> Column:
+    """A node with some of its fields replaced."""
+    return F.struct(*((new[c] if c in new else n[c]).alias(c) for c in FIELDS))
+
+
+def titled_nodes(raw: Column, title_ordinal: Column, candidate: Column) -> Column:
+    """The nodes with the title's and the title candidate's classification overwritten."""
+
+    def one(n: Column) -> Column:
+        is_title, is_candidate = n["ordinal"] == title_ordinal, n["ordinal"] == candidate
+        text = F.lit(None).cast("string")
+        return changed(
             n,
-            parent_ordinal=F.coalesce(parent["ordinal"], F.lit(-1)),
-            role=F.when(gives, parent["role"]).otherwise(n["role"]),
-            content_class=F.when(gives, parent["content_class"]).otherwise(n["content_class"]),
-            status=F.when(gives, "resolved").otherwise(n["status"]),
-            method=F.when(gives, "inherited").otherwise(n["method"]),
+            semantic_heading=F.when(~is_title, n["semantic_heading"]),
+            node_kind=F.when(is_title, TITLE).otherwise("section"),
+            role=F.when(is_title | is_candidate, text).otherwise(n["role"]),
+            content_class=F.when(is_title, "administrative").when(is_candidate, text).otherwise(n["content_class"]),
+            status=F.when(is_title, "resolved").when(is_candidate, "unresolved").otherwise(n["status"]),
+            method=F.when(is_title, "structural").when(is_candidate, text).otherwise(n["method"]),
+            **{c: F.when(is_title | is_candidate, empty()).otherwise(n[c]) for c in ("candidate_roles", "matched_keywords")},
+            parent_ordinal=F.lit(-1),
         )
-        return F.concat(done, F.array(child))
 
-    grouped = grouped.withColumn("nodes", F.aggregate("nodes", F.slice("nodes", 1, 0), step))
+    return F.transform(raw, one)
+
 
-    def agreed(n: Column) -> Column:
-        children = F.filter("nodes", lambda c: c["parent_ordinal"] == n["ordinal"])
-        roles = F.array_distinct(F.transform(children, lambda c: F.when((c["method"] == "rule") & (c["status"] == "resolved") & (c["role"] != UNKNOWN), c["role"])))
-        agree = (n["status"] == "unresolved") & (F.size(n["candidate_roles"]) == 0) & (n["node_kind"] != TITLE) & (n["ordinal"] != F.col("candidate")) & (F.size(children) >= 2) & (F.size(roles) == 1) & F.get(roles, F.lit(0)).isNotNull()
+def linked_nodes(nodes: Column) -> Column:
+    """The nodes with parents, in one walk down the document: unresolved ones take a resolved parent's role."""
+
+    def step(done: Column, n: Column) -> Column:
+        above = F.filter(done, lambda d: d["heading_level"] < n["heading_level"])
+        return F.concat(done, F.array(let(F.get(above, F.size(above) - 1), lambda parent: child(parent, n))))
+
+    def child(parent: Column, n: Column) -> Column:
+        asks = (n["status"] == "unresolved") & (F.size(n["candidate_roles"]) == 0)
+        gives = asks & (parent["node_kind"] != TITLE) & (parent["status"] == "resolved") & parent["role"].isNotNull()
+        return let(F.coalesce(gives, F.lit(False)), lambda given: inherited(given, parent, n))
+
+    def inherited(given: Column, parent: Column, n: Column) -> Column:
         return changed(
             n,
-            role=F.when(agree, roles[0]).otherwise(n["role"]),
-            content_class=F.when(agree, content_class(roles[0])).otherwise(n["content_class"]),
-            status=F.when(agree, "resolved").otherwise(n["status"]),
-            method=F.when(agree, "child_consensus").otherwise(n["method"]),
+            parent_ordinal=F.coalesce(parent["ordinal"], F.lit(-1)),
+            role=F.when(given, parent["role"]).otherwise(n["role"]),
+            content_class=F.when(given, parent["content_class"]).otherwise(n["content_class"]),
+            status=F.when(given, "resolved").otherwise(n["status"]),
+            method=F.when(given, "inherited").otherwise(n["method"]),
         )
 
-    return grouped.withColumn("nodes", F.transform("nodes", agreed))
+    return F.aggregate(nodes, F.slice(nodes, 1, 0), step)
+
+
+def agreed_nodes(nodes: Column, candidate: Column) -> Column:
+    """The nodes with the role of their direct children, where at least two of them agree by rule."""
+
+    def one(n: Column) -> Column:
+        asks = (n["status"] == "unresolved") & (F.size(n["candidate_roles"]) == 0) & (n["node_kind"] != TITLE) & (n["ordinal"] != candidate)
+        children = F.filter(nodes, lambda c: c["parent_ordinal"] == n["ordinal"])
+        return F.when(asks, let(children, lambda own: agreed(n, own))).otherwise(changed(n))
+
+    def agreed(n: Column, children: Column) -> Column:
+        ruled = lambda c: (c["method"] == "rule") & (c["status"] == "resolved") & (c["role"] != UNKNOWN)
+        roles = F.array_distinct(F.transform(children, lambda c: F.when(ruled(c), c["role"])))
+        one_role = F.when((F.size(children) >= 2) & (F.size(roles) == 1), F.get(roles, F.lit(0)))
+        return let(one_role, lambda role: F.when(role.isNotNull(), consenting(n, role)).otherwise(changed(n)))
+
+    def consenting(n: Column, role: Column) -> Column:
+        return changed(n, role=role, content_class=content_class(role), status=F.lit("resolved"), method=F.lit("child_consensus"))
+
+    return F.transform(nodes, one)
 
 
 def paper_trees(papers: DataFrame) -> DataFrame:
     """One row for each paper: size, markdown_hash, h1 to h6, nodes, title_ordinal, title_method, candidate.
 
-    A paper without headings of levels 1 to 4 has one node at level 0 that spans its whole text.
+    A paper without headings of levels 1 to 4 has one node at level 0 that spans its whole text. A paper's nodes are one
+    row's array: as many as a paper has headings, whatever the number of papers.
     """
-    headings = paper_headings(papers)
-    tree = build_tree(heading_nodes(headings)).drop("h1_count")
-    node = tree.schema["nodes"].dataType.elementType
+    rows = paper_headings(papers).select("paper_id", "size", "markdown_hash", *level_counts(), F.explode(F.array(node_array())).alias("raw"))
+    # as columns of their own: the optimizer stumbles over fields of a struct that comes out of a generator
+    rows = rows.select("*", F.inline(F.array(title_of(F.col("raw")))))
+    rows = bound(rows, "titled", titled_nodes(F.col("raw"), F.col("title_ordinal"), F.col("candidate")))
+    rows = bound(rows, "linked", linked_nodes(F.col("titled")))
+    rows = bound(rows, "grown", agreed_nodes(F.col("linked"), F.col("candidate")))
+    node = rows.schema["grown"].dataType.elementType
     bare = {
         "ordinal": F.lit(0), "heading_level": F.lit(0), "start_offset": F.lit(0), "end_offset": F.col("size"),
         "node_kind": F.lit("section"), "role": F.lit(UNKNOWN), "content_class": F.lit(CONTENT_CLASS[UNKNOWN]),
@@ -226,14 +292,8 @@ def paper_trees(papers: DataFrame) -> DataFrame:
         "candidate_roles": empty(), "matched_keywords": empty(), "parent_ordinal": F.lit(-1),
     }
     headless = F.array(F.struct(*(bare.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in node.fields)))
-    rows = headings.select("paper_id", "size", "markdown_hash", *level_counts()).join(tree, "paper_id", "left")
-    return rows.withColumns(
-        {
-            "nodes": F.coalesce("nodes", headless),
-            "title_ordinal": F.coalesce("title_ordinal", F.lit(-1)),
-            "candidate": F.coalesce("candidate", F.lit(-1)),
-        }
-    )
+    rows = bound(rows, "nodes", F.when(F.size("grown") > 0, F.col("grown")).otherwise(headless))
+    return rows.select("paper_id", "size", "markdown_hash", *(f"h{n}" for n in range(1, 7)), "title_ordinal", "title_method", "candidate", "nodes")
 
 
 def section_nodes(trees: DataFrame) -> DataFrame:
