@@ -88,7 +88,14 @@ def parse_container(s: Column) -> Column:
         F.when(s.isin(*APPENDIX_ALIASES), outcome(F.lit("appendix"), nothing, F.lit("")))
         .when(trigger.isNull(), outcome(nothing, nothing, s))
         .when(rest == "", outcome(F.lit("appendix"), nothing, F.lit("")))
-        .when(labelled, outcome(F.lit("appendix"), F.upper(F.regexp_extract(rest, LABELLED, 1)), trim_chars(F.regexp_extract(rest, LABELLED, 2), " :.-")))
+        .when(
+            labelled,
+            outcome(
+                F.lit("appendix"),
+                F.upper(F.regexp_extract(rest, LABELLED, 1)),
+                trim_chars(F.regexp_extract(rest, LABELLED, 2), " :.-"),
+            ),
+        )
         .otherwise(outcome(F.lit("appendix"), nothing, trim_chars(rest, " :.-")))
     )
 
@@ -105,7 +112,11 @@ def whole_word_places(s: Column, word: Column) -> Column:
     places = F.when((n > 0) & (last > 0), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
     def free(i: Column) -> Column:
-        return (F.substring(s, i, n) == word) & ~F.substring(s, i + n, F.lit(1)).rlike(WORD) & ~F.when(i > 1, F.substring(s, i - 1, F.lit(1))).otherwise(F.lit("")).rlike(WORD)
+        return (
+            (F.substring(s, i, n) == word)
+            & ~F.substring(s, i + n, F.lit(1)).rlike(WORD)
+            & ~F.when(i > 1, F.substring(s, i - 1, F.lit(1))).otherwise(F.lit("")).rlike(WORD)
+        )
 
     return F.filter(places, free)
 
@@ -135,7 +146,11 @@ ZERO_WIDTH, ELLIPSIS = "\u200B\u200C\u200D\uFEFF", "\u2026"
 
 def normalise_quote(s: Column) -> Column:
     """Typography folded, white space collapsed, case kept."""
-    folded = replaced(s, APOSTROPHES + QUOTES + DASHES + ZERO_WIDTH, [*"'" * len(APOSTROPHES), *'"' * len(QUOTES), *"-" * len(DASHES), *[""] * len(ZERO_WIDTH)])
+    folded = replaced(
+        s,
+        APOSTROPHES + QUOTES + DASHES + ZERO_WIDTH,
+        [*"'" * len(APOSTROPHES), *'"' * len(QUOTES), *"-" * len(DASHES), *[""] * len(ZERO_WIDTH)],
+    )
     return F.trim(F.regexp_replace(F.replace(folded, F.lit(ELLIPSIS), F.lit("...")), rf"[{BLANK}]+", " "))
 
 
@@ -156,7 +171,16 @@ def group_of(label: Column) -> Column:
 
 
 #: What a kind of study part begins with.
-KIND_PREFIXES = (("stud", "study"), ("experiment", "experiment"), ("phase", "phase"), ("sample", "sample"), ("dataset", "dataset"), ("data set", "dataset"), ("wave", "wave"), ("round", "round"))
+KIND_PREFIXES = (
+    ("stud", "study"),
+    ("experiment", "experiment"),
+    ("phase", "phase"),
+    ("sample", "sample"),
+    ("dataset", "dataset"),
+    ("data set", "dataset"),
+    ("wave", "wave"),
+    ("round", "round"),
+)
 
 
 def normalise_kind(s: Column) -> Column:
@@ -170,7 +194,10 @@ def is_heading_line(line: Column) -> Column:
 
 def sort_labels(labels: Column) -> Column:
     """Numbers first in their order, then the rest by text."""
-    keyed = F.transform(labels, lambda x: F.struct(F.when(x.try_cast("int").isNull(), 1).otherwise(0).alias("kind"), F.coalesce(x.try_cast("int"), F.lit(0)).alias("n"), x.alias("label")))
+    keyed = F.transform(
+        labels,
+        lambda x: F.struct(F.when(x.try_cast("int").isNull(), 1).otherwise(0).alias("kind"), F.coalesce(x.try_cast("int"), F.lit(0)).alias("n"), x.alias("label")),
+    )
     return F.transform(F.array_sort(keyed), lambda x: x["label"])
 
 
@@ -202,7 +229,13 @@ def parse_crop(url: Column) -> Column:
         return F.coalesce(F.regexp_extract(query, rf"(?:\A|&){name}=([+-]?[0-9]+)(?:&|\z)", 1).try_cast("int"), F.lit(0))
 
     page = F.coalesce(F.regexp_extract(path, r"-([0-9]+)\.[A-Za-z]+\z", 1).try_cast("int"), F.lit(0))
-    return F.struct(page.alias("page"), number("top_left_x").alias("crop_x"), number("top_left_y").alias("crop_y"), number("width").alias("crop_width"), number("height").alias("crop_height"))
+    return F.struct(
+        page.alias("page"),
+        number("top_left_x").alias("crop_x"),
+        number("top_left_y").alias("crop_y"),
+        number("width").alias("crop_width"),
+        number("height").alias("crop_height"),
+    )
 
 
 def extract_title(markdown: Column, lines: int = 10) -> Column:

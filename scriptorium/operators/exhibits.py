@@ -126,7 +126,9 @@ def figures(papers: DataFrame) -> DataFrame:
     named = F.transform(
         "i.near",
         lambda x: F.struct(
-            F.when(~x["line"].rlike(HEADING), caption(x["line"], FIGURE_CAPTION)).alias("c"), x["start"].alias("start"), x["stop"].alias("stop")
+            F.when(~x["line"].rlike(HEADING), caption(x["line"], FIGURE_CAPTION)).alias("c"), x["start"].alias("start"), x["stop"].alias(
+                "stop",
+            )
         ),
     )
     rows = rows.withColumn("_near", F.get(F.filter(named, lambda x: x["c"].isNotNull()), F.lit(0))).filter("_near is not null")

@@ -28,8 +28,19 @@ def dedupe(landed: DataFrame) -> DataFrame:
 
 def lifecycle(landed: DataFrame) -> DataFrame:
     """landed (markdown, error, started) with status and title: failed with an error, ready with markdown, else on its way."""
-    status = F.when(F.coalesce("error", F.lit("")) != "", "failed").when(F.coalesce("markdown", F.lit("")) != "", "ready").when(F.col("started"), "processing").otherwise("pending")
-    return landed.withColumns({"status": status, "title": F.when(status == "ready", extract_title(F.col("markdown"))), "markdown_hash": F.when(status == "ready", markdown_hash(F.col("markdown")))})
+    status = (
+        F.when(F.coalesce("error", F.lit("")) != "", "failed")
+        .when(F.coalesce("markdown", F.lit("")) != "", "ready")
+        .when(F.col("started"), "processing")
+        .otherwise("pending")
+    )
+    return landed.withColumns(
+        {
+            "status": status,
+            "title": F.when(status == "ready", extract_title(F.col("markdown"))),
+            "markdown_hash": F.when(status == "ready", markdown_hash(F.col("markdown"))),
+        },
+    )
 
 
 def approved(papers: DataFrame) -> DataFrame:
@@ -39,7 +50,11 @@ def approved(papers: DataFrame) -> DataFrame:
     """
     computed = markdown_hash(F.col("markdown"))
     stored = F.coalesce("markdown_hash", F.lit(""))
-    refusal = F.when(F.coalesce("status", F.lit("")) != "ready", "not ready").when(F.coalesce("markdown", F.lit("")) == "", "no markdown").when((stored != "") & (stored != computed), "hash differs")
+    refusal = (
+        F.when(F.coalesce("status", F.lit("")) != "ready", "not ready")
+        .when(F.coalesce("markdown", F.lit("")) == "", "no markdown")
+        .when((stored != "") & (stored != computed), "hash differs")
+    )
     return papers.withColumns({"refusal": refusal, "computed_hash": F.when(refusal.isNull(), computed)})
 
 
@@ -93,7 +108,10 @@ def gauges(events: DataFrame, labels: Sequence[str], value: str, time: str, tie:
 def label_text(labels: Sequence[str]) -> Column:
     """Labels as name="value", joined by commas; quotes, backslashes and newlines in values are escaped."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    return F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"')) for c in labels))
+    return F.concat_ws(
+        ",",
+        *(F.concat(F.lit(f'{c}="'), escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"')) for c in labels),
+    )
 
 
 def number_text(value: Column) -> Column:

@@ -23,7 +23,9 @@ def term_counts(papers: DataFrame, glossary: list[tuple[str, str | None]] = GLOS
     A term's first word must be among the text's words, and the term a part of the text, before its pattern runs.
     """
     firsts = [re.match(r"\w+", folded(t))[0] for t, _ in glossary]
-    names, folds, patterns, markers, keys = (literal_array(x) for x in zip(*((t, folded(t), count_pattern(folded(t)), m or "", k) for (t, m), k in zip(glossary, firsts, strict=True)), strict=True))
+    names, folds, patterns, markers, keys = (
+        literal_array(x) for x in zip(*((t, folded(t), count_pattern(folded(t)), m or "", k) for (t, m), k in zip(glossary, firsts, strict=True)), strict=True)
+    )
     wanted = literal_array(sorted({w for k in firsts for w in (k, k + "s")}))
     text = lower_simple(F.replace(F.coalesce("markdown", F.lit("")), F.lit("\u2019"), F.lit("'")))
 
@@ -33,11 +35,20 @@ def term_counts(papers: DataFrame, glossary: list[tuple[str, str | None]] = GLOS
     def counts(lowered: Column, there: Column) -> Column:
         def may_occur(i: Column) -> Column:
             key = F.get(keys, i)
-            return (F.array_contains(there, key) | F.array_contains(there, F.concat(key, F.lit("s")))) & F.contains(lowered, F.get(folds, i))
+            return (
+                (F.array_contains(there, key) | F.array_contains(there, F.concat(key, F.lit("s"))))
+                & F.contains(lowered, F.get(folds, i))
+            )
 
         present = F.filter(F.sequence(F.lit(0), F.lit(len(glossary) - 1)), may_occur)
-        counted = F.transform(present, lambda i: F.struct((-F.regexp_count(lowered, F.get(patterns, i))).alias("minus"), F.get(names, i).alias("term"), F.nullif(F.get(markers, i), F.lit("")).alias("marker")))
-        return F.transform(F.array_sort(F.filter(counted, lambda t: t["minus"] < 0)), lambda t: F.struct((-t["minus"]).alias("hits"), t["term"].alias("term"), t["marker"].alias("marker")))
+        counted = F.transform(
+            present,
+            lambda i: F.struct((-F.regexp_count(lowered, F.get(patterns, i))).alias("minus"), F.get(names, i).alias("term"), F.nullif(F.get(markers, i), F.lit("")).alias("marker")),
+        )
+        return F.transform(
+            F.array_sort(F.filter(counted, lambda t: t["minus"] < 0)),
+            lambda t: F.struct((-t["minus"]).alias("hits"), t["term"].alias("term"), t["marker"].alias("marker")),
+        )
 
     return papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), let(text, fired).alias("fired"))
 
@@ -64,6 +75,14 @@ def methodology(papers: DataFrame) -> DataFrame:
     total = F.col("qualitative_hits") + F.col("quantitative_hits")
     rows = rows.withColumn("score", F.when(total > 0, (F.col("quantitative_hits") - F.col("qualitative_hits")) / total).otherwise(0.0))
     decided = (F.col("distinct_markers") >= LEAST_MARKERS) & (total > 0)
-    rows = rows.withColumn("methodology_class", F.when(decided & (F.col("score") > MARGIN), "quantitative").when(decided & (F.col("score") < -MARGIN), "qualitative"))
-    per = [F.when(F.col("size") > 0, F.col(f"{k}_hits") / F.col("size") * 10000).otherwise(0.0).alias(f"{k}_rate") for k in ("qualitative", "quantitative")]
-    return rows.select("*", *per, F.when(F.col("methodology_class").isNull(), "unresolved").otherwise("resolved").alias("status")).drop("size")
+    rows = rows.withColumn(
+        "methodology_class",
+        F.when(decided & (F.col("score") > MARGIN), "quantitative").when(decided & (F.col("score") < -MARGIN), "qualitative"),
+    )
+    per = [
+        F.when(F.col("size") > 0, F.col(f"{k}_hits") / F.col("size") * 10000).otherwise(0.0).alias(f"{k}_rate")
+        for k in ("qualitative", "quantitative")
+    ]
+    return rows.select("*", *per, F.when(F.col("methodology_class").isNull(), "unresolved").otherwise("resolved").alias("status")).drop(
+        "size",
+    )

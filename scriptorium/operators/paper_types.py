@@ -29,12 +29,20 @@ FIELDS = "primary_type subtype secondary_type decision_rule confidence evidence
 
 def parse_verdicts(responses: DataFrame) -> DataFrame:
     """responses (raw_response) with verdict (a struct, null if it can't be read) and error (the first breach, or null)."""
-    answer, tag = between(F.col("raw_response"), "<answer>", "</answer>"), trim_blank(between(F.col("raw_response"), "<verdict>", "</verdict>"))
+    answer, tag = between(F.col("raw_response"), "<answer>", "</answer>"), trim_blank(
+        between(F.col("raw_response"), "<verdict>", "</verdict>"),
+    )
     body = trim_blank(F.regexp_replace(F.regexp_replace(trim_blank(answer), r"\A(?:```json|```)", ""), r"```\z", ""))
 
     def judged(v: Column) -> Column:
         broken = v.isNull() | v["_broken"].isNotNull() | ~F.coalesce(F.startswith(body, F.lit("{")), F.lit(False))
-        error = F.when(answer.isNull(), "no <answer> block").when(tag.isNull(), "no <verdict> block").when(broken, "invalid JSON").when(tag != F.coalesce(v["primary_type"], F.lit("")), "verdict tag differs from primary_type").otherwise(breach(v))
+        error = (
+            F.when(answer.isNull(), "no <answer> block")
+            .when(tag.isNull(), "no <verdict> block")
+            .when(broken, "invalid JSON")
+            .when(tag != F.coalesce(v["primary_type"], F.lit("")), "verdict tag differs from primary_type")
+            .otherwise(breach(v))
+        )
         return F.struct(error.alias("error"), F.struct(*(v[c].alias(c) for c in FIELDS)).alias("verdict"))
 
     parsed = F.from_json(body, VERDICT + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
@@ -66,7 +74,10 @@ def breach(v: Column) -> Column:
         .when(F.exists(quotes, lambda e: blank(e["quote"])), "empty quote")
         .when(F.exists(quotes, lambda e: word_count(e["quote"]) > QUOTE_WORDS), "quote too long")
         .when(v["counter_evidence"].isNotNull() & blank(v["counter_evidence"]["quote"]), "empty counter quote")
-        .when(v["counter_evidence"].isNotNull() & ~F.coalesce(v["counter_evidence"]["points_to"], F.lit("")).isin(*TYPES), "unknown points_to")
+        .when(
+            v["counter_evidence"].isNotNull() & ~F.coalesce(v["counter_evidence"]["points_to"], F.lit("")).isin(*TYPES),
+            "unknown points_to",
+        )
     )
 
 
@@ -87,7 +98,10 @@ def verify_verdicts(responses: DataFrame, papers: DataFrame) -> DataFrame:
 
     def held(text: Column) -> Column:
         found = F.size(F.filter("_own", lambda q: holds(text, q)))
-        return F.struct(found.alias("quotes_verified"), F.when(counter.isNotNull(), holds(text, F.col("_counter"))).alias("counter_verified"))
+        return F.struct(
+            found.alias("quotes_verified"),
+            F.when(counter.isNotNull(), holds(text, F.col("_counter"))).alias("counter_verified"),
+        )
 
     plainly = F.forall("_own", lambda q: holds(text, q)) & (counter.isNull() | holds(text, F.col("_counter")))
     joined = valid.join(papers.select("paper_id", "markdown"), "paper_id")
@@ -107,13 +121,31 @@ def verify_verdicts(responses: DataFrame, papers: DataFrame) -> DataFrame:
 def reason(v: Column) -> Column:
     """One line on what a verdict means for the paper."""
     primary = v["primary_type"]
-    means = F.when(primary == "A", "empirical").when(primary == "B", "synthesis of earlier studies").when(primary == "C", "conceptual").when(primary == "D", "formal").otherwise("unclassified")
-    return F.concat_ws(": ", means, F.nullif(F.coalesce(v["subtype"], F.lit("")), F.lit("")), F.when(primary == UNCLASSIFIED, v["unclassified_reason"]))
+    means = (
+        F.when(primary == "A", "empirical")
+        .when(primary == "B", "synthesis of earlier studies")
+        .when(primary == "C", "conceptual")
+        .when(primary == "D", "formal")
+        .otherwise("unclassified")
+    )
+    return F.concat_ws(
+        ": ",
+        means,
+        F.nullif(F.coalesce(v["subtype"], F.lit("")), F.lit("")),
+        F.when(primary == UNCLASSIFIED, v["unclassified_reason"]),
+    )
 
 
 def route(verified: DataFrame) -> DataFrame:
     """verified with route: unverified quotes are refused first, then papers that aren't empirical."""
-    return verified.withColumn("route", F.when(F.col("quotes_verified") != F.col("quotes_expected"), "unverified_quotes").when(~F.col("empirical"), "not_empirical").otherwise("allowed"))
+    return verified.withColumn(
+        "route",
+        (
+            F.when(F.col("quotes_verified") != F.col("quotes_expected"), "unverified_quotes")
+            .when(~F.col("empirical"), "not_empirical")
+            .otherwise("allowed")
+        ),
+    )
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
@@ -130,6 +162,8 @@ def work_queue(papers: DataFrame, verdicts: DataFrame) -> DataFrame:
 def build_input(form: Column, headings: Column, body: Column) -> Column:
     """The model's input: form, complete heading list, manuscript. Null without a body, or a selection without headings."""
     listed = F.array_join(F.transform(headings, lambda h: F.concat(F.lit("  "), trim_blank(h), F.lit("\n"))), "")
-    section = F.when(F.size(headings) > 0, F.concat(F.lit("COMPLETE HEADING LIST (every heading in the document, in order):\n"), listed, F.lit("\n"))).otherwise("")
+    section = F.when(F.size(headings) > 0, F.concat(F.lit("COMPLETE HEADING LIST (every heading in the document, in order):\n"), listed, F.lit("\n"))).otherwise(
+        "",
+    )
     whole = F.concat(F.lit("INPUT FORM: "), form, F.lit("\n\n"), section, F.lit("MANUSCRIPT:\n\n"), body)
     return F.when((trim_blank(body) != "") & ~((form == "SELECTION") & (F.coalesce(F.size(headings), F.lit(0)) <= 0)), whole)

@@ -19,8 +19,14 @@ LABELLED = rf"(?i)(?<!{ASCII_WORD})(stud(?:y|ies)|experiments?|phases?|samples?|
 
 def scan(text: Column) -> Column:
     """Every numbered part that a text names: array of (kind, label, study_group)."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(LABELLED), F.lit(2)).alias("l"))
-    return F.transform(pairs, lambda p: F.struct(normalise_kind(p["k"]).alias("kind"), F.upper(p["l"]).alias("label"), group_of(F.upper(p["l"])).alias("study_group")))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(LABELLED), F.lit(1)).alias("k"),
+        F.regexp_extract_all(text, F.lit(LABELLED), F.lit(2)).alias("l"),
+    )
+    return F.transform(
+        pairs,
+        lambda p: F.struct(normalise_kind(p["k"]).alias("kind"), F.upper(p["l"]).alias("label"), group_of(F.upper(p["l"])).alias("study_group")),
+    )
 
 
 EVIDENCE = "ordinal:int,kind:string,label:string,study_group:string,found_in:string"
@@ -88,7 +94,15 @@ def study_gate(papers: DataFrame) -> DataFrame:
 def study_evidence(papers: DataFrame) -> DataFrame:
     """Evidence rows in order: headings first, then the first strong mention of each group in the text."""
     rows = unit_evidence(papers).select("paper_id", F.posexplode(F.concat("in_headings", "in_text")).alias("position", "e"))
-    return rows.select("paper_id", "position", "e.kind", "e.label", "e.study_group", "e.found_in", F.col("e.ordinal").alias("heading_ordinal"))
+    return rows.select(
+        "paper_id",
+        "position",
+        "e.kind",
+        "e.label",
+        "e.study_group",
+        "e.found_in",
+        F.col("e.ordinal").alias("heading_ordinal"),
+    )
 
 
 def current_gates(log: DataFrame) -> DataFrame:
@@ -121,4 +135,11 @@ def scope_summary(nodes: DataFrame) -> DataFrame:
 
 def research_units(gates: DataFrame) -> DataFrame:
     """The one unit of each paper that reports a single study."""
-    return gates.filter("verdict = 'single'").select("paper_id", F.lit("study").alias("unit_type"), F.lit(1).alias("unit_index"), F.lit("RU1").alias("unit_ref"), F.lit("Study 1").alias("label"), F.lit("accepted_single_study").alias("status"))
+    return gates.filter("verdict = 'single'").select(
+        "paper_id",
+        F.lit("study").alias("unit_type"),
+        F.lit(1).alias("unit_index"),
+        F.lit("RU1").alias("unit_ref"),
+        F.lit("Study 1").alias("label"),
+        F.lit("accepted_single_study").alias("status"),
+    )

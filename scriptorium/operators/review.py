@@ -65,7 +65,12 @@ def latest_decisions(decisions: DataFrame, consumed: DataFrame | None = None) ->
         decisions = decisions.join(consumed, "run_id", "left").filter("consumed_at is null or ts <= consumed_at").drop("consumed_at")
     rest = [c for c in decisions.columns if c not in ("task_id", "decision_id", "ts")]
     order = F.struct("ts", "decision_id")
-    return decisions.groupBy("task_id").agg(F.min_by("decision_id", order).alias("decision_id"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), *(F.max_by(c, order).alias(c) for c in rest))
+    return decisions.groupBy("task_id").agg(
+        F.min_by("decision_id", order).alias("decision_id"),
+        F.min("ts").alias("created_at"),
+        F.max("ts").alias("updated_at"),
+        *(F.max_by(c, order).alias(c) for c in rest),
+    )
 
 
 def valid_rejections(rejections: DataFrame, runs: DataFrame) -> DataFrame:
@@ -89,7 +94,16 @@ def superseded_runs(runs: DataFrame, rejections: DataFrame) -> DataFrame:
 
 def effective_roles(nodes: DataFrame, tasks: DataFrame, decisions: DataFrame) -> DataFrame:
     """nodes with the role, class and status in force: a rejection clears the role, a decision replaces it."""
-    answered = tasks.filter("review_reason <> 'title_ambiguity'").join(decisions.select("task_id", "decision", "assigned_role"), "task_id").select("paper_id", F.col("section_ordinal").alias("ordinal"), "decision", F.coalesce("assigned_role", F.when(F.col("review_reason") == "no_structure", "Unknown")).alias("assigned_role"))
+    answered = (
+        tasks.filter("review_reason <> 'title_ambiguity'")
+        .join(decisions.select("task_id", "decision", "assigned_role"), "task_id")
+        .select(
+            "paper_id",
+            F.col("section_ordinal").alias("ordinal"),
+            "decision",
+            F.coalesce("assigned_role", F.when(F.col("review_reason") == "no_structure", "Unknown")).alias("assigned_role"),
+        )
+    )
     rows = nodes.join(answered, ["paper_id", "ordinal"], "left")
     rejected, given = F.col("decision") == "reject", F.col("decision").isNotNull()
     role = F.when(rejected, None).when(given, F.col("assigned_role")).otherwise(F.col("role"))
@@ -103,7 +117,12 @@ def effective_titles(runs: DataFrame, tasks: DataFrame, decisions: DataFrame) ->
     """The title in force for each run, and the node that holds it: the one that a decision names, if any."""
     named = "assigned_title_node" if "assigned_title_node" in decisions.columns else F.lit(None).cast("string").alias("assigned_title_node")
     answers = decisions.select("task_id", "decision", "assigned_title_text", named)
-    own = tasks.filter("review_reason = 'title_ambiguity'").join(answers, "task_id").drop("task_id").select("run_id", "decision", "assigned_title_text", "assigned_title_node")
+    own = (
+        tasks.filter("review_reason = 'title_ambiguity'")
+        .join(answers, "task_id")
+        .drop("task_id")
+        .select("run_id", "decision", "assigned_title_text", "assigned_title_node")
+    )
     rejected, given = F.col("decision") == "reject", F.col("decision").isNotNull()
     machine = F.when(F.col("title_ordinal") >= 0, node_id(F.col("title_ordinal")))
     return runs.join(own, "run_id", "left").select(
@@ -138,19 +157,44 @@ def gate(runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: Da
     state = tasks.join(decisions.select("task_id", "decision"), "task_id", "left").groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("decision").isNull()).alias("open"), F.count_if(F.col("decision") == "reject").alias("rejected"), F.count_if(F.col("decision") != "reject").alias("resolved")
     )
-    rows = runs.select("run_id").join(state, "run_id", "left").join(first_rejections(rejections).select("run_id", F.lit(True).alias("run_rejected")), "run_id", "left").fillna(0).fillna(False)
-    return rows.withColumn("state", F.when(F.col("run_rejected") | (F.col("rejected") > 0), "returned").when(F.col("open") > 0, "open").otherwise("passed"))
+    rows = (
+        runs.select("run_id")
+        .join(state, "run_id", "left")
+        .join(first_rejections(rejections).select("run_id", F.lit(True).alias("run_rejected")), "run_id", "left")
+        .fillna(0)
+        .fillna(False)
+    )
+    return rows.withColumn(
+        "state",
+        F.when(F.col("run_rejected") | (F.col("rejected") > 0), "returned").when(F.col("open") > 0, "open").otherwise("passed"),
+    )
 
 
 def author_return(runs: DataFrame, trees: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
     """Items for the author of each returned run: the run's own rejection first, then rejected tasks in their order."""
     first = first_rejections(rejections).join(runs.select("run_id"), "run_id")
     text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
-    whole = first.select("run_id", F.lit(-1).alias("place"), text.alias("task_id"), F.lit("run_rejected").alias("review_reason"), text.alias("heading_raw"), none.alias("ancestors"), "comment")
+    whole = first.select(
+        "run_id",
+        F.lit(-1).alias("place"),
+        text.alias("task_id"),
+        F.lit("run_rejected").alias("review_reason"),
+        text.alias("heading_raw"),
+        none.alias("ancestors"),
+        "comment",
+    )
     asked = tasks.join(decisions.filter("decision = 'reject'").select("task_id", "comment"), "task_id").join(
         review_context(trees).select("paper_id", F.col("ordinal").alias("section_ordinal"), "heading_raw", "ancestors"), ["paper_id", "section_ordinal"], "left"
     )
-    own = asked.select("run_id", F.col("task_ordinal").alias("place"), "task_id", "review_reason", "heading_raw", F.coalesce("ancestors", none).alias("ancestors"), "comment")
+    own = asked.select(
+        "run_id",
+        F.col("task_ordinal").alias("place"),
+        "task_id",
+        "review_reason",
+        "heading_raw",
+        F.coalesce("ancestors", none).alias("ancestors"),
+        "comment",
+    )
     order = Window.partitionBy("run_id").orderBy("place")
     return whole.unionByName(own).withColumn("position", F.row_number().over(order) - 1).drop("place")
 
@@ -176,7 +220,11 @@ def return_snapshot(items: DataFrame, asked: DataFrame, returned: DataFrame | No
 def consumable(gates: DataFrame, consumptions: DataFrame) -> DataFrame:
     """Runs that passed and were consumed, with the first time; a consumption of a run that did not pass counts for nothing."""
     passed = gates.filter("state = 'passed'").select("run_id")
-    return consumptions.join(passed, "run_id").groupBy("run_id").agg(F.min("ts").alias("consumed_at"), F.min_by("consumed_by", F.struct("ts", "consumed_by")).alias("consumed_by"))
+    return (
+        consumptions.join(passed, "run_id")
+        .groupBy("run_id")
+        .agg(F.min("ts").alias("consumed_at"), F.min_by("consumed_by", F.struct("ts", "consumed_by")).alias("consumed_by"))
+    )
 
 
 def review_items(tasks: DataFrame, decisions: DataFrame, trees: DataFrame, runs: DataFrame, papers: DataFrame) -> DataFrame:

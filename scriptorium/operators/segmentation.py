@@ -42,9 +42,18 @@ def keyword_matches(semantic: Column) -> Column:
 
     def matched(ordered: Column) -> Column:
         def one(m: Column) -> Column:
-            around = F.filter(ordered, lambda o: (o["start"] <= m["start"]) & (o["minus_end"] <= m["minus_end"]) & (-o["minus_end"] - o["start"] > -m["minus_end"] - m["start"]))
+            around = F.filter(
+                ordered,
+                lambda o: (o["start"] <= m["start"]) & (o["minus_end"] <= m["minus_end"]) & (-o["minus_end"] - o["start"] > -m["minus_end"] - m["start"]),
+            )
             role = looked_up(m["keyword"], KEYWORD_ROLE)
-            return F.struct(m["keyword"].alias("keyword"), role.alias("role"), m["start"].alias("start"), (-m["minus_end"]).alias("end"), F.get(around, F.lit(0))["keyword"].alias("suppressed_by"))
+            return F.struct(
+                m["keyword"].alias("keyword"),
+                role.alias("role"),
+                m["start"].alias("start"),
+                (-m["minus_end"]).alias("end"),
+                F.get(around, F.lit(0))["keyword"].alias("suppressed_by"),
+            )
 
         return F.transform(ordered, one)
 
@@ -69,7 +78,11 @@ def classification(s: Column) -> Column:
         return F.struct(roles.alias("roles"), words.alias("words"))
 
     def judged(exact: Column, matches: Column, live: Column) -> Column:
-        role = F.when(nothing, F.lit(UNKNOWN)).when(exact.isNotNull(), exact).when(F.size(live["roles"]) == 1, F.get(live["roles"], F.lit(0)))
+        role = (
+            F.when(nothing, F.lit(UNKNOWN))
+            .when(exact.isNotNull(), exact)
+            .when(F.size(live["roles"]) == 1, F.get(live["roles"], F.lit(0)))
+        )
         return let(role, lambda r: outcome(r, exact, matches, live))
 
     def outcome(role: Column, exact: Column, matches: Column, live: Column) -> Column:
@@ -278,7 +291,13 @@ def paper_trees(papers: DataFrame) -> DataFrame:
     A paper without headings of levels 1 to 4 has one node at level 0 that spans its whole text. A paper's nodes are one
     row's array: as many as a paper has headings, whatever the number of papers.
     """
-    rows = paper_headings(papers).select("paper_id", "size", "markdown_hash", *level_counts(), F.explode(F.array(node_array())).alias("raw"))
+    rows = paper_headings(papers).select(
+        "paper_id",
+        "size",
+        "markdown_hash",
+        *level_counts(),
+        F.explode(F.array(node_array())).alias("raw"),
+    )
     # as columns of their own: the optimizer stumbles over fields of a struct that comes out of a generator
     rows = rows.select("*", F.inline(F.array(title_of(F.col("raw")))))
     rows = bound(rows, "titled", titled_nodes(F.col("raw"), F.col("title_ordinal"), F.col("candidate")))
@@ -293,7 +312,16 @@ def paper_trees(papers: DataFrame) -> DataFrame:
     }
     headless = F.array(F.struct(*(bare.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in node.fields)))
     rows = bound(rows, "nodes", F.when(F.size("grown") > 0, F.col("grown")).otherwise(headless))
-    return rows.select("paper_id", "size", "markdown_hash", *(f"h{n}" for n in range(1, 7)), "title_ordinal", "title_method", "candidate", "nodes")
+    return rows.select(
+        "paper_id",
+        "size",
+        "markdown_hash",
+        *(f"h{n}" for n in range(1, 7)),
+        "title_ordinal",
+        "title_method",
+        "candidate",
+        "nodes",
+    )
 
 
 def section_nodes(trees: DataFrame) -> DataFrame:
@@ -345,14 +373,34 @@ def review_tasks(trees: DataFrame) -> DataFrame:
     """Open tasks of every run, in order: unresolved nodes, then a document without structure, then the title."""
 
     def task(ordinal: Column, reason: Column, candidates: Column, keywords: Column) -> Column:
-        return F.struct(ordinal.alias("section_ordinal"), reason.alias("review_reason"), candidates.alias("candidate_roles"), keywords.alias("matched_keywords"))
+        return F.struct(
+            ordinal.alias("section_ordinal"),
+            reason.alias("review_reason"),
+            candidates.alias("candidate_roles"),
+            keywords.alias("matched_keywords"),
+        )
 
     asked = F.filter("nodes", lambda n: (n["status"] == "unresolved") & (n["ordinal"] != F.col("candidate")))
-    own = F.transform(asked, lambda n: task(n["ordinal"], F.when(F.size(n["candidate_roles"]) > 0, "multi_role_match").otherwise("zero_role_match"), n["candidate_roles"], n["matched_keywords"]))
-    bare = F.transform(F.filter("nodes", lambda n: n["heading_level"] == 0), lambda n: task(n["ordinal"], F.lit("no_structure"), empty(), empty()))
+    own = F.transform(
+        asked,
+        lambda n: task(n["ordinal"], F.when(F.size(n["candidate_roles"]) > 0, "multi_role_match").otherwise("zero_role_match"), n["candidate_roles"], n["matched_keywords"]),
+    )
+    bare = F.transform(
+        F.filter("nodes", lambda n: n["heading_level"] == 0),
+        lambda n: task(n["ordinal"], F.lit("no_structure"), empty(), empty()),
+    )
     title = F.filter(F.array(task(F.col("candidate"), F.lit("title_ambiguity"), empty(), empty())), lambda t: F.col("title_ordinal") < 0)
     rows = trees.select("paper_id", F.posexplode_outer(F.concat(own, bare, title)).alias("task_ordinal", "t")).filter("t is not null")
-    return rows.select(run_id().alias("run_id"), "paper_id", "task_ordinal", F.concat_ws("/", F.col("paper_id").cast("string"), F.col("task_ordinal").cast("string")).alias("task_id"), "t.section_ordinal", "t.review_reason", "t.candidate_roles", "t.matched_keywords")
+    return rows.select(
+        run_id().alias("run_id"),
+        "paper_id",
+        "task_ordinal",
+        F.concat_ws("/", F.col("paper_id").cast("string"), F.col("task_ordinal").cast("string")).alias("task_id"),
+        "t.section_ordinal",
+        "t.review_reason",
+        "t.candidate_roles",
+        "t.matched_keywords",
+    )
 
 
 def sections_in_row(with_descendants: bool = False) -> Column:
@@ -366,9 +414,19 @@ def sections_in_row(with_descendants: bool = False) -> Column:
             later = F.slice(own, i + 2, F.size(own))
             ends = F.filter(later, lambda x: x["level"] <= h["level"]) if with_descendants else later
             end = F.coalesce(F.get(ends, F.lit(0))["byte_start"], F.col("size"))
-            return F.struct(i.alias("ordinal"), h["text"].alias("heading_raw"), h["span_start"].alias("start_offset"), end.alias("end_offset"))
+            return F.struct(
+                i.alias("ordinal"),
+                h["text"].alias("heading_raw"),
+                h["span_start"].alias("start_offset"),
+                end.alias("end_offset"),
+            )
 
-        whole = F.struct(F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("heading_raw"), F.lit(0).alias("start_offset"), F.col("size").alias("end_offset"))
+        whole = F.struct(
+            F.lit(0).alias("ordinal"),
+            F.lit(None).cast("string").alias("heading_raw"),
+            F.lit(0).alias("start_offset"),
+            F.col("size").alias("end_offset"),
+        )
         return F.when(F.size(own) > 0, F.transform(own, one)).otherwise(F.array(whole))
 
     return let(structural(F.col("headings")), sections)
@@ -380,7 +438,11 @@ def section_texts(papers: DataFrame, with_descendants: bool = False) -> DataFram
     The texts are cut in their paper's own row, so the markdown crosses no exchange.
     """
     ship_package(papers.sparkSession)
-    rows = papers.select("paper_id", F.coalesce("markdown", F.lit("")).alias("markdown"), detect_headings(F.col("markdown")).alias("headings"))
+    rows = papers.select(
+        "paper_id",
+        F.coalesce("markdown", F.lit("")).alias("markdown"),
+        detect_headings(F.col("markdown")).alias("headings"),
+    )
     rows = rows.withColumn("size", F.octet_length("markdown"))
     rows = rows.select("paper_id", F.col("markdown").cast("binary").alias("bytes"), F.explode(sections_in_row(with_descendants)).alias("n"))
     text = F.decode(F.substring("bytes", F.col("n.start_offset") + 1, F.col("n.end_offset") - F.col("n.start_offset")), "UTF-8")
@@ -416,17 +478,38 @@ def review_context(trees: DataFrame) -> DataFrame:
     later = F.filter("nodes", lambda t: (t["ordinal"] > F.col("n.ordinal")) & (t["heading_level"] <= F.col("n.heading_level")))
     last = F.coalesce(F.get(later, F.lit(0))["ordinal"] - 1, F.size("nodes") - 1)
     ancestors = F.filter(F.array(*(F.col(f"a{d}.heading_raw") for d in (2, 1, 0))), lambda h: h.isNotNull())
-    return rows.select("paper_id", "n.ordinal", "n.heading_raw", ancestors.alias("ancestors"), "n.start_offset", F.get("nodes", last)["end_offset"].alias("end_offset"))
+    return rows.select(
+        "paper_id",
+        "n.ordinal",
+        "n.heading_raw",
+        ancestors.alias("ancestors"),
+        "n.start_offset",
+        F.get("nodes", last)["end_offset"].alias("end_offset"),
+    )
 
 
 def paper_facts(papers: DataFrame) -> DataFrame:
     """What the invariants need of each paper: size, n_structural (headings that make nodes), known (the offsets that
     the scan found) and broken (those of them that lie inside a character). Computed in the row that has the text."""
     ship_package(papers.sparkSession)
-    rows = papers.select("paper_id", F.coalesce("markdown", F.lit("")).alias("markdown"), detect_headings(F.col("markdown")).alias("headings"))
+    rows = papers.select(
+        "paper_id",
+        F.coalesce("markdown", F.lit("")).alias("markdown"),
+        detect_headings(F.col("markdown")).alias("headings"),
+    )
     rows = rows.select("paper_id", F.col("markdown").cast("binary").alias("bytes"), structural(F.col("headings")).alias("own"))
-    offsets = F.concat(F.array(F.lit(0), F.octet_length("bytes")), F.transform("own", lambda h: h["span_start"]), F.transform("own", lambda h: h["byte_start"]))
-    rows = rows.select("paper_id", F.octet_length("bytes").alias("size"), F.size("own").alias("n_structural"), F.array_distinct(offsets).alias("known"), "bytes")
+    offsets = F.concat(
+        F.array(F.lit(0), F.octet_length("bytes")),
+        F.transform("own", lambda h: h["span_start"]),
+        F.transform("own", lambda h: h["byte_start"]),
+    )
+    rows = rows.select(
+        "paper_id",
+        F.octet_length("bytes").alias("size"),
+        F.size("own").alias("n_structural"),
+        F.array_distinct(offsets).alias("known"),
+        "bytes",
+    )
     return rows.withColumn("broken", F.filter("known", lambda at: inside_character(F.col("bytes"), at))).drop("bytes")
 
 
@@ -442,7 +525,11 @@ def violations(nodes: DataFrame, papers: DataFrame) -> DataFrame:
     """
     own = F.array_sort(F.collect_list(F.struct("ordinal", "heading_level", "parent_ordinal", "start_offset", "end_offset")))
     per_paper = nodes.groupBy("paper_id").agg(own.alias("own"))
-    rows = paper_facts(papers).join(per_paper, "paper_id", "left").withColumn("own", F.coalesce("own", F.array().cast(per_paper.schema["own"].dataType)))
+    rows = (
+        paper_facts(papers)
+        .join(per_paper, "paper_id", "left")
+        .withColumn("own", F.coalesce("own", F.array().cast(per_paper.schema["own"].dataType)))
+    )
     wanted = F.greatest("n_structural", F.lit(1))
 
     def breaches(n: Column, place: Column) -> Column:
@@ -455,12 +542,25 @@ def violations(nodes: DataFrame, papers: DataFrame) -> DataFrame:
             F.when((start < 0) | (end > F.col("size")), "out_of_range"),
             F.when(F.array_contains("broken", start) | F.array_contains("broken", end), "inside_character"),
         )
-        return F.transform(F.filter(found, lambda v: v.isNotNull()), lambda v: F.struct(n["ordinal"].alias("ordinal"), v.alias("violation")))
+        return F.transform(
+            F.filter(found, lambda v: v.isNotNull()),
+            lambda v: F.struct(n["ordinal"].alias("ordinal"), v.alias("violation")),
+        )
 
     lost = F.when(F.size("own") != wanted, F.array(F.struct(F.lit(-1).alias("ordinal"), F.lit("node_count").alias("violation"))))
-    found = F.concat(F.coalesce(lost, F.array().cast("array<struct<ordinal:int,violation:string>>")), F.flatten(F.transform("own", breaches)))
+    found = F.concat(
+        F.coalesce(lost, F.array().cast("array<struct<ordinal:int,violation:string>>")),
+        F.flatten(F.transform("own", breaches)),
+    )
     plain = rows.select("paper_id", F.inline(found))
-    spans = F.explode(F.flatten(F.transform("own", lambda n: F.array(*(F.struct(n["ordinal"].alias("ordinal"), n[c].alias("at")) for c in ("start_offset", "end_offset"))))))
+    spans = F.explode(
+        F.flatten(
+            F.transform(
+                "own",
+                lambda n: F.array(*(F.struct(n["ordinal"].alias("ordinal"), n[c].alias("at")) for c in ("start_offset", "end_offset"))),
+            ),
+        ),
+    )
     odd = rows.select("paper_id", "size", "known", spans.alias("n")).filter("n.at > 0 and n.at < size and not array_contains(known, n.at)")
     texts = papers.select("paper_id", F.col("markdown").cast("binary").alias("bytes"))
     unknown = odd.select("paper_id", "n.*").join(texts, "paper_id").filter(inside_character(F.col("bytes"), F.col("at")))

@@ -48,7 +48,10 @@ def methodology_terms(spark, sf_dir):
 @query
 def methodology_summary(spark, sf_dir):
     rows = methodology.methodology(papers_of(spark, sf_dir))
-    return rows.groupBy(F.coalesce("methodology_class", F.lit("unresolved")).alias("methodology_class"), "mixed_flag").agg(F.count(F.lit(1)).alias("papers"), F.sum("total_occurrences").alias("occurrences"))
+    return rows.groupBy(F.coalesce("methodology_class", F.lit("unresolved")).alias("methodology_class"), "mixed_flag").agg(
+        F.count(F.lit(1)).alias("papers"),
+        F.sum("total_occurrences").alias("occurrences"),
+    )
 
 
 # -- headings and scalars ---------------------------------------------------------------------------------------------
@@ -90,12 +93,28 @@ def strip_identifier(spark, sf_dir):
 
 @query
 def container_parse(spark, sf_dir):
-    return _texts(spark, sf_dir).select("heading_raw", parse_container(strip_identifiers(normalize(F.col("heading_raw")))).alias("c")).select("heading_raw", "c.container", "c.label", "c.remainder")
+    return (
+        _texts(spark, sf_dir)
+        .select("heading_raw", parse_container(strip_identifiers(normalize(F.col("heading_raw")))).alias("c"))
+        .select("heading_raw", "c.container", "c.label", "c.remainder")
+    )
 
 
 def _matches(spark, sf_dir):
     rows = segmentation.heading_nodes(_headings(spark, sf_dir)).filter("structural_container is null")
-    return rows.select("paper_id", "ordinal", F.explode_outer("matches").alias("m")).filter("m is not null").select("paper_id", "ordinal", "m.keyword", "m.role", F.col("m.start").alias("match_start"), F.col("m.end").alias("match_end"), "m.suppressed_by")
+    return (
+        rows.select("paper_id", "ordinal", F.explode_outer("matches").alias("m"))
+        .filter("m is not null")
+        .select(
+            "paper_id",
+            "ordinal",
+            "m.keyword",
+            "m.role",
+            F.col("m.start").alias("match_start"),
+            F.col("m.end").alias("match_end"),
+            "m.suppressed_by",
+        )
+    )
 
 
 @query
@@ -105,13 +124,28 @@ def keyword_matches(spark, sf_dir):
 
 @query
 def nested_suppression(spark, sf_dir):
-    return _matches(spark, sf_dir).filter("suppressed_by is not null").groupBy("keyword", "suppressed_by").agg(F.count(F.lit(1)).alias("times"))
+    return (
+        _matches(spark, sf_dir)
+        .filter("suppressed_by is not null")
+        .groupBy("keyword", "suppressed_by")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
 
 
 @query
 def heading_roles(spark, sf_dir):
     rows = segmentation.heading_nodes(_headings(spark, sf_dir))
-    return rows.select("paper_id", "ordinal", "semantic_heading", "role", "content_class", "status", "method", joined("candidate_roles"), joined("matched_keywords"))
+    return rows.select(
+        "paper_id",
+        "ordinal",
+        "semantic_heading",
+        "role",
+        "content_class",
+        "status",
+        "method",
+        joined("candidate_roles"),
+        joined("matched_keywords"),
+    )
 
 
 # -- the section tree -------------------------------------------------------------------------------------------------
@@ -148,7 +182,11 @@ def child_consensus(spark, sf_dir):
 
 @query
 def content_class_rollup(spark, sf_dir):
-    rows = nodes_of(spark, sf_dir).groupBy("content_class", "role", "method").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.col("end_offset") - F.col("start_offset")).alias("bytes"))
+    rows = (
+        nodes_of(spark, sf_dir)
+        .groupBy("content_class", "role", "method")
+        .agg(F.count(F.lit(1)).alias("sections"), F.sum(F.col("end_offset") - F.col("start_offset")).alias("bytes"))
+    )
     return rows
 
 
@@ -165,7 +203,14 @@ def segmentation_runs(spark, sf_dir):
 
 @query
 def title_identification(spark, sf_dir):
-    return segmentation.segmentation_runs(trees_of(spark, sf_dir)).select("paper_id", "title_ordinal", "title_status", "title_method", "title_text", "title_candidate_ordinal")
+    return segmentation.segmentation_runs(trees_of(spark, sf_dir)).select(
+        "paper_id",
+        "title_ordinal",
+        "title_status",
+        "title_method",
+        "title_text",
+        "title_candidate_ordinal",
+    )
 
 
 INVARIANT = ["paper_id", "ordinal", "heading_level", "parent_ordinal", "start_offset", "end_offset"]
@@ -247,7 +292,15 @@ class Review:
 @query
 def review_tasks(spark, sf_dir):
     tasks = segmentation.review_tasks(trees_of(spark, sf_dir))
-    return tasks.select("run_id", "task_ordinal", "task_id", "section_ordinal", "review_reason", joined("candidate_roles"), joined("matched_keywords"))
+    return tasks.select(
+        "run_id",
+        "task_ordinal",
+        "task_id",
+        "section_ordinal",
+        "review_reason",
+        joined("candidate_roles"),
+        joined("matched_keywords"),
+    )
 
 
 @query
@@ -308,7 +361,15 @@ def _returned(r):
 
 @query
 def author_return(spark, sf_dir):
-    return _returned(Review(spark, sf_dir)).select("run_id", "position", "task_id", "review_reason", "heading_raw", joined("ancestors"), "comment")
+    return _returned(Review(spark, sf_dir)).select(
+        "run_id",
+        "position",
+        "task_id",
+        "review_reason",
+        "heading_raw",
+        joined("ancestors"),
+        "comment",
+    )
 
 
 @query
@@ -317,7 +378,17 @@ def return_snapshot(spark, sf_dir):
     r = Review(spark, sf_dir)
     before = r.runs.filter("paper_id % 5 = 4")
     found = review.return_snapshot(_returned(r), r.requests.withColumnRenamed("asked_by", "returned_by"), before)
-    return found.select("return_id", "run_id", "returned_by", "consumed_at", "position", "review_reason", "heading_raw", joined("ancestors"), "comment")
+    return found.select(
+        "return_id",
+        "run_id",
+        "returned_by",
+        "consumed_at",
+        "position",
+        "review_reason",
+        "heading_raw",
+        joined("ancestors"),
+        "comment",
+    )
 
 
 @query
@@ -339,7 +410,14 @@ def run_rejection_first(spark, sf_dir):
 
 @query
 def review_context(spark, sf_dir):
-    return segmentation.review_context(trees_of(spark, sf_dir)).select("paper_id", "ordinal", "heading_raw", joined("ancestors"), "start_offset", "end_offset")
+    return segmentation.review_context(trees_of(spark, sf_dir)).select(
+        "paper_id",
+        "ordinal",
+        "heading_raw",
+        joined("ancestors"),
+        "start_offset",
+        "end_offset",
+    )
 
 
 @query
@@ -370,8 +448,22 @@ def gate_upsert(spark, sf_dir):
     key = ["paper_id", F.lit("h").alias("markdown_hash"), F.lit(research_units.RULE_VERSION).alias("rule_version")]
     kind = F.when(F.size("strong_groups") >= 2, "multi").otherwise("other").alias("verdict")
     studies = F.size("strong_groups").alias("study_count")
-    first = rows.select(*key, (F.col("paper_id") * 2).alias("verdict_id"), F.lit(1).alias("ts"), F.lit("draft").alias("verdict"), studies, F.col("in_headings").alias("evidence"))
-    again = rows.filter("paper_id % 3 = 0").select(*key, (F.col("paper_id") * 2 + 1).alias("verdict_id"), F.lit(2).alias("ts"), kind, studies, whole.alias("evidence"))
+    first = rows.select(
+        *key,
+        (F.col("paper_id") * 2).alias("verdict_id"),
+        F.lit(1).alias("ts"),
+        F.lit("draft").alias("verdict"),
+        studies,
+        F.col("in_headings").alias("evidence"),
+    )
+    again = rows.filter("paper_id % 3 = 0").select(
+        *key,
+        (F.col("paper_id") * 2 + 1).alias("verdict_id"),
+        F.lit(2).alias("ts"),
+        kind,
+        studies,
+        whole.alias("evidence"),
+    )
     gates = research_units.current_gates(first.union(again))
     shown = gates.select("paper_id", "verdict_id", "verdict", "study_count")
     evidence = research_units.gate_evidence(gates).select("verdict_id", "position", "kind", "label")
@@ -398,7 +490,10 @@ def scope_summary(spark, sf_dir):
 
 @query
 def verdict_contract(spark, sf_dir):
-    return paper_types.parse_verdicts(relation(spark, sf_dir, "responses")).select("paper_id", F.coalesce("error", F.lit("valid")).alias("outcome"))
+    return paper_types.parse_verdicts(relation(spark, sf_dir, "responses")).select(
+        "paper_id",
+        F.coalesce("error", F.lit("valid")).alias("outcome"),
+    )
 
 
 def _verified(spark, sf_dir):
@@ -417,7 +512,12 @@ def paper_routing(spark, sf_dir):
 
 @query
 def latest_verdict(spark, sf_dir):
-    log = relation(spark, sf_dir, "responses").select("verdict_id", "created_at", (F.col("paper_id") % 97).alias("paper_id"), F.lit("h").alias("markdown_hash"))
+    log = relation(spark, sf_dir, "responses").select(
+        "verdict_id",
+        "created_at",
+        (F.col("paper_id") % 97).alias("paper_id"),
+        F.lit("h").alias("markdown_hash"),
+    )
     return paper_types.latest_verdicts(log)
 
 
@@ -431,14 +531,20 @@ def verdict_work_queue(spark, sf_dir):
 def model_input(spark, sf_dir):
     rows = papers_of(spark, sf_dir).select("paper_id", "markdown", segmentation.detect_headings(F.col("markdown")).alias("headings"))
     form = F.when(F.col("paper_id") % 2 == 0, "FULL").otherwise("SELECTION")
-    return rows.select("paper_id", F.md5(paper_types.build_input(form, F.col("headings.text"), F.col("markdown")).cast("binary")).alias("input_md5"))
+    return rows.select(
+        "paper_id",
+        F.md5(paper_types.build_input(form, F.col("headings.text"), F.col("markdown")).cast("binary")).alias("input_md5"),
+    )
 
 
 # -- ingest -----------------------------------------------------------------------------------------------------------
 
 
 def _landed(spark, sf_dir):
-    return relation(spark, sf_dir, "landed").join(papers_of(spark, sf_dir).withColumn("markdown", F.when(F.col("paper_id") % 29 != 7, F.col("markdown"))), "paper_id")
+    return relation(spark, sf_dir, "landed").join(
+        papers_of(spark, sf_dir).withColumn("markdown", F.when(F.col("paper_id") % 29 != 7, F.col("markdown"))),
+        "paper_id",
+    )
 
 
 @query
@@ -458,7 +564,10 @@ def paper_lifecycle(spark, sf_dir):
 
 @query
 def approved_source(spark, sf_dir):
-    papers = ingest.lifecycle(_landed(spark, sf_dir)).withColumn("markdown_hash", F.when(F.col("paper_id") % 7 == 2, "").when(F.col("paper_id") % 7 == 3, "stale").otherwise(F.col("markdown_hash")))
+    papers = ingest.lifecycle(_landed(spark, sf_dir)).withColumn(
+        "markdown_hash",
+        F.when(F.col("paper_id") % 7 == 2, "").when(F.col("paper_id") % 7 == 3, "stale").otherwise(F.col("markdown_hash")),
+    )
     return ingest.approved(papers).select("paper_id", "refusal", "computed_hash")
 
 
@@ -469,8 +578,19 @@ def paper_list(spark, sf_dir):
 
 @query
 def paper_upsert(spark, sf_dir):
-    log = read_table(spark, sf_dir, "events").select((F.col("user_id") % 200).alias("paper_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"), "event_id", F.col("event_id").alias("first_event"))
-    return ingest.upsert(log, ["paper_id"], "created_at", ["created_at", "first_event"], "event_id").select("paper_id", "status", "first_event", "event_id")
+    log = read_table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 200).alias("paper_id"),
+        F.col("event_type").alias("status"),
+        F.col("ts").alias("created_at"),
+        "event_id",
+        F.col("event_id").alias("first_event"),
+    )
+    return ingest.upsert(log, ["paper_id"], "created_at", ["created_at", "first_event"], "event_id").select(
+        "paper_id",
+        "status",
+        "first_event",
+        "event_id",
+    )
 
 
 @query
@@ -522,7 +642,18 @@ def whole_words(spark, sf_dir):
 
 
 #: Identifiers that look like numerals but are words too; the roman pattern takes them all the same.
-IDENTIFIED = ("civil. liberties", "mix) methods", "c. x", "iv) results", "2.1. design", "section 4b: data", "a) aims", "section 3: 2. b) all", "viii. 3 x", "no identifier")
+IDENTIFIED = (
+    "civil. liberties",
+    "mix) methods",
+    "c. x",
+    "iv) results",
+    "2.1. design",
+    "section 4b: data",
+    "a) aims",
+    "section 3: 2. b) all",
+    "viii. 3 x",
+    "no identifier",
+)
 
 
 @query
@@ -541,7 +672,12 @@ def quote_folding(spark, sf_dir):
 
 @query
 def pipe_blocks(spark, sf_dir):
-    return exhibits.pipe_blocks(papers_of(spark, sf_dir)).select("paper_id", "first_place", F.size("lines").alias("rows_in_block"), "continuation")
+    return exhibits.pipe_blocks(papers_of(spark, sf_dir)).select(
+        "paper_id",
+        "first_place",
+        F.size("lines").alias("rows_in_block"),
+        "continuation",
+    )
 
 
 @query
@@ -552,13 +688,30 @@ def pipe_rows(spark, sf_dir):
 @query
 def table_captions(spark, sf_dir):
     rows = exhibits.tables(papers_of(spark, sf_dir))
-    return rows.select("paper_id", "kind", "label", "caption", "caption_source", F.size("rows").alias("n_rows"), "column_count", "has_latex", F.col("header").isNotNull().alias("has_header"), F.size("continuation_offsets").alias("continuations"), "start_offset", "end_offset")
+    return rows.select(
+        "paper_id",
+        "kind",
+        "label",
+        "caption",
+        "caption_source",
+        F.size("rows").alias("n_rows"),
+        "column_count",
+        "has_latex",
+        F.col("header").isNotNull().alias("has_header"),
+        F.size("continuation_offsets").alias("continuations"),
+        "start_offset",
+        "end_offset",
+    )
 
 
 @query
 def table_cells(spark, sf_dir):
     rows = exhibits.tables(papers_of(spark, sf_dir)).select("label", F.explode("rows").alias("cells"))
-    return rows.select(F.coalesce("label", F.lit("")).alias("label"), F.array_join("cells", "|").alias("cells")).groupBy("label", "cells").agg(F.count(F.lit(1)).alias("times"))
+    return (
+        rows.select(F.coalesce("label", F.lit("")).alias("label"), F.array_join("cells", "|").alias("cells"))
+        .groupBy("label", "cells")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
 
 
 @query

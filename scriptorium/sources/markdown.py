@@ -37,7 +37,9 @@ HTML_STARTS = (
     (re.compile(rb"<!\[CDATA\["), re.compile(rb"\]\]>")),
     (re.compile(rb"</?(?:" + "|".join(BLOCK_TAGS).encode() + rb")(?:[ \t]|/?>|$)", re.I), None),
 )
-LONE_TAG = re.compile(rb"(?:<[A-Za-z][A-Za-z0-9-]*(?:[ \t]+[A-Za-z_:][\w.:-]*(?:[ \t]*=[ \t]*(?:[^ \t\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*[ \t]*/?>|</[A-Za-z][A-Za-z0-9-]*[ \t]*>)[ \t]*$")
+LONE_TAG = re.compile(
+    rb"(?:<[A-Za-z][A-Za-z0-9-]*(?:[ \t]+[A-Za-z_:][\w.:-]*(?:[ \t]*=[ \t]*(?:[^ \t\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*[ \t]*/?>|</[A-Za-z][A-Za-z0-9-]*[ \t]*>)[ \t]*$",
+)
 
 
 def indent_of(line: bytes) -> tuple[int, int]:
@@ -93,7 +95,9 @@ def scan_headings(source: bytes) -> list[Heading]:
                 text = closing.rstrip(b" \t")
             begin = first + m.end() if text else first
             end = source.find(b"\n", begin + len(text))
-            found.append((len(m[1]), first, begin, begin + len(text), len(source) if end < 0 else end, False, text.decode("utf-8", "replace")))
+            found.append(
+                (len(m[1]), first, begin, begin + len(text), len(source) if end < 0 else end, False, text.decode("utf-8", "replace")),
+            )
             paragraph = False
             continue
         if (m := FENCE.match(body)) and not (m[1][:1] == b"`" and b"`" in m[2]):
@@ -111,10 +115,16 @@ def scan_headings(source: bytes) -> list[Heading]:
 
 
 REFERENCE_TITLES = sorted((k for k, r in KEYWORD_ROLE.items() if r == "references"), key=lambda k: (-len(k), k))
-REFERENCES_LINE = re.compile(r"[\t\n\f\r ]*(?:[0-9]+\.?[\t\n\f\r ]*)?(?:" + "|".join(REFERENCE_TITLES) + r")[\t\n\f\r ]*:?[\t\n\f\r ]*\Z", re.I)
+REFERENCES_LINE = re.compile(
+    r"[\t\n\f\r ]*(?:[0-9]+\.?[\t\n\f\r ]*)?(?:" + "|".join(REFERENCE_TITLES) + r")[\t\n\f\r ]*:?[\t\n\f\r ]*\Z",
+    re.I,
+)
 ENTRY = re.compile(r"\((?:19|20)[0-9]{2}[a-z]?\)|(?<![A-Za-z0-9_])(?:19|20)[0-9]{2}[a-z]?\.")
 LEAST_ENTRIES, ENTRY_LINES = 3, 25
-IDENTIFIER_PATTERNS = tuple(re.compile(p) for p in (r"section[\t\n\f\r ]+[0-9]+[a-z]?[\t\n\f\r ]*[:.\-][\t\n\f\r ]*", r"[0-9]+(?:\.[0-9]+)*[\t\n\f\r ]*[.:\-]?[\t\n\f\r ]+", r"[ivxlcdm]+[\t\n\f\r ]*[.)][\t\n\f\r ]+", r"[a-z][\t\n\f\r ]*[.)][\t\n\f\r ]+"))
+IDENTIFIER_PATTERNS = tuple(
+    re.compile(p)
+    for p in (r"section[\t\n\f\r ]+[0-9]+[a-z]?[\t\n\f\r ]*[:.\-][\t\n\f\r ]*", r"[0-9]+(?:\.[0-9]+)*[\t\n\f\r ]*[.:\-]?[\t\n\f\r ]+", r"[ivxlcdm]+[\t\n\f\r ]*[.)][\t\n\f\r ]+", r"[a-z][\t\n\f\r ]*[.)][\t\n\f\r ]+")
+)
 
 
 def semantic_form(text: str) -> str:

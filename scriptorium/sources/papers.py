@@ -11,7 +11,13 @@ from scriptorium.operators.ingest import content_hash
 def landed_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """PDFs of a folder: url, hash and content. Hashing is native; the bytes go no further than they are asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("url"), content_hash(F.col("content")).alias("hash"), F.col("modificationTime").alias("created_at"), "length", "content")
+    return files.select(
+        F.col("path").alias("url"),
+        content_hash(F.col("content")).alias("hash"),
+        F.col("modificationTime").alias("created_at"),
+        "length",
+        "content",
+    )
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +40,11 @@ def write_run(path: str, run_id: str, **relations: DataFrame) -> None:
     spark = next(iter(relations.values())).sparkSession
     for name, df in relations.items():
         df.write.mode("overwrite").parquet(f"{path}/runs/{run_id}/{name}")
-    spark.createDataFrame([(run_id, sorted(relations))], "run_id string, relations array<string>").write.mode("append").parquet(f"{path}/published")
+    (
+        spark.createDataFrame([(run_id, sorted(relations))], "run_id string, relations array<string>")
+        .write.mode("append")
+        .parquet(f"{path}/published")
+    )
 
 
 def read_run(spark: SparkSession, path: str, run_id: str, relation: str) -> DataFrame:

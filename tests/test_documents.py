@@ -37,7 +37,13 @@ ENTRIES = "\n\nA (2001).\n\nB (1999a).\n\nC 2005.\n"
 
 @pytest.mark.parametrize(
     ("markdown", "inferred"),
-    [("## A\n\nReferences" + ENTRIES, ["References"]), ("## References\n\nReferences" + ENTRIES, []), ("References\n\nA (2001).\n", []), ("References" + ENTRIES + "Works cited:" + ENTRIES, ["Works cited:"]), ("## References and notes\n\n7. Bibliography" + ENTRIES, ["7. Bibliography"])],
+    [
+        ("## A\n\nReferences" + ENTRIES, ["References"]),
+        ("## References\n\nReferences" + ENTRIES, []),
+        ("References\n\nA (2001).\n", []),
+        ("References" + ENTRIES + "Works cited:" + ENTRIES, ["Works cited:"]),
+        ("## References and notes\n\n7. Bibliography" + ENTRIES, ["7. Bibliography"]),
+    ],
 )
 def test_inferred_references(markdown, inferred):
     assert [h[6] for h in document_headings(markdown) if h[5]] == inferred
@@ -66,7 +72,35 @@ def test_headless_and_empty(spark):
 
 def test_semantic_form_is_that_of_the_columns(spark):
     rng = random.Random(6)
-    parts = ["Appendix", "appendices", " ", "\t", "A", "B2", ".", ":", "-", "iv.", "2.1", "section 3", ")", "Results", "İ", "Σ", "ΣΑΣ", "é", "\x1c", "\u2003", "\xa0", "References", "online appendix", "1", "x", "ß", "ǅ"]
+    parts = [
+        "Appendix",
+        "appendices",
+        " ",
+        "\t",
+        "A",
+        "B2",
+        ".",
+        ":",
+        "-",
+        "iv.",
+        "2.1",
+        "section 3",
+        ")",
+        "Results",
+        "İ",
+        "Σ",
+        "ΣΑΣ",
+        "é",
+        "\x1c",
+        "\u2003",
+        "\xa0",
+        "References",
+        "online appendix",
+        "1",
+        "x",
+        "ß",
+        "ǅ",
+    ]
     given = sorted({"".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(3000)})
     df = spark.createDataFrame([(g,) for g in given], "h string").withColumn("c", parse_container(strip_identifiers(normalize(F.col("h")))))
     assert [(r.h, semantic_form(r.h)) for r in df.collect()] == [(r.h, r.c.remainder) for r in df.collect()]
@@ -100,27 +134,64 @@ def test_table_forms(spark):
     markdown = "Table 1.\n\nMeans of all\n\n| a | $b$ |\n|---|---|\n| 1 | 2 |\n\n(continued)\n| 3 | 4 |\n\n# Head\n\n| Table A2 | |\n| x | y | z |\n"
     rows = exhibits.tables(spark.createDataFrame([(1, markdown)], "paper_id long, markdown string")).orderBy("table_number").collect()
     assert [(r.label, r.caption, r.caption_source, r.header, r.rows, r.has_latex, r.column_count) for r in rows] == [
-        ("1", "Means of all", "above", ["a", "$b$"], [["1", "2"], ["3", "4"]], True, 2), ("A2", "", "first_cell", None, [["x", "y", "z"]], False, 3)
+        ("1", "Means of all", "above", ["a", "$b$"], [["1", "2"], ["3", "4"]], True, 2), (
+            "A2",
+            "",
+            "first_cell",
+            None,
+            [["x", "y", "z"]],
+            False,
+            3,
+        )
     ]
     assert [(c.start, c.end) for c in rows[0].continuation_offsets] == [(markdown.index("| 3"), markdown.index("\n# Head"))]
 
 
 def test_studies(spark):
-    papers = spark.createDataFrame([(1, "## Study 1\n## Study 2A\n## Study 2B\n"), (2, "## Phase 1\n## Wave 2\n"), (3, "## A\nStudy 1 and study 2 of others\n"), (4, "## A\nIn Study 1.\n"), (5, "## Study 1\nthen Study 2\n")], "paper_id long, markdown string")
+    papers = spark.createDataFrame(
+        [
+            (1, "## Study 1\n## Study 2A\n## Study 2B\n"),
+            (2, "## Phase 1\n## Wave 2\n"),
+            (3, "## A\nStudy 1 and study 2 of others\n"),
+            (4, "## A\nIn Study 1.\n"),
+            (5, "## Study 1\nthen Study 2\n"),
+        ],
+        "paper_id long, markdown string",
+    )
     found = {r.paper_id: (r.verdict, r.study_count, r.labels, r.split_groups) for r in research_units.study_gate(papers).collect()}
     assert found == {1: ("multi", 2, "1, 2", False), 2: ("uncertain", 0, "1, 2", False), 3: ("uncertain", 0, "1, 2", False), 4: ("single", 0, "", False), 5: ("single", 1, "", True)}
 
 
-VALID = {"primary_type": "A", "subtype": None, "secondary_type": None, "decision_rule": 2, "confidence": "high", "evidence": [{"quote": "a b", "signals": "s"}, {"quote": "c", "signals": "s"}], "counter_evidence": None}
+VALID = {
+    "primary_type": "A",
+    "subtype": None,
+    "secondary_type": None,
+    "decision_rule": 2,
+    "confidence": "high",
+    "evidence": [{"quote": "a b", "signals": "s"}, {"quote": "c", "signals": "s"}],
+    "counter_evidence": None,
+}
 
 
 @pytest.mark.parametrize(
     ("change", "error"),
     [
-        ({}, None), ({"primary_type": "E"}, "unknown primary_type"), ({"decision_rule": 6}, "decision_rule out of range"), ({"confidence": "sure"}, "unknown confidence"), ({"primary_type": "B"}, "subtype missing"), ({"subtype": "meta_analysis"}, "subtype not allowed"),
-        ({"primary_type": "B", "subtype": "odd"}, "unknown subtype"), ({"primary_type": "B", "subtype": "mathematical_proof"}, "subtype of another type"), ({"secondary_type": "Q"}, "unknown secondary_type"), ({"secondary_type": "A"}, "secondary_type equals primary_type"),
-        ({"primary_type": "UNCLASSIFIED"}, "unclassified_reason missing"), ({"unclassified_reason": "x"}, "unclassified_reason not allowed"), ({"evidence": VALID["evidence"][:1]}, "number of quotes"), ({"evidence": [{"quote": " "}, {"quote": "c"}]}, "empty quote"),
-        ({"evidence": [{"quote": "w " * 26}, {"quote": "c"}]}, "quote too long"), ({"counter_evidence": {"quote": "", "points_to": "B"}}, "empty counter quote"), ({"counter_evidence": {"quote": "q", "points_to": "Z"}}, "unknown points_to"),
+        ({}, None), ({"primary_type": "E"}, "unknown primary_type"), ({"decision_rule": 6}, "decision_rule out of range"), ({"confidence": "sure"}, "unknown confidence"), ({"primary_type": "B"}, "subtype missing"), (
+            {"subtype": "meta_analysis"},
+            "subtype not allowed",
+        ),
+        ({"primary_type": "B", "subtype": "odd"}, "unknown subtype"), ({"primary_type": "B", "subtype": "mathematical_proof"}, "subtype of another type"), ({"secondary_type": "Q"}, "unknown secondary_type"), (
+            {"secondary_type": "A"},
+            "secondary_type equals primary_type",
+        ),
+        ({"primary_type": "UNCLASSIFIED"}, "unclassified_reason missing"), ({"unclassified_reason": "x"}, "unclassified_reason not allowed"), ({"evidence": VALID["evidence"][:1]}, "number of quotes"), (
+            {"evidence": [{"quote": " "}, {"quote": "c"}]},
+            "empty quote",
+        ),
+        ({"evidence": [{"quote": "w " * 26}, {"quote": "c"}]}, "quote too long"), ({"counter_evidence": {"quote": "", "points_to": "B"}}, "empty counter quote"), (
+            {"counter_evidence": {"quote": "q", "points_to": "Z"}},
+            "unknown points_to",
+        ),
     ],
 )
 def test_contract(spark, change, error):
@@ -130,13 +201,27 @@ def test_contract(spark, change, error):
 
 
 def test_broken_responses(spark):
-    raws = ["", "<answer>{}</answer>", "<answer>{oops</answer><verdict>A</verdict>", "<answer>" + json.dumps(VALID) + "</answer><verdict>B</verdict>", None]
-    rows = paper_types.parse_verdicts(spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw_response string")).orderBy("i").collect()
+    raws = [
+        "",
+        "<answer>{}</answer>",
+        "<answer>{oops</answer><verdict>A</verdict>",
+        "<answer>" + json.dumps(VALID) + "</answer><verdict>B</verdict>",
+        None,
+    ]
+    rows = (
+        paper_types.parse_verdicts(spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw_response string"))
+        .orderBy("i")
+        .collect()
+    )
     assert [r.error for r in rows] == ["no <answer> block", "no <verdict> block", "invalid JSON", "verdict tag differs from primary_type", "no <answer> block"]
 
 
 def test_build_input(spark):
     row = spark.range(1).select(
-        paper_types.build_input(F.lit("FULL"), F.array(F.lit(" A ")), F.lit("body")), paper_types.build_input(F.lit("SELECTION"), F.array().cast("array<string>"), F.lit("body")), paper_types.build_input(F.lit("FULL"), F.array().cast("array<string>"), F.lit(" "))
+        paper_types.build_input(F.lit("FULL"), F.array(F.lit(" A ")), F.lit("body")), paper_types.build_input(F.lit("SELECTION"), F.array().cast("array<string>"), F.lit("body")), paper_types.build_input(
+            F.lit("FULL"),
+            F.array().cast("array<string>"),
+            F.lit(" "),
+        )
     ).first()
     assert row[0] == "INPUT FORM: FULL\n\nCOMPLETE HEADING LIST (every heading in the document, in order):\n  A\n\nMANUSCRIPT:\n\nbody" and row[1] is None and row[2] is None

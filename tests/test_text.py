@@ -20,19 +20,55 @@ def test_dimensions():
 
 
 def test_normalize(spark):
-    given = ["  Discussion  ", "Results   and    discussion", "Data\tavailability", "Methodology:", "Abstract : ", "3. Methodology:", "RÉSULTATS", ":.", "ΛΟΓΟΣ", "İx", None]
+    given = [
+        "  Discussion  ",
+        "Results   and    discussion",
+        "Data\tavailability",
+        "Methodology:",
+        "Abstract : ",
+        "3. Methodology:",
+        "RÉSULTATS",
+        ":.",
+        "ΛΟΓΟΣ",
+        "İx",
+        None,
+    ]
     assert apply(spark, X.normalize, *given) == ["discussion", "results and discussion", "data availability", "methodology", "abstract", "3. methodology", "résultats", "", "λογοσ", "ix", None]
 
 
 def test_strip_identifiers(spark):
-    given = ["4 results", "section 4: results", "section 4a. results", "iv. results", "b) results", "2.1. sample and procedure", "3: methodology", "a priori power analysis", "ivory tower critiques", "3d printing", "civil. liberties"]
+    given = [
+        "4 results",
+        "section 4: results",
+        "section 4a. results",
+        "iv. results",
+        "b) results",
+        "2.1. sample and procedure",
+        "3: methodology",
+        "a priori power analysis",
+        "ivory tower critiques",
+        "3d printing",
+        "civil. liberties",
+    ]
     assert apply(spark, X.strip_identifiers, *given) == ["results"] * 5 + ["sample and procedure", "methodology", "a priori power analysis", "ivory tower critiques", "3d printing", "liberties"]
 
 
 def test_parse_container(spark):
-    given = ["appendix", "appendix a1", "appendix b: robustness checks", "appendix c. measures", "online appendix", "supporting information for reviewers", "appendixation of it"]
+    given = [
+        "appendix",
+        "appendix a1",
+        "appendix b: robustness checks",
+        "appendix c. measures",
+        "online appendix",
+        "supporting information for reviewers",
+        "appendixation of it",
+    ]
     assert [tuple(r) for r in apply(spark, X.parse_container, *given)] == [
-        ("appendix", None, ""), ("appendix", "A1", ""), ("appendix", "B", "robustness checks"), ("appendix", "C", "measures"), ("appendix", None, ""), (None, None, "supporting information for reviewers"), ("appendix", None, "ation of it"),
+        ("appendix", None, ""), ("appendix", "A1", ""), ("appendix", "B", "robustness checks"), ("appendix", "C", "measures"), ("appendix", None, ""), (None, None, "supporting information for reviewers"), (
+            "appendix",
+            None,
+            "ation of it",
+        ),
     ]
 
 

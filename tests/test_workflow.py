@@ -11,21 +11,35 @@ TASKS = "run_id string, paper_id long, task_ordinal int, task_id string, section
 
 
 def tasks(spark):
-    return spark.createDataFrame([("r", 1, 0, "a", 1, "zero_role_match"), ("r", 1, 1, "b", 2, "multi_role_match"), ("s", 2, 0, "c", -1, "title_ambiguity")], TASKS)
+    return spark.createDataFrame(
+        [("r", 1, 0, "a", 1, "zero_role_match"), ("r", 1, 1, "b", 2, "multi_role_match"), ("s", 2, 0, "c", -1, "title_ambiguity")],
+        TASKS,
+    )
 
 
 def decisions(spark, *rows):
-    return spark.createDataFrame([(i, t, d, "results", "T", "why", "me", i) for i, (t, d) in enumerate(rows)], "decision_id long, task_id string, decision string, assigned_role string, assigned_title_text string, comment string, reviewer_id string, ts long")
+    return spark.createDataFrame(
+        [(i, t, d, "results", "T", "why", "me", i) for i, (t, d) in enumerate(rows)],
+        "decision_id long, task_id string, decision string, assigned_role string, assigned_title_text string, comment string, reviewer_id string, ts long",
+    )
 
 
 @pytest.mark.parametrize(
     ("given", "rejected", "states"),
-    [((), [], ("open", "open", "passed")), ((("a", "resolve"),), [], ("open", "open", "passed")), ((("a", "resolve"), ("b", "resolve"), ("c", "resolve")), [], ("passed", "passed", "passed")), ((("a", "reject"),), [], ("returned", "open", "passed")), ((("a", "reject"), ("a", "resolve")), ["q"], ("open", "open", "returned"))],
+    [
+        ((), [], ("open", "open", "passed")),
+        ((("a", "resolve"),), [], ("open", "open", "passed")),
+        ((("a", "resolve"), ("b", "resolve"), ("c", "resolve")), [], ("passed", "passed", "passed")),
+        ((("a", "reject"),), [], ("returned", "open", "passed")),
+        ((("a", "reject"), ("a", "resolve")), ["q"], ("open", "open", "returned")),
+    ],
 )
 def test_gate(spark, given, rejected, states):
     runs = spark.createDataFrame([("r",), ("s",), ("q",)], "run_id string")
     rejections = spark.createDataFrame([(i, r, i) for i, r in enumerate(rejected)], "rejection_id long, run_id string, ts long")
-    found = {r.run_id: r.state for r in review.gate(runs, tasks(spark), review.latest_decisions(decisions(spark, *given)), rejections).collect()}
+    found = {
+        r.run_id: r.state for r in review.gate(runs, tasks(spark), review.latest_decisions(decisions(spark, *given)), rejections).collect()
+    }
     assert (found["r"], found["s"], found["q"]) == states
 
 
@@ -73,5 +87,8 @@ def test_stream_of_decisions(spark, tmp_path):
 
 
 def test_latest_verdict_breaks_ties_by_id(spark):
-    log = spark.createDataFrame([(1, "h", 5, 1), (1, "h", 5, 2), (1, "g", 9, 0)], "paper_id long, markdown_hash string, created_at long, verdict_id long")
+    log = spark.createDataFrame(
+        [(1, "h", 5, 1), (1, "h", 5, 2), (1, "g", 9, 0)],
+        "paper_id long, markdown_hash string, created_at long, verdict_id long",
+    )
     assert {(r.markdown_hash, r.verdict_id) for r in paper_types.latest_verdicts(log).collect()} == {("h", 2), ("g", 0)}
