@@ -50,9 +50,9 @@ from scriptorium.session import discard, map_batches, materialise
 
 COORDINATES, LIMIT, LEVELS, BRANCHING = 64, 2048, 4, 3
 #: Sets that a block of a large bucket holds, on average at most.
-PART = 1024
+PART = 512
 #: Sets and shingles that a block of an exact comparison holds, on average at most.
-BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 SAMPLE, SAMPLE_BYTES, MOST_BATCHES = 64, 1_000_000, 4
 WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
