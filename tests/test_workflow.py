@@ -1,9 +1,12 @@
 """Review rules, sinks and sources, upserts, and the decision stream."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import ingest, paper_types, review
+from scriptorium.operators import ingest, paper_types, research_units, review
+from scriptorium.session import discard, materialise
 from scriptorium.sources.papers import export_markdown, landed_pdfs, markdown_files, read_run, write_run
 from scriptorium.streaming.decisions import follow_decisions, gate_now
 
@@ -92,3 +95,60 @@ def test_latest_verdict_breaks_ties_by_id(spark):
         "paper_id long, markdown_hash string, created_at long, verdict_id long",
     )
     assert {(r.markdown_hash, r.verdict_id) for r in paper_types.latest_verdicts(log).collect()} == {("h", 2), ("g", 0)}
+
+
+def test_metrics_text(spark):
+    events = spark.createDataFrame([(1, 'a"b', 0.05, 3), (2, 'a"b', 7.5, 9), (3, "c", 100.0, 4)], "id long, kind string, seconds double, size long")
+    counted = ingest.metric_lines(ingest.counters(events, ["kind"]), "done_total", ["kind"])
+    latest = ingest.metric_lines(ingest.gauges(events, [], "size", "id", "id"), "size", [])
+    timed = ingest.latency_histogram(events.filter("kind = 'c'"), "seconds", ["kind"], (0.1, 5))
+    timed = ingest.metric_lines(timed, "took", ["kind"], (0.1, 5))
+    text = ingest.metrics_text([("took", "Seconds.", "histogram", timed), ("done_total", "Done.", "counter", counted), ("size", "Size.", "gauge", latest)])
+    assert text == (
+        "# HELP done_total Done.\n# TYPE done_total counter\n" 'done_total{kind="a\\"b"} 2\ndone_total{kind="c"} 1\n'
+        "# HELP size Size.\n# TYPE size gauge\nsize 4\n# HELP took Seconds.\n# TYPE took histogram\n"
+        'took_bucket{kind="c",le="0.1"} 0\ntook_bucket{kind="c",le="5"} 0\ntook_bucket{kind="c",le="+Inf"} 1\ntook_sum{kind="c"} 100\ntook_count{kind="c"} 1\n'
+    )
+
+
+def test_snapshots_and_freezes(spark):
+    asked = spark.createDataFrame([("r", 7, "b", 5), ("r", 8, "a", 3), ("s", 9, "c", 1), ("q", 1, "x", 1)], "run_id string, return_id long, returned_by string, ts long")
+    items = spark.createDataFrame([("r", 0, "a", "zero_role_match", "H", ["T"], "why"), ("q", 0, "c", "run_rejected", None, [], "no")], "run_id string, position int, task_id string, review_reason string, heading_raw string, ancestors array<string>, comment string")
+    before = spark.createDataFrame([("q",)], "run_id string")
+    assert [(r.run_id, r.return_id, r.returned_by, r.consumed_at, r.comment) for r in review.return_snapshot(items, asked, before).collect()] == [("r", 8, "a", 3, "why")]
+    late = review.frozen_out(decisions(spark, ("a", "resolve"), ("b", "reject"), ("z", "reject")), tasks(spark), spark.createDataFrame([("r", 0)], "run_id string, consumed_at long"))
+    assert sorted((r.task_id, r.refused) for r in late.collect()) == [("a", False), ("b", True)]
+
+
+def test_rejections_need_a_run_a_reviewer_and_a_comment(spark):
+    given = [(1, "r", 5, "why", "me"), (2, "r", 3, " ", "me"), (3, "r", 4, "x", None), (4, "z", 1, "why", "me"), (5, "r", 9, "late", "me")]
+    log = spark.createDataFrame(given, "rejection_id long, run_id string, ts long, comment string, reviewer_id string")
+    runs = spark.createDataFrame([("r",), ("s",)], "run_id string")
+    assert {r.run_id: r.superseded_at for r in review.superseded_runs(runs, log).collect()} == {"r": 5, "s": None}
+
+
+def test_title_decisions_name_a_node_of_their_run(spark):
+    log = decisions(spark, ("c", "resolve"), ("c", "resolve"), ("c", "resolve")).withColumn("assigned_title_node", F.element_at(F.array(F.lit("s#0"), F.lit("r#0"), F.lit(None)), F.col("decision_id").cast("int") + 1))
+    nodes = spark.createDataFrame([("s#0", "s"), ("r#0", "r")], "node_id string, run_id string")
+    assert {r.decision_id: r.error for r in review.decision_errors(log, tasks(spark), nodes).collect()} == {0: None, 1: "title node of another run", 2: None}
+
+
+def test_gates_keep_their_id_and_replace_their_evidence(spark):
+    log = spark.createDataFrame([(1, "h", "1.0", 5, 1, "single", [("study", "1")]), (1, "h", "1.0", 6, 2, "multi", [("study", "1"), ("study", "2")]), (1, "g", "1.0", 7, 1, "single", [])], "paper_id long, markdown_hash string, rule_version string, verdict_id long, ts long, verdict string, evidence array<struct<kind:string,label:string>>")
+    gates = research_units.current_gates(log)
+    assert {(r.markdown_hash, r.verdict_id, r.verdict) for r in gates.collect()} == {("h", 5, "multi"), ("g", 7, "single")}
+    assert sorted((r.verdict_id, r.position, r.label) for r in research_units.gate_evidence(gates).collect()) == [(5, 0, "1"), (5, 1, "2")]
+
+
+def test_lookups(spark):
+    papers = spark.createDataFrame([(1, "x"), (2, "")], "paper_id long, hash string")
+    assert [r.hash for r in ingest.paper_by_id(papers, 1).collect()] == ["x"] and ingest.paper_by_id(papers, 9).count() == 0
+    assert [r.paper_id for r in ingest.paper_by_hash(papers, "x").collect()] == [1] and ingest.paper_by_hash(papers, "").count() == 0
+
+
+def test_written_tables_are_deleted(spark):
+    table = materialise(spark.range(3), "three")
+    files = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert table.count() == 3 and os.path.isdir(files)
+    discard(table)
+    assert not os.path.exists(files)
