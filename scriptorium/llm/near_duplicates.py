@@ -18,9 +18,9 @@ all sets on the way, and batches with fresh coordinates are repeated until no mo
 missing. If that takes more than `MOST_BATCHES`, or the coordinates can't give the recall, it is an error.
 
 The sketches' links only make candidate groups. Within a group all pairs are compared exactly on whole shingle sets:
-its sets are dealt into blocks, each block is packed into one row, and blocks meet in pairs, so that a group of k sets
-moves k / BLOCK rows for each of its k / BLOCK blocks. A comparison returns each set's number of links and a spanning
-forest, never pairs.
+its sets are dealt into blocks, whose size grows with the square root of the group's, each block is packed into one row,
+and blocks meet in pairs: a group of k sets moves some k / 16 packed rows, k ** 1.5 / 4 sets, until blocks have their
+full size at 65,536 sets. A comparison returns each set's number of links and a spanning forest, never pairs.
 
 Result: a row for each document: its class (the smallest id linked to it over any path), copy_of (the smallest id of
 texts of the same words), the number of different texts of similarity >= threshold, and class_row, which tells classes
@@ -49,11 +49,9 @@ from scriptorium.llm.components import connected_components
 from scriptorium.session import discard, map_batches, materialise
 
 COORDINATES, LIMIT, LEVELS, BRANCHING = 64, 2048, 4, 3
-#: Sets that a block of a large bucket holds, on average at most.
-PART = 512
-#: Sets and shingles that a block of an exact comparison holds, on average at most.
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-SAMPLE, SAMPLE_BYTES, MOST_BATCHES = 64, 1_000_000, 4
+#: Rows that a block of a bucket or group holds, at least and at most, and how many of its shingles on average at most.
+LEAST_BLOCK, MOST_BLOCK, BLOCK_SHINGLES = 128, 1024, 2_000_000
+SAMPLE, SAMPLE_BYTES, MOST_BATCHES = 64, 100_000, 4
 WORD = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -250,6 +248,12 @@ Compare = Callable[[list[bytes], list[bytes]], np.ndarray]
 LINKS = "id long, links long, root long"
 
 
+def blocks_of(n: Column) -> Column:
+    """The number of blocks of n rows."""
+    size = F.greatest(F.lit(float(LEAST_BLOCK)), F.least(F.lit(float(MOST_BLOCK)), 4 * F.sqrt(n)))
+    return F.ceil(n / size)
+
+
 def dealt(rows: DataFrame, parts: Column) -> DataFrame:
     """rows (bucket, id) with the number of the bucket's parts and the part that a hash deals the row to."""
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
@@ -392,7 +396,7 @@ def candidate_links(sets: DataFrame, threshold: float) -> DataFrame:
         down = large.withColumn("i", F.explode(drawn)).join(sketches, "id")
         paths = down.select(F.xxhash64("bucket", "i", value).alias("bucket"), "id", F.col("n").alias("above"))
     rows = reduce(DataFrame.union, (f.select("bucket", "id", "n") for f in found))
-    rows = dealt(rows, F.ceil(F.col("n") / PART)).join(sketches.withColumnRenamed("sketch", "payload"), "id")
+    rows = dealt(rows, blocks_of(F.col("n"))).join(sketches.withColumnRenamed("sketch", "payload"), "id")
     rows = materialise(rows, "met")
     links = all_pairs(rows, sketch_comparison(threshold)).select(F.col("id").alias("a"), F.col("root").alias("b"))
     links = materialise(links.filter("a <> b").distinct(), "candidates")
@@ -439,10 +443,10 @@ def exact_comparison(threshold: float) -> Compare:
 
 
 def exact_links(rows: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """groups: id (a row's key), component, shingles. For each set of a group and comparison: id, links, root."""
+    """groups: id (a row's key), component, shingles. For each set of a group and comparison, written: id, links, root."""
     sizes = counted(groups, "component", F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("total"))
     members = groups.join(sizes, "component")
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.least("n", F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    parts = F.greatest(blocks_of(F.col("n")), F.least("n", F.ceil(F.col("total") / BLOCK_SHINGLES)))
     members = dealt(members.select("id", F.col("component").alias("bucket"), "n", "total"), parts)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +460,10 @@ def exact_links(rows: DataFrame, groups: DataFrame, threshold: float) -> DataFra
     names = ["bucket", "part", "parts", "id", "payload"]
     texts = rows.select(F.col("_row").alias("id"), "_text").join(members, "id")
     sets = map_batches(texts.select(*names[:-1], "_text"), shingled, "bucket long, part int, parts int, id long, payload binary")
-    return all_pairs(materialise(sets, "sets"), exact_comparison(threshold))
+    sets = materialise(sets, "sets")
+    links = materialise(all_pairs(sets, exact_comparison(threshold)), "links")
+    discard(sets)
+    return links
 
 
 # -- the join -----------------------------------------------------------------------------------------------------------
@@ -506,7 +513,7 @@ def near_duplicates(
         if batch + 1 == MOST_BATCHES:
             raise RuntimeError(f"{missing:.4f} of the sampled links are missing after {MOST_BATCHES} batches of {runs} runs")
     sized = groups.join(copies.select("id", "shingles"), "id")
-    exact = materialise(exact_links(rows, sized, threshold), "links")
+    exact = exact_links(rows, sized, threshold)
     classes = connected_components(exact.select(F.col("id").alias("a"), F.col("root").alias("b"))).toDF("id", "class_row")
     linked = exact.groupBy("id").agg(F.sum("links").alias("n_links"))
     judged = copies.select("words", "id", "copy_of").join(classes, "id", "left").join(linked, "id", "left")

@@ -321,8 +321,8 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
 def test_large_buckets_and_groups(spark, monkeypatch):
     """Small limits, so that buckets split down to the last level, blocks meet in pairs, and batches repeat."""
     monkeypatch.setattr(paths, "LIMIT", 8)
-    monkeypatch.setattr(paths, "PART", 8)
-    monkeypatch.setattr(paths, "BLOCK", 16)
+    monkeypatch.setattr(paths, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(paths, "MOST_BLOCK", 16)
     rng = random.Random(18)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     shared = [word() for _ in range(60)]
