@@ -6,10 +6,10 @@ labels, length of path) that any rule has; the Bloom filter drops nearly all key
 the keys themselves removes its false positives. The filter is a literal of at most `max_bits` bits; a longer list
 only lets more keys through to the join.
 
-Urls without a possible key go past the join. One with several possible keys comes back together by its ids and url;
-rows repeated in one partition are judged once and counted, so that no task gathers or rebuilds all repeats of a row.
-A list that is too large to be broadcast is joined by a shuffle, in which adaptive execution splits the keys that many
-urls spell (both sides have an exchange of their own).
+A url with several possible keys comes back together by its ids and url; rows repeated in one partition are judged
+once and counted, so that no task gathers or rebuilds all repeats of a row. A list that is too large to be broadcast is
+joined by a shuffle, which urls without a possible key go past; adaptive execution splits the keys that many urls spell
+(both sides have an exchange of their own).
 
 Null urls and urls without `://` have an empty host and path and fit no rule. Repeated rows are returned as often as
 they came. Ids may be null; columns beside ids and url are not looked at. An empty list lets everything pass, an empty
@@ -101,13 +101,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_columns: Sequence[str], u
         )
         judged = judged.withColumn("_keys", F.filter(spelled, lambda k: k.isNotNull() & bloom.may_hold(k)))
         small = listed.limit(broadcast_rows + 1).count() <= broadcast_rows
-        exact = judged.filter(F.size("_keys") > 0).withColumn("_key", F.explode("_keys"))
-        exact = exact.join(F.broadcast(listed) if small else listed, "_key", "left")
+        # in a shuffle, urls without a possible key would all meet under null: they go past it
+        spelling = judged.withColumn("_key", F.explode_outer("_keys")) if small else judged.withColumn("_key", F.explode("_keys"))
+        exact = spelling.join(F.broadcast(listed) if small else listed, "_key", "left")
         rank = F.when(F.col("_v").isNotNull(), F.struct(F.length("_key"), "_hl", F.col("_v") == "block"))
         own = F.concat(F.substring("_key", F.lit(1), F.col("_hl")), F.substring("_key", F.col("_hl") + 1, F.length("_key")))
         best = F.max_by(F.struct(own.alias("rule"), F.col("_v").alias("verdict")), rank).alias("_best")
         best = exact.groupBy(*ids, "_url", "_part", "_copies", "host", "path").agg(best)
         found = best.select(*out, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
-        found = found.union(judged.filter(F.size("_keys") == 0).select(*out, *plain))
+        found = found if small else found.union(judged.filter(F.size("_keys") == 0).select(*out, *plain))
     again = F.explode(F.array_repeat(F.struct("host", "path", "rule", "verdict"), F.col("_copies").cast("int")))
     return found.select(*ids, again.alias("_x")).select(*ids, "_x.*")
