@@ -65,7 +65,10 @@ def index_blocks(vectors: DataFrame, build: Build, kind: str, rows: int) -> Data
         def block(n: int) -> pa.RecordBatch:
             index = build(np.concatenate(ids.pop(n)), np.concatenate(values.pop(n)))
             del held[n]
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([pickle.dumps(index, protocol=5)], pa.binary())], names=["length", "block"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int32()), pa.array([pickle.dumps(index, protocol=5)], pa.binary())],
+                names=["length", "block"],
+            )
 
         for batch in batches:
             for at in range(0, len(batch), rows):

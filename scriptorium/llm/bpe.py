@@ -93,7 +93,16 @@ class HashedLiteral:
 
         def one(k: Column, h: Column) -> Column:
             g = h.bitwiseAND(F.lit(0x7FFFFFFFFFFF))
-            return F.struct(k.alias("k"), ((F.shiftright(g, 16) % self.slots + _get(self.moves, (g % self.buckets).cast("int")) * (F.shiftright(g, 3) % (self.slots - 1) + 1)) % self.slots).cast("int").alias("s"))
+            return F.struct(
+                k.alias("k"),
+                (
+                    (
+                        (F.shiftright(g, 16) % self.slots + _get(self.moves, (g % self.buckets).cast("int")) * (F.shiftright(g, 3) % (self.slots - 1) + 1)) % self.slots
+                    )
+                    .cast("int")
+                    .alias("s")
+                ),
+            )
 
         slotted = F.zip_with(keys, F.transform(keys, lambda k: F.xxhash64(k)), one)
         return F.transform(slotted, lambda x: F.when(_get(self.keys, x["s"]) == x["k"], _get(self.values, x["s"])).otherwise(default))
@@ -222,7 +231,11 @@ class BytePairCodec:
 
         def merged(state: Column, _: Column) -> Column:
             def at(i: Column) -> Column:
-                p = F.concat(F.slice(state["p"], F.lit(1), i - 1), F.array(F.concat(_get(state["p"], i - 1), _get(state["p"], i))), F.slice(state["p"], i + 2, F.size(state["p"])))
+                p = F.concat(
+                    F.slice(state["p"], F.lit(1), i - 1),
+                    F.array(F.concat(_get(state["p"], i - 1), _get(state["p"], i))),
+                    F.slice(state["p"], i + 2, F.size(state["p"])),
+                )
 
                 def ranked(q: Column) -> Column:
                     pair = F.concat(
@@ -239,7 +252,9 @@ class BytePairCodec:
                 return F.transform(F.array(p), ranked)[0]
 
             best = F.array_min(state["r"])
-            return F.when(best.isNull() | (best == NO_RANK), state).otherwise(F.transform(F.array(F.array_position(state["r"], best).cast("int")), at)[0])
+            return F.when(best.isNull() | (best == NO_RANK), state).otherwise(
+                F.transform(F.array(F.array_position(state["r"], best).cast("int")), at)[0],
+            )
 
         folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, merged)
         whole = self.ranks.lookup(F.array(raw), missing)
@@ -257,7 +272,11 @@ class BytePairCodec:
         """docs with a column out of type array<int>: the ids of the whole text, as encode_ordinary gives them."""
         known = self.frequent_words(docs, text, cache_words)
         words = self.words(F.col(text))
-        looked = F.zip_with(words, known.lookup(F.transform(words, lambda w: F.hex(F.encode(w, "UTF-8"))), F.lit(None).cast("string")), lambda w, v: F.coalesce(v, F.array_join(self.fold(w), " ")))
+        looked = F.zip_with(
+            words,
+            known.lookup(F.transform(words, lambda w: F.hex(F.encode(w, "UTF-8"))), F.lit(None).cast("string")),
+            lambda w, v: F.coalesce(v, F.array_join(self.fold(w), " ")),
+        )
         return docs.withColumn(out, F.filter(F.split(F.array_join(looked, " "), " "), lambda x: x != "").cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:

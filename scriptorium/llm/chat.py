@@ -44,7 +44,12 @@ def reconstruct(events: DataFrame) -> DataFrame:
     Returns conv_id, seq (of the message's first event), role (the last that an event names), text.
     """
     seq = F.coalesce(F.col("seq").cast("long"), F.lit(LAST))
-    event = F.struct(seq.alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    event = F.struct(
+        seq.alias("seq"),
+        F.coalesce("kind", F.lit("message")).alias("kind"),
+        "role",
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     # events without a message meet by their seq, which spreads them as messages are spread
     alone = F.when(F.col("message").isNull(), seq).alias("_alone")
     log = events.groupBy("conv_id", "message", alone).agg(F.array_sort(F.collect_list(event)).alias("log"))
@@ -54,7 +59,10 @@ def reconstruct(events: DataFrame) -> DataFrame:
     roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
     role = F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit(""))
     folded = F.array(F.struct(F.col("log")[0]["seq"].alias("seq"), role.alias("role"), F.array_join(texts, "").alias("text")))
-    whole = F.transform("log", lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(e["role"], F.lit("")).alias("role"), e["text"].alias("text")))
+    whole = F.transform(
+        "log",
+        lambda e: F.struct(e["seq"].alias("seq"), F.coalesce(e["role"], F.lit("")).alias("role"), e["text"].alias("text")),
+    )
     return log.select("conv_id", F.inline(F.when(F.col("message").isNull(), whole).otherwise(folded)))
 
 
@@ -80,11 +88,26 @@ def render(messages: DataFrame, chunk: int | None = CHUNK) -> DataFrame:
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
         lambda s, t: F.struct(
             (s["at"] + F.length(t["head"]) + F.length(t["body"]) + len(END)).alias("at"),
-            F.when(t["learn"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))))).otherwise(s["spans"]).alias("spans"),
+            (
+                F.when(
+                    t["learn"],
+                    F.concat(
+                        s["spans"],
+                        F.array(F.struct((s["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))),
+                    ),
+                )
+                .otherwise(s["spans"])
+                .alias("spans")
+            ),
         ),
     )["spans"]
     formatted = F.array_join(F.transform("marked", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    return chunks.select("conv_id", "chunk", marked.alias("marked")).select("conv_id", "chunk", formatted.alias("formatted"), spans.alias("loss"))
+    return chunks.select("conv_id", "chunk", marked.alias("marked")).select(
+        "conv_id",
+        "chunk",
+        formatted.alias("formatted"),
+        spans.alias("loss"),
+    )
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
@@ -93,7 +116,9 @@ def read_back(chunks: DataFrame) -> DataFrame:
     turns = F.transform(
         pieces,
         lambda p: F.struct(
-            unescape(F.replace(F.substring(F.substring_index(p, "\n", 1), len(START) + 1, F.length(p)), F.lit("&#10;"), F.lit("\n"))).alias("role"),
+            unescape(F.replace(F.substring(F.substring_index(p, "\n", 1), len(START) + 1, F.length(p)), F.lit("&#10;"), F.lit("\n"))).alias(
+                "role",
+            ),
             unescape(F.substring(p, F.locate("\n", p) + 1, F.length(p))).alias("text"),
         ),
     )

@@ -62,7 +62,10 @@ def profile(text: str | None) -> np.ndarray:
     pairs = points[:-1] * np.uint32(0x9E3779B1) ^ points[1:] * np.uint32(0x85EBCA6B)
     triples = pairs[:-1] * np.uint32(0xC2B2AE35) ^ points[2:] * np.uint32(0x27D4EB2F)
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
-    counts = np.bincount(np.concatenate([(pairs * np.uint32(0x165667B1)) >> shift, (triples * np.uint32(0x165667B1)) >> shift]), minlength=BUCKETS)
+    counts = np.bincount(
+        np.concatenate([(pairs * np.uint32(0x165667B1)) >> shift, (triples * np.uint32(0x165667B1)) >> shift]),
+        minlength=BUCKETS,
+    )
     out[:] = np.sqrt(counts)
     return out / np.linalg.norm(out)
 
@@ -129,7 +132,11 @@ def learn_languages(
     docs: DataFrame, learn: Column, id_column: str = "doc_id", lang: str = "lang", text: str = "text", sample: int = 600, most: int = 200
 ) -> Discriminator | None:
     """A discriminator fitted on at most about sample rows for each language among the rows for which learn holds."""
-    own = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    own = docs.filter(learn & F.col(lang).isNotNull()).select(
+        F.col(id_column).alias("_id"),
+        F.col(lang).alias("_lang"),
+        F.col(text).alias("_text"),
+    )
     known = own.filter(F.col("_text").rlike(r"\p{L}"))
     ranked = own.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(most)
     counts = {r["_lang"]: r["n"] for r in ranked.collect()}
@@ -141,7 +148,11 @@ def learn_languages(
     def profiled(texts: list[str | None]) -> tuple:
         return ([profile(t).tobytes() for t in texts],)
 
-    rows = with_text_columns(drawn, "_text", profiled, (T.StructField("_profile", T.BinaryType()),), ("_text",)).toPandas().sort_values(["_id", "_lang"])
+    rows = (
+        with_text_columns(drawn, "_text", profiled, (T.StructField("_profile", T.BinaryType()),), ("_text",))
+        .toPandas()
+        .sort_values(["_id", "_lang"])
+    )
     if not len(rows):
         return None
     return Discriminator(np.frombuffer(b"".join(rows["_profile"]), np.float32).reshape(-1, BUCKETS), rows["_lang"].to_numpy())

@@ -521,6 +521,19 @@ def near_duplicates(
     named = counted(judged, "class_row", F.min("copy_of").alias("class_id"))
     # a text's words may be a third of all rows: both sides are read from tables, so that adaptive execution can split
     found = known.filter("words is not null").select("_row", "_id", "words").join(judged.join(named, "class_row").drop("id"), "words")
-    alone = known.filter("words is null").select("_row", "_id", F.col("_row").alias("class_row"), F.col("_id").alias("copy_of"), F.col("_id").alias("class_id"), F.lit(0).alias("n_links"))
-    columns = [F.col("_id").alias(id_column), "class_id", "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_row"]
+    alone = known.filter("words is null").select(
+        "_row",
+        "_id",
+        F.col("_row").alias("class_row"),
+        F.col("_id").alias("copy_of"),
+        F.col("_id").alias("class_id"),
+        F.lit(0).alias("n_links"),
+    )
+    columns = [
+        F.col("_id").alias(id_column),
+        "class_id",
+        "copy_of",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "class_row",
+    ]
     return found.unionByName(alone, allowMissingColumns=True).select(*columns, *([F.col("_row").alias(row_key)] if row_key else []))

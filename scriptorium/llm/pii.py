@@ -152,10 +152,18 @@ def features(text: str, span: Span) -> list[float]:
     return [
         kind, len(own), len(digits), len(groups), max(lengths), min(lengths), lengths[0], lengths[-1],
         float(len(digits) >= 12 and luhn(digits)) if digits else 0.0, sum(map(str.isalpha, own)), own.count("."), own.count("-"), own.count(" "), own.count("/"), own.count(":"),
-        own.count("::"), len(own.split(":")), float(any(map(str.isdigit, own)) and any(map(str.isalpha, own))), float("(" in own), float("@" in own), float("at" in own.lower()), float(own[:1] == "0"), float(own[:2] == "00"), float(own[:1] == "("),
-        float(len(groups) > 0 and lengths[0] == 4 and groups[0][:2] in ("19", "20")), float(len(groups) == 3 and max(map(int, (g[-4:] for g in groups[:2]))) <= 31),
-        float(len(groups) > 1 and len(set(lengths)) == 1), float(first.isspace() or not first), float(last.isspace() or not last), float(first in "$€£#"), float(last in "%€$"),
-        *(float(any(w in near for w in words)) for words in WORDS_NEAR), *(float(any(w in before for w in words)) for words in WORDS_NEAR), float(any(w in after for w in ("kg", "km", "cm", "mb", "eur", "usd", "am", "pm"))),
+        own.count("::"), len(own.split(":")), float(any(map(str.isdigit, own)) and any(map(str.isalpha, own))), float("(" in own), float("@" in own), float("at" in own.lower()), float(own[:1] == "0"), float(own[:2] == "00"), float(
+            own[:1] == "(",
+        ),
+        float(len(groups) > 0 and lengths[0] == 4 and groups[0][:2] in ("19", "20")), float(
+            len(groups) == 3 and max(map(int, (g[-4:] for g in groups[:2]))) <= 31,
+        ),
+        float(len(groups) > 1 and len(set(lengths)) == 1), float(first.isspace() or not first), float(last.isspace() or not last), float(first in "$€£#"), float(
+            last in "%€$",
+        ),
+        *(float(any(w in near for w in words)) for words in WORDS_NEAR), *(float(any(w in before for w in words)) for words in WORDS_NEAR), float(
+            any(w in after for w in ("kg", "km", "cm", "mb", "eur", "usd", "am", "pm")),
+        ),
     ]
 
 
@@ -177,10 +185,40 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
         kind = rng.randrange(4)
         name, host, tld = f"{word()}{some('', '.', '_')}{word()}", word(), some("com", "org", "net", "example", "de", "fr")
         return kind, *(
-            (some("mail ", "contact ", "write to ", ""), some(f"{name} (at) {host} (dot) {tld}", f"{name}[at]{host}.{tld}", f"{name} at {host} dot {tld}", f"{name} @ {host}.{tld}", f"{name}(at){host}.{tld}")),
-            (some("server ", "host ", "ip ", ""), some(":".join(groups(8)), ":".join(groups(8)), f"{':'.join(groups(rng.randint(2, 4)))}::{':'.join(groups(rng.randint(1, 3)))}", f"fe80::{':'.join(groups(rng.randint(1, 4)))}", f"2001:db8::{groups(1)[0]}", f"{':'.join(groups(4))}::")),
+            (
+                some("mail ", "contact ", "write to ", ""),
+                some(
+                    f"{name} (at) {host} (dot) {tld}",
+                    f"{name}[at]{host}.{tld}",
+                    f"{name} at {host} dot {tld}",
+                    f"{name} @ {host}.{tld}",
+                    f"{name}(at){host}.{tld}",
+                ),
+            ),
+            (
+                some("server ", "host ", "ip ", ""),
+                some(
+                    ":".join(groups(8)),
+                    ":".join(groups(8)),
+                    f"{':'.join(groups(rng.randint(2, 4)))}::{':'.join(groups(rng.randint(1, 3)))}",
+                    f"fe80::{':'.join(groups(rng.randint(1, 4)))}",
+                    f"2001:db8::{groups(1)[0]}",
+                    f"{':'.join(groups(4))}::",
+                ),
+            ),
             (some("card ", "visa ", "pay with ", ""), card(some(".", "/", "  ", "_"))),
-            (some("call ", "tel ", "phone: ", "fax ", "mobile "), some(f"({d(3)}) {d(3)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}", f"0{d(3)}{some(' ', '/', '-')}{d(7)[:4]}{sep}{d(3)}", f"0049 {d(3)} {d(4)} {d(3)}", f"0{d(2)} {d(4)} {d(4)}", f"{some('2', '5', '7')}{d(9)}", f"0{d(rng.randint(8, 10))}")),
+            (
+                some("call ", "tel ", "phone: ", "fax ", "mobile "),
+                some(
+                    f"({d(3)}) {d(3)}{sep}{d(4)}",
+                    f"{d(3)}{sep}{d(3)}{sep}{d(4)}",
+                    f"0{d(3)}{some(' ', '/', '-')}{d(7)[:4]}{sep}{d(3)}",
+                    f"0049 {d(3)} {d(4)} {d(3)}",
+                    f"0{d(2)} {d(4)} {d(4)}",
+                    f"{some('2', '5', '7')}{d(9)}",
+                    f"0{d(rng.randint(8, 10))}",
+                ),
+            ),
         )[kind]
 
     def look_alike() -> str:
@@ -188,7 +226,9 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
             f"{some('order', 'invoice', 'ref', 'serial', 'id', 'model')} {d(rng.randint(3, 6))}{some('-', '.', '/', ' ')}{d(rng.randint(3, 5))}{some('-', '.', '/')}{d(rng.randint(3, 5))}", f"{some('on', 'date', 'since')} {some('19', '20')}{d(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{d(2)}",
             f"version {d(1)}.{d(2)}.{d(3)}", f"{d(3)} {d(3)} {d(3)} {some('eur', 'usd', 'kg', 'km')}", f"{d(2)}:{d(2)}:{d(2)}", f"isbn 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{word()} at {word()} on dot {word()}", f"{d(3)}.{d(3)}.{d(3)}", f"pages {d(3)}-{d(3)}", f"{d(8)}-{d(4)}", f"{d(3)}-{d(4)}",
             f"{d(4)} {d(4)} {d(4)}", f"at (at) {word()}", f"{rng.getrandbits(48):x}:{rng.getrandbits(8):x}", f"{d(4)} {d(3)} {d(4)}", f"{d(2)} {d(3)}", f"{d(3)} {d(4)} {d(3)} {d(3)}",
-            f"{some('order', 'invoice', 'ref', 'serial', 'id', 'isbn', 'page', 'model', 'total')} {d(rng.randint(9, 11))}", f"{d(rng.randint(9, 11))} {some('eur', 'usd', 'kg', 'mb')}", d(rng.randint(9, 11)),
+            f"{some('order', 'invoice', 'ref', 'serial', 'id', 'isbn', 'page', 'model', 'total')} {d(rng.randint(9, 11))}", f"{d(rng.randint(9, 11))} {some('eur', 'usd', 'kg', 'mb')}", d(
+                rng.randint(9, 11),
+            ),
             f"{some('add', 'dead', 'face', 'a', 'bad')}::{some('beef', 'cafe', 'b', 'c')}", f"{word()}::{some('add', 'b', 'f')}", f"{rng.randint(1, 23)}::{d(2)}", f"::{some('add', 'c')}",
         )
 
@@ -267,7 +307,9 @@ def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text",
     def described(texts: list[str | None]) -> tuple:
         base, spans = all_spans([t or "" for t in texts])
         kinds = [[k for _, k, _ in b] for b in base]
-        return *([ks.count(i) for ks in kinds] for i in range(len(KINDS))), [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(s) for s in spans], list(map(len, spans))
+        return *([ks.count(i) for ks in kinds] for i in range(len(KINDS))), [hashlib.sha256(joined(b).encode()).hexdigest() for b in base], [joined(s) for s in spans], list(
+            map(len, spans),
+        )
 
     def replaced(texts: list[str | None]) -> tuple:
         return ([t if not s else redacted(t, s, replace) for t, s in zip(texts, all_spans([t or "" for t in texts])[1], strict=True)],)

@@ -65,7 +65,13 @@ def statistics(text: str | None) -> list[float]:
 
 def text_statistics(docs: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
     """docs without the text, with an array of its statistics."""
-    return with_text_columns(docs, text, lambda texts: ([statistics(t) for t in texts],), (T.StructField(out, T.ArrayType(T.DoubleType())),), (text,))
+    return with_text_columns(
+        docs,
+        text,
+        lambda texts: ([statistics(t) for t in texts],),
+        (T.StructField(out, T.ArrayType(T.DoubleType())),),
+        (text,),
+    )
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", label: str = "quality", text: str = "text", sample: int = 20_000) -> Trees:
@@ -73,7 +79,17 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_column:
     known = labels.filter(learn & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.max(label).alias("_label"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(share * 1_000_000) + (share >= 1)).limit(2 * sample)
-    rows = text_statistics(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn.withColumnRenamed(id_column, "_id")), "_id"), "_text").orderBy("_id").toPandas()
+    rows = (
+        text_statistics(
+            docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(
+                F.broadcast(drawn.withColumnRenamed(id_column, "_id")),
+                "_id",
+            ),
+            "_text",
+        )
+        .orderBy("_id")
+        .toPandas()
+    )
     if not len(rows):
         return constant(0.5, len(STATISTICS))
     return fit(np.stack(rows["statistics"].to_numpy()), rows["_label"].to_numpy(np.float64))
@@ -90,4 +106,10 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = 0.3, text: s
         score = sent.value.probabilities(np.array([statistics(t) for t in texts]))
         return score, (score >= threshold).astype(np.int32)
 
-    return with_text_columns(docs, text, scored, (T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())), () if keep_text else (text,))
+    return with_text_columns(
+        docs,
+        text,
+        scored,
+        (T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())),
+        () if keep_text else (text,),
+    )

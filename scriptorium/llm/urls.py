@@ -41,7 +41,9 @@ def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     """The block of a key and the bit that it sets in each of the block's words."""
     h = F.xxhash64(key)
     low = h.bitwiseAND(F.lit(0x7FFFFFFF))
-    return F.pmod(F.shiftrightunsigned(h, 31), F.lit(blocks)).cast("int"), [F.shiftright((low * s).bitwiseAND(F.lit(0x7FFFFFFF)), 26).cast("int") for s in SALTS]
+    return F.pmod(F.shiftrightunsigned(h, 31), F.lit(blocks)).cast("int"), [
+        F.shiftright((low * s).bitwiseAND(F.lit(0x7FFFFFFF)), 26).cast("int") for s in SALTS
+    ]
 
 
 def _shift(one: Column, by: Column) -> Column:
@@ -56,7 +58,12 @@ class BlockedBloom:
         self.blocks = max(1, min(max_bits, wanted) // (32 * WORDS))
         block, bits = _bits(F.col(key), self.blocks)
         # one row for each block that has a key: at most max_bits / 256, whatever the list's size
-        rows = keys.select(block.alias("b"), *(_shift(F.lit(1).cast("long"), x).alias(f"w{i}") for i, x in enumerate(bits))).groupBy("b").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS))).collect()
+        rows = (
+            keys.select(block.alias("b"), *(_shift(F.lit(1).cast("long"), x).alias(f"w{i}") for i, x in enumerate(bits)))
+            .groupBy("b")
+            .agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
+            .collect()
+        )
         words = [0] * (self.blocks * WORDS)
         for r in rows:
             words[r["b"] * WORDS : (r["b"] + 1) * WORDS] = r[1:]
@@ -75,8 +82,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_columns: Sequence[str], u
 
     rules: columns host, path, verdict. A list of more than broadcast_rows keys is joined by a shuffle instead.
     """
-    listed = rules.select(F.translate("host", UPPER, LOWER).alias("_h"), F.coalesce("path", F.lit("")).alias("_p"), F.col("verdict").alias("_v")).filter("_h is not null and _h <> ''")
-    listed = listed.groupBy(F.concat("_h", "_p").alias("_key"), "_h").agg(F.max("_v").alias("_v")).select("_key", F.length("_h").alias("_hl"), "_v", F.size(F.split("_h", r"\.")).alias("_n"), (F.length("_key") - F.length("_h")).alias("_l"))
+    listed = rules.select(F.translate("host", UPPER, LOWER).alias("_h"), F.coalesce("path", F.lit("")).alias("_p"), F.col("verdict").alias("_v")).filter(
+        "_h is not null and _h <> ''",
+    )
+    listed = (
+        listed.groupBy(F.concat("_h", "_p").alias("_key"), "_h")
+        .agg(F.max("_v").alias("_v"))
+        .select(
+            "_key",
+            F.length("_h").alias("_hl"),
+            "_v",
+            F.size(F.split("_h", r"\.")).alias("_n"),
+            (F.length("_key") - F.length("_h")).alias("_l"),
+        )
+    )
     shapes = [(r["_n"], r["_l"]) for r in listed.select("_n", "_l").distinct().collect()]
     ids = list(id_columns)
     # one row for each different page of a partition; repeated rows come back at the end

@@ -31,7 +31,18 @@ from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
 from tests.compare import duck, rows
 
-MIXED = ["plain words here", "", None, "x" * 3000, "a b " * 5000, "é漢字🙂 \u2003ǅ", "plain words here", "\n\t ", "1234 5,6!!", "<|endoftext|> 's"]
+MIXED = [
+    "plain words here",
+    "",
+    None,
+    "x" * 3000,
+    "a b " * 5000,
+    "é漢字🙂 \u2003ǅ",
+    "plain words here",
+    "\n\t ",
+    "1234 5,6!!",
+    "<|endoftext|> 's",
+]
 
 
 def texts(spark, values=MIXED, more="score double, ids int"):
@@ -46,7 +57,12 @@ def tokens(spark):
 
 @pytest.fixture(scope="module")
 def reference_encoding(tokens):
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    return tiktoken.Encoding(
+        "own",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks={t: i for i, t in enumerate(tokens)},
+        special_tokens={},
+    )
 
 
 def test_bpe_equals_tiktoken(spark, tokens, reference_encoding):
@@ -87,7 +103,12 @@ def test_query_equals_sql(name, spark, sf):
 
 
 def test_language(spark, sf):
-    found = queries.op2_language(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    found = (
+        queries.op2_language(spark, sf)
+        .join(read_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+        .filter("held_out")
+        .toPandas()
+    )
     assert (found["lang_pred"] == found["lang"]).mean() > 0.95 and found["score"].between(0, 1).all()
 
 
@@ -96,7 +117,11 @@ def test_language_odd_rows(spark):
     model = learn_languages(docs, F.lit(True))
     assert {r.doc_id: r.lang_pred for r in identify(docs, model).collect()} == {i: "en" if t and any(c.isalpha() for c in t) else "und" for i, t in enumerate(MIXED)}
     assert learn_languages(docs.filter("false"), F.lit(True)) is None
-    dirty = spark.range(400).selectExpr("id as doc_id", "concat('text of words ', id) as text", "if(id % 4 = 0, 'en', concat('x', id)) as lang")
+    dirty = spark.range(400).selectExpr(
+        "id as doc_id",
+        "concat('text of words ', id) as text",
+        "if(id % 4 = 0, 'en', concat('x', id)) as lang",
+    )
     assert len(learn_languages(dirty, F.lit(True), most=5).families.classes) == 5
     assert {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
     assert identify(docs.filter("false"), model).count() == 0
@@ -106,11 +131,35 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def test_urls(spark):
-    urls = ["http://a.com/x", "http://EXAMPLE.com/en/1?q", "ftp://www.example.com/en/#f", "x.net/es/", "h://b.net/es", "h://b.net/es/", None, "", "h://com", "h://notexample.com/en/", "h://a.com/x"]
-    pages = spark.createDataFrame([(1 if i == 10 else i, u, "r") for i, u in enumerate(urls)] + [(1, urls[1], "r")], "page_id long, url string, rule string")
+    urls = [
+        "http://a.com/x",
+        "http://EXAMPLE.com/en/1?q",
+        "ftp://www.example.com/en/#f",
+        "x.net/es/",
+        "h://b.net/es",
+        "h://b.net/es/",
+        None,
+        "",
+        "h://com",
+        "h://notexample.com/en/",
+        "h://a.com/x",
+    ]
+    pages = spark.createDataFrame(
+        [(1 if i == 10 else i, u, "r") for i, u in enumerate(urls)] + [(1, urls[1], "r")],
+        "page_id long, url string, rule string",
+    )
     found = filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), ["page_id"])
     wanted = [(0, "a.com", "/x", "com/", "allow"), (1, "a.com", "/x", "com/", "allow")] + [(1, "example.com", "/en/1", "example.com/en/", "block")] * 2
-    wanted += [(2, "www.example.com", "/en/", "www.example.com/en/", "allow"), (3, "", "", None, "allow"), (4, "b.net", "/es", None, "allow"), (5, "b.net", "/es/", "net/es/", "block"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "com", "", None, "allow"), (9, "notexample.com", "/en/", "com/", "allow")]
+    wanted += [
+        (2, "www.example.com", "/en/", "www.example.com/en/", "allow"),
+        (3, "", "", None, "allow"),
+        (4, "b.net", "/es", None, "allow"),
+        (5, "b.net", "/es/", "net/es/", "block"),
+        (6, "", "", None, "allow"),
+        (7, "", "", None, "allow"),
+        (8, "com", "", None, "allow"),
+        (9, "notexample.com", "/en/", "com/", "allow"),
+    ]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
     assert filter_urls(pages.filter("false"), spark.createDataFrame(RULES, "host string, path string, verdict string"), ["page_id"]).count() == 0
     assert {r.verdict for r in filter_urls(pages, spark.createDataFrame([], "host string, path string, verdict string"), ["page_id"]).collect()} == {"allow"}
@@ -118,13 +167,21 @@ def test_urls(spark):
 
 def test_urls_joined_by_shuffle(spark):
     pages = spark.createDataFrame([(i, f"h://s{i % 50}.example.com/en/{i}") for i in range(300)], "page_id long, url string")
-    listed = spark.createDataFrame([(f"s{i}.example.com", "/en/", "block") for i in range(0, 50, 2)], "host string, path string, verdict string")
+    listed = spark.createDataFrame(
+        [(f"s{i}.example.com", "/en/", "block") for i in range(0, 50, 2)],
+        "host string, path string, verdict string",
+    )
     small, large = (sorted(map(tuple, filter_urls(pages, listed, ["page_id"], broadcast_rows=n).collect())) for n in (1000, 1))
     assert small == large and sum(r[4] == "block" for r in small) == 150
 
 
 def test_urls_repeated_in_many_partitions(spark):
-    pages = spark.range(0, 900, 1, 9).selectExpr("cast(null as long) as page_id", "if(id % 3 = 0, null, 'h://a.com/x') as url", "'x' as verdict", "1 as _copies")
+    pages = spark.range(0, 900, 1, 9).selectExpr(
+        "cast(null as long) as page_id",
+        "if(id % 3 = 0, null, 'h://a.com/x') as url",
+        "'x' as verdict",
+        "1 as _copies",
+    )
     found = filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), ["page_id"])
     assert {(r.host, r.rule, r["count"]) for r in found.groupBy("host", "rule").count().collect()} == {("", None, 300), ("a.com", "com/", 600)}
 
@@ -155,7 +212,14 @@ def vectors(spark, n=400, dim=16, seed=3):
     made = rng.normal(size=(n, dim)).astype(np.float32) * 0.2
     made[1] = made[0]
     own = [(i, v.tolist(), None) for i, v in enumerate(made)]
-    bad = [(n, None, None), (n + 1, [None] * dim, None), (n + 2, [float("nan")] * dim, None), (n + 3, [float("inf")] * dim, None), (n + 4, [0.0] * dim, None), (n + 5, [], None)]
+    bad = [
+        (n, None, None),
+        (n + 1, [None] * dim, None),
+        (n + 2, [float("nan")] * dim, None),
+        (n + 3, [float("inf")] * dim, None),
+        (n + 4, [0.0] * dim, None),
+        (n + 5, [], None),
+    ]
     return made, spark.createDataFrame(own + bad, "vec_id long, embedding array<float>, score double")
 
 
@@ -223,15 +287,35 @@ def test_scores_beyond_64_bits(spark):
 
 def test_searches_in_chunks_and_blocks(spark):
     made, df = vectors(spark)
-    df = df.filter("size(embedding) = 16").select(F.col("vec_id").alias("_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("_v")).filter("_id < 400")
-    whole, chunks = (sorted(map(tuple, search(df, F.col("_id") % 3 == 0, 5, SliceIndex, "long", **more).collect())) for more in ({}, {"chunk": 20, "rows": 16}))
+    df = (
+        df.filter("size(embedding) = 16")
+        .select(F.col("vec_id").alias("_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("_v"))
+        .filter("_id < 400")
+    )
+    whole, chunks = (
+        sorted(map(tuple, search(df, F.col("_id") % 3 == 0, 5, SliceIndex, "long", **more).collect())) for more in ({}, {"chunk": 20, "rows": 16})
+    )
     assert whole == chunks and len(whole) == 134 * 5
 
 
 def test_chat_events(spark):
     log = [
-        (1, 0, "message", "a", "user", "hi <|im_end|> & &lt;|"), (1, 1, "start", "b", "assistant", None), (1, 2, "delta", "b", None, "wro"), (1, 3, "delta", "b", None, "ng"), (1, 4, "regenerate", "b", None, "x"), (1, 5, "delta", "b", None, "right"), (1, 6, "delta", "b", None, "!"),
-        (1, 100, "message", "c", "user\n<|x", None), (1, 101, "edit", "a", None, "hello"), (None, 0, "message", "z", None, "alone"), (2, 0, "message", "d", "assistant", "é🙂"), (2, 0, "message", "e", "assistant", "é🙂"),
+        (1, 0, "message", "a", "user", "hi <|im_end|> & &lt;|"), (1, 1, "start", "b", "assistant", None), (1, 2, "delta", "b", None, "wro"), (1, 3, "delta", "b", None, "ng"), (1, 4, "regenerate", "b", None, "x"), (1, 5, "delta", "b", None, "right"), (
+            1,
+            6,
+            "delta",
+            "b",
+            None,
+            "!",
+        ),
+        (1, 100, "message", "c", "user\n<|x", None), (1, 101, "edit", "a", None, "hello"), (None, 0, "message", "z", None, "alone"), (2, 0, "message", "d", "assistant", "é🙂"), (
+            2,
+            0,
+            "message",
+            "e",
+            "assistant",
+            "é🙂",
+        ),
     ]
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message string, role string, text string")
     chunks = render(reconstruct(events))
@@ -248,13 +332,28 @@ def test_chat_events(spark):
 def test_chat_odd_rows(spark):
     """Null seq last, repeated rows as often as they come, events of no message as they stand, a very long text."""
     long = "&<|é" * 200_000
-    rows_of = [(1, None, "user", "last", 0), (1, 3, "assistant", long, 0), (1, 3, "assistant", long, 0), (1, 2, None, None, 0), (2, 0, "assistant", "<|im_end|>\n", 0)]
-    log = spark.createDataFrame(rows_of, "conv_id long, seq long, role string, text string, chunk int").withColumns({"kind": F.lit("message"), "message": F.lit(None).cast("string")})
+    rows_of = [
+        (1, None, "user", "last", 0),
+        (1, 3, "assistant", long, 0),
+        (1, 3, "assistant", long, 0),
+        (1, 2, None, None, 0),
+        (2, 0, "assistant", "<|im_end|>\n", 0),
+    ]
+    log = spark.createDataFrame(rows_of, "conv_id long, seq long, role string, text string, chunk int").withColumns(
+        {"kind": F.lit("message"), "message": F.lit(None).cast("string")},
+    )
     got = {r.conv_id: r for r in digests(reconstruct(log)).collect()}
     turns = "\n\n" + f"assistant\n{long}\n" * 2 + "user\nlast\n"
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (4, hashlib.sha256(turns.encode()).hexdigest(), 2 * len(long))
     assert (got[2].loss_chars, got[2].loss_sha256) == (11, hashlib.sha256(b"<|im_end|>\n").hexdigest())
-    hot = spark.range(1000).selectExpr("1L as conv_id", "id as seq", "'message' as kind", "null as message", "'user' as role", "cast(id as string) as text")
+    hot = spark.range(1000).selectExpr(
+        "1L as conv_id",
+        "id as seq",
+        "'message' as kind",
+        "null as message",
+        "'user' as role",
+        "cast(id as string) as text",
+    )
     assert render(reconstruct(hot)).count() == 16 and digests(reconstruct(hot)).first().n_turns == 1000
 
 
@@ -308,7 +407,16 @@ def test_op8_equals_brute_force(spark, sf):
 def test_near_duplicates_of_null_and_repeated_ids(spark):
     """Brute force on row keys: ids are attributes that may be null or name several texts."""
     one, near = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz"
-    given = [(None, one), (None, "other words that nobody has"), (None, None), (1, near), (1, "what else is under this id"), (2, one), (2, one), (None, "")]
+    given = [
+        (None, one),
+        (None, "other words that nobody has"),
+        (None, None),
+        (1, near),
+        (1, "what else is under this id"),
+        (2, one),
+        (2, one),
+        (None, ""),
+    ]
     df = spark.createDataFrame([(i, t, k, 0) for k, (i, t) in enumerate(given)], "doc_id long, text string, key long, class_id int")
     found = {r.key: (r.doc_id, r.class_id, r.copy_of, r.n_links, r.class_row) for r in near_duplicates(df, row_key="key").collect()}
     assert found == {
@@ -393,7 +501,17 @@ def test_components(spark):
 def test_tokenizer_equals_library():
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
     whole = Tokenizer.from_file(path)
-    parts = [*"abcDEßñ¼²129.,!'#%s \n\t\x1c\x85\xa0漢ΣσİǅÅ", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "é", "Σ ", "🙂"]
+    parts = [
+        *"abcDEßñ¼²129.,!'#%s \n\t\x1c\x85\xa0漢ΣσİǅÅ",
+        "'s",
+        "<|endoftext|>",
+        "<|startoftext|>",
+        "<|ENDOFTEXT|>",
+        "<|endoftext|",
+        "é",
+        "Σ ",
+        "🙂",
+    ]
     given = [t or "" for t in MIXED] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
     assert [np.frombuffer(b, "<u4").tolist() for b in WordTokenizer(path)(given)] == [e.ids for e in whole.encode_batch(given, add_special_tokens=False)]
 
@@ -462,7 +580,10 @@ def test_op9_over_documents(spark, sf):
     wanted = []
     for i, e in zip(given, whole.encode_batch(list(given.values()), add_special_tokens=False)):
         ids = [*e.ids, 1]
-        wanted += [(i, at // 4096, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for at in range(0, len(ids), 4096)]
+        wanted += [
+            (i, at // 4096, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()))
+            for at in range(0, len(ids), 4096)
+        ]
     found = queries.op9_best_fit_packing(spark, sf).toPandas()
     assert sorted(map(tuple, found[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(wanted)
     for _, own in found.sort_values("offset").groupby("sequence_id"):
@@ -472,7 +593,10 @@ def test_op9_over_documents(spark, sf):
 
 def brute_spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    found += [
+        (m.start(), 1, m.end())
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))
+    ]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = [int(c) for c in m[0] if c.isdigit()][::-1]
         if 12 <= len(digits) <= 19 and sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0:
@@ -484,7 +608,32 @@ def brute_spans(text):
 def test_base_spans_equal_patterns():
     rng = random.Random(3)
     for _ in range(5000):
-        t = "".join(rng.choice(["a", "b@", "@", "c.d", ".", "1", "22", "255", "0", "4111111111111111", "5500 0000 0000 0004", " ", "-", "+1", "(555) ", "é", "%", "\n", "300."]) for _ in range(rng.randint(0, 14)))
+        t = "".join(
+            rng.choice(
+                [
+                    "a",
+                    "b@",
+                    "@",
+                    "c.d",
+                    ".",
+                    "1",
+                    "22",
+                    "255",
+                    "0",
+                    "4111111111111111",
+                    "5500 0000 0000 0004",
+                    " ",
+                    "-",
+                    "+1",
+                    "(555) ",
+                    "é",
+                    "%",
+                    "\n",
+                    "300.",
+                ],
+            )
+            for _ in range(rng.randint(0, 14))
+        )
         assert base_spans(t) == brute_spans(t)
 
 
@@ -541,7 +690,15 @@ def test_planted_forms_are_found_and_look_alikes_left():
 
 
 def test_personal_data(spark):
-    own = ["mail a.b@c.de now", "write to jon (at) host (dot) com today", "order 1234-5678-9012 on 2021-03-04", None, "", "call (555) 123-4567 please", "ip 10.0.0.1, card 4111 1111 1111 1111"]
+    own = [
+        "mail a.b@c.de now",
+        "write to jon (at) host (dot) com today",
+        "order 1234-5678-9012 on 2021-03-04",
+        None,
+        "",
+        "call (555) 123-4567 please",
+        "ip 10.0.0.1, card 4111 1111 1111 1111",
+    ]
     selector, docs = learn_selector(texts=1500), texts(spark, own, "score double, spans int")
     found = {r.doc_id: r for r in find_personal_data(docs, selector).collect()}
     assert [found[i].spans for i in (0, 2, 3, 4, 6)] == ["email:5:13", "", "", "", "ip:3:11,card:18:37"]

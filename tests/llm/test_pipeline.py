@@ -71,7 +71,9 @@ def test_first_stages_equal_their_operators(spark, sf, stages):
 
 def test_odd_rows_and_clashing_columns(spark, sf, tmp_path):
     shutil.copy(f"{sf}/labels.parquet", tmp_path / "labels.parquet")
-    rows = [(i, t, None, None, None, 0.5, "x", 1) for i, t in enumerate([None, "", "!!", "some words of a text " * 3, "some words of a text " * 3, "a@b.cd " * 4000])] + [(4, "some words of a text " * 3, None, None, None, None, "x", 1)]
+    rows = [(i, t, None, None, None, 0.5, "x", 1) for i, t in enumerate([None, "", "!!", "some words of a text " * 3, "some words of a text " * 3, "a@b.cd " * 4000])] + [
+        (4, "some words of a text " * 3, None, None, None, None, "x", 1),
+    ]
     docs = read_table(spark, sf, "documents").withColumns({"score": F.lit(None).cast("double"), "lang_pred": F.lit("x"), "id": F.lit(1)})
     odd = spark.createDataFrame([(-r[0] - 1, *r[1:]) for r in rows], docs.schema)
     docs = docs.unionByName(odd)
@@ -85,7 +87,17 @@ def test_odd_rows_and_clashing_columns(spark, sf, tmp_path):
 
 def test_near_duplicates_of_null_and_repeated_ids(spark, sf):
     one, two, three = ("some words of a text " * 3, "quite another text of more words", "a third text that nobody else has")
-    given = [(None, one), (None, two), (None, two), (7, three), (7, "the same id but other words in it"), (9, one), (8, one), (3, "alone"), (3, "alone")]
+    given = [
+        (None, one),
+        (None, two),
+        (None, two),
+        (7, three),
+        (7, "the same id but other words in it"),
+        (9, one),
+        (8, one),
+        (3, "alone"),
+        (3, "alone"),
+    ]
     found = corpus_pipeline.one_of_each(spark, spark.createDataFrame(given, "doc_id long, text string"), sf).collect()
     assert sorted(map(tuple, found), key=str) == sorted({(8, one), (None, two), (7, three), (7, given[4][1]), (3, "alone")}, key=str)
 
