@@ -64,23 +64,42 @@ def neighbour_radius(rotation: Rotation, sample: np.ndarray, k: int, cover: floa
 
 
 class SubstringIndex:
-    """Postings of a block's codes by the value of each substring."""
+    """Postings of a block's codes by the value of each substring.
+
+    Where the probes of a substring are more than DENSE of its 256 values, most postings would be read: the values of
+    the substring are looked up in the table of probes instead, which finds the same rows.
+    """
+
+    DENSE = 24
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in codes.T]
-        self.ends = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in codes.T]
+        self.columns = np.ascontiguousarray(codes.T)
+        self.words = self.as_words(codes)
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in self.columns]
+        self.ends = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in self.columns]
+
+    @staticmethod
+    def as_words(codes: np.ndarray) -> np.ndarray:
+        """Codes in words of 64 bits."""
+        padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+        padded[:, : codes.shape[1]] = codes
+        return padded.view(np.uint64)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Places of all codes that differ in at most radius bits."""
         s, a = divmod(radius, len(code))
-        hit = np.zeros(len(self.codes), bool)
+        hit = np.zeros(len(self.words), bool)
         for j, value in enumerate(code):
-            probes = np.flatnonzero(NEAR[value] <= (s if j <= a else s - 1))
+            near = NEAR[value] <= (s if j <= a else s - 1)
+            probes = np.flatnonzero(near)
+            if len(probes) > self.DENSE:
+                hit |= near[self.columns[j]]
+                continue
             for v in probes:
                 hit[self.order[j][self.ends[j][v] : self.ends[j][v + 1]]] = True
         places = np.flatnonzero(hit)
-        return places[np.bitwise_count(self.codes[places] ^ code).sum(axis=1) <= radius]
+        apart = np.bitwise_count(self.words[places] ^ self.as_words(code[None, :])).sum(axis=1)
+        return places[apart <= radius]
 
 
 class HashedBlock:
@@ -103,7 +122,7 @@ class HashedBlock:
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         places = self.near(query_id, query, k)
-        scores = self.values[places] @ query
+        scores = self.values.take(places, axis=0) @ query
         first = top(self.ids[places], scores, k)
         return places[first], scores[first]
 

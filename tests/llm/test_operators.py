@@ -21,7 +21,7 @@ from scriptorium.llm.bpe import BytePairCodec, RankedMerges, java_pattern, read_
 from scriptorium.llm.chat import conversations, digests, reconstruct, render
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.gbdt import fit
-from scriptorium.llm.hashing_index import nearest_neighbours
+from scriptorium.llm.hashing_index import SubstringIndex, nearest_neighbours
 from scriptorium.llm.language import identify, learn_languages
 from scriptorium.llm.near_duplicates import near_duplicates, shingles, word_hashes
 from scriptorium.llm.packing import WordTokenizer, best_fit_plan, pack, pack_documents
@@ -235,8 +235,18 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(df.filter("false"), F.col("_id") == 0, 10).count() == 0
 
 
+@pytest.mark.parametrize("bits", [8, 64, 100])
+def test_substring_index_finds_every_code_within_the_radius(bits):
+    rng = np.random.default_rng(bits)
+    codes = np.packbits(rng.random((500, bits)) < 0.5, axis=1)
+    index = SubstringIndex(codes)
+    for radius in range(0, bits + 1, 3):
+        apart = np.bitwise_count(codes ^ codes[0]).sum(axis=1)
+        assert index.within(codes[0], radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+
+
 def test_op5_recall(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     table = read_table(spark, sf, "embeddings").toPandas()
     made, ids = np.stack(table["embedding"]).astype(float), table["vec_id"].to_numpy()
     found = queries.op5_multi_index_hashing(spark, sf).toPandas()
