@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, and that the generated corpus reaches every branch."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.plans import registry
 from tests.compare import duck, rows
@@ -40,3 +41,10 @@ def test_every_query_has_sql():
 def test_branches_are_reached(name, column, values, spark):
     df = registry.QUERIES[name](spark, "/root/testdata/sf0.01")
     assert values <= {r[0] for r in df.select(column).distinct().collect()}
+
+
+def test_review_run_is_null_where_its_sql_is(spark, sf):
+    shown = ("heading_raw", "ancestors", "text_md5")
+    asked = registry.QUERIES["review_run"](spark, sf).select("task_id", *(F.col(c).isNull() for c in shown))
+    _, wanted = duck(f"select task_id, {', '.join(f'{c} is null as {c}' for c in shown)} from ({registry.ORACLE_SQL['review_run']})", sf)
+    assert rows(["task_id", *shown], [tuple(r) for r in asked.collect()]) == wanted

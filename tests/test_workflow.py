@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import ingest, paper_types, research_units, review
+from scriptorium.operators import ingest, paper_types, research_units, review, segmentation
 from scriptorium.session import discard, materialise
 from scriptorium.sources.papers import export_markdown, landed_pdfs, markdown_files, read_run, write_run
 from scriptorium.streaming.decisions import follow_decisions, gate_now
@@ -152,3 +152,17 @@ def test_written_tables_are_deleted(spark):
     assert table.count() == 3 and os.path.isdir(files)
     discard(table)
     assert not os.path.exists(files)
+
+
+def test_questions_about_a_whole_document_have_no_ancestors(spark):
+    papers = spark.createDataFrame([(1, "## Zeta\n\n### Eta\n\né"), (2, None)], "paper_id long, markdown string")
+    trees = segmentation.paper_trees(papers)
+    made, none = segmentation.review_tasks(trees), review.latest_decisions(decisions(spark))
+    items = review.review_items(made, none, trees, segmentation.segmentation_runs(trees), papers).collect()
+    found = sorted((r.paper_id, r.review_reason, r.section_ordinal, r.heading_raw, r.ancestors, r.text) for r in items)
+    assert found == [
+        (1, "title_ambiguity", 0, "Zeta", [], "\n\n### Eta\n\né"),
+        (1, "zero_role_match", 1, "Eta", ["Zeta"], "\n\né"),
+        (2, "no_structure", 0, None, [], ""),
+        (2, "title_ambiguity", -1, None, [], None),
+    ]
