@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1 to op10, each over its whole table with production parameters."""
+"""The registered queries of this subpackage: op1 to op13, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from scriptorium.llm.near_duplicates import near_duplicates
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.pii import find_personal_data, learn_selector
 from scriptorium.llm.quality import learn_quality, score_quality
+from scriptorium.llm.divergence import source_divergence
+from scriptorium.llm.resampling import resample
 from scriptorium.llm.urls import filter_urls
 from scriptorium.session import read_table
 
@@ -168,3 +170,70 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document, on shingles of five words at 0.8."""
     return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight every document by its likeness to the benchmark, and draw a tenth of those with 20 words or more."""
+    drawn = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ngrams=(1, 1), buckets=10000)
+    return drawn.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: The table of CRC-32, from its polynomial.
+def _crc_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+ORACLE_SQL["op12_importance_resampling"] = rf"""
+with texts as (select 0 as side, row_number() over () as r, doc_id, text from documents union all select 1, row_number() over (), null, text from benchmark
+), words as (
+  select side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts
+), each as (select side, r, unnest(w) as f from words
+), counted as (select side, f, count(*) as n from each group by all
+), strings as (select f, hex(encode(f)) as h from (select distinct f from counted)
+), hashed as (
+  select f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, ([{", ".join(map(str, _crc_table()))}]::bigint[])[xor(c & 255, b) + 1])), 4294967295::bigint) % 10000 as b from strings
+), sums as (select b, coalesce(sum(n) filter (side = 0), 0)::double as s, coalesce(sum(n) filter (side = 1), 0)::double as t from counted join hashed using (f) group by b
+), gains as (select b, floor(1000 * ln((t + 1) * ((select sum(s) from sums) + 10000) / ((s + 1) * ((select sum(t) from sums) + 10000))))::bigint as gain from sums
+), gained as (select r, count(*) as n, sum(gain)::bigint as g from each join hashed using (f) join gains using (b) where side = 0 group by r
+), weighed as (
+  select w.r, w.doc_id, len(w.w) as n_features, coalesce(floor(g / n), 0)::bigint as weight, ('0x' || substr(sha256('2024:' || coalesce(w.doc_id::varchar, '')), 1, 8))::bigint as h
+  from words w left join gained using (r) where side = 0
+), scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from weighed
+), ranked as (select r, row_number() over (order by score desc, doc_id, r) as rank from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select count(*) * 10 // 100 from ranked) then rank end as rank from scored left join ranked using (r)
+"""
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language, pair by pair and term by term."""
+    return source_divergence(read_table(spark, sf_dir, "documents"), least_documents=3, ranks=200)
+
+
+ORACLE_SQL["op13_source_divergence"] = r"""
+with rows as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents
+), each as (select r, lang, source, unnest(w) as term from rows
+), kept as (select lang, term, count(*) as n from each group by all having count(distinct r) >= 3
+), sized as (select lang, count(*) as v, sum(n) as n from kept group by lang
+), groups as (select distinct lang, source from rows
+), used as (select e.lang, e.source, e.term, count(*) as c from each e join kept using (lang, term) group by all
+), totals as (select g.lang, g.source, coalesce(sum(c), 0) as n from groups g left join used u using (lang, source) group by all
+), shares as (
+  select t.lang, t.source, k.term, coalesce(u.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(u.c, 0) + 1)) // (t.n + s.v) as p, 1 + (1000000000::hugeint * (k.n + 1)) // (s.n + s.v) as q
+  from totals t join sized s using (lang) join kept k using (lang) left join used u on u.lang = t.lang and u.source = t.source and u.term = k.term
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from shares where c > 0 and p > q
+)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found) where part = 'pair' or rank <= 200
+"""
