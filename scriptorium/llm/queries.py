@@ -14,6 +14,7 @@ from scriptorium.llm.bitsliced import bit_sliced_top_k
 from scriptorium.llm.hashing_index import nearest_neighbours
 from scriptorium.llm.language import identify, learn_languages
 from scriptorium.llm.near_duplicates import near_duplicates
+from scriptorium.llm.ngram_model import score_texts
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.pii import find_personal_data, learn_selector
 from scriptorium.llm.quality import learn_quality, score_quality
@@ -237,3 +238,11 @@ with rows as (
 )
 select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found) where part = 'pair' or rank <= 200
 """
+
+
+@query
+def op11_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text by the word-pair model that is learned from the folds other than 1."""
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return score_texts(docs, held).withColumnRenamed("doc", "doc_id")

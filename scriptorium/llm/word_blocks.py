@@ -118,6 +118,18 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def pack_all(arrays: list[np.ndarray]) -> bytes:
+    """Several arrays by `pack`, one after another."""
+    parts = [pack(x) for x in arrays]
+    return b"".join([bytes([len(parts)]), *(len(x).to_bytes(8, "little") for x in parts), *parts])
+
+
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    sizes = [int.from_bytes(data[1 + 8 * i : 9 + 8 * i], "little") for i in range(data[0])]
+    stops = np.cumsum([1 + 8 * len(sizes), *sizes]).tolist()
+    return [unpack(data[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
+
+
 def gathered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each key together, from batches that are sorted by it."""
     held: list[pa.RecordBatch] = []
