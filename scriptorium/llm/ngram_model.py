@@ -5,9 +5,9 @@ next text's first token too. The base probability of a token is (c + 0.5) / (N +
 training tokens of V kinds. A token after a context has the probability (c(context, token) + M * base) /
 (c(context) + M): Dirichlet smoothing, whose sum over all tokens is 1.
 
-Documents go into blocks with a dictionary of their own. A block's distinct words meet the corpus's dictionary, which
-gives their number and count; then its distinct pairs go, packed with the documents that have them, to the shard of their
-context. Pairs of a context with a large share of all tokens are dealt out by their second word as well. A shard merges
+Documents go into blocks with a dictionary of their own. A block's distinct words go, packed, to the shard of the corpus's
+dictionary that their hash names, which gives their number and count; then its distinct pairs go, packed with the
+documents that have them, to the shard of their context. Pairs of a context with a large share of all tokens are dealt out by their second word as well. A shard merges
 the counts of all blocks into a trie: contexts, pointers to where their words begin, the words, each relative to its
 context's base, and the smoothed probability in thousandths of its logarithm. The levels are Elias-Fano coded and
 memory-mapped. Each pair is looked up in it by a successor search among its context's words, and what goes back are
@@ -21,6 +21,8 @@ are not used.
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.elias_fano import EliasFano, MappedArrays
-from scriptorium.llm.word_blocks import blocks, gathered, pack, pack_all, row_structs, splitter, string_structs, unpack, unpack_all
+from scriptorium.llm.word_blocks import blocks, gathered, pack, pack_all, row_structs, splitter, unpack, unpack_all
 from scriptorium.session import map_batches, materialise
 
 #: All but white space.
@@ -51,19 +53,68 @@ def _parts(p: np.ndarray) -> np.ndarray:
     return np.rint(-PARTS * np.log10(p)).astype(np.int64)
 
 
-def token_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of docs (doc, held, text): docs, words (list of word and training count), packed lengths and places."""
+def token_blocks(docs: DataFrame, shards: int) -> DataFrame:
+    """Blocks of docs (doc, held, text) as two kinds of rows.
+
+    With a null shard: docs, and packed lengths and places of their tokens, where frequent words of the block have low
+    places. With a shard: its words, one a line, and packed, their places (differences) and training counts.
+    """
     kind = docs.schema["doc"].dataType.simpleString()
+    names = ["block", "shard", "docs", "lengths", "places", "words", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", WORDS, lambda words: [*words, END]):
+            size = len(block.strings)
+            by_use = np.argsort(-np.bincount(block.ids, minlength=size), kind="stable")
+            place = np.empty(size, np.int64)
+            place[by_use] = np.arange(size)
             trained = ~block.rows.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            counts = np.bincount(block.ids, np.repeat(trained, block.lengths), len(block.strings)).astype(np.int64)
-            columns = [pa.array([block.number]), row_structs(block), string_structs(block, counts, ("word", "count"))]
-            columns += [pa.array([pack(x)], pa.binary()) for x in (block.lengths, block.ids)]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "docs", "words", "lengths", "places"])
-
-    return map_batches(docs, run, f"block long, docs array<struct<doc: {kind}, held: boolean>>, words array<struct<word: string, count: long>>, lengths binary, places binary")
+            counts = np.bincount(block.ids, np.repeat(trained, block.lengths), size).astype(np.int64)[by_use]
+            strings = [block.strings[i] for i in by_use.tolist()]
+            shard = np.fromiter(map(zlib.crc32, strings), np.int64, size) % shards
+            dealt = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[dealt], prepend=-1)).tolist()
+            packed: list[list] = [[], [], [], []]
+            for start, stop in zip(cuts, [*cuts[1:], size], strict=True):
+                own = dealt[start:stop]
+                line = b"\n".join([b"" if strings[i] == END else strings[i] for i in own.tolist()])
+                parts = int(shard[own[0]]), pa.compress(line, codec="zstd", asbytes=True), pack(np.diff(own, prepend=0)), pack(counts[own])
+                for column, x in zip(packed, (parts[0], len(line).to_bytes(8, "little") + parts[1], *parts[2:]), strict=True):
+                    column.append(x)
+            n, docs_of = len(cuts), row_structs(block)
+            none = [None] * n
+            rows = [[block.number] * (n + 1), [None, *packed[0]], [pack(block.lengths), *none], [pack(place[block.ids]), *none], *([None, *x] for x in packed[1:])]
+            columns = [pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)]
+            columns.insert(2, pa.concat_arrays([docs_of, pa.nulls(n, docs_of.type)]))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_batches(docs, run, f"block long, shard long, docs array<struct<doc: {kind}, held: boolean>>, lengths binary, places binary, words binary, at binary, counts binary")
+
+
+def _number(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """For the words that each block asks of a shard: their numbers and counts in training; tokens and kinds of the shard.
+
+    Frequent words have low numbers. Words that training has not have no number and the count 0.
+    """
+    for rows in gathered(batches, "shard"):
+        place: dict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
+        asked = []
+        for x in rows["words"]:
+            data = x.as_buffer()
+            size = int.from_bytes(data[:8].to_pybytes(), "little")
+            words = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")
+            asked.append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+        counts = [unpack(x.as_py()) for x in rows["counts"]]
+        total = np.bincount(np.concatenate(asked), np.concatenate(counts), len(place)).astype(np.int64)
+        number = np.empty(len(total), np.int64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        number = number * shards + rows["shard"][0].as_py()
+        blocks_, shard, at = (pa.concat_arrays(rows[n].chunks) for n in ("block", "shard", "at"))
+        tokens, kinds = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        tokens[0], kinds[0] = total.sum(), (total > 0).sum()
+        packed = [pa.array([pack(v[x]) for x in asked], pa.binary()) for v in (number, total)]
+        yield pa.RecordBatch.from_arrays([blocks_, at, *packed, pa.array(tokens), pa.array(kinds)], names=["block", "at", "numbers", "totals", "tokens", "kinds"])
 
 
 class Model:
@@ -105,12 +156,12 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
     """The packed pairs of each block for each shard, and a row with its documents and what is known of them without."""
     for rows in gathered(batches, "block"):
         own, whole = _whole_row(rows, "places")
-        found = rows.filter(pc.is_valid(rows["id"]))
         lengths, places = unpack(whole["lengths"]), unpack(whole["places"])
         size = int(places.max()) + 1
         number, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        number[found["at"].to_numpy()] = found["id"].to_numpy()
-        count[found["at"].to_numpy()] = found["count"].to_numpy()
+        for x in rows.filter(pc.is_valid(rows["numbers"])).select(["at", "numbers", "totals"]).to_pylist():
+            at = np.cumsum(unpack(x["at"]))
+            number[at], count[at] = unpack(x["numbers"]), unpack(x["totals"])
         docs = _documents(own)
         held = docs.field("held").to_numpy(zero_copy_only=False).astype(bool)
         owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -253,23 +304,19 @@ def score_texts(documents: DataFrame, held_out: Column, id_column: str = "doc_id
     spark = documents.sparkSession
     docs = documents.select(F.col(id_column).alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
     kind = docs.schema["doc"].dataType.simpleString()
-    own = materialise(token_blocks(docs), "tokens")
-    counted = own.select(F.inline("words")).groupBy("word").agg(F.sum("count").alias("count")).filter("count > 0")
-    words = materialise(counted.withColumn("_at", F.monotonically_increasing_id()), "words")
-    part = F.shiftright("_at", 33)
-    totals = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), (F.coalesce(F.max(part), F.lit(0)) + 1).alias("parts")).first()
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(totals.n, totals.v, max(least, totals.n // SHARD_TOKENS), mass)
-    number = F.col("_at").bitwiseAND((1 << 33) - 1) * totals.parts + part
-    asked = own.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", F.col("w.word").alias("word"))
-    answers = asked.join(words.select("word", number.alias("id"), "count"), "word").select("block", "at", "id", "count")
-    none = {"at": "int", "id": "long", "count": "long"}
-    rows = own.select("block", *(F.lit(None).cast(k).alias(c) for c, k in none.items()), "docs", "lengths", "places")
-    rows = rows.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = materialise(token_blocks(docs, shards), "tokens")
+    asked = own.filter("shard is not null").select("block", "shard", "words", "at", "counts").repartition(shards, "shard").sortWithinPartitions("shard")
+    answers = "block long, at binary, numbers binary, totals binary, tokens long, kinds long"
+    words = materialise(map_batches(asked, lambda batches: _number(batches, shards), answers), "words")
+    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds"))).first()
+    model = Model(sums.tokens, sums.kinds, max(shards, sums.tokens // SHARD_TOKENS), mass)
+    rows = own.filter("shard is null").select("block", "docs", "lengths", "places").unionByName(words.drop("tokens", "kinds"), allowMissingColumns=True)
+    rows = rows.repartition("block").sortWithinPartitions("block")
     held = f"docs array<struct<doc: {kind}, held: boolean>>, known binary, logs array<double>"
     asks = map_batches(rows, lambda batches: _ask(batches, model), f"shard long, block long, pairs binary, {held}")
     near = asks.repartition(model.shards, "shard").sortWithinPartitions("shard")
-    sums = map_batches(near, lambda batches: _answer(batches, model), f"block long, sums binary, {held}")
-    back = sums.repartition("block").sortWithinPartitions("block")
+    told = map_batches(near, lambda batches: _answer(batches, model), f"block long, sums binary, {held}")
+    back = told.repartition("block").sortWithinPartitions("block")
     scored = map_batches(back, _score, f"doc {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(totals.n).cast("long"))
+    return scored.withColumn("train_tokens", F.lit(sums.tokens).cast("long"))
