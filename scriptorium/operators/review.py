@@ -1,7 +1,8 @@
 """The review workflow as relations: decisions over machine answers, the run's gate, and what goes back to the author.
 
-Logs are append-only; the present state is a view of the latest row. A decision counts unless its run was consumed
-before it was made.
+Logs are append-only; the present state is a view of the latest row. Decisions, rejections and requests to consume or
+return a run are replayed in order: a request is granted by the gate of its own time, and a decision counts unless its
+run was frozen before it was made.
 """
 
 from __future__ import annotations
@@ -47,12 +48,73 @@ def decision_errors(decisions: DataFrame, tasks: DataFrame, nodes: DataFrame | N
     return rows.withColumn("error", error).drop("_run", "_known")
 
 
-def frozen_out(decisions: DataFrame, tasks: DataFrame, consumed: DataFrame) -> DataFrame:
-    """Decisions with their run and whether they come too late: made after the run was consumed.
+def replay(runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every event of each run's log in order, with the gate as it stood after the event, and what came of the event.
 
-    consumed: run_id, consumed_at. Decisions of no known task have no run and are left out.
+    decisions (decision_id, ts, task_id, decision) and rejections (rejection_id, ts, run_id) are the valid ones; requests:
+    request_id, ts, run_id, asked_by and wants, `consume` or `return`. Events go by time; at one time decisions come first,
+    then rejections, then requests, each by id. A request to consume is granted if the gate has passed by then, one to
+    return if it is returned. The first granted request freezes the run: later decisions are refused and change nothing,
+    and later requests see the frozen answers. Runs may be rejected at any time. Outcomes: `accepted`, `refused`, for
+    requests also `consumed` and `returned` (this one froze the run) and `again` (a consumed run is read once more).
+
+    Nothing is refused before the first granted request, so one pass of running counts finds it; a second pass counts
+    what was accepted. A run's log is one window: it is what people wrote about one paper.
+    """
+    none = F.lit(None).cast("string")
+    own = tasks.select("task_id", "run_id")
+    said = decisions.select("task_id", "decision", "ts", F.col("decision_id").alias("id")).join(own, "task_id")
+    log = said.select("run_id", "ts", F.lit(0).alias("place"), "id", F.lit("decision").alias("kind"), "task_id", "decision", none.alias("asked_by"))
+    objected = rejections.select("run_id", "ts", F.lit(1), F.col("rejection_id").alias("id"), F.lit("rejection"), none, none, none)
+    wanted = requests.select("run_id", "ts", F.lit(2), F.col("request_id").alias("id"), F.col("wants"), none, none, "asked_by")
+    counted = runs.select("run_id").join(tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("total")), "run_id", "left").fillna(0, ["total"])
+    rows = log.union(objected).union(wanted).join(counted, "run_id")
+
+    order = ["ts", "place", "id"]
+    upto = Window.partitionBy("run_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("decision").over(Window.partitionBy("run_id", "task_id").orderBy(*order))
+    is_decision, is_rejection = F.col("kind") == "decision", F.col("kind") == "rejection"
+    refused = lambda c: F.coalesce(c == "reject", F.lit(False)).cast("int")
+    rows = rows.withColumn("_before", before).withColumns({
+        "_answered": (is_decision & F.col("_before").isNull()).cast("int"),
+        "_refused": F.when(is_decision, refused(F.col("decision")) - refused(F.col("_before"))).otherwise(0),
+        "_objected": is_rejection.cast("int"),
+    })
+
+    def counts(live):
+        """The gate after each event, as far as live events go."""
+        total = lambda c: F.sum(F.when(live, F.col(c)).otherwise(0)).over(upto)
+        return {"open": F.col("total") - total("_answered"), "rejected": total("_refused"), "run_rejected": F.sum("_objected").over(upto) > 0}
+
+    state = gate_state(F.col("run_rejected"), F.col("rejected"), F.col("open"))
+    granted = ((F.col("kind") == "consume") & (F.col("state") == "passed")) | ((F.col("kind") == "return") & (F.col("state") == "returned"))
+    first = F.min(F.when(granted, F.struct("ts", "id"))).over(Window.partitionBy("run_id"))
+    rows = rows.withColumns(counts(F.lit(True))).withColumn("state", state).withColumn("_first", first)
+    late = F.coalesce(F.col("ts") > F.col("_first.ts"), F.lit(False))
+    rows = rows.withColumns(counts(~late)).withColumn("state", state)
+    froze = (F.col("place") == 2) & (F.struct("ts", "id") == F.col("_first"))
+    outcome = (
+        F.when(is_decision, F.when(late, "refused").otherwise("accepted"))
+        .when(is_rejection, "accepted")
+        .when(froze, F.when(F.col("kind") == "consume", "consumed").otherwise("returned"))
+        .when((F.col("kind") == "consume") & (F.col("state") == "passed"), "again")
+        .otherwise("refused")
+    )
+    return rows.select("run_id", "ts", "kind", "id", "task_id", "decision", "asked_by", "total", "open", "rejected", "run_rejected", "state", outcome.alias("outcome"))
+
+
+def freezes(replayed: DataFrame) -> DataFrame:
+    """The request that froze each frozen run: run_id, consumed_at, consumed_by, request_id and how, `consumed` or `returned`."""
+    rows = replayed.filter(F.col("outcome").isin("consumed", "returned"))
+    return rows.select("run_id", F.col("ts").alias("consumed_at"), F.col("asked_by").alias("consumed_by"), F.col("id").alias("request_id"), F.col("outcome").alias("how"))
+
+
+def frozen_out(decisions: DataFrame, tasks: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Decisions with their run and whether they come too late: made after the run was frozen.
+
+    frozen: run_id, consumed_at. Decisions of no known task have no run and are left out.
     """
-    own = decisions.join(tasks.select("task_id", "run_id"), "task_id").join(consumed.select("run_id", "consumed_at"), "run_id", "left")
+    own = decisions.join(tasks.select("task_id", "run_id"), "task_id").join(frozen.select("run_id", "consumed_at"), "run_id", "left")
     return own.withColumn("refused", F.coalesce(F.col("ts") > F.col("consumed_at"), F.lit(False)))
 
 
@@ -62,7 +124,7 @@ def latest_decisions(decisions: DataFrame, consumed: DataFrame | None = None) ->
     consumed: run_id and consumed_at; decisions made later than that are dropped. decisions then need run_id.
     """
     if consumed is not None:
-        decisions = decisions.join(consumed, "run_id", "left").filter("consumed_at is null or ts <= consumed_at").drop("consumed_at")
+        decisions = decisions.join(consumed.select("run_id", "consumed_at"), "run_id", "left").filter("consumed_at is null or ts <= consumed_at").drop("consumed_at")
     rest = [c for c in decisions.columns if c not in ("task_id", "decision_id", "ts")]
     order = F.struct("ts", "decision_id")
     return decisions.groupBy("task_id").agg(
@@ -152,6 +214,11 @@ def effective_view(nodes: DataFrame, runs: DataFrame, tasks: DataFrame, decision
     )
 
 
+def gate_state(run_rejected, rejected, open_):
+    """returned if the run or a task of it was rejected, else open while a task is, else passed."""
+    return F.when(run_rejected | (rejected > 0), "returned").when(open_ > 0, "open").otherwise("passed")
+
+
 def gate(runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
     """State of each run: returned if it or a task of it was rejected, else open while a task is, else passed."""
     state = tasks.join(decisions.select("task_id", "decision"), "task_id", "left").groupBy("run_id").agg(
@@ -164,10 +231,7 @@ def gate(runs: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: Da
         .fillna(0)
         .fillna(False)
     )
-    return rows.withColumn(
-        "state",
-        F.when(F.col("run_rejected") | (F.col("rejected") > 0), "returned").when(F.col("open") > 0, "open").otherwise("passed"),
-    )
+    return rows.withColumn("state", gate_state(F.col("run_rejected"), F.col("rejected"), F.col("open")))
 
 
 def author_return(runs: DataFrame, trees: DataFrame, tasks: DataFrame, decisions: DataFrame, rejections: DataFrame) -> DataFrame:
@@ -199,32 +263,27 @@ def author_return(runs: DataFrame, trees: DataFrame, tasks: DataFrame, decisions
     return whole.unionByName(own).withColumn("position", F.row_number().over(order) - 1).drop("place")
 
 
-def return_snapshot(items: DataFrame, asked: DataFrame, returned: DataFrame | None = None) -> DataFrame:
-    """The reports to authors, as they were when they were asked for, with their items frozen in them.
+def return_snapshot(items: DataFrame, frozen: DataFrame) -> DataFrame:
+    """The reports to authors as they were when the return was granted, with their items frozen in them.
 
-    items: `author_return` of runs that the gate returns now; asked: run_id, return_id, returned_by, ts. The first
-    request of a run counts; a run that is not returned, or returned already (returned: earlier snapshots), gives
-    nothing. consumed_at freezes the run's decisions.
+    items: `author_return` of the decisions in force and of the rejections made by then (`rejections_by`); frozen:
+    `freezes`. A run has one report at most: whatever is asked for later finds it frozen.
     """
-    order = F.struct("ts", "return_id")
-    first = asked.groupBy("run_id").agg(
-        F.min_by("return_id", order).alias("return_id"), F.min_by("returned_by", order).alias("returned_by"), F.min("ts").alias("consumed_at")
-    )
-    if returned is not None:
-        first = first.join(returned.select("run_id"), "run_id", "left_anti")
-    return first.join(items, "run_id").select(
+    granted = frozen.filter("how = 'returned'").select(F.col("request_id").alias("return_id"), "run_id", F.col("consumed_by").alias("returned_by"), "consumed_at")
+    return granted.join(items, "run_id").select(
         "return_id", "run_id", "returned_by", "consumed_at", "position", "task_id", "review_reason", "heading_raw", "ancestors", "comment"
     )
 
 
-def consumable(gates: DataFrame, consumptions: DataFrame) -> DataFrame:
-    """Runs that passed and were consumed, with the first time; a consumption of a run that did not pass counts for nothing."""
-    passed = gates.filter("state = 'passed'").select("run_id")
-    return (
-        consumptions.join(passed, "run_id")
-        .groupBy("run_id")
-        .agg(F.min("ts").alias("consumed_at"), F.min_by("consumed_by", F.struct("ts", "consumed_by")).alias("consumed_by"))
-    )
+def rejections_by(rejections: DataFrame, frozen: DataFrame) -> DataFrame:
+    """Rejections of runs made before the run was frozen, or at that time."""
+    known = rejections.join(frozen.select("run_id", "consumed_at"), "run_id", "left")
+    return known.filter("consumed_at is null or ts <= consumed_at").drop("consumed_at")
+
+
+def consumed_runs(frozen: DataFrame) -> DataFrame:
+    """Runs whose decisions were consumed: the first time that it was asked for while the gate had passed, and by whom."""
+    return frozen.filter("how = 'consumed'").select("run_id", "consumed_at", "consumed_by")
 
 
 def review_items(tasks: DataFrame, decisions: DataFrame, trees: DataFrame, runs: DataFrame, papers: DataFrame) -> DataFrame:

@@ -106,9 +106,10 @@ class Dialect:
             concat('r', cast(user_id % 5 as varchar(20))) as reviewer_id from events"""
 
     def requests(self) -> str:
-        """Requests to use a run's decisions, or to return the run to its author: one for each event."""
-        return """select event_id as return_id, ts, concat(cast((event_id * 3 + 1) % (select count(*) from documents) as varchar(20)), '@2.9') as run_id,
-            concat('step', cast(user_id % 3 as varchar(20))) as asked_by from events"""
+        """Requests to use a run's decisions, or to return the run to its author: one for each event, some of them later."""
+        return """select event_id as request_id, case when event_id % 3 = 0 then ts + interval '20' day else ts end as ts,
+            concat(cast((event_id * 3 + 1) % (select count(*) from documents) as varchar(20)), '@2.9') as run_id,
+            concat('step', cast(user_id % 3 as varchar(20))) as asked_by, case when user_id % 2 = 0 then 'return' else 'consume' end as wants from events"""
 
 
 SPARK, DUCK = Dialect("spark"), Dialect("duckdb")

@@ -126,9 +126,19 @@ STEPS: dict[str, str] = {
         when review_reason = 'title_ambiguity' then case when trim(coalesce(assigned_title_text, '')) = '' then 'title missing'
             when assigned_title_node is not null and not exists (select 1 from nodes n where n.paper_id = t.paper_id and n.paper_id || '@2.9#' || n.ordinal = assigned_title_node) then 'title node of another run' else 'valid' end when review_reason = 'no_structure' and coalesce(assigned_role, '') in ('', {", ".join(map(quoted, CONTENT_CLASS))}) then 'valid'
         when review_reason <> 'no_structure' and assigned_role in ({", ".join(map(quoted, ROLE_NAMES))}) then 'valid' else 'unknown role' end as outcome, t.review_reason, t.run_id, t.paper_id, t.section_ordinal, t.task_ordinal from decisions d left join tasks t using (task_id)""",
-    "placed": "select *, row_number() over (partition by task_id order by ts desc, decision_id desc) as n, first_value(decision_id) over (partition by task_id order by ts, decision_id) as first_id from checked where outcome = 'valid'",
-    "inforce": "select * from placed where n = 1",
     "refused": "select * from (select *, row_number() over (partition by run_id order by ts, rejection_id) as n from rejections where trim(coalesce(comment, '')) <> '' and trim(coalesce(reviewer_id, '')) <> '' and run_id in (select run_id from runs)) where n = 1",
+    "questions": "select r.run_id, count(t.task_id) as total from runs r left join tasks t using (run_id) group by r.run_id",
+    "answered": "select q.request_id, c.task_id, arg_max(c.decision, (c.ts, c.decision_id)) as decision from requests q join checked c on c.run_id = q.run_id and c.outcome = 'valid' and c.ts <= q.ts group by all",
+    "met": """select q.*, any_value(n.total) - count(a.task_id) as open, count(*) filter (a.decision = 'reject') as rejected, coalesce(bool_or(x.ts <= q.ts), false) as run_rejected
+        from requests q join questions n using (run_id) left join answered a using (request_id) left join refused x on x.run_id = q.run_id group by all""",
+    "froze": """select run_id, min(ts) as frozen_at, arg_min(request_id, (ts, request_id)) as request_id, arg_min(asked_by, (ts, request_id)) as asked_by, arg_min(wants, (ts, request_id)) as wants from met
+        where case when wants = 'return' then run_rejected or rejected > 0 else not run_rejected and rejected = 0 and open = 0 end group by run_id""",
+    "intime": "select c.*, coalesce(c.ts > f.frozen_at, false) as late from checked c left join froze f on f.run_id = c.run_id",
+    "answered_in_time": "select q.request_id, c.task_id, arg_max(c.decision, (c.ts, c.decision_id)) as decision from requests q join intime c on c.run_id = q.run_id and c.outcome = 'valid' and not c.late and c.ts <= q.ts group by all",
+    "met_in_time": """select q.*, any_value(n.total) - count(a.task_id) as open, count(*) filter (a.decision = 'reject') as rejected, coalesce(bool_or(x.ts <= q.ts), false) as run_rejected
+        from requests q join questions n using (run_id) left join answered_in_time a using (request_id) left join refused x on x.run_id = q.run_id group by all""",
+    "placed": "select *, row_number() over (partition by task_id order by ts desc, decision_id desc) as n, first_value(decision_id) over (partition by task_id order by ts, decision_id) as first_id from intime where outcome = 'valid' and not late",
+    "inforce": "select * from placed where n = 1",
     "states": """select r.run_id, r.paper_id, count(t.task_id) as total, count(t.task_id) filter (d.decision is null) as open, count(*) filter (d.decision = 'reject') as rejected, count(*) filter (d.decision = 'resolve') as resolved, bool_or(x.run_id is not null) as run_rejected
         from runs r left join tasks t using (run_id) left join inforce d on d.task_id = t.task_id left join refused x on x.run_id = r.run_id group by all""",
     "climb": """select paper_id, ordinal, parent_ordinal as at, []::varchar[] as above from nodes union all select c.paper_id, c.ordinal, n.parent_ordinal, list_prepend(n.heading_raw, c.above) from climb c join nodes n on n.paper_id = c.paper_id and n.ordinal = c.at""",
@@ -136,7 +146,6 @@ STEPS: dict[str, str] = {
         (select max(u.end_offset) from nodes u where u.paper_id = n.paper_id and u.ordinal >= n.ordinal and u.ordinal < coalesce((select min(v.ordinal) from nodes v where v.paper_id = n.paper_id and v.ordinal > n.ordinal and v.heading_level <= n.heading_level), 1000000)) as end_offset
         from nodes n join climb c on c.paper_id = n.paper_id and c.ordinal = n.ordinal and c.at = -1""",
     "gate_states": "select run_id, paper_id, total, open, rejected, resolved, run_rejected, case when run_rejected or rejected > 0 then 'returned' when open > 0 then 'open' else 'passed' end as state from states",
-    "consumptions": "select run_id, min(ts) as consumed_at, arg_min(asked_by, (ts, asked_by)) as consumed_by from requests join gate_states using (run_id) where state = 'passed' group by run_id",
     "noded": """select n.paper_id, n.ordinal, n.heading_raw, n.node_kind, n.method, case when d.decision = 'reject' then null when d.decision is not null then coalesce(d.assigned_role, 'Unknown') else n.role end as effective_role,
         case when d.decision = 'reject' then null when d.decision is not null then k.content_class else n.content_class end as effective_class, case when d.decision = 'reject' then 'reviewer_rejected' when d.decision is not null then 'reviewer_confirmed' else n.status end as effective_status, d.decision is not null as from_review
         from nodes n left join inforce d on d.paper_id = n.paper_id and d.section_ordinal = n.ordinal and d.review_reason <> 'title_ambiguity' left join classes k on k.role = coalesce(d.assigned_role, 'Unknown')""",
@@ -147,6 +156,10 @@ STEPS: dict[str, str] = {
     "returns": """select run_id, row_number() over (partition by run_id order by place) - 1 as position, task_id, review_reason, heading_raw, ancestors, comment from (
         select r.run_id, -1 as place, null as task_id, 'run_rejected' as review_reason, null as heading_raw, '' as ancestors, x.comment from runs r join refused x using (run_id)
         union all select d.run_id, d.task_ordinal, d.task_id, d.review_reason, c.heading_raw, coalesce(c.ancestors, ''), d.comment from inforce d left join contexts c on c.paper_id = d.paper_id and c.ordinal = d.section_ordinal where d.decision = 'reject')""",
+    "reported": """select f.request_id as return_id, f.run_id, f.asked_by as returned_by, f.frozen_at as consumed_at, row_number() over (partition by f.run_id order by place) - 1 as position, i.review_reason, i.heading_raw, i.ancestors, i.comment from froze f join (
+        select run_id, -1 as place, 'run_rejected' as review_reason, null as heading_raw, '' as ancestors, comment, ts from refused
+        union all select d.run_id, d.task_ordinal, d.review_reason, c.heading_raw, coalesce(c.ancestors, ''), d.comment, d.ts from inforce d left join contexts c on c.paper_id = d.paper_id and c.ordinal = d.section_ordinal where d.decision = 'reject')
+        i on i.run_id = f.run_id and i.ts <= f.frozen_at where f.wants = 'return'""",
     # -- research units
     "labelled": r"select *, '(?i)\b(stud(?:y|ies)|experiments?|phases?|samples?|datasets?|data sets?|waves?|rounds?)\s+([0-9]{1,2}[A-Za-z]?|[IVX]{1,4})\b' as p from (select paper_id, ordinal, heading_raw as found_in, true as in_heading from nodes where heading_raw is not null union all select paper_id, place, line, false from lines where not starts_with(ltrim(line, ' '), '#'))",
     "named": """select paper_id, ordinal, found_in, in_heading, unnest(regexp_extract_all(found_in, p, 1)) as k, upper(unnest(regexp_extract_all(found_in, p, 2))) as label, unnest(range(0, len(regexp_extract_all(found_in, p)))) as i from labelled where regexp_matches(found_in, p)""",
@@ -259,13 +272,13 @@ oracle("effective_titles", "select run_id, title_text, title_node, title_status,
 oracle("effective_view", """select t.run_id, n.ordinal, n.heading_raw, case when node_kind = 'document_title' then '(document title)' when effective_status = 'reviewer_rejected' then '— rejected' else coalesce(effective_role, '— still open') end as role,
     effective_class, effective_status, case when n.from_review then 'HUMAN' else coalesce(method, '—') end as source, t.title_text, t.title_status, g.state from noded n join title_views t using (paper_id) join gate_states g on g.run_id = t.run_id""")
 oracle("gate_state", "select run_id, total, open, rejected, resolved, run_rejected, state from gate_states")
-oracle("consumed_runs", "select * from consumptions")
-oracle("freeze_check", "select d.decision_id, d.task_id, t.run_id, coalesce(d.ts > c.consumed_at, false) as refused from decisions d join tasks t using (task_id) left join consumptions c on c.run_id = t.run_id")
+oracle("consumed_runs", "select run_id, frozen_at as consumed_at, asked_by as consumed_by from froze where wants = 'consume'")
+oracle("freeze_check", "select decision_id, task_id, run_id, late as refused from intime where run_id is not null")
+oracle("request_outcomes", """select request_id, run_id, wants as kind, open, rejected, run_rejected, state, case when request_id in (select request_id from froze) then case wants when 'consume' then 'consumed' else 'returned' end when wants = 'consume' and state = 'passed' then 'again' else 'refused' end as outcome
+    from (select *, case when run_rejected or rejected > 0 then 'returned' when open > 0 then 'open' else 'passed' end as state from met_in_time)""")
 oracle("run_superseded", "select r.run_id, x.ts as superseded_at from runs r left join refused x using (run_id)")
 oracle("author_return", "select * from returns")
-oracle("return_snapshot", """select return_id, q.run_id, returned_by, consumed_at, position, review_reason, heading_raw, ancestors, comment
-    from (select run_id, arg_min(return_id, (ts, return_id)) as return_id, arg_min(asked_by, (ts, return_id)) as returned_by, min(ts) as consumed_at from requests group by run_id) q join returns i using (run_id)
-    where q.run_id not in (select run_id from runs where paper_id % 5 = 4)""")
+oracle("return_snapshot", "select * from reported")
 oracle("review_run", """select t.run_id, t.task_id, t.review_reason, d.decision, c.heading_raw, coalesce(c.ancestors, '') as ancestors, md5(decode(array_slice(encode(p.markdown), c.start_offset + 1, c.end_offset))) as text_md5
     from tasks t join papers p using (paper_id) left join inforce d on d.task_id = t.task_id left join contexts c on c.paper_id = t.paper_id and c.ordinal = t.section_ordinal where t.paper_id % 7 <> 2""")
 oracle("run_rejection_first", "select run_id, rejection_id, reviewer_id from refused")

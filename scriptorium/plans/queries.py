@@ -269,24 +269,30 @@ class Review:
         return review.decision_errors(relation(self.spark, self.sf_dir, "decisions"), self.tasks, nodes)
 
     @cached_property
-    def decisions(self):
-        return review.latest_decisions(self.log.filter("error is null").drop("error", "review_reason"))
+    def valid(self):
+        rows = self.log.filter("error is null").drop("error", "review_reason")
+        return materialise(rows.join(self.tasks.select("task_id", "run_id"), "task_id"), "valid")
 
     @cached_property
     def rejections(self):
         return review.valid_rejections(relation(self.spark, self.sf_dir, "rejections"), self.runs)
 
     @cached_property
-    def requests(self):
-        return relation(self.spark, self.sf_dir, "requests")
+    def replayed(self):
+        requests = relation(self.spark, self.sf_dir, "requests")
+        return materialise(review.replay(self.runs, self.tasks, self.valid, self.rejections, requests), "replayed")
 
     @cached_property
-    def gate(self):
-        return review.gate(self.runs, self.tasks, self.decisions, self.rejections)
+    def frozen(self):
+        return review.freezes(self.replayed)
 
     @cached_property
-    def consumed(self):
-        return review.consumable(self.gate, self.requests.withColumnRenamed("asked_by", "consumed_by"))
+    def decisions(self):
+        return review.latest_decisions(self.valid, self.frozen)
+
+    @cached_property
+    def gate(self):
+        return review.gate(self.runs, self.tasks, self.decisions, self.rejections)
 
 
 @query
@@ -338,14 +344,21 @@ def gate_state(spark, sf_dir):
 
 @query
 def consumed_runs(spark, sf_dir):
-    return Review(spark, sf_dir).consumed
+    return review.consumed_runs(Review(spark, sf_dir).frozen)
+
+
+@query
+def request_outcomes(spark, sf_dir):
+    """What came of each request to consume or return a run, and the gate that it met."""
+    rows = Review(spark, sf_dir).replayed.filter(F.col("kind").isin("consume", "return"))
+    return rows.select(F.col("id").alias("request_id"), "run_id", "kind", "open", "rejected", "run_rejected", "state", "outcome")
 
 
 @query
 def freeze_check(spark, sf_dir):
-    """Decisions made after their run was consumed are refused."""
+    """Decisions made after their run was frozen are refused."""
     r = Review(spark, sf_dir)
-    late = review.frozen_out(relation(spark, sf_dir, "decisions"), r.tasks, materialise(r.consumed, "consumed"))
+    late = review.frozen_out(relation(spark, sf_dir, "decisions"), r.tasks, r.frozen)
     return late.select("decision_id", "task_id", "run_id", "refused")
 
 
@@ -355,8 +368,8 @@ def run_superseded(spark, sf_dir):
     return review.superseded_runs(r.runs, r.rejections).select("run_id", "superseded_at")
 
 
-def _returned(r):
-    return review.author_return(r.runs, r.trees, r.tasks, r.decisions, r.rejections)
+def _returned(r, rejections=None):
+    return review.author_return(r.runs, r.trees, r.tasks, r.decisions, r.rejections if rejections is None else rejections)
 
 
 @query
@@ -374,10 +387,9 @@ def author_return(spark, sf_dir):
 
 @query
 def return_snapshot(spark, sf_dir):
-    """Reports of the runs whose return was asked for; every fifth run was returned before."""
+    """Reports of the runs whose return was granted."""
     r = Review(spark, sf_dir)
-    before = r.runs.filter("paper_id % 5 = 4")
-    found = review.return_snapshot(_returned(r), r.requests.withColumnRenamed("asked_by", "returned_by"), before)
+    found = review.return_snapshot(_returned(r, review.rejections_by(r.rejections, r.frozen)), r.frozen)
     return found.select(
         "return_id",
         "run_id",

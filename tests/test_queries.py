@@ -31,6 +31,7 @@ def test_every_query_has_sql():
         ("segmentation_runs", "title_method", {"singleton_h1", "structural_rule", None}),
         ("gate_state", "state", {"open", "returned", "passed"}),
         ("decision_validation", "outcome", {"valid", "unknown task", "reviewer missing", "comment missing", "unknown role"}),
+        ("request_outcomes", "outcome", {"consumed", "again", "returned", "refused"}),
         ("study_gate", "verdict", {"single", "multi", "uncertain"}),
         ("methodology_class", "methodology_class", {"quantitative", "qualitative", None}),
         ("table_captions", "caption_source", {"above", "first_cell", "none"}),

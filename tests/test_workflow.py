@@ -52,12 +52,6 @@ def test_decisions_after_consumption_are_dropped(spark):
     assert [(r.decision, r.decision_id, r.created_at) for r in kept] == [("resolve", 0, 0)]
 
 
-def test_consumption(spark):
-    gates = spark.createDataFrame([("r", "passed"), ("s", "open")], "run_id string, state string")
-    asked = spark.createDataFrame([("r", 5, "b"), ("r", 3, "a"), ("s", 1, "c")], "run_id string, ts long, consumed_by string")
-    assert [tuple(r) for r in review.consumable(gates, asked).collect()] == [("r", 3, "a")]
-
-
 def test_upserts(spark):
     log = spark.createDataFrame([(1, "a", 1, "x"), (1, "b", 2, "y"), (2, "c", 5, "z")], "k long, id string, ts long, v string")
     assert sorted(map(tuple, ingest.upsert(log, ["k"], "ts", ["id"]).select("k", "id", "ts", "v").collect())) == [(1, "a", 2, "y"), (2, "c", 5, "z")]
@@ -112,12 +106,14 @@ def test_metrics_text(spark):
 
 
 def test_snapshots_and_freezes(spark):
-    asked = spark.createDataFrame([("r", 7, "b", 5), ("r", 8, "a", 3), ("s", 9, "c", 1), ("q", 1, "x", 1)], "run_id string, return_id long, returned_by string, ts long")
+    frozen = spark.createDataFrame([("r", 3, "a", 8, "returned"), ("s", 1, "c", 9, "consumed")], "run_id string, consumed_at long, consumed_by string, request_id long, how string")
     items = spark.createDataFrame([("r", 0, "a", "zero_role_match", "H", ["T"], "why"), ("q", 0, "c", "run_rejected", None, [], "no")], "run_id string, position int, task_id string, review_reason string, heading_raw string, ancestors array<string>, comment string")
-    before = spark.createDataFrame([("q",)], "run_id string")
-    assert [(r.run_id, r.return_id, r.returned_by, r.consumed_at, r.comment) for r in review.return_snapshot(items, asked, before).collect()] == [("r", 8, "a", 3, "why")]
+    assert [(r.run_id, r.return_id, r.returned_by, r.consumed_at, r.comment) for r in review.return_snapshot(items, frozen).collect()] == [("r", 8, "a", 3, "why")]
+    assert [tuple(r) for r in review.consumed_runs(frozen).collect()] == [("s", 1, "c")]
     late = review.frozen_out(decisions(spark, ("a", "resolve"), ("b", "reject"), ("z", "reject")), tasks(spark), spark.createDataFrame([("r", 0)], "run_id string, consumed_at long"))
     assert sorted((r.task_id, r.refused) for r in late.collect()) == [("a", False), ("b", True)]
+    said = spark.createDataFrame([(1, "r", 3), (2, "r", 4), (3, "q", 9)], "rejection_id long, run_id string, ts long")
+    assert sorted(r.rejection_id for r in review.rejections_by(said, frozen).collect()) == [1, 3]
 
 
 def test_rejections_need_a_run_a_reviewer_and_a_comment(spark):
