@@ -259,6 +259,8 @@ oracle("headless_papers", "select paper_id, heading_level, end_offset, role from
 oracle("title_identification", "select paper_id, title_ordinal, title_status, title_method, title_text, candidate as title_candidate_ordinal from runs")
 oracle("segmentation_runs", """select r.paper_id, r.run_id, '2.9' as rule_version, sha256(p.markdown) as markdown_hash, '2|3|4' as supported_levels, '5|6' as embedded_levels, """ + ", ".join(f"(select count(*) from headings h where h.paper_id = r.paper_id and level = {n}) as h{n}" for n in range(1, 7)) + """, (select count(*) from nodes n where n.paper_id = r.paper_id) as n_nodes,
     title_ordinal, title_status, title_method, title_text, case when title_ordinal >= 0 then 1 else 0 end as title_source_level, candidate as title_candidate_ordinal, 'Completed' as status from runs r join papers p using (paper_id)""")
+oracle("published_runs", """select r.run_id, r.paper_id, sha256(p.markdown) as markdown_hash, case when r.paper_id % 3 = 0 then 2 else 1 end as version, count(n.paper_id) as nodes, count(n.role) as resolved from runs r join papers p using (paper_id)
+    left join (select *, max(ordinal) over (partition by paper_id) as last from nodes) n on n.paper_id = r.paper_id and (r.paper_id % 3 <> 0 or n.ordinal < n.last) group by all""")
 oracle("lost_nodes", """select paper_id, -1 as ordinal, 'node_count' as violation from cut where paper_id % 7 = 3 or paper_id % 5 in (1, 2)
     union all select paper_id, ordinal, case when start_offset + 3 > end_offset then 'inverted_span' end from nodes where paper_id % 5 = 3 and paper_id % 7 <> 3 and ordinal = 1 and start_offset + 3 > end_offset
     union all select n.paper_id, ordinal, 'inside_character' from nodes n join papers p using (paper_id) where n.paper_id % 5 = 3 and n.paper_id % 7 <> 3 and ordinal = 1 and start_offset + 3 < strlen(p.markdown)

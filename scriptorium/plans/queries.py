@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from scriptorium.functions.text import contains_whole_word, excerpt, normalise_q
 from scriptorium.operators import exhibits, ingest, methodology, paper_types, research_units, review, segmentation
 from scriptorium.plans.corpus import relation
 from scriptorium.plans.registry import query
-from scriptorium.session import materialise, read_table
+from scriptorium.session import materialise, read_table, written_root
+from scriptorium.sources.papers import publish_runs, published
 
 
 def papers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +203,27 @@ def segmentation_runs(spark, sf_dir):
     return runs.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("supported_levels", "embedded_levels")})
 
 
+@query
+def published_runs(spark, sf_dir):
+    """All runs and their nodes published at once; every third paper's again without its last node; then a batch that fails."""
+    trees = materialise(trees_of(spark, sf_dir), "trees")
+    runs = segmentation.segmentation_runs(trees).select("run_id", "paper_id", "markdown_hash", F.lit(1).alias("version"))
+    nodes = segmentation.section_nodes(trees).select(segmentation.run_id().alias("run_id"), "paper_id", "ordinal", "heading_raw", "role")
+    path = f"{written_root(spark)}/published-{uuid4().hex}"
+    publish_runs(path, runs=runs, nodes=nodes)
+    last = nodes.groupBy("run_id").agg(F.max("ordinal").alias("_last"))
+    third = F.col("paper_id") % 3 == 0
+    publish_runs(path, runs=runs.filter(third).withColumn("version", F.lit(2)), nodes=nodes.filter(third).join(last, "run_id").filter("ordinal < _last").drop("_last"))
+    broken = F.when(F.col("paper_id") >= 0, F.raise_error(F.lit("stopped halfway"))).otherwise(F.lit(""))
+    try:
+        publish_runs(path, runs=runs.withColumn("version", F.lit(3)), nodes=nodes.withColumn("heading_raw", broken))
+    except Exception as e:
+        if "stopped halfway" not in str(e):
+            raise
+    counted = published(spark, path, "nodes").groupBy("run_id").agg(F.count(F.lit(1)).alias("nodes"), F.count("role").alias("resolved"))
+    return published(spark, path).join(counted, "run_id", "left").fillna(0, ["nodes", "resolved"])
+
+
 @query
 def title_identification(spark, sf_dir):
     return segmentation.segmentation_runs(trees_of(spark, sf_dir)).select(

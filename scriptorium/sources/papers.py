@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,21 +37,62 @@ def export_markdown(papers: DataFrame, paper_id, target: str) -> int:
         return f.write(bytes(rows[0][0]))
 
 
-def write_run(path: str, run_id: str, **relations: DataFrame) -> None:
-    """Write a run's relations under its own folder, then publish it: readers see only what `published` lists."""
-    spark = next(iter(relations.values())).sparkSession
-    for name, df in relations.items():
-        df.write.mode("overwrite").parquet(f"{path}/runs/{run_id}/{name}")
-    (
-        spark.createDataFrame([(run_id, sorted(relations))], "run_id string, relations array<string>")
-        .write.mode("append")
-        .parquet(f"{path}/published")
-    )
+def _files(spark: SparkSession, path: str):
+    """The store of a path, and the path in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and batch of each commit, in their order: the names of empty files."""
+    store, where = _files(spark, f"{path}/commits")
+    names = [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+    return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names if "-" in n and n[0].isdigit())
+
+
+def publish_runs(path: str, **relations: DataFrame) -> str:
+    """Publish a batch of any number of runs at once; each relation has run_id, and one is `runs` with a row for each run.
+
+    A batch is written by one job for each relation into a folder that nobody reads yet; then one empty file, made
+    atomically, commits all its runs. What readers see of a run is its latest committed batch, so a run that is written
+    again stays as it was until then. If a job fails, nothing is committed and what was written is deleted.
+    """
+    spark = relations["runs"].sparkSession
+    batch = uuid.uuid4().hex
+    try:
+        for name, df in relations.items():
+            df.withColumn("_batch", F.lit(batch)).sortWithinPartitions("run_id").write.parquet(f"{path}/batches/{batch}/{name}")
+    except BaseException:
+        store, where = _files(spark, f"{path}/batches/{batch}")
+        store.delete(where, True)
+        raise
+    number = max((n for n, _ in _commits(spark, path)), default=0) + 1
+    store, where = _files(spark, f"{path}/commits/{number:012d}-{batch}")
+    if not store.createNewFile(where):
+        raise RuntimeError(f"batch {batch} is committed already")
+    return batch
+
+
+def published(spark: SparkSession, path: str, relation: str = "runs") -> DataFrame:
+    """The rows of a relation of all published runs, each run as its latest committed batch has it.
+
+    A run's batch replaces all that earlier ones had of it, rows of relations that it doesn't have included. A relation
+    that no committed batch has is an error.
+    """
+    commits = _commits(spark, path)
+    store, _ = _files(spark, path)
+    having = [b for _, b in commits if store.exists(_files(spark, f"{path}/batches/{b}/{relation}")[1])]
+    if not having:
+        raise LookupError(f"no published {relation} in {path}")
+    numbers = spark.createDataFrame(commits, "_number long, _batch string")
+    runs = spark.read.parquet(*(f"{path}/batches/{b}/runs" for _, b in commits)).select("run_id", "_batch").join(F.broadcast(numbers), "_batch")
+    latest = runs.groupBy("run_id").agg(F.max_by("_batch", "_number").alias("_batch"))
+    rows = spark.read.parquet(*(f"{path}/batches/{b}/{relation}" for b in having))
+    return rows.join(latest, ["run_id", "_batch"], "left_semi").drop("_batch")
 
 
 def read_run(spark: SparkSession, path: str, run_id: str, relation: str) -> DataFrame:
-    """A relation of a published run; an unpublished one is an error."""
-    known = spark.read.parquet(f"{path}/published").filter(F.col("run_id") == run_id).filter(F.array_contains("relations", relation))
-    if known.isEmpty():
-        raise LookupError(f"run {run_id} has no published {relation}")
-    return spark.read.parquet(f"{path}/runs/{run_id}/{relation}")
+    """A relation of one published run; row groups of other runs are skipped. An unpublished run is an error."""
+    if published(spark, path).filter(F.col("run_id") == run_id).isEmpty():
+        raise LookupError(f"run {run_id} is not published")
+    return published(spark, path, relation).filter(F.col("run_id") == run_id)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import ingest, paper_types, research_units, review, segmentation
 from scriptorium.session import discard, materialise
-from scriptorium.sources.papers import export_markdown, landed_pdfs, markdown_files, read_run, write_run
+from scriptorium.sources.papers import export_markdown, landed_pdfs, markdown_files, publish_runs, published, read_run
 from scriptorium.streaming.decisions import follow_decisions, gate_now
 
 TASKS = "run_id string, paper_id long, task_ordinal int, task_id string, section_ordinal int, review_reason string"
@@ -67,10 +67,33 @@ def test_files_and_runs(spark, tmp_path):
     assert export_markdown(papers, 1, str(tmp_path / "out.md")) == 6 and (tmp_path / "out.md").read_bytes() == "# é\nx".encode()
     with pytest.raises(LookupError):
         export_markdown(papers, 2, str(tmp_path / "none.md"))
-    write_run(str(tmp_path / "runs"), "r1", tasks=tasks(spark))
-    assert read_run(spark, str(tmp_path / "runs"), "r1", "tasks").count() == 3
+
+
+def test_runs_are_published_all_at_once_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "runs")
     with pytest.raises(LookupError):
-        read_run(spark, str(tmp_path / "runs"), "r2", "tasks")
+        published(spark, path)
+    runs = spark.range(10000).select(F.concat(F.lit("r"), "id").alias("run_id"), F.lit(1).alias("version"))
+    nodes = runs.select("run_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"))
+    publish_runs(path, runs=runs, nodes=nodes)
+    assert published(spark, path).count() == 10000 and published(spark, path, "nodes").count() == 20000
+    old = published(spark, path, "nodes")
+    one = runs.filter("run_id = 'r7'").withColumn("version", F.lit(2))
+    failing = nodes.withColumn("ordinal", F.when(F.col("run_id") == "r9", F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("ordinal")))
+    with pytest.raises(Exception, match="lost"):
+        publish_runs(path, runs=runs.withColumn("version", F.lit(9)), nodes=failing)
+    assert len(list((tmp_path / "runs/batches").iterdir())) == 1
+    assert {r.version for r in published(spark, path).select("version").distinct().collect()} == {1}
+    publish_runs(path, runs=one, nodes=nodes.filter("run_id = 'r7' and ordinal = 0"))
+    assert old.filter("run_id = 'r7'").count() == 2  # a reader that began before goes on with what it saw
+    assert [r.ordinal for r in read_run(spark, path, "r7", "nodes").collect()] == [0]
+    assert read_run(spark, path, "r8", "nodes").count() == 2 and published(spark, path).count() == 10000
+    assert {tuple(r) for r in published(spark, path).groupBy("version").count().collect()} == {(1, 9999), (2, 1)}
+    publish_runs(path, runs=one.withColumn("version", F.lit(3)))
+    assert read_run(spark, path, "r7", "nodes").count() == 0  # the new batch has no nodes of it
+    for missing in (("none", "nodes"), ("r7", "tasks")):
+        with pytest.raises(LookupError):
+            read_run(spark, path, *missing)
 
 
 def test_stream_of_decisions(spark, tmp_path):
