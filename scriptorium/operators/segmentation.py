@@ -168,6 +168,8 @@ def node_array() -> Column:
                 h["span_start"].alias("start_offset"),
                 F.coalesce(F.get(own, i + 1)["byte_start"], F.col("size")).alias("end_offset"),
                 *(k[x].alias(x) for x in (*CLASSIFIED, "matches")),
+                h["parent"].alias("parent_ordinal"),
+                h["stop"].alias("subtree_stop"),
             )
 
         return F.transform(own, node)
@@ -211,7 +213,7 @@ def title_of(raw: Column) -> Column:
     return let(first, found)
 
 
-FIELDS = [*(c for c in NODE if c not in (*CLASSIFIED, "semantic_heading")), "semantic_heading", "node_kind", *CLASSIFIED, "parent_ordinal"]
+FIELDS = [*(c for c in NODE if c not in (*CLASSIFIED, "semantic_heading")), "semantic_heading", "node_kind", *CLASSIFIED, "parent_ordinal", "subtree_stop"]
 
 
 def changed(n: Column, **new: Column) -> Column:
@@ -234,35 +236,27 @@ def titled_nodes(raw: Column, title_ordinal: Column, candidate: Column) -> Colum
             status=F.when(is_title, "resolved").when(is_candidate, "unresolved").otherwise(n["status"]),
             method=F.when(is_title, "structural").when(is_candidate, text).otherwise(n["method"]),
             **{c: F.when(is_title | is_candidate, empty()).otherwise(n[c]) for c in ("candidate_roles", "matched_keywords")},
-            parent_ordinal=F.lit(-1),
         )
 
     return F.transform(raw, one)
 
 
-def linked_nodes(nodes: Column) -> Column:
-    """The nodes with parents, in one walk down the document: unresolved ones take a resolved parent's role."""
+def inheriting_nodes(nodes: Column) -> Column:
+    """The nodes where unresolved ones have taken the role of a resolved parent.
 
-    def step(done: Column, n: Column) -> Column:
-        above = F.filter(done, lambda d: d["heading_level"] < n["heading_level"])
-        return F.concat(done, F.array(let(F.get(above, F.size(above) - 1), lambda parent: child(parent, n))))
+    A role goes down one level at a time, so three of these steps reach the fourth level.
+    """
+
+    def one(n: Column) -> Column:
+        return let(F.get(nodes, n["parent_ordinal"]), lambda parent: child(parent, n))
 
     def child(parent: Column, n: Column) -> Column:
         asks = (n["status"] == "unresolved") & (F.size(n["candidate_roles"]) == 0)
         gives = asks & (parent["node_kind"] != TITLE) & (parent["status"] == "resolved") & parent["role"].isNotNull()
-        return let(F.coalesce(gives, F.lit(False)), lambda given: inherited(given, parent, n))
+        heir = changed(n, role=parent["role"], content_class=parent["content_class"], status=F.lit("resolved"), method=F.lit("inherited"))
+        return F.when(gives, heir).otherwise(n)
 
-    def inherited(given: Column, parent: Column, n: Column) -> Column:
-        return changed(
-            n,
-            parent_ordinal=F.coalesce(parent["ordinal"], F.lit(-1)),
-            role=F.when(given, parent["role"]).otherwise(n["role"]),
-            content_class=F.when(given, parent["content_class"]).otherwise(n["content_class"]),
-            status=F.when(given, "resolved").otherwise(n["status"]),
-            method=F.when(given, "inherited").otherwise(n["method"]),
-        )
-
-    return F.aggregate(nodes, F.slice(nodes, 1, 0), step)
+    return F.transform(nodes, one)
 
 
 def agreed_nodes(nodes: Column, candidate: Column) -> Column:
@@ -270,7 +264,8 @@ def agreed_nodes(nodes: Column, candidate: Column) -> Column:
 
     def one(n: Column) -> Column:
         asks = (n["status"] == "unresolved") & (F.size(n["candidate_roles"]) == 0) & (n["node_kind"] != TITLE) & (n["ordinal"] != candidate)
-        children = F.filter(nodes, lambda c: c["parent_ordinal"] == n["ordinal"])
+        below = F.slice(nodes, n["ordinal"] + 2, n["subtree_stop"] - n["ordinal"] - 1)
+        children = F.filter(below, lambda c: c["parent_ordinal"] == n["ordinal"])
         return F.when(asks, let(children, lambda own: agreed(n, own))).otherwise(changed(n))
 
     def agreed(n: Column, children: Column) -> Column:
@@ -301,14 +296,15 @@ def paper_trees(papers: DataFrame) -> DataFrame:
     # as columns of their own: the optimizer stumbles over fields of a struct that comes out of a generator
     rows = rows.select("*", F.inline(F.array(title_of(F.col("raw")))))
     rows = bound(rows, "titled", titled_nodes(F.col("raw"), F.col("title_ordinal"), F.col("candidate")))
-    rows = bound(rows, "linked", linked_nodes(F.col("titled")))
-    rows = bound(rows, "grown", agreed_nodes(F.col("linked"), F.col("candidate")))
+    for depth, above in enumerate(("titled", "heirs1", "heirs2"), 1):
+        rows = bound(rows, f"heirs{depth}", inheriting_nodes(F.col(above)))
+    rows = bound(rows, "grown", agreed_nodes(F.col("heirs3"), F.col("candidate")))
     node = rows.schema["grown"].dataType.elementType
     bare = {
         "ordinal": F.lit(0), "heading_level": F.lit(0), "start_offset": F.lit(0), "end_offset": F.col("size"),
         "node_kind": F.lit("section"), "role": F.lit(UNKNOWN), "content_class": F.lit(CONTENT_CLASS[UNKNOWN]),
         "status": F.lit("resolved"), "method": F.lit("structural"),
-        "candidate_roles": empty(), "matched_keywords": empty(), "parent_ordinal": F.lit(-1),
+        "candidate_roles": empty(), "matched_keywords": empty(), "parent_ordinal": F.lit(-1), "subtree_stop": F.lit(1),
     }
     headless = F.array(F.struct(*(bare.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in node.fields)))
     rows = bound(rows, "nodes", F.when(F.size("grown") > 0, F.col("grown")).otherwise(headless))
@@ -411,9 +407,7 @@ def sections_in_row(with_descendants: bool = False) -> Column:
 
     def sections(own: Column) -> Column:
         def one(h: Column, i: Column) -> Column:
-            later = F.slice(own, i + 2, F.size(own))
-            ends = F.filter(later, lambda x: x["level"] <= h["level"]) if with_descendants else later
-            end = F.coalesce(F.get(ends, F.lit(0))["byte_start"], F.col("size"))
+            end = F.coalesce(F.get(own, h["stop"] if with_descendants else i + 1)["byte_start"], F.col("size"))
             return F.struct(
                 i.alias("ordinal"),
                 h["text"].alias("heading_raw"),
@@ -471,21 +465,22 @@ def paper_headings_with(papers: DataFrame, **more: Column) -> DataFrame:
 
 def review_context(trees: DataFrame) -> DataFrame:
     """For each node its ancestors' headings, outermost first, and the span to the end of its last descendant."""
-    rows = trees.select("paper_id", F.explode_outer("nodes").alias("n"), "nodes")
-    for depth in range(3):
-        before = F.col("n") if depth == 0 else F.col(f"a{depth - 1}")
-        rows = rows.withColumn(f"a{depth}", F.get("nodes", F.when(before["parent_ordinal"] >= 0, before["parent_ordinal"])))
-    later = F.filter("nodes", lambda t: (t["ordinal"] > F.col("n.ordinal")) & (t["heading_level"] <= F.col("n.heading_level")))
-    last = F.coalesce(F.get(later, F.lit(0))["ordinal"] - 1, F.size("nodes") - 1)
-    ancestors = F.filter(F.array(*(F.col(f"a{d}.heading_raw") for d in (2, 1, 0))), lambda h: h.isNotNull())
-    return rows.select(
-        "paper_id",
-        "n.ordinal",
-        "n.heading_raw",
-        ancestors.alias("ancestors"),
-        "n.start_offset",
-        F.get("nodes", last)["end_offset"].alias("end_offset"),
-    )
+    nodes = F.col("nodes")
+
+    def one(n: Column) -> Column:
+        parent = lambda x: F.get(nodes, x["parent_ordinal"])
+        return let(parent(n), lambda a: let(parent(a), lambda b: let(parent(b), lambda c: context(n, (c, b, a)))))
+
+    def context(n: Column, above: tuple[Column, ...]) -> Column:
+        return F.struct(
+            n["ordinal"].alias("ordinal"),
+            n["heading_raw"].alias("heading_raw"),
+            F.filter(F.array(*(a["heading_raw"] for a in above)), lambda h: h.isNotNull()).alias("ancestors"),
+            n["start_offset"].alias("start_offset"),
+            F.get(nodes, n["subtree_stop"] - 1)["end_offset"].alias("end_offset"),
+        )
+
+    return trees.select("paper_id", F.explode_outer(F.transform(nodes, one)).alias("n")).select("paper_id", "n.*")
 
 
 def paper_facts(papers: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.dimensions import APPENDIX_ALIASES, APPENDIX_TRIGGERS, KEYWORD_ROLE
 from scriptorium.sources.lines import WHITE
 
-HEADINGS = "array<struct<level:int,byte_start:int,text_start:int,text_stop:int,span_start:int,inferred:boolean,text:string>>"
+HEADINGS = "array<struct<level:int,byte_start:int,text_start:int,text_stop:int,span_start:int,inferred:boolean,text:string,parent:int,stop:int>>"
 Heading = tuple[int, int, int, int, int, bool, str]
 
 ATX = re.compile(rb"(#{1,6})(?:[ \t]+|$)")
@@ -178,13 +178,32 @@ def document_headings(markdown: str | None) -> list[Heading]:
     return sorted([*found, inferred], key=lambda h: (h[1], not h[5])) if inferred else found
 
 
+#: The deepest level that makes sections.
+DEEPEST = 4
+
+
+def linked(found: list[Heading]) -> list[tuple]:
+    """Headings with parent, the place of the last one above of a lower level, and stop, that of the next one that isn't
+    below it; places count headings of levels 1 to 4, others have null. One pass with the open headings on a stack."""
+    links, above = [], []
+    for h in found:
+        if h[0] > DEEPEST:
+            continue
+        while above and links[above[-1]][0] >= h[0]:
+            links[above.pop()][2] = len(links)
+        links.append([h[0], above[-1] if above else -1, None])
+        above.append(len(links) - 1)
+    own = iter((parent, len(links) if stop is None else stop) for _, parent, stop in links)
+    return [(*h, *(next(own) if h[0] <= DEEPEST else (None, None))) for h in found]
+
+
 def detect_headings(markdown: Column) -> Column:
-    """Array of headings of a markdown column, the inferred references heading included."""
+    """Array of headings of a markdown column, the inferred references heading included, linked to those above them."""
 
     @F.pandas_udf(HEADINGS)
     def headings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ("level", "byte_start", "text_start", "text_stop", "span_start", "inferred", "text")
+        names = ("level", "byte_start", "text_start", "text_stop", "span_start", "inferred", "text", "parent", "stop")
         for batch in batches:
-            yield pd.Series([[dict(zip(names, h, strict=True)) for h in document_headings(m)] for m in batch])
+            yield pd.Series([[dict(zip(names, h, strict=True)) for h in linked(document_headings(m))] for m in batch])
 
     return headings(markdown)
