@@ -1,14 +1,17 @@
-"""Glossary counts and the quantitative / qualitative decision for each paper: one projection, no join."""
+"""Glossary counts and the quantitative / qualitative decision for each paper: one pass over its text, no join."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import GLOSSARY
-from scriptorium.functions.text import count_pattern, let, literal_array, lower_simple
+from scriptorium.functions.text import lower_simple
+from scriptorium.session import ship_package
 
 LEAST_MARKERS, MARGIN = 4, 0.2
 
@@ -17,40 +20,60 @@ def folded(term: str) -> str:
     return term.replace("\u2019", "'").lower()
 
 
-def term_counts(papers: DataFrame, glossary: list[tuple[str, str | None]] = GLOSSARY) -> DataFrame:
-    """paper_id, size (bytes) and fired: array of (hits, term, marker), most hits first, then by term.
+def is_word(c: str) -> bool:
+    """Letters, decimal digits and the underscore."""
+    return c.isalpha() or c.isdecimal() or c == "_"
+
+
+class TermCounter:
+    """Counts all terms of a glossary in one pass over a text, however many they are: an Aho-Corasick automaton.
 
-    A term's first word must be among the text's words, and the term a part of the text, before its pattern runs.
+    An occurrence counts if no word character touches it, one plural s allowed; occurrences may overlap.
     """
-    firsts = [re.match(r"\w+", folded(t))[0] for t, _ in glossary]
-    names, folds, patterns, markers, keys = (
-        literal_array(x) for x in zip(*((t, folded(t), count_pattern(folded(t)), m or "", k) for (t, m), k in zip(glossary, firsts, strict=True)), strict=True)
-    )
-    wanted = literal_array(sorted({w for k in firsts for w in (k, k + "s")}))
+
+    def __init__(self, glossary: list[tuple[str, str | None]]):
+        self.glossary, places = glossary, {}
+        for i, (term, _) in enumerate(glossary):
+            places.setdefault(folded(term), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for own, at in places.items():
+            if own:
+                self.automaton.add_word(own, (len(own), at))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def __call__(self, text: str) -> list[dict]:
+        """hits, term and marker of each term that occurs in a folded text, most hits first, then by term."""
+        hits: dict[int, int] = {}
+        for last, (size, places) in self.automaton.iter(text) if len(self.automaton) else ():
+            first, after = last - size, text[last + 1 : last + 3]
+            after = after[1:] if after[:1] == "s" else after[:1]
+            if (first < 0 or not is_word(text[first])) and not (after and is_word(after)):
+                for i in places:
+                    hits[i] = hits.get(i, 0) + 1
+        found = sorted(((-n, *self.glossary[i]) for i, n in hits.items()), key=lambda x: x[:2])
+        return [{"hits": -n, "term": term, "marker": marker} for n, term, marker in found]
+
+
+def term_counts(papers: DataFrame, glossary: list[tuple[str, str | None]] = GLOSSARY) -> DataFrame:
+    """paper_id, size (bytes) and fired: array of (hits, term, marker), most hits first, then by term."""
+
+    @F.pandas_udf("array<struct<hits:int,term:string,marker:string>>")
+    def fired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counter = TermCounter(glossary)
+        for texts in batches:
+            yield pd.Series([counter(t) for t in texts])
+
+    ship_package(papers.sparkSession)
     text = lower_simple(F.replace(F.coalesce("markdown", F.lit("")), F.lit("\u2019"), F.lit("'")))
+    rows = papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), fired(text).alias("fired"))
+    return bound_once(rows, "fired")
+
 
-    def fired(lowered: Column) -> Column:
-        return let(F.array_intersect(F.split(lowered, r"[^\p{L}\p{Nd}_]+"), wanted), lambda there: counts(lowered, there))
-
-    def counts(lowered: Column, there: Column) -> Column:
-        def may_occur(i: Column) -> Column:
-            key = F.get(keys, i)
-            return (
-                (F.array_contains(there, key) | F.array_contains(there, F.concat(key, F.lit("s"))))
-                & F.contains(lowered, F.get(folds, i))
-            )
-
-        present = F.filter(F.sequence(F.lit(0), F.lit(len(glossary) - 1)), may_occur)
-        counted = F.transform(
-            present,
-            lambda i: F.struct((-F.regexp_count(lowered, F.get(patterns, i))).alias("minus"), F.get(names, i).alias("term"), F.nullif(F.get(markers, i), F.lit("")).alias("marker")),
-        )
-        return F.transform(
-            F.array_sort(F.filter(counted, lambda t: t["minus"] < 0)),
-            lambda t: F.struct((-t["minus"]).alias("hits"), t["term"].alias("term"), t["marker"].alias("marker")),
-        )
-
-    return papers.select("paper_id", F.coalesce(F.octet_length("markdown"), F.lit(0)).alias("size"), let(text, fired).alias("fired"))
+def bound_once(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a column that is not computed again at each of its uses."""
+    rest = [c for c in rows.columns if c != name]
+    return rows.select(*rest, F.explode(F.array(name)).alias(name))
 
 
 def methodology_terms(papers: DataFrame) -> DataFrame:

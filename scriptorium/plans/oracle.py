@@ -238,7 +238,7 @@ def oracle(name: str, sql: str) -> None:
 
 JOINED = "array_to_string({0}, '|') as {0}"
 oracle("methodology_class", "select *, case when methodology_class is null then 'unresolved' else 'resolved' end as status from methods")
-oracle("methodology_terms", "select paper_id, term, marker, hits from fired")
+oracle("methodology_terms", "select paper_id, (row_number() over (partition by paper_id order by hits desc, term) - 1)::int as rank, term, marker, hits from fired")
 oracle("methodology_summary", "select coalesce(methodology_class, 'unresolved') as methodology_class, mixed_flag, count(*) as papers, sum(total_occurrences)::bigint as occurrences from methods group by 1, 2")
 oracle("detect_headings", "select paper_id, level, byte_start, text_start, text_stop, span_start, inferred, text from headings")
 oracle("infer_references", "select paper_id, level, byte_start, text from inferred")

@@ -44,7 +44,7 @@ def methodology_class(spark, sf_dir):
 
 @query
 def methodology_terms(spark, sf_dir):
-    return methodology.methodology_terms(papers_of(spark, sf_dir)).drop("rank")
+    return methodology.methodology_terms(papers_of(spark, sf_dir))
 
 
 @query
