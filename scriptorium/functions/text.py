@@ -21,6 +21,11 @@ NOT_AFTER_WORD, NOT_BEFORE_WORD = rf"(?<!{WORD})", rf"(?!{WORD})"
 ASCII_WORD = "[A-Za-z0-9_]"
 
 
+def is_word(c: str) -> bool:
+    """Whether a character of Python text is a letter, a decimal digit or the underscore; as WORD for columns."""
+    return c.isalpha() or c.isdecimal() or c == "_"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value computed once: a column that lambdas use would be computed at each of their steps,
     for the optimizer puts its expression in its place."""

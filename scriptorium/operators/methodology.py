@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import GLOSSARY
-from scriptorium.functions.text import lower_simple
+from scriptorium.functions.text import is_word, lower_simple
 from scriptorium.session import ship_package
 
 LEAST_MARKERS, MARGIN = 4, 0.2
@@ -20,11 +20,6 @@ def folded(term: str) -> str:
     return term.replace("\u2019", "'").lower()
 
 
-def is_word(c: str) -> bool:
-    """Letters, decimal digits and the underscore."""
-    return c.isalpha() or c.isdecimal() or c == "_"
-
-
 class TermCounter:
     """Counts all terms of a glossary in one pass over a text, however many they are: an Aho-Corasick automaton.
 

@@ -63,13 +63,16 @@ def keyword_matches(semantic: Column) -> Column:
 MATCHES = "array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>"
 
 
-def classification(s: Column) -> Column:
-    """struct(role, content_class, status, method, candidate_roles, matched_keywords, matches) of a semantic heading."""
+def classification(s: Column, scanned: Column | None = None) -> Column:
+    """struct(role, content_class, status, method, candidate_roles, matched_keywords, matches) of a semantic heading.
+
+    scanned: its keyword matches, if the scan of the headings has found them already.
+    """
     nothing = F.coalesce(s, F.lit("")) == ""
 
     def matched(exact: Column) -> Column:
-        scanned = F.when(nothing | exact.isNotNull(), empty(MATCHES)).otherwise(let(s, keyword_matches))
-        return let(scanned, lambda matches: let(survivors(matches), lambda live: judged(exact, matches, live)))
+        own = let(s, keyword_matches) if scanned is None else scanned
+        return let(F.when(nothing | exact.isNotNull(), empty(MATCHES)).otherwise(own), lambda matches: let(survivors(matches), lambda live: judged(exact, matches, live)))
 
     def survivors(matches: Column) -> Column:
         live = F.filter(matches, lambda m: m["suppressed_by"].isNull())
@@ -150,10 +153,10 @@ def node_array() -> Column:
             return let(normalize(h["text"]), lambda normal: contained(h, i, normal))
 
         def contained(h: Column, i: Column, normal: Column) -> Column:
-            return let(parse_container(strip_identifiers(normal)), lambda c: let(judged(c), lambda k: made(h, i, normal, c, k)))
+            return let(parse_container(strip_identifiers(normal)), lambda c: let(judged(h, c), lambda k: made(h, i, normal, c, k)))
 
-        def judged(c: Column) -> Column:
-            return F.when(c["container"].isNotNull(), boxed_classification()).otherwise(let(c["remainder"], classification))
+        def judged(h: Column, c: Column) -> Column:
+            return F.when(c["container"].isNotNull(), boxed_classification()).otherwise(let(c["remainder"], lambda s: classification(s, h["matches"])))
 
         def made(h: Column, i: Column, normal: Column, c: Column, k: Column) -> Column:
             return F.struct(

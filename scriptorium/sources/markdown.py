@@ -8,17 +8,20 @@ Null and empty markdown has no headings. Offsets are bytes of the UTF-8 text.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import APPENDIX_ALIASES, APPENDIX_TRIGGERS, KEYWORD_ROLE
+from scriptorium.functions.text import is_word
 from scriptorium.sources.lines import WHITE
 
-HEADINGS = "array<struct<level:int,byte_start:int,text_start:int,text_stop:int,span_start:int,inferred:boolean,text:string,parent:int,stop:int>>"
+HEADINGS = "array<struct<level:int,byte_start:int,text_start:int,text_stop:int,span_start:int,inferred:boolean,text:string,parent:int,stop:int,matches:array<struct<keyword:string,role:string,start:int,end:int,suppressed_by:string>>>>"
 Heading = tuple[int, int, int, int, int, bool, str]
 
 ATX = re.compile(rb"(#{1,6})(?:[ \t]+|$)")
@@ -178,13 +181,55 @@ def document_headings(markdown: str | None) -> list[Heading]:
     return sorted([*found, inferred], key=lambda h: (h[1], not h[5])) if inferred else found
 
 
+class KeywordScan:
+    """Every whole occurrence of a keyword in a semantic heading, by an Aho-Corasick automaton: one pass for all keywords."""
+
+    def __init__(self, roles: dict[str, str]):
+        self.roles, self.automaton = roles, ahocorasick.Automaton()
+        for keyword in roles:
+            self.automaton.add_word(keyword, keyword)
+        self.automaton.make_automaton()
+
+    def __call__(self, s: str) -> list[dict]:
+        """keyword, role, start and end (bytes), and the first longer one around it: suppressed_by; in scan order."""
+        found = []
+        for last, keyword in self.automaton.iter(s):
+            first = last + 1 - len(keyword)
+            if not (first and is_word(s[first - 1])) and not is_word(s[last + 1 : last + 2]):
+                start = len(s[:first].encode("utf-8", "replace"))
+                found.append((start, -start - len(keyword.encode()), keyword))
+        found.sort()
+        out = []
+        for start, end, keyword in found:
+            around = next((k for a, b, k in found if a <= start and b <= end and -b - a > -end - start), None)
+            out.append({"keyword": keyword, "role": self.roles[keyword], "start": start, "end": -end, "suppressed_by": around})
+        return out
+
+
+#: Distinct headings whose matches a worker remembers.
+REMEMBERED = 20_000
+
+
+@functools.lru_cache(maxsize=1)
+def keyword_scan() -> KeywordScan:
+    return KeywordScan(KEYWORD_ROLE)
+
+
+@functools.lru_cache(maxsize=REMEMBERED)
+def heading_matches(text: str) -> list[dict]:
+    """The keywords in a heading as the classifier sees it; none in one that is a keyword itself."""
+    s = semantic_form(text)
+    return [] if s in KEYWORD_ROLE or not s else keyword_scan()(s)
+
+
 #: The deepest level that makes sections.
 DEEPEST = 4
 
 
 def linked(found: list[Heading]) -> list[tuple]:
     """Headings with parent, the place of the last one above of a lower level, and stop, that of the next one that isn't
-    below it; places count headings of levels 1 to 4, others have null. One pass with the open headings on a stack."""
+    below it; places count headings of levels 1 to 4, others have null. One pass with the open headings on a stack. With the
+    keywords that a heading holds."""
     links, above = [], []
     for h in found:
         if h[0] > DEEPEST:
@@ -194,7 +239,7 @@ def linked(found: list[Heading]) -> list[tuple]:
         links.append([h[0], above[-1] if above else -1, None])
         above.append(len(links) - 1)
     own = iter((parent, len(links) if stop is None else stop) for _, parent, stop in links)
-    return [(*h, *(next(own) if h[0] <= DEEPEST else (None, None))) for h in found]
+    return [(*h, *(next(own) if h[0] <= DEEPEST else (None, None)), heading_matches(h[6]) if h[0] <= DEEPEST else []) for h in found]
 
 
 def detect_headings(markdown: Column) -> Column:
@@ -202,7 +247,7 @@ def detect_headings(markdown: Column) -> Column:
 
     @F.pandas_udf(HEADINGS)
     def headings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = ("level", "byte_start", "text_start", "text_stop", "span_start", "inferred", "text", "parent", "stop")
+        names = ("level", "byte_start", "text_start", "text_stop", "span_start", "inferred", "text", "parent", "stop", "matches")
         for batch in batches:
             yield pd.Series([[dict(zip(names, h, strict=True)) for h in linked(document_headings(m))] for m in batch])
 
