@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scriptorium.functions.text import extract_title
 
@@ -21,9 +20,9 @@ def markdown_hash(markdown: Column) -> Column:
 
 
 def dedupe(landed: DataFrame) -> DataFrame:
-    """The first paper of each hash, by created_at, then paper_id."""
-    order = Window.partitionBy("hash").orderBy("created_at", "paper_id")
-    return landed.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """The first paper of each hash, by created_at, then paper_id; a hot hash is aggregated before it is shuffled."""
+    first = F.min_by(F.struct(*landed.columns), F.struct("created_at", "paper_id"))
+    return landed.groupBy(F.col("hash").alias("_hash")).agg(first.alias("_first")).select("_first.*")
 
 
 def lifecycle(landed: DataFrame) -> DataFrame:
@@ -132,7 +131,7 @@ def metric_lines(metrics: DataFrame, name: str, labels: Sequence[str], bounds: S
     else:
         bucket = lambda le, count: F.concat(F.lit(f"{name}_bucket"), around(F.concat_ws(",", F.nullif(key, F.lit("")), F.lit(f'le="{le}"'))), F.lit(" "), count.cast("string"))
         lines = [bucket(f"{b:g}", F.col(f"le_{str(b).replace('.', '_')}")) for b in bounds] + [bucket("+Inf", F.col("count"))]
-        lines += [F.concat(F.lit(f"{name}_sum"), around(key), F.lit(" "), number_text(F.coalesce("sum", F.lit(0.0))))]
+        lines += [F.concat(F.lit(f"{name}_sum"), around(key), F.lit(" "), number_text(F.coalesce("sum", F.lit(0))))]
         lines += [F.concat(F.lit(f"{name}_count"), around(key), F.lit(" "), F.col("count").cast("string"))]
     return metrics.select(F.lit(name).alias("name"), key.alias("key"), F.posexplode(F.array(*lines)).alias("place", "line"))
 

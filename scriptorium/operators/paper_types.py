@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scriptorium.functions.text import between, let, normalise_quote, trim_blank, word_count
 
@@ -150,8 +149,8 @@ def route(verified: DataFrame) -> DataFrame:
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
     """The latest verdict for each paper and markdown hash, by created_at, then verdict_id."""
-    order = Window.partitionBy("paper_id", "markdown_hash").orderBy(F.desc("created_at"), F.desc("verdict_id"))
-    return verdicts.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    last = F.max_by(F.struct(*verdicts.columns), F.struct("created_at", "verdict_id"))
+    return verdicts.groupBy(F.col("paper_id").alias("_paper"), F.col("markdown_hash").alias("_hash")).agg(last.alias("_last")).select("_last.*")
 
 
 def work_queue(papers: DataFrame, verdicts: DataFrame) -> DataFrame:

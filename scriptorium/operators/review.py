@@ -16,8 +16,12 @@ from scriptorium.functions.text import trim_blank
 from scriptorium.operators.segmentation import content_class, node_id, review_context, section_texts
 
 
-def assignable_roles(spark) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in sorted(ROLE_NAMES)], "role string")
+def assignable_roles(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every role that a reviewer may assign, with how many tasks offer it and how many decisions in force assign it."""
+    roles = tasks.sparkSession.createDataFrame([(r,) for r in sorted(ROLE_NAMES)], "role string")
+    offered = tasks.select(F.explode("candidate_roles").alias("role")).groupBy("role").agg(F.count(F.lit(1)).alias("offered"))
+    given = decisions.filter("decision = 'resolve'").groupBy(F.col("assigned_role").alias("role")).agg(F.count(F.lit(1)).alias("assigned"))
+    return roles.join(offered, "role", "left").join(given, "role", "left").fillna(0, ["offered", "assigned"])
 
 
 def decision_errors(decisions: DataFrame, tasks: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -285,7 +285,8 @@ oracle("review_run", """select t.run_id, t.task_id, t.review_reason, d.decision,
     from tasks t join papers p using (paper_id) left join inforce d on d.task_id = t.task_id left join contexts c on c.paper_id = t.paper_id and c.ordinal = t.section_ordinal where t.paper_id % 7 <> 2""")
 oracle("run_rejection_first", "select run_id, rejection_id, reviewer_id from refused")
 oracle("review_context", "select * from contexts")
-oracle("assignable_roles", f"select role from {values([(r,) for r in ROLE_NAMES], 'role')}")
+oracle("assignable_roles", f"""select role, coalesce(o.n, 0) as offered, coalesce(g.n, 0) as assigned from {values([(r,) for r in ROLE_NAMES], "role")} left join (select role, count(*) as n from (select unnest(candidate_roles) as role from tasks) group by 1) o using (role)
+    left join (select assigned_role as role, count(*) as n from inforce where decision = 'resolve' group by 1) g using (role)""")
 oracle("study_gate", "select * from gates")
 oracle("study_evidence", """select kind, label, study_group, in_heading, count(*) as times from (select * from evidence where in_heading
     union all select * exclude (n) from (select e.*, row_number() over (partition by e.paper_id, study_group order by ordinal, i) as n from evidence e join several s using (paper_id) where not in_heading and kind in ('study', 'experiment') and len(s.strong) < 2) where n = 1) group by all""")
@@ -302,7 +303,7 @@ oracle("quote_verification", "select paper_id, quotes_expected, quotes_verified,
 oracle("paper_routing", """select paper_id, primary_type, empirical, case when quotes_verified <> quotes_expected then 'unverified_quotes' when not empirical then 'not_empirical' else 'allowed' end as route,
     concat_ws(': ', case primary_type when 'A' then 'empirical' when 'B' then 'synthesis of earlier studies' when 'C' then 'conceptual' when 'D' then 'formal' else 'unclassified' end, nullif(subtype, ''), case when primary_type = 'UNCLASSIFIED' then unclassified end) as reason from quotes""")
 oracle("latest_verdict", "select paper_id % 97 as paper_id, 'h' as markdown_hash, max_by(verdict_id, (created_at, verdict_id)) as verdict_id, max(created_at) as created_at from responses group by 1")
-oracle("verdict_work_queue", "select paper_id, sha256(markdown) as markdown_hash from papers where paper_id % 3 = 1")
+oracle("verdict_work_queue", "select paper_id, sha256(markdown || case when paper_id % 7 = 2 then 'x' else '' end) as markdown_hash from papers where paper_id % 7 = 2 or paper_id not in (select paper_id from verdicts where outcome = 'valid')")
 oracle("model_input", """select p.paper_id, case when trim(p.markdown) <> '' and (p.paper_id % 2 = 0 or h.l is not null) then md5('INPUT FORM: ' || case when p.paper_id % 2 = 0 then 'FULL' else 'SELECTION' end || chr(10) || chr(10) ||
     coalesce('COMPLETE HEADING LIST (every heading in the document, in order):' || chr(10) || h.l || chr(10), '') || 'MANUSCRIPT:' || chr(10) || chr(10) || p.markdown) end as input_md5
     from papers p left join (select paper_id, string_agg('  ' || trim(text) || chr(10), '' order by byte_start) as l from headings group by 1) h using (paper_id)""")
@@ -321,8 +322,9 @@ def metric_line(name: str, place: int, metric: str, more: str, value: str) -> st
     return f"""select '{name}' as name, '{LABEL}' as key, {place} as place, '{metric}{{{LABEL}{more}}} ' || {value} as line from events group by event_type"""
 
 
+EXACT_SUM = "case when sum(value::decimal(18, 2)) = floor(sum(value::decimal(18, 2))) then floor(sum(value::decimal(18, 2)))::bigint::varchar else sum(value::decimal(18, 2))::varchar end"
 TIMED = [("bucket", f',le="{b:g}"', f"count(*) filter (value <= {b})") for b in LATENCY_BOUNDS]
-TIMED += [("bucket", ',le="+Inf"', "count(value)"), ("sum", "", "'0'"), ("count", "", "count(value)")]
+TIMED += [("bucket", ',le="+Inf"', "count(value)"), ("sum", "", EXACT_SUM), ("count", "", "count(value)")]
 oracle(
     "metrics_exposition",
     " union all ".join(
@@ -336,8 +338,8 @@ oracle(
 oracle("paper_lookup", "select 'id' as found_by, paper_id, hash from landed where paper_id = 7 union all select 'hash', paper_id, hash from landed where hash = md5('')")
 oracle("content_hashes", "select doc_id, md5(coalesce(text, '')) as hash from documents")
 oracle("whole_words", "select heading_raw, " + ", ".join(rf"regexp_matches(lower(heading_raw), '(^|[^\p{{L}}\p{{Nd}}_]){w}($|[^\p{{L}}\p{{Nd}}_])') as has_{w}" for w in ("study", "data", "results", "a")) + ", case when length(heading_raw) > 12 then left(heading_raw, 12) || '...' else heading_raw end as excerpt from texts")
-oracle("identifier_vectors", r"""select heading, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(heading, '^section\s+\d+[a-z]?\s*[:.\-]\s*', ''), '^\d+(\.\d+)*\s*[.:\-]?\s+', ''), '^[ivxlcdm]+\s*[.)]\s+', ''), '^[a-z]\s*[.)]\s+', ''),
-    '^[:. ]+|[:. ]+$', '', 'g')) as stripped from """ + values([(x,) for x in IDENTIFIED], "heading"))
+oracle("identifier_vectors", r"""select doc_id, heading, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(heading, '^section\s+\d+[a-z]?\s*[:.\-]\s*', ''), '^\d+(\.\d+)*\s*[.:\-]?\s+', ''), '^[ivxlcdm]+\s*[.)]\s+', ''), '^[a-z]\s*[.)]\s+', ''),
+    '^[:. ]+|[:. ]+$', '', 'g')) as stripped from (select doc_id, """ + DUCK.pick(IDENTIFIED, "doc_id") + """ || coalesce(' ' || lower(source), '') as heading from documents)""")
 oracle("quote_folding", "select paper_id, md5(text) as folded_md5 from folded")
 oracle("pipe_blocks", "select paper_id, first_place, n as rows_in_block, continuation from joined")
 oracle("pipe_rows", "select paper_id, place, start, stop from piped where pipe")

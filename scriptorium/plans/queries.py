@@ -457,7 +457,8 @@ def review_context(spark, sf_dir):
 
 @query
 def assignable_roles(spark, sf_dir):
-    return review.assignable_roles(spark)
+    r = Review(spark, sf_dir)
+    return review.assignable_roles(r.tasks, r.decisions)
 
 
 # -- research units ---------------------------------------------------------------------------------------------------
@@ -558,8 +559,13 @@ def latest_verdict(spark, sf_dir):
 
 @query
 def verdict_work_queue(spark, sf_dir):
-    papers = papers_of(spark, sf_dir).select("paper_id", ingest.markdown_hash(F.col("markdown")).alias("markdown_hash"))
-    return paper_types.work_queue(papers, papers.filter("paper_id % 3 <> 1"))
+    """Papers that no valid verdict covers as they are now; every seventh paper's markdown has changed since its verdict."""
+    verdicts = paper_types.parse_verdicts(relation(spark, sf_dir, "responses")).filter("error is null")
+    papers = papers_of(spark, sf_dir)
+    judged = papers.select("paper_id", ingest.markdown_hash(F.col("markdown")).alias("markdown_hash")).join(verdicts.select("paper_id", "verdict_id", "created_at"), "paper_id")
+    changed = F.when(F.col("paper_id") % 7 == 2, F.concat("markdown", F.lit("x"))).otherwise(F.col("markdown"))
+    now = papers.select("paper_id", ingest.markdown_hash(changed).alias("markdown_hash"))
+    return paper_types.work_queue(now, paper_types.latest_verdicts(judged))
 
 
 @query
@@ -646,7 +652,8 @@ def metrics_exposition(spark, sf_dir):
     own = ["event_type"]
     counted = ingest.metric_lines(ingest.counters(events, own), "events_total", own)
     latest = ingest.gauges(events, own, "user_id", "ts", "event_id")
-    timed = ingest.latency_histogram(events, "value", own).withColumn("sum", F.lit(0.0))
+    sums = events.groupBy(*own).agg(F.sum(F.col("value").cast("decimal(18, 2)")).alias("sum"))  # exact, whatever the order
+    timed = ingest.latency_histogram(events, "value", own).drop("sum").join(sums, own)
     lines = counted.unionByName(ingest.metric_lines(latest, "last_user", own))
     return lines.unionByName(ingest.metric_lines(timed, "event_seconds", own, ingest.LATENCY_BOUNDS))
 
@@ -693,8 +700,10 @@ IDENTIFIED = (
 
 @query
 def identifier_vectors(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in IDENTIFIED], "heading string")
-    return rows.select("heading", strip_identifiers(F.col("heading")).alias("stripped"))
+    """Identified headings, one for each document, with its source behind them."""
+    own = F.get(F.array(*map(F.lit, IDENTIFIED)), (F.col("doc_id") % len(IDENTIFIED)).cast("int"))
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", own, F.lower("source")).alias("heading"))
+    return rows.select("doc_id", "heading", strip_identifiers(F.col("heading")).alias("stripped"))
 
 
 @query
