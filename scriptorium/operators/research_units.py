@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.dimensions import SCOPE
@@ -10,6 +10,7 @@ from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, le
 from scriptorium.operators.ingest import upsert
 from scriptorium.session import ship_package
 from scriptorium.sources.markdown import detect_headings
+from scriptorium.sources.papers import compact, publish, published
 
 RULE_VERSION = "1.0"
 STRONG = ("study", "experiment")
@@ -119,6 +120,30 @@ def gate_evidence(gates: DataFrame) -> DataFrame:
     return gates.select("verdict_id", F.posexplode("evidence").alias("position", "e")).select("verdict_id", "position", "e.*")
 
 
+GATE = ("paper_id", "markdown_hash", "rule_version")
+
+
+def write_gates(path: str, gates: DataFrame) -> str:
+    """Publish gates (see `current_gates`; each key once) with their evidence; a gate that is there is replaced whole.
+
+    Readers see a gate's old or new evidence, never both; files of other gates stay as they are.
+    """
+    key = F.sha2(F.concat_ws("/", *(F.col(c).cast("string") for c in GATE)), 256)
+    rows = gates.withColumn("gate_id", key)
+    evidence = rows.select("gate_id", F.posexplode("evidence").alias("position", "e")).select("gate_id", "position", "e.*")
+    return publish(path, "gate_id", "gates", gates=rows.drop("evidence"), evidence=evidence)
+
+
+def stored_gates(spark: SparkSession, path: str, relation: str = "gates") -> DataFrame:
+    """The gates, or the evidence, that a store holds now."""
+    return published(spark, path, relation, "gate_id", "gates")
+
+
+def compact_gates(spark: SparkSession, path: str) -> str:
+    """Bring a store of gates down to one batch (see `compact`)."""
+    return compact(spark, path, "gate_id", "gates", "evidence")
+
+
 def scope_of(role: Column) -> Column:
     return F.coalesce(looked_up(role, SCOPE), F.lit("undetermined"))
 

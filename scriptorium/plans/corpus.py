@@ -111,12 +111,17 @@ class Dialect:
             concat(cast((event_id * 3 + 1) % (select count(*) from documents) as varchar(20)), '@2.9') as run_id,
             concat('step', cast(user_id % 3 as varchar(20))) as asked_by, case when user_id % 2 = 0 then 'return' else 'consume' end as wants from events"""
 
+    def mentions(self) -> str:
+        """Places in papers that events point to, each a byte offset; a third of them lie in one paper."""
+        return """select event_id, case when event_id % 3 = 0 then 3 else event_id % (select count(*) from documents) end as paper_id,
+            case when event_id % 50 = 7 then null else (event_id * 7919 + user_id) % 9000 end as position from events"""
+
 
 SPARK, DUCK = Dialect("spark"), Dialect("duckdb")
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A generated relation in Spark: papers, landed, responses, decisions or rejections."""
+    """A generated relation in Spark: papers, landed, responses, decisions, rejections, requests or mentions."""
     sql = getattr(SPARK, name)()
     tables = {t: read_table(spark, sf_dir, t) for t in ("documents", "events") if f" {t}" in sql}
     for t in tables:

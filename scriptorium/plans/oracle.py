@@ -48,6 +48,7 @@ STEPS: dict[str, str] = {
     "decisions": DUCK.decisions(),
     "rejections": DUCK.rejections(),
     "requests": DUCK.requests(),
+    "mentions": DUCK.mentions(),
     # -- methodology
     "doubled": rf"select paper_id, strlen(markdown) as size, regexp_replace(lower(replace(markdown, '’', '''')), '([^\p{{L}}\p{{Nd}}_])', '\1\1', 'g') as text from papers",
     "fired": f"select * from (select paper_id, unnest([{', '.join(map(count_of, GLOSSARY))}], recursive := true) from doubled) where hits > 0",
@@ -290,11 +291,13 @@ oracle("assignable_roles", f"""select role, coalesce(o.n, 0) as offered, coalesc
 oracle("study_gate", "select * from gates")
 oracle("study_evidence", """select kind, label, study_group, in_heading, count(*) as times from (select * from evidence where in_heading
     union all select * exclude (n) from (select e.*, row_number() over (partition by e.paper_id, study_group order by ordinal, i) as n from evidence e join several s using (paper_id) where not in_heading and kind in ('study', 'experiment') and len(s.strong) < 2) where n = 1) group by all""")
-oracle("gate_upsert", """select s.paper_id, s.paper_id * 2 as verdict_id, case when s.paper_id % 3 <> 0 then 'draft' when len(strong) >= 2 then 'multi' else 'other' end as verdict, len(strong) as study_count, e.position, e.kind, e.label from several s
+GATES = """select s.paper_id, s.paper_id * 2 as verdict_id, case when s.paper_id % 3 <> 0 then 'draft' when len(strong) >= 2 then 'multi' else 'other' end as verdict, len(strong) as study_count, e.position, e.kind, e.label from several s
     left join (select paper_id, kind, label, row_number() over (partition by paper_id order by not in_heading, ordinal, i) - 1 as position from (
         select paper_id, ordinal, i, kind, label, in_heading from evidence where in_heading
         union all select paper_id, ordinal, i, kind, label, in_heading from (select e.*, row_number() over (partition by e.paper_id, study_group order by ordinal, i) as n from evidence e join several s using (paper_id)
-            where not in_heading and kind in ('study', 'experiment') and len(s.strong) < 2 and e.paper_id % 3 = 0) where n = 1)) e using (paper_id)""")
+            where not in_heading and kind in ('study', 'experiment') and len(s.strong) < 2 and e.paper_id % 3 = 0) where n = 1)) e using (paper_id)"""
+oracle("gate_upsert", GATES)
+oracle("gate_store", f"select g.paper_id, sha256(p.markdown) as markdown_hash, verdict, study_count, position, kind, label from ({GATES}) g join papers p using (paper_id)")
 oracle("research_unit_rows", "select paper_id, 'study' as unit_type, 1 as unit_index, 'RU1' as unit_ref, 'Study 1' as label, 'accepted_single_study' as status from gates where verdict = 'single'")
 oracle("section_scope", "select n.paper_id, n.ordinal, n.role, coalesce(s.scope, 'undetermined') as scope, case when s.scope in ('study', 'both') then 'RU1' end as unit_ref from nodes n left join scopes s using (role)")
 oracle("scope_summary", "select n.paper_id, coalesce(s.scope, 'undetermined') as scope, count(*) as sections from nodes n left join scopes s using (role) group by all")
@@ -350,3 +353,10 @@ oracle("figures", r"""select paper_id, near.label as label, near.rest as caption
 ) + " from pictured")
 oracle("dropped_blocks", "select paper_id, count(*) as dropped_blocks from tabled where t = 0 group by 1")
 oracle("section_asof", "select t.paper_id, t.label, t.start_offset, coalesce((select max_by(n.heading_raw, n.start_offset) from nodes n where n.paper_id = t.paper_id and n.start_offset <= t.start_offset), '—') as section from tables t")
+oracle("offsets_asof", """select m.event_id, m.paper_id, m.position, max_by(n.ordinal, (n.start_offset, n.ordinal)) as ordinal, coalesce(max_by(n.heading_raw, (n.start_offset, n.ordinal)), '—') as section
+    from mentions m left join nodes n on n.paper_id = m.paper_id and n.start_offset <= m.position group by m.event_id, m.paper_id, m.position""")
+ARRIVALS = "select paper_id, hash, created_at, paper_id % 3 as batch from landed union all select -paper_id - 1, hash, -1, 2 from landed where paper_id % 3 = 0"
+oracle("landed_batches", f"select paper_id, hash, first_value(paper_id) over (partition by hash order by batch, created_at, paper_id) as kept_id from ({ARRIVALS})")
+oracle("migrated_papers", "select paper_id, case when paper_id % 2 = 1 then 'own ' || paper_id when paper_id % 29 = 7 then '' else sha256(markdown) end as markdown_hash from papers")
+oracle("indexed_lookup", """select 'id' as found_by, paper_id, hash, url from landed where paper_id in (7, 11, 150)
+    union all select 'hash', paper_id, hash, url from landed where hash = md5('') or hash in (select hash from landed where paper_id in (7, 11, 150))""")

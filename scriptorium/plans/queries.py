@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import contains_whole_word, excerpt, normalise_quote, normalize, parse_container, strip_identifiers
-from scriptorium.operators import exhibits, ingest, methodology, paper_types, research_units, review, segmentation
+from scriptorium.operators import asof, exhibits, ingest, methodology, paper_types, research_units, review, segmentation
 from scriptorium.plans.corpus import relation
 from scriptorium.plans.registry import query
 from scriptorium.session import materialise, read_table, written_root
+from scriptorium.sources import lookup, versions
 from scriptorium.sources.papers import publish_runs, published
+from scriptorium.streaming import landing
 
 
 def papers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,12 +478,14 @@ def study_evidence(spark, sf_dir):
     return counted.toDF("kind", "label", "study_group", "in_heading", "times")
 
 
-@query
-def gate_upsert(spark, sf_dir):
+def _gate_writes(spark, sf_dir, markdown_hash=None):
     """Gates written once with the headings' evidence, and again for every third paper, with all evidence."""
-    rows = research_units.unit_evidence(papers_of(spark, sf_dir))
+    papers = papers_of(spark, sf_dir)
+    rows = research_units.unit_evidence(papers)
+    if markdown_hash is not None:
+        rows = rows.join(papers.select("paper_id", markdown_hash.alias("_hash")), "paper_id")
     whole = F.concat("in_headings", "in_text")
-    key = ["paper_id", F.lit("h").alias("markdown_hash"), F.lit(research_units.RULE_VERSION).alias("rule_version")]
+    key = ["paper_id", (F.lit("h") if markdown_hash is None else F.col("_hash")).alias("markdown_hash"), F.lit(research_units.RULE_VERSION).alias("rule_version")]
     kind = F.when(F.size("strong_groups") >= 2, "multi").otherwise("other").alias("verdict")
     studies = F.size("strong_groups").alias("study_count")
     first = rows.select(
@@ -500,12 +504,38 @@ def gate_upsert(spark, sf_dir):
         studies,
         whole.alias("evidence"),
     )
+    return first, again
+
+
+@query
+def gate_upsert(spark, sf_dir):
+    """Gates in force of a log of both writes."""
+    first, again = _gate_writes(spark, sf_dir)
     gates = research_units.current_gates(first.union(again))
     shown = gates.select("paper_id", "verdict_id", "verdict", "study_count")
     evidence = research_units.gate_evidence(gates).select("verdict_id", "position", "kind", "label")
     return shown.join(evidence, "verdict_id", "left")
 
 
+@query
+def gate_store(spark, sf_dir):
+    """Gates and evidence of a store after both writes, a third that fails, and compaction."""
+    first, again = _gate_writes(spark, sf_dir, ingest.markdown_hash(F.col("markdown")))
+    path = f"{written_root(spark)}/gates-{uuid4().hex}"
+    research_units.write_gates(path, first)
+    research_units.write_gates(path, again)
+    broken = F.when(F.col("paper_id") >= 0, F.raise_error(F.lit("stopped halfway"))).otherwise(F.lit(""))
+    try:
+        research_units.write_gates(path, first.withColumn("verdict", broken))
+    except Exception as e:
+        if "stopped halfway" not in str(e):
+            raise
+    research_units.compact_gates(spark, path)
+    evidence = research_units.stored_gates(spark, path, "evidence").select("gate_id", "position", "kind", "label")
+    gates = research_units.stored_gates(spark, path).select("gate_id", "paper_id", "markdown_hash", "verdict", "study_count")
+    return gates.join(evidence, "gate_id", "left").drop("gate_id")
+
+
 @query
 def research_unit_rows(spark, sf_dir):
     return research_units.research_units(research_units.study_gate(papers_of(spark, sf_dir)))
@@ -771,3 +801,51 @@ def dropped_blocks(spark, sf_dir):
 @query
 def section_asof(spark, sf_dir):
     return segmentation.tables_in_sections(papers_of(spark, sf_dir)).select("paper_id", "label", "start_offset", "section")
+
+
+@query
+def offsets_asof(spark, sf_dir):
+    """The section that each place of another table stands in."""
+    return asof.sections_at(relation(spark, sf_dir, "mentions"), nodes_of(spark, sf_dir))
+
+
+# -- stores -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def landed_batches(spark, sf_dir):
+    """Which paper each arrival became: three batches of a stream that is stopped after each; the third holds the first once more."""
+    landed = relation(spark, sf_dir, "landed").select("paper_id", "hash", "created_at")
+    root = f"{written_root(spark)}/landing-{uuid4().hex}"
+    repeats = landed.filter("paper_id % 3 = 0").withColumns({"paper_id": -F.col("paper_id") - 1, "created_at": F.lit(-1).cast("long")})
+    batches = [landed.filter("paper_id % 3 = 0"), landed.filter("paper_id % 3 = 1"), landed.filter("paper_id % 3 = 2").union(repeats)]
+    for number, batch in enumerate(batches):
+        batch.write.parquet(f"{root}/arrivals/part{number}")
+        arriving = spark.readStream.schema(batch.schema).parquet(f"{root}/arrivals/*")
+        landing.land(arriving, f"{root}/papers", f"{root}/checkpoint").awaitTermination()
+    arrivals = spark.read.parquet(f"{root}/arrivals/*")
+    return landing.resolved(arrivals, landing.landed_papers(spark, f"{root}/papers")).select("paper_id", "hash", "kept_id")
+
+
+@query
+def migrated_papers(spark, sf_dir):
+    """Papers and their hashes from batches of both versions of the table, half of the older ones migrated before."""
+    papers = papers_of(spark, sf_dir).withColumn("markdown", F.when(F.col("paper_id") % 29 == 7, "").otherwise(F.col("markdown")))
+    path = f"{written_root(spark)}/papers-{uuid4().hex}"
+    versions.write_version(papers.filter("paper_id % 4 = 0"), path, versions.PAPERS, 1)
+    versions.migrate(spark, path, versions.PAPERS)
+    versions.write_version(papers.filter("paper_id % 4 = 2"), path, versions.PAPERS, 1)
+    own = papers.filter("paper_id % 2 = 1").withColumn("markdown_hash", F.concat(F.lit("own "), F.col("paper_id").cast("string")))
+    versions.write_version(own, path, versions.PAPERS, 2)
+    return versions.read_versions(spark, path, versions.PAPERS).select("paper_id", "markdown_hash")
+
+
+@query
+def indexed_lookup(spark, sf_dir):
+    """Papers by some ids and by some hashes from a layout that lookups skip through."""
+    path = f"{written_root(spark)}/by-hash-{uuid4().hex}"
+    lookup.write_by_hash(relation(spark, sf_dir, "landed"), path)
+    by_id = lookup.find_ids(spark, path, [7, 11, 150, -1]).select(F.lit("id").alias("found_by"), "paper_id", "hash", "url")
+    known = [r["hash"] for r in by_id.select("hash").collect()]
+    by_hash = lookup.find_hashes(spark, path, [*known, md5(b"").hexdigest(), "", "no hash"])
+    return by_id.union(by_hash.select(F.lit("hash"), "paper_id", "hash", "url"))

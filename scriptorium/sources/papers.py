@@ -50,18 +50,19 @@ def _commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names if "-" in n and n[0].isdigit())
 
 
-def publish_runs(path: str, **relations: DataFrame) -> str:
-    """Publish a batch of any number of runs at once; each relation has run_id, and one is `runs` with a row for each run.
+def publish(path: str, key: str, head: str, **relations: DataFrame) -> str:
+    """Publish a batch of any number of entries at once: each relation has the key, and head has a row for each entry.
 
     A batch is written by one job for each relation into a folder that nobody reads yet; then one empty file, made
-    atomically, commits all its runs. What readers see of a run is its latest committed batch, so a run that is written
-    again stays as it was until then. If a job fails, nothing is committed and what was written is deleted.
+    atomically, commits all its entries. What readers see of an entry is its latest committed batch, so one that is
+    written again stays as it was until then, and the files of all others stay as they are. If a job fails, nothing is
+    committed and what was written is deleted.
     """
-    spark = relations["runs"].sparkSession
+    spark = relations[head].sparkSession
     batch = uuid.uuid4().hex
     try:
         for name, df in relations.items():
-            df.withColumn("_batch", F.lit(batch)).sortWithinPartitions("run_id").write.parquet(f"{path}/batches/{batch}/{name}")
+            df.withColumn("_batch", F.lit(batch)).sortWithinPartitions(key).write.parquet(f"{path}/batches/{batch}/{name}")
     except BaseException:
         store, where = _files(spark, f"{path}/batches/{batch}")
         store.delete(where, True)
@@ -73,10 +74,15 @@ def publish_runs(path: str, **relations: DataFrame) -> str:
     return batch
 
 
-def published(spark: SparkSession, path: str, relation: str = "runs") -> DataFrame:
-    """The rows of a relation of all published runs, each run as its latest committed batch has it.
+def publish_runs(path: str, **relations: DataFrame) -> str:
+    """Publish a batch of runs: each relation has run_id, and one is `runs` with a row for each run."""
+    return publish(path, "run_id", "runs", **relations)
+
 
-    A run's batch replaces all that earlier ones had of it, rows of relations that it doesn't have included. A relation
+def published(spark: SparkSession, path: str, relation: str = "runs", key: str = "run_id", head: str = "runs") -> DataFrame:
+    """The rows of a relation of all published entries, each entry as its latest committed batch has it.
+
+    An entry's batch replaces all that earlier ones had of it, rows of relations that it doesn't have included. A relation
     that no committed batch has is an error.
     """
     commits = _commits(spark, path)
@@ -85,10 +91,26 @@ def published(spark: SparkSession, path: str, relation: str = "runs") -> DataFra
     if not having:
         raise LookupError(f"no published {relation} in {path}")
     numbers = spark.createDataFrame(commits, "_number long, _batch string")
-    runs = spark.read.parquet(*(f"{path}/batches/{b}/runs" for _, b in commits)).select("run_id", "_batch").join(F.broadcast(numbers), "_batch")
-    latest = runs.groupBy("run_id").agg(F.max_by("_batch", "_number").alias("_batch"))
+    heads = spark.read.parquet(*(f"{path}/batches/{b}/{head}" for _, b in commits)).select(key, "_batch").join(F.broadcast(numbers), "_batch")
+    latest = heads.groupBy(key).agg(F.max_by("_batch", "_number").alias("_batch"))
     rows = spark.read.parquet(*(f"{path}/batches/{b}/{relation}" for b in having))
-    return rows.join(latest, ["run_id", "_batch"], "left_semi").drop("_batch")
+    return rows.join(latest, [key, "_batch"], "left_semi").drop("_batch")
+
+
+def compact(spark: SparkSession, path: str, key: str, head: str, *others: str) -> str:
+    """Publish what readers see now as one batch, then delete the batches before it; the new batch.
+
+    Not to be run beside another writer or long readers: a batch that is committed meanwhile would be replaced, and
+    readers that began before lose their files. Stopped halfway, it leaves what readers see as it is.
+    """
+    old = _commits(spark, path)
+    batch = publish(path, key, head, **{r: published(spark, path, r, key, head) for r in (head, *others)})
+    for number, b in old:
+        store, where = _files(spark, f"{path}/commits/{number:012d}-{b}")
+        store.delete(where, False)
+        store, where = _files(spark, f"{path}/batches/{b}")
+        store.delete(where, True)
+    return batch
 
 
 def read_run(spark: SparkSession, path: str, run_id: str, relation: str) -> DataFrame:
