@@ -3,8 +3,9 @@
 Generators of high recall propose overlapping spans; boosted trees judge each by its format and its surroundings;
 a threshold for each kind, calibrated on held-out rows, selects what is redacted. The strict base patterns always
 count; the trees add spans that those patterns miss: spelled-out addresses, national phone numbers, grouped card
-numbers with other separators, addresses of six groups. Added spans overlap neither base spans nor each other (the
-likelier one stays).
+numbers with other separators, addresses of six groups. Added spans overlap neither base spans nor each other: the
+likelier one stays, of equally likely ones the first by start, kind and end. Generators propose every start with every
+end (of the parts of a spelled address, of the numbers in a row), so that the trees choose among overlapping spans.
 
 The trees learn from a synthetic corpus that is made here from a seed: planted data in many formats and look-alikes
 (dates, sums, versions, serial numbers, measurements, hex digests), in invented words.
@@ -72,32 +73,76 @@ def base_spans(text: str) -> list[Span]:
 
 
 HEX = "[0-9A-Fa-f]{1,4}"
-NAME, LABEL = r"(?<![\w.%+-])[\w.%+-]{1,64}", "[A-Za-z0-9-]{1,63}"
-#: Generators of candidates: kind, what a text must contain for them to run, pattern. A match may start anywhere a run
-#: of its own characters starts, so no run is searched twice.
-GENERATORS = (
-    (
-        0, ("(at)", "[at]", "{at}", "(AT)", "[AT]"),
-        re.compile(rf"{NAME}\s?[(\[{{](?:at|AT)[)\]}}]\s?{LABEL}(?:\s?(?:\.|[(\[{{](?:dot|DOT)[)\]}}])\s?{LABEL}){{1,4}}"),
-    ),
-    (0, (" dot ", " DOT "), re.compile(rf"{NAME} (?:at|AT) {LABEL}(?: (?:dot|DOT) {LABEL}){{1,4}}")),
-    (0, ("@",), re.compile(rf"{NAME}\s?@\s?{LABEL}(?:\s?\.\s?{LABEL}){{1,4}}")),
-    (1, (":",), re.compile(rf"(?<![0-9A-Fa-f:])(?:{HEX}:){{3,7}}:?{HEX}(?![0-9A-Fa-f:])")),
-    (1, ("::",), re.compile(rf"(?<![0-9A-Za-z:]){HEX}(?::{HEX}){{0,6}}::(?:{HEX}(?::{HEX}){{0,6}})?(?![0-9A-Za-z:])")),
-    (1, ("::",), re.compile(rf"(?<![0-9A-Za-z:])::{HEX}(?::{HEX}){{0,6}}(?![0-9A-Za-z:])")),
-    (2, (), re.compile(r"(?<![0-9A-Za-z])[0-9]{3,6}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9A-Za-z])")),
-    (
-        3, (),
-        re.compile(
-            r"(?<![0-9A-Za-z.,+])(?:00[1-9][0-9]{0,2}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{3,4}"
-            r"(?:[ .-]{1,2}[0-9]{2,5}){0,3}(?![0-9A-Za-z])"
-        ),
-    ),
-    (3, (), re.compile(r"(?<![0-9A-Za-z.,+/#:-])[0-9]{9,11}(?![0-9A-Za-z])")),
-)
+LABEL = "[A-Za-z0-9-]{1,63}+"
+#: What stands between the parts of an address that is written around: in place of a dot, and in place of the at sign.
+DOT = r"(?:\.| \. |\s?[(\[{](?:dot|DOT)[)\]}]\s?| (?:dot|DOT) )"
+AT = re.compile(rf"(?:\s?[(\[{{](?:at|AT)[)\]}}]\s?| (?:at|AT) |\s?@\s?)(?={LABEL}{DOT}{LABEL})")
+PART = re.compile(rf"{DOT}{LABEL}")
+#: A local part, read backwards from its end, and what may join it to one more word before it.
+WORD_BACK = re.compile(r"[\w%+-][\w.%+-]{0,63}")
+DOT_BACK = re.compile(r" (?:tod|TOD) |\s?[)\]}](?:tod|TOD)[(\[{]\s?")
+HOST_PARTS, LOCAL_WORDS = 4, 3
+#: Addresses of six groups: a part of one is none, so whole runs are proposed only.
+GROUPED = (
+    ((":",), re.compile(rf"(?<![0-9A-Fa-f:])(?:{HEX}:){{3,7}}:?{HEX}(?![0-9A-Fa-f:])")),
+    (("::",), re.compile(rf"(?<![0-9A-Za-z:]){HEX}(?::{HEX}){{0,6}}::(?:{HEX}(?::{HEX}){{0,6}})?(?![0-9A-Za-z:])")),
+    (("::",), re.compile(rf"(?<![0-9A-Za-z:])::{HEX}(?::{HEX}){{0,6}}(?![0-9A-Za-z:])")),
+)
+NUMBER = re.compile(r"(?:\(|(?<![0-9A-Za-z]))[0-9]{1,12}+(?:\)|(?![0-9A-Za-z]))")
+WITHIN = re.compile("[0-9A-Za-z]")
+BETWEEN = re.compile(r"[ ./_-]{1,2}")
+NUMBERS, SCORED = 6, 20_000
+#: Endings of hosts that are told from other words.
+ENDINGS = frozenset("com org net edu gov io co uk de fr es it nl eu info example".split())
+
+
+def spelled_addresses(text: str) -> set[Span]:
+    """E-mail addresses that are written around: every local part of up to 3 words before a sign, every host after it."""
+    found = set()
+    for sign in AT.finditer(text):
+        back = text[max(0, sign.start() - 270) : sign.start()][::-1]
+        starts, at = [], 0
+        while len(starts) < LOCAL_WORDS and (m := WORD_BACK.match(back, at)):
+            starts.append(sign.start() - m.end())
+            joint = DOT_BACK.match(back, m.end())
+            if joint is None:
+                break
+            at = joint.end()
+        end = re.compile(LABEL).match(text, sign.end()).end()
+        for _ in range(HOST_PARTS):
+            if (m := PART.match(text, end)) is None:
+                break
+            end = m.end()
+            found.update((start, 0, end) for start in starts)
+    return found
+
+
+def numbers(text: str) -> set[Span]:
+    """Cards and phones: every run of up to 6 neighbouring numbers that has the digits of one, whatever lies around it."""
+    tokens = [(m.start(), m.end()) for m in NUMBER.finditer(text)]
+    found = set()
+    for i, (start, _) in enumerate(tokens):
+        if start and WITHIN.match(text, start - 1):
+            continue
+        for j in range(i, min(i + NUMBERS, len(tokens))):
+            if j > i:
+                gap = text[tokens[j - 1][1] : tokens[j][0]]
+                if not (BETWEEN.fullmatch(gap) or gap == "" and (text[tokens[j - 1][1] - 1] == ")" or text[tokens[j][0]] == "(")):
+                    break
+            own = text[start : tokens[j][1]]
+            digits = "".join(DIGITS.findall(own))
+            if len(digits) > 19:
+                break
+            if own.count("(") == own.count(")") and not WITHIN.match(text, tokens[j][1]):
+                if len(digits) >= 12 and j > i and luhn(digits):
+                    found.add((start, 2, start + len(own)))
+                if (9 if i == j else 7) <= len(digits) <= 15:
+                    found.add((start, 3, start + len(own)))
+    return found
+
 
 WORDS_NEAR = (
-    ("call", "phone", "tel", "fax", "mobile", "cell", "dial", "sms", "whatsapp"),
+    ("call", "phone", "tel", "fax", "mobile", "cell", "dial", "sms", "whatsapp", "ring", "my number"),
     ("mail", "contact", "write", "reach"),
     ("card", "visa", "credit", "payment", "pay", "debit"),
     ("ip", "server", "host", "addr", "client", "login"),
@@ -131,15 +176,19 @@ class Taken:
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """Spans that the generators propose and no base span overlaps; they may overlap each other."""
-    found = set()
-    digits = DIGITS.search(text) is not None
-    for kind, needed, pattern in GENERATORS:
-        if any(n in text for n in needed) if needed else digits:
-            found.update((m.start(), kind, m.end()) for m in pattern.finditer(text))
+    found = spelled_addresses(text) | numbers(text)
+    for needed, pattern in GROUPED:
+        if any(n in text for n in needed):
+            found.update((m.start(), 1, m.end()) for m in pattern.finditer(text))
     taken = Taken(base)
     return [c for c in sorted(found) if not taken.meets(c)] if base else sorted(found)
 
 
+#: That a candidate is a part of something longer: numbers, a dot, a sign before it or after it.
+CONTINUED_BEFORE = tuple(map(re.compile, (r"[0-9]\)?[ ./_-]{1,2}\(?$", r"(?:\.|\bdot[)\]}]?) ?$", r"(?:@|\bat[)\]}]?) ?$", r"[0-9a-z_+(]$")))
+CONTINUED_AFTER = tuple(map(re.compile, (r"\)?[ ./_-]{1,2}\(?[0-9]", r"(?:\.| ?[(\[{]?dot[)\]}]? ?)[a-z0-9]", r" ?(?:@|[(\[{]at[)\]}]|at ) ?[a-z0-9]", r"[0-9a-z_)]")))
+
+
 def features(text: str, span: Span) -> list[float]:
     start, kind, end = span
     own = text[start:end]
@@ -147,6 +196,7 @@ def features(text: str, span: Span) -> list[float]:
     digits = "".join(groups)
     before, after = text[max(0, start - 40) : start].lower(), text[end : end + 20].lower()
     near = before[-14:]
+    own_end = re.split(r"[^A-Za-z0-9]+", own.lower().rstrip(")]}"))[-1]
     lengths = [len(g) for g in groups] or [0]
     first, last = text[start - 1 : start], text[end : end + 1]
     return [
@@ -164,6 +214,8 @@ def features(text: str, span: Span) -> list[float]:
         *(float(any(w in near for w in words)) for words in WORDS_NEAR), *(float(any(w in before for w in words)) for words in WORDS_NEAR), float(
             any(w in after for w in ("kg", "km", "cm", "mb", "eur", "usd", "am", "pm")),
         ),
+        *(float(bool(p.search(before))) for p in CONTINUED_BEFORE), *(float(bool(p.match(after))) for p in CONTINUED_AFTER), float(own_end in ENDINGS),
+        float(" AT " in own or "@" in own), float(any(b in own for b in "([{")), float(len(re.findall("dot|DOT|[.]", own))), *lengths[1:4], *([0] * (3 - len(lengths[1:4]))),
     ]
 
 
@@ -183,11 +235,20 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
 
     def planted() -> tuple[int, str, str]:
         kind = rng.randrange(4)
-        name, host, tld = f"{word()}{some('', '.', '_')}{word()}", word(), some("com", "org", "net", "example", "de", "fr")
+        name, host, tld = f"{word()}{some('', '.', '_')}{word()}", word(), some(*sorted(ENDINGS))
+        a, b, up = word(), word(), some(str.upper, str)
         return kind, *(
             (
-                some("mail ", "contact ", "write to ", ""),
+                some("mail ", "contact ", "write to ", "reach me at ", "mail us at ", "me at ", f"{word()} is ", ""),
                 some(
+                    f"{a} dot {b} at {host} dot {tld}",
+                    f"{up(a)} DOT {up(b)} AT {up(host)} DOT {up(tld)}",
+                    f"{a}(dot){b}(at){host}(dot){tld}",
+                    f"{a} [dot] {b} [at] {host} [dot] {tld}",
+                    f"{name} AT {host}.{tld}",
+                    f"{name} AT {host} DOT {tld}",
+                    f"{name} at {word()} dot {host} dot {tld}",
+                    f"{name}{{at}}{word()}.{host}.{tld}",
                     f"{name} (at) {host} (dot) {tld}",
                     f"{name}[at]{host}.{tld}",
                     f"{name} at {host} dot {tld}",
@@ -208,8 +269,12 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
             ),
             (some("card ", "visa ", "pay with ", ""), card(some(".", "/", "  ", "_"))),
             (
-                some("call ", "tel ", "phone: ", "fax ", "mobile "),
+                some("call ", "tel ", "phone: ", "fax ", "mobile ", "ring ", "my number is ", "sms ", "reach me on ", "or ", ""),
                 some(
+                    f"1-{d(3)}-{d(3)}-{d(4)}",
+                    f"1{sep}({d(3)}){some(' ', '')}{d(3)}-{d(4)}",
+                    f"(0){d(2)} {d(4)} {d(4)}",
+                    f"{d(3)}.{d(3)}.{d(4)}",
                     f"({d(3)}) {d(3)}{sep}{d(4)}",
                     f"{d(3)}{sep}{d(3)}{sep}{d(4)}",
                     f"0{d(3)}{some(' ', '/', '-')}{d(7)[:4]}{sep}{d(3)}",
@@ -225,7 +290,8 @@ def synthetic_text(rng: random.Random) -> tuple[str, list[Span]]:
         return some(
             f"{some('order', 'invoice', 'ref', 'serial', 'id', 'model')} {d(rng.randint(3, 6))}{some('-', '.', '/', ' ')}{d(rng.randint(3, 5))}{some('-', '.', '/')}{d(rng.randint(3, 5))}", f"{some('on', 'date', 'since')} {some('19', '20')}{d(2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{d(2)}",
             f"version {d(1)}.{d(2)}.{d(3)}", f"{d(3)} {d(3)} {d(3)} {some('eur', 'usd', 'kg', 'km')}", f"{d(2)}:{d(2)}:{d(2)}", f"isbn 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{word()} at {word()} on dot {word()}", f"{d(3)}.{d(3)}.{d(3)}", f"pages {d(3)}-{d(3)}", f"{d(8)}-{d(4)}", f"{d(3)}-{d(4)}",
-            f"{d(4)} {d(4)} {d(4)}", f"at (at) {word()}", f"{rng.getrandbits(48):x}:{rng.getrandbits(8):x}", f"{d(4)} {d(3)} {d(4)}", f"{d(2)} {d(3)}", f"{d(3)} {d(4)} {d(3)} {d(3)}",
+            f"{d(4)} {d(4)} {d(4)}", f"at (at) {word()}", f"{some('visit us', 'see', 'look', 'more', 'found', word())} at {word()}.{some(*sorted(ENDINGS))}", f"{word()} at {word()} dot {word()}",
+            f"{word()} at {word()}.{word()}", f"{d(3)} {d(4)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(4)}-{d(4)}", f"{some('figures', 'of', 'values')} {d(2)} {d(3)} {d(4)} {d(2)} {d(3)}", f"{rng.getrandbits(48):x}:{rng.getrandbits(8):x}", f"{d(4)} {d(3)} {d(4)}", f"{d(2)} {d(3)}", f"{d(3)} {d(4)} {d(3)} {d(3)}",
             f"{some('order', 'invoice', 'ref', 'serial', 'id', 'isbn', 'page', 'model', 'total')} {d(rng.randint(9, 11))}", f"{d(rng.randint(9, 11))} {some('eur', 'usd', 'kg', 'mb')}", d(
                 rng.randint(9, 11),
             ),
@@ -252,6 +318,13 @@ class Selector:
     trees: Trees
     thresholds: np.ndarray
 
+    def scores(self, texts: Sequence[str], proposed: Sequence[list[Span]]) -> list[np.ndarray]:
+        """The likelihoods of each text's candidates; features are held for SCORED candidates at a time."""
+        pairs, flat = [(t, c) for t, cs in zip(texts, proposed, strict=True) for c in cs], [np.zeros(0)]
+        for at in range(0, len(pairs), SCORED):
+            flat.append(self.trees.probabilities(np.array([features(t, c) for t, c in pairs[at : at + SCORED]])))
+        return np.split(np.concatenate(flat), np.cumsum([len(cs) for cs in proposed])[:-1])
+
     def added(self, proposed: list[Span], scores: np.ndarray) -> list[Span]:
         """The likeliest spans first, none that overlaps one chosen before."""
         chosen, taken = [], Taken()
@@ -299,10 +372,8 @@ def find_personal_data(docs: DataFrame, selector: Selector, text: str = "text",
     def all_spans(texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
         base = [base_spans(t) for t in texts]
         proposed = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
-        rows = [features(t, c) for t, cs in zip(texts, proposed, strict=True) for c in cs]
-        scores = sent.value.trees.probabilities(np.array(rows)) if rows else np.zeros(0)
-        ends = np.cumsum([0, *map(len, proposed)])
-        return base, [sorted([*b, *sent.value.added(cs, scores[i:j])]) for b, cs, i, j in zip(base, proposed, ends, ends[1:], strict=False)]
+        scores = sent.value.scores(texts, proposed) if texts else []
+        return base, [sorted([*b, *sent.value.added(cs, own)]) for b, cs, own in zip(base, proposed, scores, strict=True)]
 
     def described(texts: list[str | None]) -> tuple:
         base, spans = all_spans([t or "" for t in texts])
