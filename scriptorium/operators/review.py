@@ -295,14 +295,15 @@ def review_items(tasks: DataFrame, decisions: DataFrame, trees: DataFrame, runs:
     they were made from.
 
     A task about the whole document (section -1) has no context: no ancestors, a null heading and a null text. The text
-    of a context is cut in its paper's row.
+    of a context is cut in its paper's row, and only where a task asks for it.
     """
     now = papers.select("paper_id", F.sha2(F.coalesce("markdown", F.lit("")).cast("binary"), 256).alias("_hash"))
     same = runs.join(now, "paper_id").filter("markdown_hash = _hash").select("run_id")
     context = review_context(trees).select("paper_id", F.col("ordinal").alias("section_ordinal"), "heading_raw", "ancestors")
-    texts = section_texts(papers, with_descendants=True).select("paper_id", F.col("ordinal").alias("section_ordinal"), "text")
+    wanted = tasks.groupBy("paper_id").agg(F.collect_set("section_ordinal").alias("_wanted"))
+    texts = section_texts(papers.join(wanted, "paper_id"), with_descendants=True, only="_wanted")
+    shown = texts.select("paper_id", F.col("ordinal").alias("section_ordinal"), "text")
     asked = tasks.join(same, "run_id", "left_semi").join(decisions.select("task_id", "decision", "assigned_role"), "task_id", "left")
     places = ["paper_id", "section_ordinal"]
-    shown = texts.join(tasks.select(*places).distinct(), places, "left_semi")
     items = asked.join(context, places, "left").join(shown, places, "left")
     return items.withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))

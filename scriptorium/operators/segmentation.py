@@ -429,19 +429,24 @@ def sections_in_row(with_descendants: bool = False) -> Column:
     return let(structural(F.col("headings")), sections)
 
 
-def section_texts(papers: DataFrame, with_descendants: bool = False) -> DataFrame:
+def section_texts(papers: DataFrame, with_descendants: bool = False, only: str | None = None) -> DataFrame:
     """Every section with the bytes of its span as text: paper_id, ordinal, heading_raw, start_offset, end_offset, text.
 
-    The texts are cut in their paper's own row, so the markdown crosses no exchange.
+    only: a column of papers, an array of the ordinals that are wanted. The texts are cut in their paper's own row, so
+    the markdown crosses no exchange.
     """
     ship_package(papers.sparkSession)
     rows = papers.select(
         "paper_id",
         F.coalesce("markdown", F.lit("")).alias("markdown"),
         detect_headings(F.col("markdown")).alias("headings"),
+        *([F.col(only).alias("_only")] if only else []),
     )
     rows = rows.withColumn("size", F.octet_length("markdown"))
-    rows = rows.select("paper_id", F.col("markdown").cast("binary").alias("bytes"), F.explode(sections_in_row(with_descendants)).alias("n"))
+    sections = sections_in_row(with_descendants)
+    if only:
+        sections = F.filter(sections, lambda s: F.array_contains("_only", s["ordinal"]))
+    rows = rows.select("paper_id", F.col("markdown").cast("binary").alias("bytes"), F.explode(sections).alias("n"))
     text = F.decode(F.substring("bytes", F.col("n.start_offset") + 1, F.col("n.end_offset") - F.col("n.start_offset")), "UTF-8")
     return rows.select("paper_id", "n.*", text.alias("text"))
 

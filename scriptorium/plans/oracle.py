@@ -302,10 +302,12 @@ oracle("research_unit_rows", "select paper_id, 'study' as unit_type, 1 as unit_i
 oracle("section_scope", "select n.paper_id, n.ordinal, n.role, coalesce(s.scope, 'undetermined') as scope, case when s.scope in ('study', 'both') then 'RU1' end as unit_ref from nodes n left join scopes s using (role)")
 oracle("scope_summary", "select n.paper_id, coalesce(s.scope, 'undetermined') as scope, count(*) as sections from nodes n left join scopes s using (role) group by all")
 oracle("verdict_contract", "select paper_id, outcome from verdicts")
-oracle("quote_verification", "select paper_id, quotes_expected, quotes_verified, counter_verified, quotes_verified = quotes_expected and coalesce(counter_verified, true) as all_verified from quotes")
+QUOTES = "select paper_id, quotes_expected, quotes_verified, counter_verified, quotes_verified = quotes_expected and coalesce(counter_verified, true) as all_verified from quotes"
+oracle("quote_verification", QUOTES)
+oracle("bucketed_quotes", QUOTES)
 oracle("paper_routing", """select paper_id, primary_type, empirical, case when quotes_verified <> quotes_expected then 'unverified_quotes' when not empirical then 'not_empirical' else 'allowed' end as route,
     concat_ws(': ', case primary_type when 'A' then 'empirical' when 'B' then 'synthesis of earlier studies' when 'C' then 'conceptual' when 'D' then 'formal' else 'unclassified' end, nullif(subtype, ''), case when primary_type = 'UNCLASSIFIED' then unclassified end) as reason from quotes""")
-oracle("latest_verdict", "select paper_id % 97 as paper_id, 'h' as markdown_hash, max_by(verdict_id, (created_at, verdict_id)) as verdict_id, max(created_at) as created_at from responses group by 1")
+oracle("latest_verdict", "select p.paper_id, sha256(any_value(p.markdown)) as markdown_hash, max_by(verdict_id, (r.created_at, verdict_id)) as verdict_id, max(r.created_at) as created_at from responses r join papers p on p.paper_id = r.paper_id % 97 group by 1")
 oracle("verdict_work_queue", "select paper_id, sha256(markdown || case when paper_id % 7 = 2 then 'x' else '' end) as markdown_hash from papers where paper_id % 7 = 2 or paper_id not in (select paper_id from verdicts where outcome = 'valid')")
 oracle("model_input", """select p.paper_id, case when trim(p.markdown) <> '' and (p.paper_id % 2 = 0 or h.l is not null) then md5('INPUT FORM: ' || case when p.paper_id % 2 = 0 then 'FULL' else 'SELECTION' end || chr(10) || chr(10) ||
     coalesce('COMPLETE HEADING LIST (every heading in the document, in order):' || chr(10) || h.l || chr(10), '') || 'MANUSCRIPT:' || chr(10) || chr(10) || p.markdown) end as input_md5

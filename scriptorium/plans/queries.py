@@ -16,6 +16,7 @@ from scriptorium.plans.corpus import relation
 from scriptorium.plans.registry import query
 from scriptorium.session import materialise, read_table, written_root
 from scriptorium.sources import lookup, versions
+from scriptorium.sources.buckets import write_bucketed
 from scriptorium.sources.papers import publish_runs, published
 from scriptorium.streaming import landing
 
@@ -571,6 +572,21 @@ def quote_verification(spark, sf_dir):
     return _verified(spark, sf_dir).select("paper_id", "quotes_expected", "quotes_verified", "counter_verified", "all_verified")
 
 
+def bucketed(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """df as a bucketed table of this application, in at least as many buckets as shuffles have partitions."""
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    unique = f"{name}_{uuid4().hex}"
+    return write_bucketed(df, unique, f"{written_root(spark)}/{unique}", buckets)
+
+
+@query
+def bucketed_quotes(spark, sf_dir):
+    """Quotes verified against papers in buckets: the responses go to them, the texts stay where they lie."""
+    papers = bucketed(spark, "papers", papers_of(spark, sf_dir).select("paper_id", "markdown"))
+    rows = paper_types.verify_verdicts(relation(spark, sf_dir, "responses"), papers)
+    return rows.select("paper_id", "quotes_expected", "quotes_verified", "counter_verified", "all_verified")
+
+
 @query
 def paper_routing(spark, sf_dir):
     return _verified(spark, sf_dir).select("paper_id", F.col("verdict.primary_type").alias("primary_type"), "empirical", "route", "reason")
@@ -578,13 +594,10 @@ def paper_routing(spark, sf_dir):
 
 @query
 def latest_verdict(spark, sf_dir):
-    log = relation(spark, sf_dir, "responses").select(
-        "verdict_id",
-        "created_at",
-        (F.col("paper_id") % 97).alias("paper_id"),
-        F.lit("h").alias("markdown_hash"),
-    )
-    return paper_types.latest_verdicts(log)
+    """The latest verdict of each paper as its markdown is; responses are folded onto few papers, so that many meet."""
+    hashes = papers_of(spark, sf_dir).select("paper_id", ingest.markdown_hash(F.col("markdown")).alias("markdown_hash"))
+    log = relation(spark, sf_dir, "responses").select("verdict_id", "created_at", (F.col("paper_id") % 97).alias("paper_id"))
+    return paper_types.latest_verdicts(log.join(hashes, "paper_id"))
 
 
 @query
