@@ -340,6 +340,10 @@ oracle(
         ]
     ),
 )
+ENDED = """(select 'trees' as step, 'ok' as status, 2 as runs, 2 * count(*) as n from papers union all select 'nodes', 'ok', 2, 2 * count(*) from nodes
+    union all select 'tasks', 'ok', 2, 2 * count(*) from tasks union all select 'broken', 'failed', 1, 0)"""
+oracle("run_metrics", f"""select name, key, 0 as place, name || '{{' || key || '}} ' || n as line from
+    (select 'step_rows_total' as name, 'step="' || step || '"' as key, n from {ENDED} union all select 'step_runs_total', 'step="' || step || '",status="' || status || '"', runs from {ENDED})""")
 oracle("paper_lookup", "select 'id' as found_by, paper_id, hash from landed where paper_id = 7 union all select 'hash', paper_id, hash from landed where hash = md5('')")
 oracle("content_hashes", "select doc_id, md5(coalesce(text, '')) as hash from documents")
 oracle("whole_words", "select heading_raw, " + ", ".join(rf"regexp_matches(lower(heading_raw), '(^|[^\p{{L}}\p{{Nd}}_]){w}($|[^\p{{L}}\p{{Nd}}_])') as has_{w}" for w in ("study", "data", "results", "a")) + ", case when length(heading_raw) > 12 then left(heading_raw, 12) || '...' else heading_raw end as excerpt from texts")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from scriptorium.functions.text import contains_whole_word, excerpt, normalise_quote, normalize, parse_container, strip_identifiers
 from scriptorium.operators import asof, exhibits, ingest, methodology, paper_types, research_units, review, segmentation
+from scriptorium.operators import run_metrics as metering
 from scriptorium.plans.corpus import relation
 from scriptorium.plans.registry import query
 from scriptorium.session import materialise, read_table, written_root
@@ -701,6 +702,26 @@ def metrics_exposition(spark, sf_dir):
     return lines.unionByName(ingest.metric_lines(timed, "event_seconds", own, ingest.LATENCY_BOUNDS))
 
 
+@query
+def run_metrics(spark, sf_dir):
+    """Rows and endings of two runs of the engine, merged: three steps each, and one that fails in the second."""
+    root = f"{written_root(spark)}/metered-{uuid4().hex}"
+    for i in range(2):
+        with metering.RunMetrics(spark, f"{root}/log") as run:
+            trees = run.write("trees", trees_of(spark, sf_dir), f"{root}/trees{i}")
+            run.write("nodes", segmentation.section_nodes(trees), f"{root}/nodes{i}")
+            run.write("tasks", segmentation.review_tasks(trees), f"{root}/tasks{i}")
+            if i == 1:
+                broken = F.when(F.col("paper_id") >= 0, F.raise_error(F.lit("stopped halfway"))).otherwise(F.lit(""))
+                try:
+                    run.write("broken", trees.select(broken.alias("x")), f"{root}/broken")
+                except Exception as e:
+                    if "stopped halfway" not in str(e):
+                        raise
+    lines = [df for name, _, _, df in metering.run_lines(metering.logged(spark, f"{root}/log")) if name != "step_seconds"]
+    return reduce(DataFrame.union, lines)
+
+
 @query
 def paper_lookup(spark, sf_dir):
     """A paper by its id and another by its hash."""
