@@ -115,8 +115,9 @@ def tables(papers: DataFrame) -> DataFrame:
 
 def dropped_blocks(papers: DataFrame) -> DataFrame:
     """Continuations before any table, which belong to none: a count for each paper that has them."""
-    early = F.size(F.get("scan", F.lit(0)))
-    return table_scan(papers).select("paper_id", early.cast("long").alias("dropped_blocks")).filter("dropped_blocks > 0")
+    early = F.size(F.get("scan", F.lit(0))).cast("long")
+    # out of a generator: a filter that reached the scan would have it done twice
+    return table_scan(papers).select("paper_id", F.explode(F.array(early)).alias("dropped_blocks")).filter("dropped_blocks > 0")
 
 
 def figures(papers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
+from scriptorium.operators import exhibits
 from scriptorium.sources import lines, markdown
 
 
@@ -51,3 +52,22 @@ def test_headings_through_spark_equal_the_scan(spark):
     df = spark.createDataFrame(given, "i int, t string").repartition(2)
     found = {r.i: [h.asDict(recursive=True) for h in r.h] for r in df.select("i", markdown.detect_headings(F.col("t")).alias("h")).collect()}
     assert found == {i: markdown.linked_headings(t) for i, t in given}
+
+
+def test_tables_of_a_batch_are_answered_in_small_arrays(spark):
+    texts = [None if i % 7 == 3 else f"x\n| a | {i} |\n\n(continued)\n| é | b |\n![f](u)\n" for i in range(500)]
+    for scan, ddl in ((lines.table_blocks, lines.TABLES), (lines.images, lines.IMAGES)):
+        found = list(lines.answers(iter([pa.array(texts)]), scan, kind(ddl, spark)))
+        assert max(map(len, found)) <= lines.ANSWERED
+        assert [x for f in found for x in f.to_pylist()] == [scan(t) for t in texts]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_dropped_blocks_are_scanned_once(spark):
+    papers = spark.createDataFrame([(1, "continued\n| a |\n"), (2, "| a |\n"), (3, None)], "paper_id long, markdown string")
+    rows = exhibits.dropped_blocks(papers)
+    assert scans(rows) == 1
+    assert [tuple(r) for r in rows.collect()] == [(1, 1)]
