@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from scriptorium.operators import exhibits
+from scriptorium.operators import exhibits, segmentation
 from scriptorium.sources import lines, markdown
 
 
@@ -71,3 +71,14 @@ def test_dropped_blocks_are_scanned_once(spark):
     rows = exhibits.dropped_blocks(papers)
     assert scans(rows) == 1
     assert [tuple(r) for r in rows.collect()] == [(1, 1)]
+
+
+def test_violations_scan_no_paper_again_and_sort_no_text(spark):
+    papers = spark.createDataFrame([(1, "## A\né\n## B\nx"), (2, "## A\n## B\n"), (3, None)], "paper_id long, markdown string")
+    nodes = segmentation.segment(papers)
+    moved = F.when((F.col("paper_id") == 1) & (F.col("ordinal") == 0), 6).otherwise(F.col("start_offset"))
+    found = segmentation.violations(nodes.withColumn("start_offset", moved).filter("not (paper_id = 2 and ordinal = 1)"), papers)
+    assert scans(found) == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "inside_character"), (2, -1, "node_count")]
