@@ -8,6 +8,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from scriptorium.operators import exhibits, segmentation
+from scriptorium.plans.queries import Review
 from scriptorium.sources import lines, markdown
 
 
@@ -82,3 +83,10 @@ def test_violations_scan_no_paper_again_and_sort_no_text(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     assert sorted(map(tuple, found.collect())) == [(1, 0, "inside_character"), (2, -1, "node_count")]
+
+
+def test_rejections_of_runs_scan_no_text(spark, sf):
+    r = Review(spark, sf)
+    assert scans(r.rejections) == 0 and "trees" not in vars(r)
+    ids = lambda runs: sorted(x.run_id for x in runs.select("run_id").collect())
+    assert ids(r.run_ids) == ids(r.runs) != []
