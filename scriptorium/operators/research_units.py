@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.dimensions import SCOPE
 from scriptorium.functions.text import ASCII_WORD, group_of, is_heading_line, let, looked_up, normalise_kind, sort_labels, trim_blank
 from scriptorium.operators.ingest import upsert
+from scriptorium.operators.segmentation import bound
 from scriptorium.session import ship_package
 from scriptorium.sources.markdown import detect_headings
 from scriptorium.sources.papers import compact, publish, published
@@ -59,11 +60,12 @@ def unit_evidence(papers: DataFrame) -> DataFrame:
     text = F.coalesce("markdown", F.lit("")).alias("markdown")
     rows = papers.select("paper_id", text, F.filter(detect_headings(F.col("markdown")), lambda h: h["level"] <= 4).alias("headings"))
     named = F.flatten(F.transform("headings", lambda h, i: evidence_of(h["text"], i)))
-    rows = rows.select("paper_id", "markdown", named.alias("in_headings"))
+    # evidence comes out of generators: whoever explodes it has a filter put on it, which would scan headings and text again
+    rows = bound(rows, "in_headings", named).drop("headings")
     rows = rows.withColumns({"strong_groups": groups_of("in_headings", True), "weak_groups": groups_of("in_headings", False)})
     lines = F.filter(F.split("markdown", "\n"), lambda x: ~is_heading_line(x) & F.regexp_like(x, F.lit(LABELLED)))
     body = F.flatten(F.transform(lines, lambda x: F.filter(evidence_of(x, F.lit(-1)), lambda e: e["kind"].isin(*STRONG))))
-    rows = rows.withColumn("_body", F.when(F.size("strong_groups") >= 2, F.array().cast(NO_EVIDENCE)).otherwise(body)).drop("markdown")
+    rows = bound(rows, "_body", F.when(F.size("strong_groups") >= 2, F.array().cast(NO_EVIDENCE)).otherwise(body)).drop("markdown")
     firsts = let(
         F.col("_body"),
         lambda all_of: F.filter(all_of, lambda e, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda b: b["study_group"] == e["study_group"])),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from scriptorium.operators import exhibits, segmentation
-from scriptorium.plans.queries import Review
+from scriptorium.operators import exhibits, research_units, segmentation
+from scriptorium.plans.queries import Review, _gate_writes
 from scriptorium.sources import lines, markdown
 
 
@@ -90,3 +90,13 @@ def test_rejections_of_runs_scan_no_text(spark, sf):
     assert scans(r.rejections) == 0 and "trees" not in vars(r)
     ids = lambda runs: sorted(x.run_id for x in runs.select("run_id").collect())
     assert ids(r.run_ids) == ids(r.runs) != []
+
+
+def test_gate_evidence_is_scanned_once(spark, sf):
+    papers = spark.createDataFrame([(1, "## Study 1\nIn Study 2 and study 2.\n"), (2, "## Wave 3\nx"), (3, None)], "paper_id long, markdown string")
+    for column in ("in_headings", "in_text"):
+        rows = research_units.unit_evidence(papers).select("paper_id", F.posexplode(column).alias("position", "e"))
+        assert scans(rows) == 1
+        found = sorted((r.paper_id, r.position, r.e.kind, r.e.label) for r in rows.collect())
+        assert found == ([(1, 0, "study", "1"), (2, 0, "wave", "3")] if column == "in_headings" else [(1, 0, "study", "2")])
+    assert [scans(x) for x in _gate_writes(spark, sf)[:2]] == [0, 0]
