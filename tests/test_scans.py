@@ -36,6 +36,22 @@ def test_headings_of_a_batch_are_answered_in_small_arrays(spark):
     assert peak < 8_000_000  # 5,000 answers at once: some 25 MB
 
 
+def test_what_a_scan_holds_does_not_grow_with_its_batch(spark):
+    out = kind(markdown.HEADINGS, spark)
+
+    def peak(n):
+        given = pa.array([paper(i % 70) for i in range(n)])
+        tracemalloc.start()
+        answered = sum(len(found) for found in lines.answers(iter([given]), markdown.linked_headings, out))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert answered == n
+        return top
+
+    peak(70)  # the headings are remembered from here on
+    assert peak(4000) < 1.5 * peak(500)  # whole batches at once: some 8 times
+
+
 def test_long_texts_are_answered_alone(spark):
     texts = pa.array(["x" * lines.ANSWERED_BYTES] * 3 + ["# a"] * 2)
     assert [len(x) for x in lines.answers(iter([texts]), markdown.linked_headings, kind(markdown.HEADINGS, spark))] == [1, 1, 1, 2]
