@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from scriptorium.operators import exhibits, research_units, segmentation
+from scriptorium.operators import exhibits, research_units, review, segmentation
 from scriptorium.plans.queries import Review, _gate_writes
+from scriptorium.session import materialise
 from scriptorium.sources import lines, markdown
 
 
@@ -108,6 +109,19 @@ def test_rejections_of_runs_scan_no_text(spark, sf):
     assert ids(r.run_ids) == ids(r.runs) != []
 
 
+def test_reviewed_sections_are_cut_without_a_scan_of_texts(spark):
+    """Spans come from the trees; a text that has changed since, here so that they would end inside a character, is not cut."""
+    papers = spark.createDataFrame([(1, "## Zeta\n\n### Eta\n\né\n## Theta\nx"), (2, None), (3, "## Zeta\nx\n## Eta\ny")], "paper_id long, markdown string")
+    trees = materialise(segmentation.paper_trees(papers), "trees")
+    tasks, runs = segmentation.review_tasks(trees), segmentation.segmentation_runs(trees)
+    none = spark.createDataFrame([], "task_id string, decision string, assigned_role string")
+    now = papers.withColumn("markdown", F.when(F.col("paper_id") == 3, "é" * 20).otherwise(F.col("markdown")))
+    items = review.review_items(tasks, none, trees, runs, now)
+    assert scans(items) == 0
+    found = sorted((r.paper_id, r.section_ordinal, r.heading_raw, r.text) for r in items.filter("section_ordinal >= 0").collect())
+    assert found == [(1, 0, "Zeta", "\n\n### Eta\n\né\n"), (1, 1, "Eta", "\n\né\n"), (1, 2, "Theta", "\nx"), (2, 0, None, "")]
+
+
 def test_gate_evidence_is_scanned_once(spark, sf):
     papers = spark.createDataFrame([(1, "## Study 1\nIn Study 2 and study 2.\n"), (2, "## Wave 3\nx"), (3, None)], "paper_id long, markdown string")
     for column in ("in_headings", "in_text"):
